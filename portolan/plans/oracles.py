@@ -233,3 +233,53 @@ ORACLES: dict[str, str] = {
     "diagram_top_nodes": _portfolio("SELECT DISTINCT 'Class' || app_id AS class_name, category AS kind, target FROM sf ORDER BY 1, 2, 3 LIMIT 80"),
     "ranked_findings_first": "SELECT l_orderkey, l_returnflag, l_linenumber, l_suppkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_suppkey, l_partkey) AS p FROM lineitem) WHERE p = 1",
 }
+
+
+# ---- what the rendered source files hold, by the rendering's own rules
+
+_PARTS = "p AS (SELECT p_partkey AS p, p_brand AS app_name, 'Form' || p_partkey AS class_name, 'Screens/Form' || p_partkey || '.cs' AS file FROM part)"
+
+
+def _values(names: str, rows: list[str], shown: str, join: str = "", where: str = "") -> str:
+    """Rows of each part: ``rows`` of VALUES over columns of p, as columns ``names``."""
+    union = " UNION ALL ".join(f"SELECT p.*, {', '.join(f'{v} AS {n}' for n, v in zip(names.split(', '), row))} FROM p" for row in rows)  # type: ignore[arg-type]
+    return f"WITH {_PARTS}, v AS ({union}) SELECT {shown} FROM v {join} {where}"
+
+
+_N = "CAST(NULL AS VARCHAR)"
+_SQL = [
+    ("'Load'", "'SqlCommand'", "'query'", "'Part_' || p", "false", "'@id <- id'", "'A|B'", "'SELECT A, B FROM Part_' || p || ' WHERE id = {id}'", "80", "13", "'select'"),
+    ("'Save'", "'SqlCommand'", "'stored_procedure'", "'SaveProc_' || p", "true", "''", "''", _N, "20", "NULL", "'stored_procedure'"),
+    ("'Branch'", "'SqlCommand'", "'query'", _N, "false", "''", "''", _N, "20", "NULL", _N),
+    ("'Build'", "'SqlCommand'", "'query'", "'Table_' || p", "false", "''", "''", "'UPDATE Table_' || p || ' SET \"X\" = 1' || chr(10) || 'WHERE id = {id}'", "80", "42", "'update'"),
+]
+_SQL_NAMES = "method, kind, category, target, is_stored_procedure, parameters, result_columns, resolved, confidence, source_line, operation"
+_KNOWN = "LEFT JOIN (SELECT p AS q, app_name AS qa FROM p) n ON n.q = v.p + 1 AND n.qa = v.app_name"
+
+ORACLES |= {
+    "csharp_sql_findings": _values(_SQL_NAMES, _SQL, "app_name, file, class_name, method, kind, category, target, is_stored_procedure, parameters, result_columns"),
+    "csharp_reconstruct": _values(_SQL_NAMES, _SQL, "app_name, file, method, resolved, CAST(confidence AS BIGINT) AS confidence, CAST(source_line AS BIGINT) AS source_line"),
+    "csharp_io": _values("method, operation, category", [("'Save'", "'File.WriteAllText'", "'io'"), ("'Build'", "'MethodInfo.Invoke'", "'reflection'")], "app_name, file, class_name, method, operation, category"),
+    "csharp_structure": f"""WITH {_PARTS} SELECT app_name, file, class_name, 'App.Screens' AS namespace, 'Form' AS base_type, 'form' AS class_type, CASE WHEN p % 2 = 0 THEN 8 ELSE 7 END::BIGINT AS n_methods FROM p
+        UNION ALL SELECT app_name, 'Program' || p || '.cs', 'Program', 'App', NULL, 'class', 1 FROM p WHERE p % 10 = 0""",
+    "csharp_entry_points": f"WITH {_PARTS} SELECT app_name, 'Program' || p || '.cs' AS file, 'Program' AS class_name, 'Main' AS method, 'application_run' AS pattern, 95::BIGINT AS confidence FROM p WHERE p % 10 = 0",
+    "csharp_navigation": _values(
+        "target_class, operation, known", [("'Form' || (p + 1)", "'show_dialog'", "1"), ("'Missing'", "'show'", "0"), (_N, "'show'", "0")],
+        "app_name, class_name, 'btnSave_Click' AS method, target_class, operation, CASE WHEN target_class IS NULL THEN 'unresolved_navigation_target_unknown' WHEN known = 1 AND q IS NOT NULL THEN 'resolved' ELSE 'unresolved_target_not_a_known_screen' END AS status, CASE WHEN target_class IS NULL THEN 30 WHEN known = 1 AND q IS NOT NULL THEN 90 ELSE 50 END::BIGINT AS confidence", _KNOWN,
+    ),
+    "csharp_events": _values("event, handler, status", [("'Click'", "'btnSave_Click'", "'resolved'"), ("'Enter'", "'Save'", "'resolved'"), ("'Leave'", _N, "'unresolved_event_handler_unknown'")], "app_name, class_name, 'btnSave' AS control, event, handler, status"),
+    "csharp_controls": _values("control, control_type, label, status", [("'btnSave'", "'Button'", "'Save ' || p", "'resolved'"), ("'lblName'", "'Label'", _N, "'resolved'"), ("'odd'", _N, _N, "'unresolved_control_type_unknown'")], "app_name, class_name, control, control_type, label, status"),
+    "csharp_calls": _values(
+        "caller, target_method, resolution_status, n", [("'Load'", "'Save'", "'resolved'", "1"), ("'Load'", "'Helper'", "CASE WHEN p % 2 = 0 THEN 'unresolved_call_target_ambiguous' ELSE 'resolved' END", "1"), ("'Load'", _N, "'unresolved_call_target_unknown'", "2"), ("'InitializeComponent'", "'Save'", "'resolved'", "1")],
+        "app_name, class_name, caller, target_method, resolution_status, CAST(n AS BIGINT) AS n",
+    ),
+    "csharp_data_ops": _values(
+        "method, operation, distance, confidence", [("'Load'", "'select Part_' || p", "'direct'", "90"), ("'Save'", "'stored_procedure SaveProc_' || p", "'direct'", "90"), ("'Build'", "'update Table_' || p", "'direct'", "90"), ("'Load'", "'stored_procedure SaveProc_' || p", "'one_hop'", "70"), ("'InitializeComponent'", "'stored_procedure SaveProc_' || p", "'one_hop'", "70")],
+        "class_name, method, operation, distance, CAST(confidence AS BIGINT) AS confidence",
+    ),
+    "csharp_settings": """
+        WITH p AS (SELECT p_partkey AS p, 'App' || p_partkey AS app_name FROM part)
+        SELECT app_name, 'Properties/Settings.cs' AS file, 5::BIGINT AS line, 'Main' || p AS name, 'Data Source=srv' || p || ';Initial Catalog=Db' AS value, true AS marked, 'sql_or_oracle' AS category FROM p
+        UNION ALL SELECT app_name, 'Properties/Settings.cs', 13, 'Folder', 'C:\\Data\\' || p, false, 'local_path' FROM p
+        UNION ALL SELECT app_name, 'app.config', 6, 'Other', 'server=other' || p, true, 'sql_or_oracle' FROM p WHERE p % 5 <> 0""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import flow, portfolio
+from portolan.operators import extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import store
 
@@ -336,20 +336,16 @@ def method_sql_map(spark, sf_dir):
     parts = R.table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").select(F.concat(F.lit("C"), (F.col("p_partkey") % 200).cast("string")).alias("class_name"), F.concat(F.lit("M"), (F.col("p_size") % 7).cast("string")).alias("method"), F.concat_ws("/", F.lit("app"), "p_type", F.concat(F.lit("F"), (F.col("p_partkey") % 200).cast("string"), F.lit(".cs"))).alias("path"), F.col("p_partkey").alias("method_id"))
     lines = R.table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     lines = lines.select(F.concat(F.lit("C"), (F.col("l_partkey") % 200).cast("string")).alias("class_name"), F.concat(F.lit("M"), F.col("l_linenumber").cast("string")).alias("method"), F.concat(F.when(F.col("l_returnflag") == "A", "").otherwise("x"), F.lit("F"), (F.col("l_partkey") % 200).cast("string"), F.lit(".cs")).alias("suffix"), "l_orderkey")
-    from portolan.operators.structure import ends_with_path
-
-    met = parts.join(lines, ["class_name", "method"]).filter(ends_with_path(F.col("path"), F.col("suffix")))
+    met = parts.join(lines, ["class_name", "method"]).filter(structure.ends_with_path(F.col("path"), F.col("suffix")))
     return met.groupBy("method_id").agg(F.count(F.lit(1)).alias("n_findings"), F.min("l_orderkey").alias("first_finding"))
 
 
 @query
 def one_hop(spark, sf_dir):
     """Orders that reach a part through a line item whose supplier is of the customer's nation: one hop, a row per line."""
-    from portolan.operators.structure import one_hop_callers
-
     calls = R.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("class_name"), F.col("o_orderkey").alias("caller"), F.concat(F.lit("M"), (F.col("o_orderkey") % 40).cast("string")).alias("target_method"), F.when(F.col("o_orderkey") % 3 == 0, "unknown").otherwise("resolved").alias("resolution_status"))
     direct = R.table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.concat(F.lit("C"), (F.col("p_partkey") % 50).cast("string")).alias("class_name"), F.concat(F.lit("M"), (F.col("p_size") % 40).cast("string")).alias("method"), F.col("p_partkey").alias("operation"))
-    return one_hop_callers(calls, direct).groupBy("caller").agg(F.count(F.lit(1)).alias("n_operations"), F.min("operation").alias("first_operation"))
+    return structure.one_hop_callers(calls, direct).groupBy("caller").agg(F.count(F.lit(1)).alias("n_operations"), F.min("operation").alias("first_operation"))
 
 
 @query
@@ -384,3 +380,77 @@ def ranked_findings_first(spark, sf_dir):
     """The first line of each order and part, by line number and supplier."""
     rows = R.table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_suppkey", "l_partkey")
     return portfolio.first_of_each(rows, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_suppkey", "l_partkey"])
+
+
+# ---- source text
+
+
+@query
+def csharp_settings(spark, sf_dir):
+    rows = extraction.settings(*R.settings_files(spark, sf_dir))
+    return rows.select("app_name", "file", F.col("line").cast("bigint").alias("line"), "name", F.trim("value").alias("value"), "marked", "category")
+
+
+@query
+def csharp_sql_findings(spark, sf_dir):
+    rows = extraction.sql_findings(R.source_files(spark, sf_dir))
+    return rows.select("app_name", "file", "class_name", "method", "kind", "category", "target", "is_stored_procedure", F.array_join("parameters", "|").alias("parameters"), F.array_join("result_columns", "|").alias("result_columns"))
+
+
+@query
+def csharp_reconstruct(spark, sf_dir):
+    """The texts of commands as their methods build them; null where a branch decides."""
+    rows = extraction.sql_findings(R.source_files(spark, sf_dir))
+    return rows.select("app_name", "file", "method", "resolved", F.col("evidence.confidence").cast("bigint").alias("confidence"), F.col("evidence.line_number").cast("bigint").alias("source_line"))
+
+
+@query
+def csharp_io(spark, sf_dir):
+    return extraction.io_findings(R.source_files(spark, sf_dir)).select("app_name", "file", "class_name", "method", "operation", "category")
+
+
+@query
+def csharp_structure(spark, sf_dir):
+    """Classes with their kind and number of methods."""
+    rows = extraction.facts(R.source_files(spark, sf_dir))
+    n = extraction.methods(rows).groupBy("app_name", "file", "class_name").agg(F.count(F.lit(1)).alias("n_methods"))
+    return extraction.classes(rows).join(n, ["app_name", "file", "class_name"], "left").select("app_name", "file", "class_name", "namespace", "base_type", "class_type", F.coalesce("n_methods", F.lit(0)).alias("n_methods"))
+
+
+@query
+def csharp_entry_points(spark, sf_dir):
+    rows = extraction.entry_points(extraction.facts(R.source_files(spark, sf_dir)))
+    return rows.select("app_name", "file", "class_name", "method", "pattern", F.col("confidence").cast("bigint").alias("confidence"))
+
+
+@query
+def csharp_navigation(spark, sf_dir):
+    rows = extraction.navigation(extraction.facts(R.source_files(spark, sf_dir)))
+    return rows.select("app_name", "class_name", "method", "target_class", "operation", "status", F.col("confidence").cast("bigint").alias("confidence"))
+
+
+@query
+def csharp_events(spark, sf_dir):
+    return extraction.event_wirings(extraction.facts(R.source_files(spark, sf_dir))).select("app_name", "class_name", "control", "event", "handler", "status")
+
+
+@query
+def csharp_calls(spark, sf_dir):
+    return extraction.calls(extraction.facts(R.source_files(spark, sf_dir))).groupBy("app_name", "class_name", "caller", "target_method", "resolution_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def csharp_controls(spark, sf_dir):
+    return extraction.controls(extraction.facts(R.source_files(spark, sf_dir))).select("app_name", "class_name", "control", "control_type", "label", "status")
+
+
+@query
+def csharp_data_ops(spark, sf_dir):
+    """What each method does to data, directly and one call away."""
+    files = R.source_files(spark, sf_dir)
+    rows = extraction.facts(files)
+    found = extraction.sql_findings(files).withColumn("operation", F.when(F.col("is_stored_procedure"), "stored_procedure").otherwise(sqltext.operation(F.coalesce("resolved", "raw"))))
+    direct = structure.method_operations(extraction.methods(rows).withColumnRenamed("file", "path"), found.select("class_name", "method", "file", "operation", "target"))
+    near = structure.one_hop_callers(extraction.calls(rows), direct.filter("status = 'resolved'").select("class_name", "method", F.concat_ws(" ", "operation", "target").alias("operation")))
+    own = direct.select("class_name", "method", F.concat_ws(" ", "operation", "target").alias("operation"), F.lit("direct").alias("distance"), F.col("confidence").cast("bigint").alias("confidence"))
+    return own.unionByName(near.select("class_name", F.col("caller").alias("method"), "operation", F.lit("one_hop").alias("distance"), F.lit(70).cast("bigint").alias("confidence")))

@@ -110,3 +110,145 @@ def io_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as an input or output operation of its user."""
     rows = table(spark, sf_dir, "events", "event_id", "user_id")
     return rows.select(F.col("user_id").alias("app_id"), F.col("event_id").alias("id"), chosen(F.col("event_id") % len(IO_OPERATIONS), IO_OPERATIONS).alias("operation"))
+
+
+#: A screen of an application, for each part: {p} its number, {q} the next part's, {k} the number of an overloaded helper.
+SCREEN = """using System.Data.SqlClient;
+using System.Windows.Forms;
+
+namespace App.Screens
+{
+    public partial class Form{p} : Form {
+        private Button btnSave;
+        private Label lblName;
+        private string title;
+
+        public void Load(int id)
+        {
+            string sql = "SELECT A, B FROM Part_{p} WHERE id = " + id;
+            SqlCommand cmd = new SqlCommand(sql, connection);
+            cmd.Parameters.AddWithValue("@id", id);
+            SqlDataReader reader = cmd.ExecuteReader();
+            title = reader["A"].ToString() + reader["B"];
+            Save();
+            this.Helper(1);
+            Inherited();
+            Unheard();
+        }
+
+        private void Save()
+        {
+            SqlCommand command = new SqlCommand("SaveProc_{p}", connection);
+            command.CommandType = CommandType.StoredProcedure;
+            command.ExecuteNonQuery();
+            File.WriteAllText(path, "x");
+        }
+
+        private void Branch()
+        {
+            string q = "SELECT 1 FROM T";
+            if (flag)
+                q = "SELECT 2 FROM U";
+            SqlCommand c2 = new SqlCommand(q, connection);
+        }
+
+        private void Build()
+        {
+            StringBuilder sb = new StringBuilder();
+            sb.Append("UPDATE Table_{p} ");
+            sb.AppendLine(@"SET ""X"" = 1");
+            sb.Append("WHERE id = " + id);
+            SqlCommand c3 = new SqlCommand(sb.ToString(), connection);
+            MethodInfo info = type.GetMethod("Run");
+            info.Invoke(target, null);
+        }
+
+        private void Helper(int a)
+        {
+        }
+{overload}
+        private void InitializeComponent()
+        {
+            this.btnSave = new System.Windows.Forms.Button();
+            this.btnSave.Text = "Save {p}";
+            this.btnSave.Click += new System.EventHandler(this.btnSave_Click);
+            this.btnSave.Enter += Save;
+            this.btnSave.Leave += (s, e) => Save();
+            this.odd = new System.Windows.Forms.Gauge();
+        }
+
+        private void btnSave_Click(object sender, EventArgs e)
+        {
+            Form{q} next = new Form{q}();
+            next.ShowDialog();
+            new Missing().Show();
+            other.Show();
+            MessageBox.Show("done");
+        }
+    }
+}
+"""
+OVERLOAD = """
+        private void Helper(string a)
+        {
+        }
+"""
+PROGRAM = """namespace App
+{
+    internal static class Program {
+        private static void Main()
+        {
+            Application.Run(new Form{p}());
+        }
+    }
+}
+"""
+SETTINGS_CLASS = """namespace App.Properties
+{
+    internal sealed partial class Settings
+    {
+        [ApplicationScopedSetting]
+        [SpecialSetting(SpecialSetting.ConnectionString)]
+        [DefaultSettingValue("Data Source=srv{p};Initial Catalog=Db")]
+        public string Main{p}
+        {
+            get { return (string)this["Main{p}"]; }
+        }
+
+        [DefaultSettingValue("C:\\\\Data\\\\{p}")]
+        public string Folder => (string)this["Folder"];
+    }
+}
+"""
+CONFIG = """<?xml version="1.0"?>
+<configuration>
+  <connectionStrings>
+    <!-- <add name="Old" connectionString="server=old" /> -->
+    <add name="Same" connectionString=" Data Source=srv{p};Initial Catalog=Db " />
+    <add name="Other" connectionString="server=other{p}" />
+    <add name="Empty" connectionString="" />
+  </connectionStrings>
+</configuration>
+"""
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A screen for each part; a program for every tenth; an application is a brand."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand").select(F.col("p_brand").alias("app_name"), F.col("p_partkey").alias("p"))
+
+    def filled(text: str) -> Column:
+        text = F.replace(F.lit(text), F.lit("{overload}"), F.when(F.col("p") % 2 == 0, OVERLOAD).otherwise(""))
+        return F.replace(F.replace(text, F.lit("{p}"), F.col("p").cast("string")), F.lit("{q}"), (F.col("p") + 1).cast("string"))
+
+    screens = parts.select("app_name", F.concat(F.lit("Screens/Form"), F.col("p").cast("string"), F.lit(".cs")).alias("path"), filled(SCREEN).alias("text"))
+    programs = parts.filter("p % 10 = 0").select("app_name", F.concat(F.lit("Program"), F.col("p").cast("string"), F.lit(".cs")).alias("path"), filled(PROGRAM).alias("text"))
+    return screens.unionByName(programs)
+
+
+def settings_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Settings classes and configuration files of each part; every fifth configuration is cut off."""
+    parts = table(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("App"), F.col("p_partkey").cast("string")).alias("app_name"), F.col("p_partkey").alias("p"))
+    number = F.col("p").cast("string")
+    code = parts.select("app_name", F.lit("Properties/Settings.cs").alias("path"), F.replace(F.lit(SETTINGS_CLASS), F.lit("{p}"), number).alias("text"))
+    text = F.replace(F.lit(CONFIG), F.lit("{p}"), number)
+    return code, parts.select("app_name", F.lit("app.config").alias("path"), F.when(F.col("p") % 5 == 0, F.left(text, F.lit(120))).otherwise(text).alias("text"))
