@@ -64,6 +64,18 @@ def bounded_sample(frame: DataFrame, rows: int, seed: int = 42) -> DataFrame:
     return frame.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share)
 
 
+def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """About ``rows`` rows at most of ``docs`` (doc_id, text) with their mark (``marks``: k, more; an id at most once), taken by a hash.
+
+    Ids alone are counted first; texts are filtered by the same hash before they meet the marks, so that the texts that move
+    are bounded by the sample and not by the corpus.
+    """
+    n = docs.select("doc_id").join(marks.select("k"), F.col("doc_id") == F.col("k")).count()
+    share = 1_000_000 if n <= rows else int(rows / n * 1_000_000)
+    chosen = lambda column: F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1_000_000)) < share
+    return cut(docs.filter(chosen("doc_id")).join(marks.filter(chosen("k")), F.col("doc_id") == F.col("k")).drop("k"))
+
+
 def arrow_map(frame: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]]) -> DataFrame:
     """mapInArrow with ``function`` from a batch to columns by name, or to several such."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, bounded_sample, held_out, slices, texts_of
+from portolan.llm.textio import arrow_map, held_out, labelled_sample, slices, texts_of
 
 FIT_ROWS, MAX_STEMS, LONGEST_STEM = 20_000, 20_000, 7
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marked = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("toxic")).filter("toxic is not null").groupBy("k").agg(F.max("toxic").alias("toxic"))
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(~held_out("doc_id", folds))
-    rows = bounded_sample(known.join(marked, F.col("doc_id") == F.col("k")).drop("k"), fit_rows)
+    rows = labelled_sample(known, marked, fit_rows)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic:
