@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.class_lm import blocked
-from portolan.llm.textio import arrow_map, cut, held_out, slices, texts_of
+from portolan.llm.textio import arrow_map, cut, held_out, marked, slices, texts_of
 
 ORDER, BITS = 5, 12
 EDGE = (1 << BITS) - 1
 QUANTILE, BINS = 0.99, 100
-SLICE = 4_000_000
+SLICE, BLOCK_CHARS = 4_000_000, 8_000_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -98,17 +97,35 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw))  # type: ignore[return-value]
 
 
+def _spans(docs: DataFrame, chars: int = BLOCK_CHARS) -> Column:
+    """A block for each row, so that a block has about ``chars`` characters and ids that lie together share one.
+
+    Whole numbers are dealt by spans of consecutive ids, others each by themselves; which row goes where changes the work
+    and not the result.
+    """
+    total, n = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(total or 0) // chars))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.floor(F.col("doc_id") / max(1, -(-n // blocks))) if whole else F.col("doc_id")
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
 def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     """``docs`` (doc_id, text, more) with ``n_chars``, ``log_prob`` and ``perplexity`` of each whole text with its end, and without ``text``."""
-    dealt = docs.withColumn("block", blocked(docs))
+    dealt = docs.withColumn("block", _spans(docs))
     others = [c for c in docs.columns if c != "text"]
 
-    def block_grams(table: pa.Table) -> pa.Table:
-        found = [np.unique(np.concatenate([grams(t) for t in texts[a:b]])) for texts in [table.column("text").to_pylist()] for a, b in slices([len(t) for t in texts], SLICE)]
-        g = np.unique(np.concatenate(found))
-        return pa.table({"block": pa.array(np.full(len(g), table.column("block")[0].as_py(), np.int32)), "g": pa.array(g)})
-
-    in_blocks = cut(dealt.groupBy("block").applyInArrow(block_grams, "block int, g long"))
+    def block_grams(batch: pa.RecordBatch):
+        texts, blocks = texts_of(batch), batch.column(0).to_pylist()
+        for a, b in slices([len(t) for t in texts], SLICE):
+            rows: dict[int, list[np.ndarray]] = {}
+            for text, block in zip(texts[a:b], blocks[a:b]):
+                rows.setdefault(block, []).append(grams(text))
+            for block, found in rows.items():
+                g = np.unique(np.concatenate(found))
+                yield {"block": pa.array(np.full(len(g), block, np.int32)), "g": pa.array(g)}
+
+    in_blocks = cut(arrow_map(dealt.select("block", "text"), "block int, g long", block_grams).distinct())
     table = model.probabilities(in_blocks.select("g").distinct())
     wanted = in_blocks.join(table, "g").select("block", "g", "logp")
 
@@ -147,12 +164,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null texts count as empty; repeated rows are scored each, and count each in training; of several labels of an id the largest holds; an empty table gives
     an empty result. Other columns aren't looked at.
     """
-    marked = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("t")).groupBy("k").agg(F.max("t").alias("trusted"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("held", held_out("doc_id", folds))
-    good = marked.filter("trusted").select("k", F.lit(True).alias("trusted"))
-    rows = rows.join(good, rows["doc_id"] == good["k"], "left").drop("k").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = KneserNey(cut(count_grams(rows.filter("trusted and not held"))))
-    scored = cut(perplexity(rows, model))
+    good = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("t")).groupBy("k").agg(F.max("t").alias("t")).filter("t and k is not null").select("k")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    learned = marked(rows.filter(~held_out("doc_id", folds)), good)
+    scored = cut(perplexity(rows, KneserNey(cut(count_grams(learned)))))
+    scored = scored.join(good.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("k"), "left").withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "held": held_out("doc_id", folds)})
     limits = cut(thresholds(scored, quantile))
     every = limits.filter("lang is null").first()
     of = limits.filter("lang is not null").select(F.col("lang").alias("l"), F.col("threshold").alias("own"))

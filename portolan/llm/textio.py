@@ -193,6 +193,19 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def marked(docs: DataFrame, marks: DataFrame, bits: int = 24) -> DataFrame:
+    """``docs`` (doc_id, text) whose id is among ``marks`` (k, each once). A bitmap of the marks leaves most other texts where they
+    are read; the join with the marks is exact."""
+    known = bitmap(marks.select(F.xxhash64("k").alias("h")), "h", bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(known, batch.column(2).to_numpy().view(np.uint64), bits))).select([0, 1])
+
+    near = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    return near.join(marks.select("k"), F.col("doc_id") == F.col("k")).drop("k")
+
+
 def in_bitmap(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """For each key, whether it may be in the set behind ``table``; never wrong with no."""
     first, second = keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)
