@@ -222,7 +222,7 @@ def hash_of(data: bytes) -> int:
 
 def choose(toxic_in: dict[bytes, tuple[int, int]], clean_in: dict[bytes, int], n_toxic: int, n_clean: int) -> dict[bytes, str]:
     """The stems that mark toxic rows: beyond chance over all candidates, mostly in toxic rows, and in contexts of their own
-    rather than in copies of a text. Of stems in the same rows the longest one stands for all."""
+    rather than in copies of a text. Of stems in the same rows the longest one stands for all, and words that begin with a stem aren't listed beside it."""
     share = min(0.9, (n_toxic + 1) / (n_toxic + n_clean + 2))
     pure: dict[bytes, float] = {}
     for stem, (n, contexts) in toxic_in.items():
@@ -233,7 +233,7 @@ def choose(toxic_in: dict[bytes, tuple[int, int]], clean_in: dict[bytes, int], n
     out: dict[bytes, str] = {}
     for stem in sorted(pure, key=lambda s: (len(s), s)):
         longer = [t for t in pure if len(t) > len(stem) and t.startswith(stem)]
-        if any(toxic_in[t][0] >= 0.95 * toxic_in[stem][0] for t in longer):
+        if any(toxic_in[t][0] >= 0.95 * toxic_in[stem][0] for t in longer) or any(stem[:k] in out for k in range(1, len(stem))):
             continue
         out[stem] = "A" if pure[stem] >= 3 else "B" if pure[stem] >= 2 else "C"
     return out
