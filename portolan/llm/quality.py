@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, cut, held_out, marked, slices, texts_of
+from portolan.llm.textio import arrow_map, cut, held_out, marked, slices, span_blocks, texts_of
 
 ORDER, BITS = 5, 12
 EDGE = (1 << BITS) - 1
@@ -97,22 +97,9 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw))  # type: ignore[return-value]
 
 
-def _spans(docs: DataFrame, chars: int = BLOCK_CHARS) -> Column:
-    """A block for each row, so that a block has about ``chars`` characters and ids that lie together share one.
-
-    Whole numbers are dealt by spans of consecutive ids, others each by themselves; which row goes where changes the work
-    and not the result.
-    """
-    total, n = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(total or 0) // chars))
-    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    key = F.floor(F.col("doc_id") / max(1, -(-n // blocks))) if whole else F.col("doc_id")
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
 def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     """``docs`` (doc_id, text, more) with ``n_chars``, ``log_prob`` and ``perplexity`` of each whole text with its end, and without ``text``."""
-    dealt = docs.withColumn("block", _spans(docs))
+    dealt = docs.withColumn("block", span_blocks(docs, BLOCK_CHARS))
     others = [c for c in docs.columns if c != "text"]
 
     def block_grams(batch: pa.RecordBatch):

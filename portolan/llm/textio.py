@@ -76,6 +76,19 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, seed: int = 42
     return cut(docs.filter(chosen("doc_id")).join(marks.filter(chosen("k")), F.col("doc_id") == F.col("k")).drop("k"))
 
 
+def span_blocks(docs: DataFrame, chars: int) -> Column:
+    """A block for each row, so that a block has about ``chars`` characters and ids that lie together share one.
+
+    Whole numbers are dealt by spans of consecutive ids, others each by themselves; which row goes where changes the work
+    and not the result.
+    """
+    total, n = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(total or 0) // chars))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.floor(F.col("doc_id") / max(1, -(-n // blocks))) if whole else F.col("doc_id")
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
 def arrow_map(frame: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]]) -> DataFrame:
     """mapInArrow with ``function`` from a batch to columns by name, or to several such."""
     from pyspark.sql.pandas.types import to_arrow_schema
