@@ -129,7 +129,7 @@ def terciles(values: DataFrame, by: list[str], value: str = "raw") -> DataFrame:
     """``values`` with ``bucket`` (Baja, Media, Alta) among all of ``by``.
 
     The limits are the values at a third and two thirds of the ascending order, counted from nought; values up to a
-    limit are under it, so that ties share a bucket. All are Baja where none is above 0; null has no bucket and doesn't count.
+    limit are under it, so that ties share a bucket. All are Baja where the largest is 0; null has no bucket and doesn't count.
 
     The order is over distinct values with their counts, so that the sort is as long as the values differ.
     """
@@ -141,7 +141,7 @@ def terciles(values: DataFrame, by: list[str], value: str = "raw") -> DataFrame:
         return F.min(F.when(F.col("upto") > F.floor(F.col("total") * k / 3), F.col(value)))
 
     limits = counts.groupBy(*by).agg(limit(1).alias("low"), limit(2).alias("mid"), F.first("top").alias("top"))
-    bucket = F.when(F.col(value).isNull(), None).when((F.col("top") <= 0) | (F.col(value) <= F.col("low")), "Baja").when(F.col(value) <= F.col("mid"), "Media").otherwise("Alta")
+    bucket = F.when(F.col(value).isNull(), None).when((F.col("top") == 0) | (F.col(value) <= F.col("low")), "Baja").when(F.col(value) <= F.col("mid"), "Media").otherwise("Alta")
     if not by:
         limits, by = limits.withColumn("_one", F.lit(1)), ["_one"]
         values = values.withColumn("_one", F.lit(1))

@@ -113,7 +113,7 @@ raw AS (
   UNION ALL SELECT app_id, 'reutilizacion_potencial', CAST(coalesce((SELECT sum(n - 1) FROM members JOIN (SELECT category, count(*) AS n FROM members GROUP BY 1) USING (category) WHERE members.app_name = apps.app_name), 0) AS DOUBLE) FROM apps),
 limits AS (SELECT factor, list_sort(list(raw)) AS v FROM raw WHERE raw IS NOT NULL GROUP BY factor),
 buckets AS (
-  SELECT app_id, factor, raw, CASE WHEN raw IS NULL THEN NULL WHEN v[-1] <= 0 OR raw <= v[len(v) // 3 + 1] THEN 'Baja' WHEN raw <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket
+  SELECT app_id, factor, raw, CASE WHEN raw IS NULL THEN NULL WHEN v[-1] = 0 OR raw <= v[len(v) // 3 + 1] THEN 'Baja' WHEN raw <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket
   FROM raw LEFT JOIN limits USING (factor)),
 contrib AS (
   SELECT *, CASE factor {" ".join(f"WHEN {_q(n)} THEN {x}" for n, x in FACTOR_WEIGHTS.items())} END * CAST(CASE bucket WHEN 'Baja' THEN 0 WHEN 'Media' THEN 1 WHEN 'Alta' THEN 2 END AS DOUBLE) AS contribution
@@ -186,9 +186,9 @@ ORACLES: dict[str, str] = {
     "terciles": """
         WITH r AS (SELECT c_custkey, c_nationkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey = 0 THEN -floor(abs(c_acctbal) / 1000) ELSE floor(c_acctbal / 1000) END AS DOUBLE) AS raw FROM customer),
         l AS (SELECT c_nationkey, list_sort(list(raw)) AS v FROM r WHERE raw IS NOT NULL GROUP BY 1)
-        SELECT c_custkey, r.c_nationkey, raw, CASE WHEN raw IS NULL THEN NULL WHEN v[-1] <= 0 OR raw <= v[len(v) // 3 + 1] THEN 'Baja' WHEN raw <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket
+        SELECT c_custkey, r.c_nationkey, raw, CASE WHEN raw IS NULL THEN NULL WHEN v[-1] = 0 OR raw <= v[len(v) // 3 + 1] THEN 'Baja' WHEN raw <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket
         FROM r LEFT JOIN l USING (c_nationkey)""",
-    "priority_score": _portfolio("SELECT app_id, score, n_factors, CASE WHEN v[-1] <= 0 OR score <= v[len(v) // 3 + 1] THEN 'Baja' WHEN score <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket FROM scores, (SELECT list_sort(list(score)) AS v FROM scores)"),
+    "priority_score": _portfolio("SELECT app_id, score, n_factors, CASE WHEN v[-1] = 0 OR score <= v[len(v) // 3 + 1] THEN 'Baja' WHEN score <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket FROM scores, (SELECT list_sort(list(score)) AS v FROM scores)"),
     "priority_top_factors": _portfolio("SELECT app_id, place, factor, contribution FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY abs(contribution) DESC, factor) AS place FROM contrib WHERE contribution <> 0) WHERE place <= 2"),
     "app_listing": _portfolio("""SELECT app_id, app_name, coalesce(p, 0) AS sp_count, coalesce(t, 0) AS table_count, coalesce(p, 0) = 0 AND coalesce(t, 0) = 0 AS none_found FROM apps
         LEFT JOIN (SELECT app_id, count(DISTINCT target) AS p FROM sf WHERE category = 'stored_procedure' AND app_id % 3 <> 0 GROUP BY 1) USING (app_id) LEFT JOIN (SELECT app_id, count(*) AS t FROM st WHERE app_id % 6 <> 0 GROUP BY 1) USING (app_id)"""),
