@@ -24,7 +24,7 @@ def _escaped(text: str) -> str:
 
 
 def listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``path, modified, length`` of files below ``root`` that match; contents aren't read."""
+    """``path, modified, length`` of files below ``root`` that match and aren't empty; contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return rows.select(relative(F.col("path"), root).alias("path"), F.col("modificationTime").alias("modified"), "length")
 

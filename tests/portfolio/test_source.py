@@ -95,7 +95,7 @@ def test_trees_of_files(spark, tmp_path: Path):
     for path, text in {"App/A.cs": "class", "App/System.X/B.cs": "lib", "App/sub/C.cs": "é\r\nx", "Other/D.cs": "d", "App/App.csproj": "<TargetFramework>net48</TargetFramework>", "App/obj/x.exe": "", "App/bin/App.exe": "", "App/bin/App.vshost.exe": "", "App/bin/Own.dll": "", "App/bin/Microsoft.Y.dll": "", "App/Logs1/z.exe": ""}.items():
         f = tmp_path / path
         f.parent.mkdir(parents=True, exist_ok=True)
-        f.write_bytes(text.encode())
+        f.write_bytes(text.encode() or b"MZ")
     root = str(tmp_path)
     assert {(r.app_name, r.path, r.text) for r in corpus.code(spark, root, skip=["System.X"]).collect()} == {("App", "A.cs", "class"), ("App", "sub/C.cs", "é\r\nx"), ("Other", "D.cs", "d")}
     assert [tuple(r) for r in corpus.target_framework(corpus.texts(spark, root, "*.csproj")).collect()] == [("App", "net48")]
