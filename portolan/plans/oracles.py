@@ -184,7 +184,7 @@ ORACLES: dict[str, str] = {
     "factor_integration_labels": _portfolio(f"SELECT app_id, {_first('operation', IO_LABELS, 'Otro')} AS label, count(*) AS n FROM io GROUP BY 1, 2"),
     "factor_sample_targets": _portfolio("SELECT app_id, string_agg(target, ',' ORDER BY target) AS targets FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY target) AS p FROM (SELECT DISTINCT app_id, target FROM sf)) WHERE p <= 8 GROUP BY 1"),
     "terciles": """
-        WITH r AS (SELECT c_custkey, c_nationkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey = 0 THEN -floor(abs(c_acctbal) / 1000) ELSE floor(c_acctbal / 1000) END AS DOUBLE) AS raw FROM customer),
+        WITH r AS (SELECT c_custkey, c_nationkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey = 0 THEN 0 - floor(abs(c_acctbal) / 1000) ELSE floor(c_acctbal / 1000) END AS DOUBLE) AS raw FROM customer),
         l AS (SELECT c_nationkey, list_sort(list(raw)) AS v FROM r WHERE raw IS NOT NULL GROUP BY 1)
         SELECT c_custkey, r.c_nationkey, raw, CASE WHEN raw IS NULL THEN NULL WHEN v[-1] = 0 OR raw <= v[len(v) // 3 + 1] THEN 'Baja' WHEN raw <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS bucket
         FROM r LEFT JOIN l USING (c_nationkey)""",
