@@ -89,3 +89,11 @@ def is_placeholder(value: Column) -> Column:
 def maybe_injected(category: Column, text: Column) -> Column:
     """A query put together from strings, without parameters."""
     return (category == "query") & text.rlike(CONCATENATED) & ~F.contains(text, F.lit("@"))
+
+
+def reason_of(frame: DataFrame, code: str, catalog: DataFrame, fallback: str = "UNKNOWN") -> DataFrame:
+    """``frame`` with ``reason`` and ``action`` of a failure code from a catalog (code, reason, action); the ``fallback`` row's for others."""
+    of = catalog.select(F.col("code").alias("_code"), F.col("reason").alias("_reason"), F.col("action").alias("_action"))
+    other = catalog.filter(F.col("code") == fallback).select("reason", "action").first()
+    out = frame.join(of, F.col(code) == F.col("_code"), "left")
+    return out.withColumns({"reason": F.coalesce("_reason", F.lit(other["reason"] if other else fallback)), "action": F.coalesce("_action", F.lit(other["action"] if other else None))}).drop("_code", "_reason", "_action")

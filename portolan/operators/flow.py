@@ -121,3 +121,8 @@ def footprint(findings: DataFrame, settings: DataFrame) -> DataFrame:
     found = servers.groupBy("app_id", "connection").agg(F.count_distinct("server").alias("n"), F.min("server").alias("server"))
     rows = findings.select("app_id", "target", "connection").distinct().join(found, ["app_id", "connection"], "left")
     return rows.select("app_id", "target", F.when(F.col("n") == 1, F.col("server")).alias("server"), F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("status"))
+
+
+def footprint_counters(rows: DataFrame) -> DataFrame:
+    """One row: ``total, resolved, ambiguous, unresolved, servers`` of a footprint."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("resolved", "ambiguous", "unresolved")], F.count_distinct("server").alias("servers"))

@@ -146,6 +146,12 @@ cat AS (
   FROM s)
 """
 
+_FOOTPRINT = f"""
+WITH {SETTINGS}, both_ AS (SELECT app_id, name, server FROM cat WHERE category = 'sql_or_oracle' UNION ALL SELECT app_id, name, 'other' FROM cat WHERE category = 'sql_or_oracle' AND app_id % 16 = 0),
+n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FROM both_ WHERE server IS NOT NULL GROUP BY ALL),
+j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name))
+"""
+
 _TABLE = "coalesce(" + ", ".join(f"nullif(regexp_extract(raw, {_q(p)}, 1), '')" for p in TABLE_PATTERNS) + ")"
 
 ORACLES: dict[str, str] = {
@@ -164,11 +170,12 @@ ORACLES: dict[str, str] = {
           SELECT CASE WHEN sp THEN 'stored_procedure' ELSE 'query' END AS category, CASE WHEN sp THEN CASE WHEN q THEN raw ELSE regexp_extract(raw, '^\\s*(\\w+)', 1) END ELSE {_TABLE} END AS target, sp AS is_procedure
           FROM (SELECT raw, regexp_matches(trim(raw), '^\\[?(\\w+)\\]?\\.\\[?(\\w+)\\]?$') AS q, (is_sp OR NOT regexp_matches(raw, {_q(KEYWORDS)})) AND (regexp_matches(trim(raw), '^\\[?(\\w+)\\]?\\.\\[?(\\w+)\\]?$') OR regexp_matches(raw, '^\\s*(\\w+)\\s*(?:''|$)')) AS sp FROM f)) GROUP BY ALL""",
     "connection_strings": f"WITH {SETTINGS} SELECT app_id, server, database FROM cat",
-    "server_footprint": f"""
-        WITH {SETTINGS}, both_ AS (SELECT app_id, name, server FROM cat WHERE category = 'sql_or_oracle' UNION ALL SELECT app_id, name, 'other' FROM cat WHERE category = 'sql_or_oracle' AND app_id % 16 = 0),
-        n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FROM both_ WHERE server IS NOT NULL GROUP BY ALL)
-        SELECT f.app_id, target, CASE WHEN n = 1 THEN server END AS server, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
-        FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name)""",
+    "footprint_counters": _FOOTPRINT + "SELECT count(*) AS total, count(*) FILTER (n = 1) AS resolved, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n IS NULL) AS unresolved, count(DISTINCT CASE WHEN n = 1 THEN server END) AS servers FROM j",
+    "batch_names": """
+        SELECT o_orderkey, CASE WHEN root = module THEN root ELSE root || '/' || module END AS app_name
+        FROM (SELECT o_orderkey, 'Root' || (o_custkey % 7) AS root, CASE WHEN o_orderkey % 2 = 0 THEN 'Root' ELSE 'Mod' END || (o_orderkey % 7) AS module FROM orders)""",
+    "failure_reasons": "SELECT event_id, CASE event_type WHEN 'click' THEN 'NO_SOURCE' WHEN 'view' THEN 'NO_ACCESS' ELSE 'UNKNOWN' END AS reason, CASE event_type WHEN 'click' THEN 'decompile' WHEN 'view' THEN 'ask' ELSE 'review' END AS action FROM events",
+    "server_footprint": _FOOTPRINT + "SELECT app_id, target, CASE WHEN n = 1 THEN server END AS server, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM j",
     "dep_table_edges": _portfolio("SELECT * FROM edges"),
     "dep_server_edges": f"WITH {SETTINGS} SELECT a.app_id AS app_a, b.app_id AS app_b, a.server AS resource FROM cat a JOIN cat b ON a.server = b.server AND a.app_name < b.app_name WHERE a.category = 'sql_or_oracle' AND b.category = 'sql_or_oracle'",
     "table_dictionary": _portfolio("SELECT schema_name, table_name, string_agg(app_name, ',' ORDER BY app_name, app_id) AS apps, count(*) AS app_count, count(DISTINCT coalesce(columns_json, '')) <= 1 AS schema_consistent, min(coalesce(columns_json, '')) AS columns FROM st JOIN apps USING (app_id) GROUP BY 1, 2"),

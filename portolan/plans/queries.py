@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from portolan.functions import labels, sqltext
 from portolan.operators import extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
-from portolan.sources import store
+from portolan.sources import corpus, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,9 +92,7 @@ def connection_strings(spark, sf_dir):
     return rows.select("app_id", sqltext.server_of(F.col("value")).alias("server"), sqltext.database_of(F.col("value")).alias("database"))
 
 
-@query
-def server_footprint(spark, sf_dir):
-    """Where each order's data lives, by its customer's connections."""
+def _footprint(spark, sf_dir):
     orders = R.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     findings = orders.select(F.col("o_custkey").alias("app_id"), F.concat(F.lit("T"), (F.col("o_orderkey") % 10).cast("string")).alias("target"), F.concat(F.lit("Conn"), (F.col("o_custkey") % 3).cast("string")).alias("connection"))
     rows = R.settings(spark, sf_dir).withColumn("category", labels.setting_category(F.col("value"), F.col("marked")))
@@ -102,6 +100,32 @@ def server_footprint(spark, sf_dir):
     return flow.footprint(findings, rows.unionByName(second))
 
 
+@query
+def server_footprint(spark, sf_dir):
+    """Where each order's data lives, by its customer's connections."""
+    return _footprint(spark, sf_dir)
+
+
+@query
+def footprint_counters(spark, sf_dir):
+    return flow.footprint_counters(_footprint(spark, sf_dir))
+
+
+@query
+def batch_names(spark, sf_dir):
+    """Names of programs found in folders: root and project, or the root alone."""
+    rows = R.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    root, module = F.concat(F.lit("Root"), (F.col("o_custkey") % 7).cast("string")), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Root").otherwise("Mod"), (F.col("o_orderkey") % 7).cast("string"))
+    rows = rows.withColumns({"root": root, "path": F.concat(F.lit("C:\\apps\\"), root, F.lit("\\"), module, F.when(F.col("o_orderkey") % 3 == 0, "\\bin\\Release\\a.exe").otherwise("\\a.exe"))})
+    return rows.select("o_orderkey", corpus.application_name(F.col("root"), corpus.project_label(F.col("path"))).alias("app_name"))
+
+
+@query
+def failure_reasons(spark, sf_dir):
+    catalog = spark.createDataFrame([("click", "NO_SOURCE", "decompile"), ("view", "NO_ACCESS", "ask"), ("UNKNOWN", "UNKNOWN", "review")], "code string, reason string, action string")
+    return labels.reason_of(R.table(spark, sf_dir, "events", "event_id", "event_type"), "event_type", catalog).select("event_id", "reason", "action")
+
+
 # ---- dependencies and catalog
 
 

@@ -77,6 +77,18 @@ def folders(files: DataFrame, own: list[str], third_party: str = THIRD_PARTY) ->
     return rows.select("folder", folder_class(F.col("folder"), F.col("folder").isin(own), third_party).alias("folder_class"))
 
 
+def project_label(path: Column) -> Column:
+    """The folder above the innermost ``bin`` in a program's path, else the folder it is in; null for a bare name."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    above = F.regexp_extract(F.array_join(parts, "/"), r"(?i)^(?:.*/)?([^/]+)/bin/", 1)
+    return F.coalesce(F.nullif(above, F.lit("")), F.when(F.size(parts) > 1, F.element_at(parts, F.when(F.size(parts) > 1, -2).otherwise(-1))))
+
+
+def application_name(root: Column, module: Column) -> Column:
+    """``Root/Module``, or the root alone where the two are equal or there is no module."""
+    return F.when(module.isNull() | (root == module), root).otherwise(F.concat_ws("/", root, module))
+
+
 #: Signs of frameworks and drivers in code; fixed values.
 FRAMEWORKS = {"WinForms": r"using System\.Windows\.Forms;|:\s*Form\b", "WPF": r"using System\.Windows\.Controls;|InitializeComponent\(\).*\.xaml|:\s*Window\b", "Console/Service": r"static\s+(?:async\s+)?(?:void|Task)\s+Main\s*\("}
 DRIVERS = {
