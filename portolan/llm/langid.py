@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from portolan.llm.textio import arrow_map, bounded_sample, held_out, texts_of
 
-FIT_ROWS, BUCKETS, STEPS, SEQUENCE = 1500, 1 << 16, 25, 120
-KEPT_WORDS, SLICE_WORDS = 400_000, 1_000_000
+FIT_ROWS, BUCKETS, STEPS, SEQUENCE = 1000, 1 << 16, 25, 120
+KEPT_WORDS, SLICE_WORDS = 300_000, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,7 +106,7 @@ class Tagger:
 def flattened(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found = [features(w) for w in ws]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
+    flat = np.fromiter((x for f in found for x in f), np.int32, int(sizes.sum()))
     return flat, np.cumsum(sizes) - sizes
 
 
@@ -178,7 +178,7 @@ def train(rows: list[tuple[str, str]], seed: int = 42, steps: int = STEPS) -> Ta
     if not sequences[0][0]:
         return Tagger(languages, emission, transition, start)
     flat, starts = flattened(list(vocabulary))
-    word_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+    word_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(flat))))
     ids = [np.array(s[0]) for s in sequences]
     gold = np.concatenate([s[1] for s in sequences])
     tokens = np.concatenate(ids)
