@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, cut, held_out, marked, slices, span_blocks, texts_of
+from portolan.llm.textio import arrow_map, cut, held_out, marked, packed, slices, span_blocks, texts_of, unpacked, written
 
 ORDER, BITS = 5, 12
 EDGE = (1 << BITS) - 1
 QUANTILE, BINS = 0.99, 100
-SLICE, BLOCK_CHARS = 4_000_000, 8_000_000
+SLICE, BLOCK_CHARS = 4_000_000, 12_000_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -63,7 +63,7 @@ class KneserNey:
         counts = highest
         for order in range(ORDER, 0, -1):
             if order < ORDER:
-                counts = cut(counts.groupBy(_suffix("g", order).alias("g")).agg(F.count(F.lit(1)).alias("c")))
+                counts = written(counts.groupBy(_suffix("g", order).alias("g")).agg(F.count(F.lit(1)).alias("c")))
             n = {r["c"]: r["n"] for r in counts.filter("c < 5").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
             d = discounts([n.get(k, 0) for k in (1, 2, 3, 4)])
             by_context = counts.withColumn("h", F.shiftright("g", BITS)).groupBy("h").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3).alias(f"n{k}") for k in (1, 2, 3)])
@@ -76,7 +76,7 @@ class KneserNey:
         """``g, logp``: log10 of the interpolated probability of the last character of each distinct n-gram ``g``."""
         needed = {ORDER: wanted}
         for order in range(ORDER - 1, 0, -1):
-            needed[order] = needed[order + 1].select(_suffix("g", order).alias("g")).distinct()
+            needed[order] = written(needed[order + 1].select(_suffix("g", order).alias("g")).distinct())
         lower = None
         for order in range(1, ORDER + 1):
             rows = needed[order].withColumns({"h": F.shiftright("g", BITS), "s": _suffix("g", order - 1)})
@@ -85,8 +85,8 @@ class KneserNey:
                 rows = rows.withColumn("below", F.lit(1.0 / (1 << BITS)))
             else:
                 rows = rows.join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s")
-            lower = rows.select("g", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
-        return lower.select("g", F.log10("p").alias("logp"))
+            lower = written(rows.select("g", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p")))
+        return lower.select("g", F.log10("p").cast("float").alias("logp"))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -112,11 +112,12 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
                 g = np.unique(np.concatenate(found))
                 yield {"block": pa.array(np.full(len(g), block, np.int32)), "g": pa.array(g)}
 
-    in_blocks = cut(arrow_map(dealt.select("block", "text"), "block int, g long", block_grams).distinct())
-    table = model.probabilities(in_blocks.select("g").distinct())
+    in_blocks = written(arrow_map(dealt.select("block", "text"), "block int, g long", block_grams).distinct().sortWithinPartitions("block", "g"))
+    table = model.probabilities(written(in_blocks.select("g").distinct()))
     wanted = in_blocks.join(table, "g").select("block", "g", "logp")
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    def scored(packs: pa.Table, right: pa.Table) -> pa.Table:
+        left = unpacked(packs)
         g, logp = right.column("g").to_numpy(), right.column("logp").to_numpy()
         order = np.argsort(g)
         g, logp = g[order], logp[order]
@@ -124,11 +125,11 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
         for text in left.column("text").to_pylist():
             at = np.searchsorted(g, grams(text))
             n.append(len(at))
-            total.append(float(logp[at].sum()))
+            total.append(float(logp[at].sum(dtype=np.float64)))
         return pa.table({c: left.column(c) for c in others} | {"n_chars": pa.array(n, pa.int64()), "log_prob": pa.array(total, pa.float64())})
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", n_chars long, log_prob double"
-    found = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(scored, schema)
+    found = packed(dealt, SLICE).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(scored, schema)
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log_prob") / F.col("n_chars")))
 
 
@@ -154,7 +155,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("t")).groupBy("k").agg(F.max("t").alias("t")).filter("t and k is not null").select("k")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learned = marked(rows.filter(~held_out("doc_id", folds)), good)
-    scored = cut(perplexity(rows, KneserNey(cut(count_grams(learned)))))
+    scored = cut(perplexity(rows, KneserNey(written(count_grams(learned)))))
     scored = scored.join(good.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("k"), "left").withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "held": held_out("doc_id", folds)})
     limits = cut(thresholds(scored, quantile))
     every = limits.filter("lang is null").first()

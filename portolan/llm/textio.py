@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,11 @@ def cut(frame: DataFrame) -> DataFrame:
 
     Only where that setting is missing (tests on one machine) a temporary folder is used.
     """
-    spark = frame.sparkSession
+    _shared_folder(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,7 +45,36 @@ def cut(frame: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="portolan-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` written as a compressed table to the folder that ``cut`` uses, and read from there: for long tables of few bytes
+    a row, which a checkpoint stores as they are."""
+    path = f"{_shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def packed(dealt: DataFrame, chars: int) -> DataFrame:
+    """``block, payload``: the rows of ``dealt`` (block, text, more) as compressed batches of one block each, of about ``chars`` characters at most,
+    for moving texts to their blocks."""
+
+    def run(batch: pa.RecordBatch):
+        blocks = np.array(batch.column(batch.schema.get_field_index("block")).to_pylist(), np.int64)
+        for a, b in slices([len(t) for t in texts_of(batch)], chars):
+            for block in np.unique(blocks[a:b]).tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+                    stream.write_batch(batch.take(pa.array(a + np.flatnonzero(blocks[a:b] == block))))
+                yield {"block": [block], "payload": [sink.getvalue().to_pybytes()]}
+
+    return arrow_map(dealt, "block int, payload binary", run)
+
+
+def unpacked(packs: pa.Table) -> pa.Table:
+    """The rows of all ``packs`` (payload) of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(p.as_py())).read_all() for p in packs.column("payload")])
 
 
 def fold(column: str, folds: int) -> Column:
