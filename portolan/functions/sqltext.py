@@ -35,7 +35,10 @@ def statement(resolved: Column, raw: Column) -> Column:
 
 def operation(text: Column) -> Column:
     """insert, update, delete, merge or select, in this order of precedence; else null."""
-    plain = without_escapes(text)
+    return plain_operation(without_escapes(text))
+
+
+def plain_operation(plain: Column) -> Column:
     out = None
     for name, pattern in OPERATIONS:
         out = F.when(plain.rlike(pattern), name) if out is None else out.when(plain.rlike(pattern), name)
@@ -57,25 +60,25 @@ def top_level_items(text: Column) -> Column:
     return F.split(text, ",")
 
 
-def _names(items: Column) -> Column:
-    found = F.filter(F.transform(items, column_name), lambda c: c.isNotNull())
-    return F.when(F.size(found) > 0, found)
+def names_in(items: Column) -> Column:
+    """The names among list items; empty where there are none."""
+    return F.filter(F.transform(items, column_name), lambda c: c.isNotNull())
 
 
-def insert_columns(text: Column) -> Column:
-    plain = without_escapes(text)
-    return F.when(plain.rlike(INSERT_COLUMNS), _names(top_level_items(F.regexp_extract(plain, INSERT_COLUMNS, 1))))
+def column_list(op: Column, plain: Column) -> Column:
+    """The part of a statement that names its columns: an insert's list, an update's SET clause, a select's list; empty without one."""
+    return F.when(op == "insert", F.regexp_extract(plain, INSERT_COLUMNS, 1)).when(op == "update", F.regexp_extract(plain, UPDATE_CLAUSE, 1)).when(op == "select", F.regexp_extract(plain, SELECT_LIST, 1))
 
 
-def update_columns(text: Column) -> Column:
-    """Every name before an equals sign in the SET clause, those of comparisons within it too."""
-    plain = without_escapes(text)
-    return F.when(plain.rlike(UPDATE_CLAUSE), _names(F.regexp_extract_all(F.regexp_extract(plain, UPDATE_CLAUSE, 1), F.lit(ASSIGNED), 1)))
+def list_items(op: Column, listed: Column) -> Column:
+    """What may be a column in a ``column_list``: of an update every name before an equals sign, those of comparisons too; else the items."""
+    return F.when(op == "update", F.regexp_extract_all(listed, F.lit(ASSIGNED), 1)).otherwise(top_level_items(listed))
 
 
-def select_columns(text: Column) -> Column:
-    plain = without_escapes(text)
-    return F.when(plain.rlike(SELECT_LIST), _names(top_level_items(F.regexp_extract(plain, SELECT_LIST, 1))))
+def columns(op: str, text: Column) -> Column:
+    """The columns that a statement of a known operation names; null for none."""
+    found = names_in(list_items(F.lit(op), column_list(F.lit(op), without_escapes(text))))
+    return F.when(F.size(found) > 0, found)
 
 
 def result_columns(json: Column) -> Column:
@@ -84,16 +87,6 @@ def result_columns(json: Column) -> Column:
     return F.when(F.size(parsed) > 0, parsed)
 
 
-def columns_of(op: Column, text: Column, results: Column) -> Column:
-    """Columns an operation names: of a select those its reader takes, where known, else those in its text."""
-    return F.when(op == "insert", insert_columns(text)).when(op == "update", update_columns(text)).when(op == "select", F.coalesce(results, select_columns(text)))
-
-
-def columns_confidence(op: Column, text: Column, results: Column) -> Column:
-    """90 for columns taken from a reader, 80 for those in a text, else 20."""
-    return F.when((op == "select") & results.isNotNull(), 90).when(columns_of(op, text, results).isNotNull(), 80).otherwise(20)
-
-
 def table_key(target: Column) -> Column:
     """Tables under one key whatever their spelling; null for what is code rather than a name."""
     return F.when(target.isNotNull() & ~target.rlike(r"(?i)commandtext|^\s*using\b"), F.regexp_replace(F.upper(stripped(target)), r"^DBO\.", ""))

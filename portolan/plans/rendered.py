@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` on all cores, where it is read in fewer parts than there are (a single small file); else as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def chosen(number: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), number.cast("int") + 1)
 
@@ -45,7 +51,7 @@ def template_number(part: str = "l_partkey") -> Column:
 
 def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item as a SQL finding of its order on its part."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").withColumn("k", template_number())
+    rows = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).withColumn("k", template_number())
     target = F.concat(chosen(F.col("l_linenumber") % 3, ("dbo.Part_", "part_", "Part_")), F.col("l_partkey").cast("string"))
     results = F.when((F.col("k") == 9) & (F.col("l_linenumber") % 2 == 0), '["STATUS","TEST_DATE"]').when((F.col("k") == 9) & (F.col("l_linenumber") == 5), "not json").otherwise("[]")
     rows = rows.withColumn("target", target)
@@ -234,7 +240,7 @@ CONFIG = """<?xml version="1.0"?>
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A screen for each part; a program for every tenth; an application is a brand."""
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand").select(F.col("p_brand").alias("app_name"), F.col("p_partkey").alias("p"))
+    parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_brand")).select(F.col("p_brand").alias("app_name"), F.col("p_partkey").alias("p"))
 
     def filled(text: str) -> Column:
         text = F.replace(F.lit(text), F.lit("{overload}"), F.when(F.col("p") % 2 == 0, OVERLOAD).otherwise(""))
@@ -247,7 +253,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settings_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Settings classes and configuration files of each part; every fifth configuration is cut off."""
-    parts = table(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("App"), F.col("p_partkey").cast("string")).alias("app_name"), F.col("p_partkey").alias("p"))
+    parts = spread(table(spark, sf_dir, "part", "p_partkey")).select(F.concat(F.lit("App"), F.col("p_partkey").cast("string")).alias("app_name"), F.col("p_partkey").alias("p"))
     number = F.col("p").cast("string")
     code = parts.select("app_name", F.lit("Properties/Settings.cs").alias("path"), F.replace(F.lit(SETTINGS_CLASS), F.lit("{p}"), number).alias("text"))
     text = F.replace(F.lit(CONFIG), F.lit("{p}"), number)

@@ -28,9 +28,9 @@ def test_operations(spark):
 
 
 def test_columns(spark):
-    assert column(spark, S.insert_columns, "insert into t (a, [b], c) values (1,2,3)", "insert into t (a) OUTPUT inserted.Id values (1)", "insert into t values (1)", "insert into t (*) values(1)") == [["a", "b", "c"], ["a"], None, None]
-    assert column(spark, S.update_columns, "update t set a = f(x, y), b=2 where c = 3", "update t set a = case when d = 1 then 2 end") == [["a", "b"], ["a", "d"]]
-    assert column(spark, S.select_columns, "select top 5 g.A as x, [B], ISNULL(c, d, 0), COUNT(*), 1 from t", "select * from t", "select a,\n b\nfrom t", "select f(g(h(1, z), y), w), q from t") == [["A", "B"], None, ["a", "b"], ["q"]]
+    assert column(spark, lambda c: S.columns("insert", c), "insert into t (a, [b], c) values (1,2,3)", "insert into t (a) OUTPUT inserted.Id values (1)", "insert into t values (1)", "insert into t (*) values(1)") == [["a", "b", "c"], ["a"], None, None]
+    assert column(spark, lambda c: S.columns("update", c), "update t set a = f(x, y), b=2 where c = 3", "update t set a = case when d = 1 then 2 end") == [["a", "b"], ["a", "d"]]
+    assert column(spark, lambda c: S.columns("select", c), "select top 5 g.A as x, [B], ISNULL(c, d, 0), COUNT(*), 1 from t", "select * from t", "select a,\n b\nfrom t", "select f(g(h(1, z), y), w), q from t") == [["A", "B"], None, ["a", "b"], ["q"]]
     assert column(spark, S.result_columns, '["a","b"]', "[]", "no json", None, '{"a":1}') == [["a", "b"], None, None, None, None]
 
 
