@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, quality, toxicity, warc
-from portolan.llm.textio import documents, held_out, table
+from portolan.llm.textio import documents, held_out, spread, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,45 +20,45 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: classes and numbers of links at 5 words and 0.8."""
-    return jaccard_join.ngram_jaccard_join(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard_join.ngram_jaccard_join(spread(documents(spark, sf_dir, "doc_id", "text")))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+    return bpe.round_trip(spread(documents(spark, sf_dir, "doc_id", "text")), tokenizer_path())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    docs = spread(documents(spark, sf_dir, "doc_id", "text", "lang"))
     found = langid.identify(docs, langid.fit(docs))
     return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "n_words")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(documents(spark, sf_dir, "doc_id", "text"))
+    return licenses.license_scan(spread(documents(spark, sf_dir, "doc_id", "text")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text")
+    docs = spread(documents(spark, sf_dir, "doc_id", "text"))
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *toxicity.KINDS)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir, "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(documents(spark, sf_dir, "doc_id", "text", "lang")), table(spark, sf_dir, "labels"))
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.score(documents(spark, sf_dir, "doc_id", "text"))
+    return class_lm.score(spread(documents(spark, sf_dir, "doc_id", "text")))
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's response, metadata and conversion record, with digests and lengths in place of the blocks."""
-    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    records = warc.derivatives(warc.responses(spread(table(spark, sf_dir, "pages", "page_id", "url", "html"))))
     return records.select(F.col("doc").cast("bigint").alias("page_id"), *[c for c in records.columns if c not in ("doc", "block")])
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(spread(documents(spark, sf_dir, "doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
