@@ -48,8 +48,9 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
         texts = texts_of(batch)
         for a, b in slices([len(t) for t in texts], SLICE):
-            g, c = np.unique(np.concatenate([grams(t) for t in texts[a:b]]), return_counts=True)
-            yield {"g": pa.array(g), "c": pa.array(c.astype(np.int64))}
+            own = [np.unique(grams(t), return_counts=True) for t in texts[a:b]]
+            g, at = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+            yield {"g": pa.array(g), "c": pa.array(np.bincount(at, np.concatenate([n for _, n in own]), len(g)).astype(np.int64))}
 
     return arrow_map(texts.select("text"), "g long, c long", run).groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -107,7 +108,7 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
         for a, b in slices([len(t) for t in texts], SLICE):
             rows: dict[int, list[np.ndarray]] = {}
             for text, block in zip(texts[a:b], blocks[a:b]):
-                rows.setdefault(block, []).append(grams(text))
+                rows.setdefault(block, []).append(np.unique(grams(text)))
             for block, found in rows.items():
                 g = np.unique(np.concatenate(found))
                 yield {"block": pa.array(np.full(len(g), block, np.int32)), "g": pa.array(g)}
