@@ -37,11 +37,11 @@ def _seeds(words: np.ndarray, masks: tuple[str, ...], whole: bool) -> list[tuple
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """A row for each document and benchmark item that overlap: ``doc_id, item_id, overlap, matches, doc_at, item_at``.
 
-    The overlap is the best ungapped stretch around a hit: at least ``min_overlap`` tokens, or the whole item where that
-    is shorter, of which at least ``min_identity`` are equal. Tokens are lower-cased runs of letters, digits and
+    The overlap is the best of the ungapped stretches around hits that have at least ``min_overlap`` tokens, or the whole item where that
+    is shorter, of which at least ``min_identity`` are equal (see ``_overlap``). Tokens are lower-cased runs of letters, digits and
     non-ASCII characters. Null, empty and wordless texts on either side overlap with nothing; rows that repeat an id count as
-    one; rows with a null id are left out (see ``clean_documents``). Ties between overlaps go to the longer, then the
-    earlier one. An empty table on either side gives an empty result. Other columns aren't looked at.
+    one; rows with a null id are left out (see ``clean_documents``). Of overlaps at several shifts the longest counts, then the
+    one with more matches, then the earlier one. An empty table on either side gives an empty result. Other columns aren't looked at.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
@@ -85,9 +85,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         out: dict = {c: [] for c in ("doc_id", "item_id", "overlap", "matches", "doc_at", "item_at")}
         for r in batch.to_pylist():
             test, train = np.frombuffer(r["test"], np.uint64), np.frombuffer(r["train"], np.uint64)
-            best = max((_stretch(train, test, s) for s in sorted(r["shifts"])), key=lambda x: (x[0], x[1], -x[2]))
-            if best[0] >= min(min_overlap, len(test)) and best[1] >= min_identity * best[0]:
-                for c, v in zip(out, (r["id"], r["item_id"], *best)):
+            found = [x for s in sorted(r["shifts"]) if (x := _overlap(train, test, s, min(min_overlap, len(test)), min_identity))]
+            if found:
+                for c, v in zip(out, (r["id"], r["item_id"], *max(found, key=lambda x: (x[0], x[1], -x[2])))):
                     out[c].append(v)
         return out
 
@@ -105,6 +105,24 @@ def _stretch(train: np.ndarray, test: np.ndarray, shift: int) -> tuple[int, int,
     return end - start, int(same[start:end].sum()), a + start, a + start - shift
 
 
+def _overlap(train: np.ndarray, test: np.ndarray, shift: int, least: int, identity: float) -> tuple[int, int, int, int] | None:
+    """A stretch at ``shift`` of at least ``least`` tokens of which at least ``identity`` are equal, wherever there is one: the best-scoring
+    one if it is such, else the longest such one (of equal ones that with more matches, then the earlier)."""
+    a, b = max(0, shift), min(len(train), shift + len(test))
+    if b - a < max(1, least):
+        return None
+    best = _stretch(train, test, shift)
+    if best[0] >= max(1, least) and best[1] >= identity * best[0]:
+        return best
+    matches = np.concatenate([[0], np.cumsum(train[a:b] == test[a - shift : b - shift])])
+    over = matches - identity * np.arange(len(matches)) + 1e-9 * np.arange(len(matches))  # never falls from start to end of such a stretch
+    start = np.searchsorted(-np.minimum.accumulate(over), -over)  # the earliest one for each end
+    size = np.arange(len(over)) - start
+    end = max(range(len(size)), key=lambda e: (size[e], matches[e] - matches[start[e]]))
+    n, same, at = int(size[end]), int(matches[end] - matches[start[end]]), a + int(start[end])
+    return (n, same, at, at - shift) if n >= max(1, least) else None
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns. Texts are told apart by their SHA-256, so that rows
     with null or repeated ids are treated like others."""

@@ -79,3 +79,36 @@ def test_word_hashes_of_long_texts_are_those_of_their_words(monkeypatch):
     monkeypatch.setattr(textio, "_SEGMENT", 1000)
     got = word_hashes(text)
     assert (got[:401] == want[:401]).all() and got[-1] == want[-1]
+
+
+def test_every_stretch_that_meets_the_rule_is_found_by_brute_force():
+    rng = np.random.default_rng(3)
+    passed = lost = 0
+    for _ in range(3000):
+        size, least = int(rng.integers(13, 40)), 13
+        test = np.arange(size, dtype=np.uint64)
+        train = np.concatenate([np.full(5, 99, np.uint64), np.where(rng.random(size) < rng.uniform(0.1, 0.4), 98, test).astype(np.uint64), np.full(5, 99, np.uint64)])
+        same = train[5 : 5 + size] == test
+        whole = {(i, j): int(same[i:j].sum()) for i in range(size) for j in range(i + least, size + 1)}
+        good = {k: m for k, m in whole.items() if 5 * m >= 4 * (k[1] - k[0])}
+        got = D._overlap(train, test, 5, least, 0.8)
+        assert (got is not None) == bool(good)
+        if got:
+            n, m, a, b = got
+            assert a - b == 5 and good[b, b + n] == m
+            first = D._stretch(train, test, 5)
+            if first[0] < least or 5 * first[1] < 4 * first[0]:
+                assert n == max(j - i for i, j in good)
+                lost += 1
+            passed += 1
+    assert passed > 500 and lost > 50
+
+
+def test_a_short_overlap_beside_a_longer_poor_one_is_a_leak(spark, docs):
+    rng = random.Random(5)
+    item = words(rng, 30)
+    edge = item[:13]
+    edge[2] = edge[10] = "other"  # trimmed to seven tokens by the score
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = D.leaks(docs([(1, " ".join(words(rng, 20) + edge + words(rng, 20)))]), bench).collect()
+    assert [(r.doc_id, r.overlap, r.matches, r.item_at) for r in got] == [(1, 13, 11, 0)]
