@@ -10,6 +10,8 @@ the join, so that only the few others are shuffled.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,20 +19,34 @@ from pyspark.sql import functions as F
 
 from portolan.llm.textio import arrow_map, bitmap, cut, in_bitmap, texts_of, windows, word_hashes
 
-#: Masks of weight 7 over 11 or 12 tokens: 1 counts, 0 may differ.
-MASKS = ("11101100101", "110100110111", "10110111001", "111010010111")
+#: Masks of weight 7 over at most 13 tokens: 1 counts, 0 may differ. Every stretch of 13 tokens or more with 0.8 equal has a hit (any such
+#: stretch holds one of 13 to 25 tokens, which the tests enumerate).
+MASKS = ("100010011111", "111101011", "11001110011", "1101100000111", "1101001101001", "11110100101")
 MIN_OVERLAP, MIN_IDENTITY = 13, 0.8
 _BITS = 25
 
 
-def _seeds(words: np.ndarray, masks: tuple[str, ...], whole: bool) -> list[tuple[int, int, int]]:
-    """(mask, hash, place) of a benchmark text; one shorter than a mask is hashed whole under a mask of its own length."""
+def _places(mask: str) -> list[int]:
+    return [p for p, c in enumerate(mask) if c == "1"]
+
+
+def _whole_masks(size: int, identity: float) -> list[str]:
+    """Masks for a whole item of ``size`` tokens. At most d substitutions meet ``identity``: its tokens are dealt into d + 2 groups (or
+    one each), and each mask leaves out d of them, so that one mask is free of any d substitutions."""
+    d = int((1 - identity) * size + 1e-9)
+    groups = min(size, d + 2)
+    return ["".join("0" if p * groups // size in out else "1" for p in range(size)) for out in combinations(range(groups), d)] if d < size else []
+
+
+def _seeds(words: np.ndarray, masks: tuple[str, ...], least: int, identity: float) -> list[tuple[int, int, int]]:
+    """(mask, hash, place) of a benchmark text; one shorter than ``least`` or a mask is hashed as a whole under masks of its own length,
+    numbered below 0."""
     out = []
     for k, mask in enumerate(masks):
-        hashes = windows(words, [i for i, c in enumerate(mask) if c == "1"] + ([len(mask) - 1] if mask[-1] != "1" else []))
-        out += [(k, h, p) for p, h in enumerate(hashes.view(np.int64).tolist())]
-    if whole and 0 < len(words) < max(map(len, masks)):
-        out.append((-len(words), int(windows(words, range(len(words))).view(np.int64)[0]), 0))
+        out += [(k, h, p) for p, h in enumerate(windows(words, _places(mask)).view(np.int64).tolist())] if len(mask) <= len(words) else []
+    if 0 < len(words) < max(least, *map(len, masks)):
+        for k, mask in enumerate(_whole_masks(len(words), identity)):
+            out.append((-(len(words) << 16) - k, int(windows(words, _places(mask)).view(np.int64)[0]), 0))
     return out
 
 
@@ -45,28 +61,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
-    depth = max(map(len, masks))
 
     def tests(batch: pa.RecordBatch) -> dict:
         out: dict = {c: [] for c in ("item_id", "words", "k", "h", "at")}
         for i, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
             words = word_hashes(text)
-            for k, h, p in _seeds(words, masks, True):
-                for c, v in zip(out, (i, words.tobytes() if not p else None, k, h, p)):
+            for n, (k, h, p) in enumerate(_seeds(words, masks, min_overlap, min_identity)):
+                for c, v in zip(out, (i, words.tobytes() if not n else None, k, h, p)):
                     out[c].append(v)
         return out
 
     seeds = cut(arrow_map(items, f"item_id {item_type}, words binary, k int, h long, at int", tests))
     known = bitmap(seeds.select("h"), "h", _BITS)
-    short = sorted(r[0] for r in seeds.filter("k < 0").select("k").distinct().collect())  # at most as many as a mask is long
+    short = sorted(r[0] for r in seeds.filter("k < 0").select("k").distinct().collect())  # a few for each length below min_overlap or a mask's
+    offsets = {k: _places(mask) for k, mask in enumerate(masks)} | {k: _places(_whole_masks(-k >> 16, min_identity)[-k & 65535]) for k in short}
 
     def trains(batch: pa.RecordBatch) -> dict:
         out: dict = {c: [] for c in ("id", "words", "hits")}
         for i, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
             words, hits = word_hashes(text), []
-            for k in [*range(len(masks)), *short]:
-                offsets = range(-k) if k < 0 else [p for p, c in enumerate(masks[k]) if c == "1"]
-                hashes = windows(words, offsets)
+            for k, places in offsets.items():
+                hashes = windows(words, places)
                 for p in np.flatnonzero(in_bitmap(known, hashes, _BITS)).tolist():
                     hits.append({"k": k, "h": int(hashes[p].view(np.int64)), "at": p})
             if hits:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -112,3 +113,33 @@ def test_a_short_overlap_beside_a_longer_poor_one_is_a_leak(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = D.leaks(docs([(1, " ".join(words(rng, 20) + edge + words(rng, 20)))]), bench).collect()
     assert [(r.doc_id, r.overlap, r.matches, r.item_at) for r in got] == [(1, 13, 11, 0)]
+
+
+def test_every_pattern_of_substitutions_that_meets_the_rule_has_a_hit():
+    for size, n in ((13, 2), (14, 2), *((s, 3) for s in range(15, 20)), *((s, 4) for s in range(20, 25)), (25, 5)):
+        missed = np.array([sum(1 << p for p in c) for c in combinations(range(size), n)])
+        for mask in D.MASKS:
+            bits = int(mask[::-1], 2)
+            for at in range(size - len(mask) + 1):
+                missed = missed[missed & (bits << at) != 0]
+        assert not len(missed), (size, n)
+    for size in range(1, 13):
+        masks = [int(m, 2) for m in D._whole_masks(size, 0.8)]
+        assert masks and all(any(not m & sum(1 << p for p in c) for m in masks) for c in combinations(range(size), size // 5))
+
+
+def test_short_items_with_a_word_changed_are_found(spark, docs):
+    rng = random.Random(6)
+    items = [(n, " ".join(words(rng, n))) for n in (4, 5, 7, 10, 11, 12)]
+    rows, want = [], set()
+    for n, text in items:
+        for size in (1, 2, 3):
+            for c in list(combinations(range(n), size))[:: 1 if size == 1 else 7]:
+                w = text.split()
+                for p in c:
+                    w[p] = "other"
+                rows.append((len(rows), " ".join(words(rng, 9) + w + words(rng, 9))))
+                if 5 * size <= n:
+                    want.add((rows[-1][0], n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs(rows), bench).collect()} == want
