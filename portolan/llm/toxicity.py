@@ -3,7 +3,8 @@
 A lexical transducer rewrites each word of a clause as a symbol: an insult of one of three strengths, a threat, a target
 (the person addressed), a negation, a reporting verb, or other. Transducers for insults, negation, reported speech, targets and
 threats are composed into one machine that reads the symbols of a clause and writes what it matched: a plain, targeted,
-negated or reported insult, or a threat at a target, each with the weight of its path. A document is scored by the weights
+negated or reported insult, or a threat at a target, each with the weight of its path. A target counts on either side: a
+first transducer reads the clause from its end and marks insults and threats that a target follows. A document is scored by the weights
 of its matched clauses through a logistic model.
 
 What is learned from labelled rows: the insult lexicon (words and stems that mark toxic documents beyond chance, found
@@ -14,6 +15,7 @@ the grammar's own.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from math import exp, log, log1p
 from zlib import crc32
 
@@ -59,7 +61,7 @@ class Transducer:
 
         return Transducer(self.states * other.states, self.alphabet, step)
 
-    def run(self, symbols: str):
+    def run(self, symbols: Iterable[str]):
         state = 0
         for a in symbols:
             state, written, weight = self.arcs[state, a]
@@ -67,31 +69,48 @@ class Transducer:
                 yield written, weight
 
 
-def grammar(reach: int = 3) -> Transducer:
-    """insult | threat, then negation, then reported speech, then target; ``reach``: for how many words a cue counts."""
+class FromBothEnds:
+    """``forward`` reads what ``backward`` wrote for each symbol, which read them from the end."""
+
+    def __init__(self, backward: Transducer, forward: Transducer) -> None:
+        self.backward, self.forward = backward, forward
+
+    def run(self, symbols: str):
+        return self.forward.run([written for written, _ in self.backward.run(symbols[::-1])][::-1])
+
+
+def grammar(reach: int = 3) -> FromBothEnds:
+    """From the end: targets ahead. Then insult | threat, negation, reported speech, target; ``reach``: for how many words a cue counts."""
+
+    def ahead(s, a):  # words left in which a target counts; insults and threats before one become small letters
+        if a == "Y":
+            return reach + 1, a, 1.0
+        return max(0, s - 1), a.lower() if s and a in INSULTS + "T" else a, 1.0
 
     def lexical(_, a):
-        return 0, "I" if a in INSULTS else a, STRENGTH.get(a, 1.0 if a == "T" else 0.0)
+        strong = a.upper()
+        return 0, ("I" if a == strong else "i") if strong in INSULTS else a, STRENGTH.get(strong, 1.0 if strong == "T" else 0.0)
 
     def negation(s, a):  # words left under a negation
         if a == "N":
             return reach, a, 1.0
-        return max(0, s - 1), "n" if s and a in "IT" else a, 1.0
+        return max(0, s - 1), "n" if s and a in "ITit" else a, 1.0
 
     def report(s, a):  # until the clause ends
-        return (1, a, 1.0) if a == "R" else (s, "r" if s and a in "In" else a, 1.0)
+        return (1, a, 1.0) if a == "R" else (s, "r" if s and a in "Iin" else a, 1.0)
 
     def target(s, a):  # words left in which a target counts
         if a == "Y":
             return reach + 1, a, 1.0
-        kind = {"I": "targeted" if s else "plain", "T": "threat" if s else "", "n": "negated", "r": "reported"}.get(a, "")
+        kind = {"I": "targeted" if s else "plain", "i": "targeted", "T": "threat" if s else "", "t": "threat", "n": "negated", "r": "reported"}.get(a, "")
         return max(0, s - 1), kind, 1.0 if kind else 0.0
 
-    first = Transducer(1, tuple(SYMBOLS), lexical)
+    zeroth = Transducer(reach + 2, tuple(SYMBOLS), ahead)
+    first = Transducer(1, zeroth.written, lexical)
     second = Transducer(reach + 1, first.written, negation)
     third = Transducer(2, second.written, report)
     fourth = Transducer(reach + 2, third.written, target)
-    return first.then(second).then(third).then(fourth)
+    return FromBothEnds(zeroth, first.then(second).then(third).then(fourth))
 
 
 #: Ends of clauses become line ends, everything else that isn't part of a word a space.

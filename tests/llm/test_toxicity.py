@@ -74,3 +74,21 @@ def test_odd_rows_and_no_labels(spark, docs, odd):
     assert odd.filter(T.score_column(model, odd["text"]) < 0.5).columns == odd.columns
     seeded = {r.doc_id: r for r in T.score(docs([(1, "You are an idiot."), (2, "nobody is not an idiot"), (3, "fine")]), model).collect()}
     assert seeded[1].targeted > 0 and seeded[1].score > seeded[3].score and seeded[2].negated > 0
+
+
+def test_targets_behind_a_threat_or_an_insult_count():
+    g = T.grammar()
+    kinds = lambda s: [k for k, _ in g.run(s)]
+    assert kinds("TY") == kinds("TOY") == kinds("OOTY") == kinds("TOOOY") == ["threat"] and kinds("TOOOOY") == kinds("TO") == []
+    assert kinds("AY") == kinds("AOY") == ["targeted"] and kinds("AOOOOY") == ["plain"] and kinds("ATY") == ["targeted", "threat"]
+    assert kinds("NTY") == kinds("NAY") == ["negated"] and kinds("RAY") == ["reported"] and dict(g.run("COY")) == {"targeted": pytest.approx(0.4)}
+    for k in range(8):  # as far as before it
+        assert kinds("A" + "O" * k + "Y") == kinds("Y" + "O" * k + "A")
+
+
+def test_a_threat_in_the_usual_word_order_is_toxic():
+    model = T.Model({}, T.PRIOR)
+    score = lambda text: model.score(model.matches(text))
+    for text in ("I will kill you", "We shoot your family!", "Tomorrow. Voy a matar a tu hermano."):
+        assert score(text) >= 0.5 and model.matches(text) == {"threat": 1.0}
+    assert score("The frost will kill. You may sow again.") < 0.5 and model.matches("Idiot, you") == {"targeted": 0.7}
