@@ -1,9 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash bands of one depth with exact verification.
 
-Each of ``trees`` prefix tries holds the signatures of all texts. Descending from the deepest level, matched prefixes
-are shortened until a pair at the threshold is expected to meet in some trie with the target recall
-(``stop_depth``); the texts below one node of that depth are candidates for each other. Nodes that hold the same
-texts as a node of an earlier trie are left out, and a pair is only counted in the first trie where it meets.
+Each of ``trees`` bands holds a hash of ``depth`` minima of all texts; texts with equal hashes (a node) are candidates for each
+other. The depth is fixed before any data is read: the longest at which a pair at the threshold is expected to meet in some
+band with the target recall (``stop_depth``). An LSH forest would descend further and shorten prefixes down to that depth; its
+deeper nodes lie within those of this depth, so they hold no further candidates. Nodes that hold the same
+texts as a node of an earlier band are left out, and a pair is only counted in the first band where it meets.
 
 Candidates are verified by the exact Jaccard similarity of their shingle sets. Texts with equal sets are one class from
 the start and take part once, with a weight. A node with many texts is dealt into blocks, and each pair of blocks is a
@@ -36,7 +37,7 @@ def stop_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int
 
 
 def _prefixes(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each trie, a hash of the prefix of ``depth`` minima of a non-empty shingle set."""
+    """For each band, a hash of the ``depth`` minima of a non-empty shingle set."""
     k = trees * depth
     seeds = mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     least = np.full(k, np.iinfo(np.uint64).max, np.uint64)
