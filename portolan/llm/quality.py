@@ -5,58 +5,143 @@ order from its counts of counts; lower orders use continuation counts. All table
 texts give their distinct n-grams, these are joined with the tables of every order to interpolated probabilities, and
 each block's texts are scored with the block's share. A text is kept when its perplexity is at most the quantile that
 trusted, held-out texts of its language reach.
+
+An n-gram is a pair of numbers: ``g``, the last three code points, and ``f``, those before them, ``BITS`` bits each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, cut, held_out, marked, packed, slices, span_blocks, texts_of, unpacked, written
+from portolan.llm.textio import Block, by_blocks, cut, held_out, marked, packed, packed_by_block, texts_of, unpack, written
+
+ORDER, BITS = 5, 21
+#: What stands before and behind a text; code points end below it.
+EDGE = 0x110000
+#: The share of trusted held-out texts that are kept.
+QUANTILE, BINS = 0.97, 100
+SLICE, BLOCK_CHARS = 1_000_000, 32_000_000
+_KEY = ["f", "g"]
+_LOW = (1 << BITS) - 1
+
+
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, each with its edges (``ORDER - 1`` before it, one behind), and the number of n-grams of each."""
+    edge = np.full(ORDER - 1, EDGE, np.int32)
+    parts: list[np.ndarray] = []
+    for text in texts:
+        parts += [edge, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32), edge[:1]]
+    return np.concatenate(parts) if parts else edge[:0], np.array([len(t) + 1 for t in texts], np.int64)
+
+
+class Alphabet:
+    """The code points of some texts, numbered; n-grams of them as single sorted numbers where these fit, else by rank."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        here = np.zeros(EDGE + 1, bool)
+        here[codes] = True
+        self.points = np.flatnonzero(here)
+        self.number = np.full(EDGE + 1, -1, np.int32)
+        self.number[self.points] = np.arange(len(self.points), dtype=np.int32)
+        self.bits = max(1, int(len(self.points)).bit_length())
+        self.fits = self.bits * ORDER < 64
+
+    def keys(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The n-gram that ends at each character of texts as ``codes_of`` gives them."""
+        numbers = self.number[codes].astype(np.int64)
+        n = len(codes) - ORDER + 1
+        key = np.zeros(max(0, n), np.int64)
+        for k in range(ORDER):
+            key = key << self.bits | numbers[k : k + n]
+        wanted = np.ones(len(key), bool)  # those that reach into the next text are none
+        ends = np.cumsum(sizes + ORDER - 1)
+        for k in range(ORDER - 1):
+            wanted[(ends - ORDER + 1 + k)[ends - ORDER + 1 + k < len(key)]] = False
+        return key[wanted]
+
+    def apart(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.points[(keys >> self.bits * (ORDER - 1 - k)) & ((1 << self.bits) - 1)].astype(np.int64) for k in range(ORDER)]
+        return parts[0] << BITS | parts[1], parts[2] << 2 * BITS | parts[3] << BITS | parts[4]
+
+
+def exact_grams(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``f`` and ``g`` of the n-gram that ends at each character of texts as ``codes_of`` gives them."""
+    wide = codes.astype(np.int64)
+    n = len(codes) - ORDER + 1
+    f, g = (wide[:n] << BITS | wide[1 : n + 1], wide[2 : n + 2] << 2 * BITS | wide[3 : n + 3] << BITS | wide[4 : n + 4]) if n > 0 else (wide[:0], wide[:0])
+    wanted = np.repeat(np.tile([True, False], len(sizes)), np.stack([sizes, np.full(len(sizes), ORDER - 1)], axis=1).ravel())[:n] if len(sizes) else np.zeros(0, bool)
+    return f[wanted], g[wanted]
+
 
-ORDER, BITS = 5, 12
-EDGE = (1 << BITS) - 1
-QUANTILE, BINS = 0.99, 100
-SLICE, BLOCK_CHARS = 4_000_000, 12_000_000
+def distinct(f: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order, each once, with the sums of ``n`` (else how often they occur)."""
+    order = np.lexsort((g, f))
+    f, g = f[order], g[order]
+    first = np.ones(len(f), bool)
+    first[1:] = (f[1:] != f[:-1]) | (g[1:] != g[:-1])
+    starts = np.flatnonzero(first)
+    total = np.diff(np.append(starts, len(f))) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n[:0]
+    return f[starts], g[starts], total
 
 
-def grams(text: str) -> np.ndarray:
-    """A key for each character and the end: it and the ``ORDER - 1`` before it, ``BITS`` bits each. Characters are told apart
-    up to U+0FFD and fall together by residue beyond."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % (EDGE - 1) + 1
-    codes = np.concatenate([np.full(ORDER - 1, EDGE), codes, [EDGE]])
-    n = len(codes) - ORDER + 1
-    key = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        key = key << BITS | codes[k : k + n]
-    return key
+class Grams(Block):
+    """The distinct n-grams of a block with how often they occur."""
+
+    def __init__(self, number: int) -> None:
+        super().__init__(number)
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
+    def add(self, rows: pa.RecordBatch) -> Iterable[dict]:
+        codes, sizes = codes_of(texts_of(rows))
+        alphabet = Alphabet(codes)
+        if alphabet.fits:
+            keys, n = np.unique(alphabet.keys(codes, sizes), return_counts=True)
+            self.parts.append((*alphabet.apart(keys), n))
+        else:
+            self.parts.append(distinct(*exact_grams(codes, sizes)))
+        if sum(len(p[0]) for p in self.parts[1:]) > max(400_000, len(self.parts[0][0])):
+            self.merge()
+        return ()
 
-def _mask(order: int) -> int:
-    return (1 << BITS * order) - 1
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [distinct(*(np.concatenate(x) for x in zip(*self.parts)))]
 
+    def end(self) -> Iterable[dict]:
+        self.merge()
+        f, g, n = self.parts[0]
+        for a in range(0, len(f), 100_000):
+            yield {"block": pa.array(np.full(len(f[a : a + 100_000]), self.number)), "f": pa.array(f[a : a + 100_000]), "g": pa.array(g[a : a + 100_000]), "c": pa.array(n[a : a + 100_000])}
 
-def _suffix(column: str, order: int) -> Column:
-    return F.col(column).bitwiseAND(F.lit(_mask(order)))
+
+def grams(texts: DataFrame) -> DataFrame:
+    """``block, f, g, c``: the n-grams of each block of texts."""
+    return by_blocks(texts, "block long, f long, g long, c long", Grams, BLOCK_CHARS, SLICE)
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``g, c``: counts of the highest order in column ``text``, combined where they are read."""
+    """``f, g, c``: counts of the highest order in column ``text``, combined where they are read."""
+    return grams(texts.select("text")).groupBy(*_KEY).agg(F.sum("c").alias("c"))
+
+
+def _suffix(order: int, f: str = "f", g: str = "g") -> list[Column]:
+    """The last ``order`` characters of an n-gram."""
+    kept = [max(0, order - 3), min(order, 3)]
+    return [F.col(c).bitwiseAND(F.lit((1 << BITS * k) - 1)).alias(c) if k else F.lit(0).cast("bigint").alias(c) for c, k in zip((f, g), kept)]
 
-    def run(batch: pa.RecordBatch):
-        texts = texts_of(batch)
-        for a, b in slices([len(t) for t in texts], SLICE):
-            own = [np.unique(grams(t), return_counts=True) for t in texts[a:b]]
-            g, at = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
-            yield {"g": pa.array(g), "c": pa.array(np.bincount(at, np.concatenate([n for _, n in own]), len(g)).astype(np.int64))}
 
-    return arrow_map(texts.select("text"), "g long, c long", run).groupBy("g").agg(F.sum("c").alias("c"))
+def _context(f: str = "f", g: str = "g") -> list[Column]:
+    """All characters of an n-gram but the last, as ``hf`` and ``hg``."""
+    return [F.shiftright(f, BITS).alias("hf"), F.shiftright(g, BITS).bitwiseOR(F.shiftleft(F.col(f).bitwiseAND(F.lit(_LOW)), 2 * BITS)).alias("hg")]
 
 
 class KneserNey:
-    """For each order a table of n-grams (``g``: alpha) and one of contexts (``g``: gamma)."""
+    """For each order a table of n-grams (alpha) and one of contexts (gamma), both by ``f, g``."""
 
     def __init__(self, highest: DataFrame) -> None:
         self.alpha: dict[int, DataFrame] = {}
@@ -64,30 +149,31 @@ class KneserNey:
         counts = highest
         for order in range(ORDER, 0, -1):
             if order < ORDER:
-                counts = written(counts.groupBy(_suffix("g", order).alias("g")).agg(F.count(F.lit(1)).alias("c")))
+                counts = written(counts.select(*_suffix(order)).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")))
             n = {r["c"]: r["n"] for r in counts.filter("c < 5").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
             d = discounts([n.get(k, 0) for k in (1, 2, 3, 4)])
-            by_context = counts.withColumn("h", F.shiftright("g", BITS)).groupBy("h").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3).alias(f"n{k}") for k in (1, 2, 3)])
-            by_context = by_context.select("h", "total", (sum((F.col(f"n{k}") * F.lit(d[k - 1]) for k in (1, 2, 3)), F.lit(0.0)) / F.col("total")).alias("gamma"))
+            with_context = counts.select(*_KEY, "c", *_context())
+            by_context = with_context.groupBy("hf", "hg").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3).alias(f"n{k}") for k in (1, 2, 3)])
+            by_context = by_context.select("hf", "hg", "total", (sum((F.col(f"n{k}") * F.lit(d[k - 1]) for k in (1, 2, 3)), F.lit(0.0)) / F.col("total")).alias("gamma"))
             off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-            alpha = counts.withColumn("h", F.shiftright("g", BITS)).join(by_context, "h").select("g", ((F.col("c") - off) / F.col("total")).alias("alpha"))
-            self.alpha[order], self.gamma[order] = alpha, by_context.select(F.col("h").alias("g"), "gamma")
+            self.alpha[order] = with_context.join(by_context, ["hf", "hg"]).select(*_KEY, ((F.col("c") - off) / F.col("total")).alias("alpha"))
+            self.gamma[order] = by_context.select("hf", "hg", "gamma")
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """``g, logp``: log10 of the interpolated probability of the last character of each distinct n-gram ``g``."""
+        """``f, g, logp``: log10 of the interpolated probability of the last character of each distinct n-gram."""
         needed = {ORDER: wanted}
         for order in range(ORDER - 1, 0, -1):
-            needed[order] = written(needed[order + 1].select(_suffix("g", order).alias("g")).distinct())
+            needed[order] = written(needed[order + 1].select(*_suffix(order)).distinct())
         lower = None
         for order in range(1, ORDER + 1):
-            rows = needed[order].withColumns({"h": F.shiftright("g", BITS), "s": _suffix("g", order - 1)})
-            rows = rows.join(self.alpha[order], "g", "left").join(self.gamma[order].withColumnRenamed("g", "h"), "h", "left")
+            rows = needed[order].join(self.alpha[order], _KEY, "left").select(*_KEY, "alpha", *_context(), *[c.alias(f"s{n}") for c, n in zip(_suffix(order - 1), _KEY)])
+            rows = rows.join(self.gamma[order], ["hf", "hg"], "left")
             if lower is None:
-                rows = rows.withColumn("below", F.lit(1.0 / (1 << BITS)))
+                rows = rows.withColumn("below", F.lit(1.0 / (EDGE + 1)))
             else:
-                rows = rows.join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s")
-            lower = written(rows.select("g", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p")))
-        return lower.select("g", F.log10("p").cast("float").alias("logp"))
+                rows = rows.join(lower.select(F.col("f").alias("sf"), F.col("g").alias("sg"), F.col("p").alias("below")), ["sf", "sg"])
+            lower = written(rows.select(*_KEY, (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p")))
+        return lower.select(*_KEY, F.log10("p").cast("float").alias("logp"))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -98,39 +184,55 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw))  # type: ignore[return-value]
 
 
+class Shares:
+    """A block's n-grams with their log probabilities, looked up for texts of the block."""
+
+    def __init__(self, f: np.ndarray, g: np.ndarray, logp: np.ndarray) -> None:
+        self.alphabet = Alphabet(np.concatenate([[EDGE], g & _LOW]).astype(np.int64))  # an n-gram ends at each character
+        if self.alphabet.fits:
+            number, bits = self.alphabet.number.astype(np.int64), self.alphabet.bits
+            keys = np.zeros(len(f), np.int64)
+            for part, shift in ((f, BITS), (f, 0), (g, 2 * BITS), (g, BITS), (g, 0)):
+                keys = keys << bits | number[(part >> shift) & _LOW]
+        else:
+            self.f, self.g = np.unique(f), np.unique(g)
+            keys = self._rank(f, g)
+        order = np.argsort(keys)
+        self.key, self.logp = keys[order], logp[order]
+
+    def _rank(self, f: np.ndarray, g: np.ndarray) -> np.ndarray:
+        x, y = np.minimum(np.searchsorted(self.f, f), len(self.f) - 1), np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
+        return np.where((self.f[x] == f) & (self.g[y] == g), x * len(self.g) + y, -1)
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of n-grams of each text and the sum of their log probabilities."""
+        codes, sizes = codes_of(texts)
+        keys = self.alphabet.keys(codes, sizes) if self.alphabet.fits else self._rank(*exact_grams(codes, sizes))
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        if (self.key[at] != keys).any():
+            raise RuntimeError("a block holds other texts than when its n-grams were listed: the input isn't read in the same order each time")
+        return sizes, np.add.reduceat(self.logp[at].astype(np.float64), np.cumsum(sizes) - sizes)
+
+
 def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     """``docs`` (doc_id, text, more) with ``n_chars``, ``log_prob`` and ``perplexity`` of each whole text with its end, and without ``text``."""
-    dealt = docs.withColumn("block", span_blocks(docs, BLOCK_CHARS))
     others = [c for c in docs.columns if c != "text"]
-
-    def block_grams(batch: pa.RecordBatch):
-        texts, blocks = texts_of(batch), batch.column(0).to_pylist()
-        for a, b in slices([len(t) for t in texts], SLICE):
-            rows: dict[int, list[np.ndarray]] = {}
-            for text, block in zip(texts[a:b], blocks[a:b]):
-                rows.setdefault(block, []).append(np.unique(grams(text)))
-            for block, found in rows.items():
-                g = np.unique(np.concatenate(found))
-                yield {"block": pa.array(np.full(len(g), block, np.int32)), "g": pa.array(g)}
-
-    in_blocks = written(arrow_map(dealt.select("block", "text"), "block int, g long", block_grams).distinct().sortWithinPartitions("block", "g"))
-    table = model.probabilities(written(in_blocks.select("g").distinct()))
-    wanted = in_blocks.join(table, "g").select("block", "g", "logp")
-
-    def scored(packs: pa.Table, right: pa.Table) -> pa.Table:
-        left = unpacked(packs)
-        g, logp = right.column("g").to_numpy(), right.column("logp").to_numpy()
-        order = np.argsort(g)
-        g, logp = g[order], logp[order]
-        n, total = [], []
-        for text in left.column("text").to_pylist():
-            at = np.searchsorted(g, grams(text))
-            n.append(len(at))
-            total.append(float(logp[at].sum(dtype=np.float64)))
-        return pa.table({c: left.column(c) for c in others} | {"n_chars": pa.array(n, pa.int64()), "log_prob": pa.array(total, pa.float64())})
+    in_blocks = written(grams(docs).select("block", *_KEY))
+    table = model.probabilities(written(in_blocks.select(*_KEY).distinct()))
+    wanted = in_blocks.join(table, _KEY).select("block", *_KEY, "logp")
+
+    def scored(packs: pa.Table, tables: pa.Table) -> pa.Table:
+        right = pa.concat_tables([unpack(p.as_py()) for p in tables.column("payload")])
+        shares = Shares(*(right.column(c).to_numpy() for c in (*_KEY, "logp")))
+        out: list[pa.Table] = []
+        for p in packs.column("payload"):
+            for part in unpack(p.as_py()).to_batches():
+                n, total = shares.scores(texts_of(part))
+                out.append(pa.table({c: part.column(c) for c in others} | {"n_chars": pa.array(n, pa.int64()), "log_prob": pa.array(total, pa.float64())}))
+        return pa.concat_tables(out)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", n_chars long, log_prob double"
-    found = packed(dealt, SLICE).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(scored, schema)
+    found = packed(docs, BLOCK_CHARS, SLICE).groupBy("block").cogroup(packed_by_block(wanted).groupBy("block")).applyInArrow(scored, schema)
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log_prob") / F.col("n_chars")))
 
 

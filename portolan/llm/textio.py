@@ -1,4 +1,4 @@
-"""What the text operators share: reading documents, cutting lineage, hashing words, fixed-size bitmaps."""
+"""What the text operators share: reading documents, cutting lineage, blocks of texts, hashing words, fixed-size bitmaps."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` written to the folder in spark.checkpoint.dir, which all machines share, and read from there.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Where that setting is missing, a session of one machine takes a temporary folder; on a cluster it is an error.
     """
     _shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
@@ -47,6 +48,8 @@ def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="portolan-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -62,25 +65,96 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def packed(dealt: DataFrame, chars: int) -> DataFrame:
-    """``block, payload``: the rows of ``dealt`` (block, text, more) as compressed batches of one block each, of about ``chars`` characters at most,
-    for moving texts to their blocks."""
+def pack(rows: pa.RecordBatch | pa.Table) -> bytes:
+    """Rows as compressed bytes, for moving many of them as one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+        stream.write(rows)
+    return sink.getvalue().to_pybytes()
 
-    def run(batch: pa.RecordBatch):
-        blocks = np.array(batch.column(batch.schema.get_field_index("block")).to_pylist(), np.int64)
-        for a, b in slices([len(t) for t in texts_of(batch)], chars):
-            for block in np.unique(blocks[a:b]).tolist():
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
-                    stream.write_batch(batch.take(pa.array(a + np.flatnonzero(blocks[a:b] == block))))
-                yield {"block": [block], "payload": [sink.getvalue().to_pybytes()]}
 
-    return arrow_map(dealt, "block int, payload binary", run)
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def unpacked(packs: pa.Table) -> pa.Table:
-    """The rows of all ``packs`` (payload) of a block."""
-    return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(p.as_py())).read_all() for p in packs.column("payload")])
+class Block:
+    """What ``by_blocks`` does with a block of texts: ``add`` gets its rows by slices, ``end`` comes after the last. Both give columns by name."""
+
+    def __init__(self, number: int) -> None:
+        self.number = number
+
+    def add(self, rows: pa.RecordBatch) -> Iterable[dict]:
+        return ()
+
+    def end(self) -> Iterable[dict]:
+        return ()
+
+
+def by_blocks(docs: DataFrame, schema: str, start: Callable[[int], Block], chars: int, slice_chars: int) -> DataFrame:
+    """Reads the rows of ``docs`` (with ``text``) in blocks: a block is a run of rows of one partition with about ``chars`` bytes of text (a
+    longer text stands alone), and is read in slices of about ``slice_chars``, so that a task holds one slice and what the block gathers.
+
+    The number of a block is that of its partition and its place there. A frame whose partitions are read in the same order each time,
+    as those of a stored table, has the same blocks each time; whoever meets blocks again must check that it finds what it expects.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = TaskContext.get().partitionId() << 32, 0
+        block = None
+        for batch in batches:
+            sizes = text_sizes(batch)
+            for a, b in slices(sizes, slice_chars):
+                size = sum(sizes[a:b])
+                if block is not None and total + size > chars:
+                    yield from (record_batch(columns, target) for columns in block.end())
+                    block, number, total = None, number + 1, 0
+                block = start(number) if block is None else block
+                total += size
+                yield from (record_batch(columns, target) for columns in block.add(batch.slice(a, b - a)))
+        if block is not None:
+            yield from (record_batch(columns, target) for columns in block.end())
+
+    return docs.mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, chars: int, slice_chars: int) -> DataFrame:
+    """``block, payload``: the rows of ``docs`` by the blocks of ``by_blocks``, a pack for each slice."""
+
+    class Packs(Block):
+        def add(self, rows: pa.RecordBatch) -> Iterable[dict]:
+            yield {"block": [self.number], "payload": [pack(rows)]}
+
+    return by_blocks(docs, "block long, payload binary", Packs, chars, slice_chars)
+
+
+def packed_by_block(rows: DataFrame, most: int = 400_000) -> DataFrame:
+    """``block, payload``: the rows of ``rows`` (block, more), a pack for each block and run of about ``most`` rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                yield _packs(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield _packs(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "block long, payload binary")
+
+
+def _packs(table: pa.Table) -> pa.RecordBatch:
+    block = table.column("block").to_numpy()
+    order = np.argsort(block, kind="stable")
+    numbers, starts = np.unique(block[order], return_index=True)
+    rest = table.drop_columns(["block"]).take(pa.array(order)).combine_chunks()
+    payload = [pack(rest.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
+    return pa.RecordBatch.from_pydict({"block": pa.array(numbers, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
 def fold(column: str, folds: int) -> Column:
@@ -116,19 +190,6 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, seed: int = 42
     return cut(docs.filter(chosen("doc_id")).join(marks.filter(chosen("k")), F.col("doc_id") == F.col("k")).drop("k"))
 
 
-def span_blocks(docs: DataFrame, chars: int) -> Column:
-    """A block for each row, so that a block has about ``chars`` characters and ids that lie together share one.
-
-    Whole numbers are dealt by spans of consecutive ids, others each by themselves; which row goes where changes the work
-    and not the result.
-    """
-    total, n = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(total or 0) // chars))
-    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    key = F.floor(F.col("doc_id") / max(1, -(-n // blocks))) if whole else F.col("doc_id")
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
 def arrow_map(frame: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]]) -> DataFrame:
     """mapInArrow with ``function`` from a batch to columns by name, or to several such."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -154,6 +215,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def text_sizes(batch: pa.RecordBatch, column: str = "text") -> list[int]:
+    """The bytes of each text of a batch; null has none."""
+    return pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+
+
+def text_slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch by runs of rows of about ``most`` bytes of text, with their texts; only those of one run are Python strings at a time."""
+    for a, b in slices(text_sizes(batch), most):
+        part = batch.slice(a, b - a)
+        yield part, texts_of(part)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most ``most`` in size together (an item above that stands alone)."""
     start, total = 0, 0
@@ -268,3 +341,65 @@ def in_bitmap(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     out[sure] = ((table[second[sure] >> six] >> (second[sure] & low)) & np.uint64(1)).astype(bool)
     return out
+
+
+_SPACED = np.ones(256, bool)
+_SPACED[[0x20, *range(0x09, 0x0E)]] = False
+_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_CODES[0x41:0x5B] = _CODES[0x61:0x7B]  # A-Z as a-z
+_PIECE = 1 << 18
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: What stands for the end of a text among token hashes.
+END = 0
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts in order, each text's words between ASCII white space (A-Z lower-cased) and then ``END``; and
+    the number of tokens of each text. Works on the bytes as they are, piece by piece, so that words and texts may have any length."""
+    joined = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", " ")))  # a space behind each text
+    _, offsets, buffer = joined.buffers()
+    at = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(buffer, np.uint8)[at[0] : at[-1]] if len(joined) else np.zeros(0, np.uint8)
+    if len(_tables) < 4:
+        word_hashes("")
+        _tables.extend((_powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)))
+    edges = np.flatnonzero(np.diff(_SPACED[data], prepend=False, append=False))
+    sums, total, scale = np.empty(len(edges), np.uint64), 0, 1
+    for a in range(0, len(data), _PIECE):
+        piece = data[a : a + _PIECE]
+        local = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_CODES[piece] * _tables[2][: len(piece)], out=local[1:])
+        x, y = np.searchsorted(edges, [a, a + _PIECE])
+        sums[x:y] = local[edges[x:y] - a] * np.uint64(scale) + np.uint64(total)
+        total = (total + int(local[-1]) * scale) & _U64
+        scale = scale * pow(_BASE, _PIECE, 1 << 64) & _U64
+    starts = edges[::2]
+    back = np.array([pow(_INVERSE, k * _PIECE, 1 << 64) for k in range(len(data) // _PIECE + 1)], np.uint64)
+    found = mixed((sums[1::2] - sums[::2]) * back[starts // _PIECE] * _tables[3][starts % _PIECE])
+    n = np.diff(np.searchsorted(starts, at - at[0])) + 1
+    out = np.full(len(found) + len(n), END, np.uint64)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(n) - 1] = False
+    out[word] = found
+    return out, n
+
+
+class Tally:
+    """Sorted 64-bit keys with sums, merged as they come."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.more.append((keys, sums))
+        self.waiting += len(keys)
+        if self.waiting > max(500_000, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        if self.more:
+            self.keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self.more)]), return_inverse=True)
+            self.sums = np.bincount(at, np.concatenate([self.sums, *(n for _, n in self.more)]), len(self.keys)).astype(np.int64)
+            self.more, self.waiting = [], 0

@@ -25,7 +25,7 @@ def brute_model(texts):
     def p(g):
         n = len(g)
         if not n:
-            return 1 / (1 << Q.BITS)
+            return 1 / (Q.EDGE + 1)
         c, t = counts[n].get(g, 0), total[n].get(g[:-1], 0)
         if not t:
             return p(g[1:])
@@ -34,9 +34,13 @@ def brute_model(texts):
     return lambda text: sum(math.log10(p(tuple(x[k : k + Q.ORDER]))) for x in [pad(text)] for k in range(len(x) - Q.ORDER + 1))
 
 
-def test_scores_as_by_brute_force(spark):
+@pytest.mark.parametrize("letters, block", [("abcé .X", 32_000_000), ("ab中丁\U0001f600é", 300), (None, 700)])
+def test_scores_as_by_brute_force(spark, monkeypatch, letters, block):
+    monkeypatch.setattr(Q, "BLOCK_CHARS", block)
+    monkeypatch.setattr(Q, "SLICE", block // 3)
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcé .X") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    letters = letters or [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000)]  # more than fit into one number
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60 if block > 1000 or len(letters) < 10 else 4000))) for _ in range(60)]
     train, test = texts[:40], texts[30:] + ["zzzz new", ""]
     model = Q.KneserNey(Q.count_grams(spark.createDataFrame([(t,) for t in train], "text string")))
     got = {r.doc_id: r.log_prob for r in Q.perplexity(spark.createDataFrame(list(enumerate(test)), "doc_id long, text string"), model).collect()}
@@ -67,3 +71,12 @@ def test_odd_rows_without_labels_and_empty_tables(spark, docs, odd):
 def test_discounts_stay_within_bounds():
     assert Q.discounts([0, 0, 0, 0]) == (0.5, 1.0, 1.5)
     assert all(0 < x <= k + 0.95 for k, x in enumerate(Q.discounts([1, 50, 1, 90])))
+
+
+def test_characters_beyond_the_basic_plane_and_ideographs_are_told_apart():
+    codes, sizes = Q.codes_of(["中", "丁", "\U0001f600", "a"])
+    assert sizes.tolist() == [2] * 4 and len(set(codes.tolist())) == 5
+    f, g = Q.exact_grams(codes, sizes)
+    assert len(set(zip(f.tolist(), g.tolist()))) == 8
+    alphabet = Q.Alphabet(codes)
+    assert [x.tolist() for x in alphabet.apart(alphabet.keys(codes, sizes))] == [f.tolist(), g.tolist()]
