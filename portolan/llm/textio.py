@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 _U64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
+_BATCH = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -38,6 +39,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """``frame``; from now on its session gives Python batches of 4 MB at most (an Arrow batch of 10,000 long texts takes many times that)."""
+    conf = frame.sparkSession.conf
+    if int(str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) != _BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
+    return frame
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """``frame`` on all cores, where it is read in fewer parts than there are (a single small file); else as it is."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
@@ -119,7 +128,7 @@ def by_blocks(docs: DataFrame, schema: str, start: Callable[[int], Block], chars
         if block is not None:
             yield from (record_batch(columns, target) for columns in block.end())
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame, chars: int, slice_chars: int) -> DataFrame:
@@ -145,7 +154,7 @@ def packed_by_block(rows: DataFrame, most: int = 400_000) -> DataFrame:
         if held:
             yield _packs(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "block long, payload binary")
+    return bounded_batches(rows).mapInArrow(run, "block long, payload binary")
 
 
 def _packs(table: pa.Table) -> pa.RecordBatch:
@@ -203,7 +212,7 @@ def arrow_map(frame: DataFrame, schema: str, function: Callable[[pa.RecordBatch]
             for columns in [made] if isinstance(made, dict) else made:
                 yield record_batch(columns, target)
 
-    return frame.mapInArrow(run, schema)
+    return bounded_batches(frame).mapInArrow(run, schema)
 
 
 def record_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
@@ -328,7 +337,7 @@ def marked(docs: DataFrame, marks: DataFrame, bits: int = 24) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(known, batch.column(2).to_numpy().view(np.uint64), bits))).select([0, 1])
 
-    near = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    near = bounded_batches(docs).select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, docs.select("doc_id", "text").schema)
     return near.join(marks.select("k"), F.col("doc_id") == F.col("k")).drop("k")
 
 

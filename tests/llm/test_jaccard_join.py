@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from portolan.llm import jaccard_join as J
@@ -79,8 +80,60 @@ def test_empty_table(docs):
     assert J.ngram_jaccard_join(docs([])).collect() == []
 
 
-def test_prefix_is_shortened_until_the_recall_is_reached():
-    assert J.stop_depth(0.8, 0.999, 10) == 3 and J.stop_depth(0.8, 0.9, 10) > 3 and J.stop_depth(0.5, 0.9999999, 2) == 1
+def test_prefixes_are_shortened_where_it_is_cheap_until_the_recall_is_reached():
+    rng = np.random.default_rng(1)
+    shortest = J.least_depth(0.8, 0.999, 10)
+    sizes = np.sort(rng.integers(1, 500, (50, 10, 5)), axis=2)[:, :, ::-1]
+    level = J.stop_levels(sizes, shortest, 0.8, 0.999)
+    missed = np.prod(1 - 0.8 ** (shortest + level), axis=1)
+    assert (missed <= 0.001 + 1e-12).all() and level.max() > 0
+    thin = np.ones((1, 10, 5))
+    thin[0, 3] = [1000, 900, 500, 5, 1]
+    assert J.stop_levels(thin, shortest, 0.8, 0.999)[0, 3] > J.stop_levels(thin, shortest, 0.8, 0.999)[0, 0]  # deep where it is crowded
+    assert J.least_depth(0.5, 0.9999999, 2) == 1 and J.stop_levels(thin, 1, 0.5, 0.9999999).max() == 0  # out of reach: all the way up
+
+
+def test_repeated_and_null_ids_keep_their_links(docs):
+    w = [f"w{k}" for k in range(60)]
+    v = [f"v{k}" for k in range(60)]
+    u = [f"u{k}" for k in range(60)]
+    rows = [(5, " ".join(w)), (5, " ".join(v)), (7, " ".join(v[:-1])), (None, " ".join(u)), (9, " ".join(u[1:])), (None, "x y z q r s"), (None, "x y z q r s"), (8, "solo")]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in J.ngram_jaccard_join(docs(rows)).collect()), key=str)
+    assert got == sorted([(5, 5, 0), (5, 5, 1), (7, 5, 1), (None, 9, 1), (9, 9, 1), (None, None, 1), (None, None, 1), (8, 8, 0)], key=str)
+    stay = [(r.doc_id, r.text) for r in J.one_of_each_group(docs(rows)).collect()]
+    assert sorted(stay, key=str) == sorted([(5, rows[0][1]), (5, rows[1][1]), (9, rows[4][1]), (None, "x y z q r s"), (None, "x y z q r s"), (8, "solo")], key=str)
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_a_huge_group_of_near_copies(docs, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK_TEXTS", block)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.ngram_jaccard_join(docs(rows)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    assert all(got[i][1] <= want[i][1] for i in want) and sum(n for _, n in got.values()) >= 0.999 * sum(n for _, n in want.values())
+
+
+def test_recall_at_the_defaults(docs):
+    """Pairs just above the threshold, a hundred each time."""
+    rows, want = [], 0
+    for k in range(100):
+        w = [f"g{k}w{i}" for i in range(94)]
+        other = list(w)
+        for at in (20, 60):  # each changes five of ninety shingles: (90 - 10) / (90 + 10)
+            other[at] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        want += 2 * (len(shingles(rows[-1][1]) & shingles(rows[-2][1])) >= 0.8 * len(shingles(rows[-1][1]) | shingles(rows[-2][1])))
+    assert want == 200
+    found = sum(r.n_links for r in J.ngram_jaccard_join(docs(rows)).collect())
+    assert 0.98 * want <= found <= want
 
 
 def test_components_of_a_chain(spark):
