@@ -4,8 +4,8 @@ A seed is a mask over consecutive tokens of which only some positions count, so
 others. Hashes of all places of the benchmark under each mask are joined with those of the documents; around each hit the
 two texts are laid side by side without gaps and the best overlap is verified token by token, allowing substitutions.
 
-A bitmap of fixed size, built from the benchmark's hashes, tells on the executors which places of a document can't be in
-the join, so that only the few others are shuffled.
+A bitmap of the benchmark's hashes, with 16 to 32 bits for each up to a bound (``MAX_BITS``), tells on the executors which places of a document
+can't be in the join, so that only the few others are shuffled. Beyond the bound it lets more places pass; the result is the same.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from portolan.llm.textio import arrow_map, bitmap, cut, in_bitmap, texts_of, win
 #: stretch holds one of 13 to 25 tokens, which the tests enumerate).
 MASKS = ("100010011111", "111101011", "11001110011", "1101100000111", "1101001101001", "11110100101")
 MIN_OVERLAP, MIN_IDENTITY = 13, 0.8
-_BITS = 25
+MIN_BITS, MAX_BITS = 16, 27
 
 
 def _places(mask: str) -> list[int]:
@@ -55,46 +55,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     The overlap is the best of the ungapped stretches around hits that have at least ``min_overlap`` tokens, or the whole item where that
     is shorter, of which at least ``min_identity`` are equal (see ``_overlap``). Tokens are lower-cased runs of letters, digits and
-    non-ASCII characters. Null, empty and wordless texts on either side overlap with nothing; rows that repeat an id count as
-    one; rows with a null id are left out (see ``clean_documents``). Of overlaps at several shifts the longest counts, then the
-    one with more matches, then the earlier one. An empty table on either side gives an empty result. Other columns aren't looked at.
+    non-ASCII characters. Null, empty and wordless texts on either side overlap with nothing; of rows that repeat an id, on either side, each
+    text is compared and the best overlap counts; rows with a null id are left out (see ``clean_documents``). Of overlaps at several shifts
+    the longest counts, then the one with more matches, then the earlier one. An empty table on either side gives an empty result. Other columns aren't looked at.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null").distinct().withColumn("ih", F.xxhash64("text"))
 
     def tests(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("item_id", "words", "k", "h", "at")}
-        for i, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+        out: dict = {c: [] for c in ("item_id", "ih", "words", "k", "h", "at")}
+        for i, text, ih in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
             words = word_hashes(text)
             for n, (k, h, p) in enumerate(_seeds(words, masks, min_overlap, min_identity)):
-                for c, v in zip(out, (i, words.tobytes() if not n else None, k, h, p)):
+                for c, v in zip(out, (i, ih, words.tobytes() if not n else None, k, h, p)):
                     out[c].append(v)
         return out
 
-    seeds = cut(arrow_map(items, f"item_id {item_type}, words binary, k int, h long, at int", tests))
-    known = bitmap(seeds.select("h"), "h", _BITS)
+    seeds = cut(arrow_map(items, f"item_id {item_type}, ih long, words binary, k int, h long, at int", tests))
+    bits = min(MAX_BITS, max(MIN_BITS, (16 * seeds.count()).bit_length()))
+    known = bitmap(seeds.select("h"), "h", bits)
     short = sorted(r[0] for r in seeds.filter("k < 0").select("k").distinct().collect())  # a few for each length below min_overlap or a mask's
     offsets = {k: _places(mask) for k, mask in enumerate(masks)} | {k: _places(_whole_masks(-k >> 16, min_identity)[-k & 65535]) for k in short}
 
     def trains(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("id", "words", "hits")}
-        for i, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+        out: dict = {c: [] for c in ("id", "th", "words", "hits")}
+        for i, text, th in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
             words, hits = word_hashes(text), []
             for k, places in offsets.items():
                 hashes = windows(words, places)
-                for p in np.flatnonzero(in_bitmap(known, hashes, _BITS)).tolist():
+                for p in np.flatnonzero(in_bitmap(known, hashes, bits)).tolist():
                     hits.append({"k": k, "h": int(hashes[p].view(np.int64)), "at": p})
             if hits:
-                for c, v in zip(out, (i, words.tobytes(), hits)):
+                for c, v in zip(out, (i, th, words.tobytes(), hits)):
                     out[c].append(v)
         return out
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    hit = cut(arrow_map(texts, f"id {id_type}, words binary, hits array<struct<k: int, h: bigint, at: int>>", trains))
-    places = hit.select("id", F.inline("hits")).withColumnRenamed("at", "doc_at")
-    met = places.join(seeds.select("item_id", "k", "h", "at"), ["k", "h"]).select("id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
-    test_words = seeds.filter("words is not null").groupBy("item_id").agg(F.max("words").alias("test"))
-    laid = met.groupBy("id", "item_id").agg(F.collect_set("shift").alias("shifts")).join(test_words, "item_id").join(hit.select("id", "words").groupBy("id").agg(F.max("words").alias("train")), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).filter("id is not null")
+    hit = cut(arrow_map(texts, f"id {id_type}, th long, words binary, hits array<struct<k: int, h: bigint, at: int>>", trains))
+    places = hit.select("id", "th", F.inline("hits")).withColumnRenamed("at", "doc_at")
+    met = places.join(seeds.select("item_id", "ih", "k", "h", "at"), ["k", "h"]).select("id", "th", "item_id", "ih", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
+    test_words = seeds.filter("words is not null").select("item_id", "ih", F.col("words").alias("test"))
+    train_words = hit.select("id", "th", "words").groupBy("id", "th").agg(F.max("words").alias("train"))
+    laid = met.groupBy("id", "th", "item_id", "ih").agg(F.collect_set("shift").alias("shifts")).join(test_words, ["item_id", "ih"]).join(train_words, ["id", "th"])
 
     def verify(batch: pa.RecordBatch) -> dict:
         out: dict = {c: [] for c in ("doc_id", "item_id", "overlap", "matches", "doc_at", "item_at")}
@@ -106,7 +108,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     out[c].append(v)
         return out
 
-    return arrow_map(laid.select("id", "item_id", "shifts", "test", "train"), f"doc_id {id_type}, item_id {item_type}, overlap int, matches int, doc_at int, item_at int", verify)
+    found = arrow_map(laid.select("id", "item_id", "shifts", "test", "train"), f"doc_id {id_type}, item_id {item_type}, overlap int, matches int, doc_at int, item_at int", verify)
+    best = F.max(F.struct("overlap", "matches", (-F.col("doc_at")).alias("before"), "item_at")).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.overlap", "x.matches", (-F.col("x.before")).alias("doc_at"), "x.item_at")
 
 
 def _stretch(train: np.ndarray, test: np.ndarray, shift: int) -> tuple[int, int, int, int]:

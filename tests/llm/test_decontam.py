@@ -143,3 +143,30 @@ def test_short_items_with_a_word_changed_are_found(spark, docs):
                     want.add((rows[-1][0], n))
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs(rows), bench).collect()} == want
+
+
+def test_leaks_are_all_pairs_that_meet_the_rule_by_brute_force(spark, docs):
+    rng = random.Random(7)
+    vocabulary = words(rng, 400)
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 12, 14, 20, 45]))]) for k in range(25)]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):  # parts of items, some of their words changed: equal at first, then more and more substitutions
+            _, item = rng.choice(items)
+            a = rng.randrange(len(item))
+            w[len(w) // 2 : len(w) // 2] = [rng.choice(vocabulary) if rng.random() < rng.choice([0, 0.1, 0.3]) else x for x in item[a : a + rng.randint(5, 45)]]
+        rows.append((i // 2 if i < 20 else i, " ".join(w)))  # some ids repeat with other texts
+
+    def leaked(train, test):
+        least = min(13, len(test))
+        for shift in range(-len(test), len(train)):
+            same = [train[x] == test[x - shift] for x in range(max(0, shift), min(len(train), shift + len(test)))]
+            if any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(len(same)) for y in range(x + least, len(same) + 1)):
+                return True
+        return False
+
+    want = {(i, k) for i, t in rows for k, item in items if leaked(t.split(), item)}
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    got = D.leaks(docs(rows), bench).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
