@@ -4,7 +4,7 @@ A seed is a mask over consecutive tokens of which only some positions count, so
 others. Hashes of all places of the benchmark under each mask are joined with those of the documents; around each hit the
 two texts are laid side by side without gaps and the best overlap is verified token by token, allowing substitutions.
 
-A bitmap of the benchmark's hashes, with 16 to 32 bits for each up to a bound (``MAX_BITS``), tells on the executors which places of a document
+A bitmap of the benchmark's hashes, with at least 512 bits for each up to a bound (``MAX_BITS``), tells on the executors which places of a document
 can't be in the join, so that only the few others are shuffled. Beyond the bound it lets more places pass; the result is the same.
 """
 
@@ -23,7 +23,7 @@ from portolan.llm.textio import arrow_map, bitmap, cut, in_bitmap, texts_of, win
 #: stretch holds one of 13 to 25 tokens, which the tests enumerate).
 MASKS = ("100010011111", "111101011", "11001110011", "1101100000111", "1101001101001", "11110100101")
 MIN_OVERLAP, MIN_IDENTITY = 13, 0.8
-MIN_BITS, MAX_BITS = 16, 27
+MIN_BITS, MAX_BITS = 16, 28
 
 
 def _places(mask: str) -> list[int]:
@@ -72,7 +72,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return out
 
     seeds = cut(arrow_map(items, f"item_id {item_type}, ih long, words binary, k int, h long, at int", tests))
-    bits = min(MAX_BITS, max(MIN_BITS, (16 * seeds.count()).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, (512 * seeds.count()).bit_length()))
     known = bitmap(seeds.select("h"), "h", bits)
     short = sorted(r[0] for r in seeds.filter("k < 0").select("k").distinct().collect())  # a few for each length below min_overlap or a mask's
     offsets = {k: _places(mask) for k, mask in enumerate(masks)} | {k: _places(_whole_masks(-k >> 16, min_identity)[-k & 65535]) for k in short}

@@ -3,7 +3,8 @@
 A document's digest is the SHA-256 of its text; a second, independent 64-bit hash goes with it and is part of the key at
 every merge, so that entries are only merged where both agree (verified).
 
-Up the tree: documents are dealt to ``fan_in ** rounds`` runs by a hash of their id. Each run is sorted by digest (the
+Up the tree: documents are dealt to ``fan_in ** rounds`` runs by a hash of their id, at least two rounds and as many as make runs of about
+``RUN_ROWS`` rows. Each run is sorted by digest (the
 aggregate of a struct is a sorted aggregation: sort, combine, exchange, merge) and merged into (id that stays, rows) per
 digest. In every round ``fan_in`` runs meet and are merged the same way, so that a text with a third of all rows has
 at most ``fan_in`` entries in a merge beyond the first, which combines rows where they are read. Down the tree: each run's entries
@@ -16,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN_IN, ROUNDS = 16, 2
+FAN_IN, RUN_ROWS = 16, 250_000
 _KEY = ["run", "digest", "proof"]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, rounds: int | None = None) -> DataFrame:
     """The decision on each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep``: "max" or "min", which id of equal texts stays. Null texts count as empty. A null id stays only where its
@@ -31,13 +32,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, rounds: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they are; see ``exact_groups``."""
     decided = _decided(docs, id_col, text_col, keep, fan_in, rounds, docs.columns)
     return decided.filter("kept").select("row.*")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, rounds: int, carried: list[str]) -> DataFrame:
+def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, rounds: int | None, carried: list[str]) -> DataFrame:
+    rounds = rounds_for(docs.count(), fan_in) if rounds is None else rounds
     best = {"max": F.max, "min": F.min}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -62,5 +64,13 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int
     return rows.join(decision, _KEY).withColumn("kept", stays & (place == 1))
 
 
+def rounds_for(rows: int, fan_in: int = FAN_IN) -> int:
+    """The rounds of the tree for so many rows."""
+    rounds = 2
+    while fan_in**rounds * RUN_ROWS < rows:
+        rounds += 1
+    return rounds
+
+
 def _above(run: Column, fan_in: int) -> Column:
     return F.floor(run / fan_in).cast("bigint")

@@ -5,7 +5,7 @@ pairs and triples in it (n-grams), hashed into a fixed number of weights per lan
 between the languages of neighbouring words are learned with them, by gradient ascent on the conditional likelihood. Training
 sequences are lines of labelled documents, put one behind the other in random order, so that they switch languages.
 Forward-backward over every word of a text gives each word's distribution; a text's language is the one with
-the most letters in expectation.
+the most words in expectation.
 """
 
 from __future__ import annotations
@@ -20,22 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, bounded_sample, held_out, texts_of
+from portolan.llm.textio import arrow_map, held_out, text_slices, texts_of
 
-FIT_ROWS, BUCKETS, STEPS, SEQUENCE = 1000, 1 << 16, 25, 120
+FIT_ROWS, BUCKETS, STEPS, SEQUENCE = 250, 1 << 16, 25, 120
+#: Longer runs of letters count as several words of this length, so that scripts without spaces are read whole.
+LONGEST, SLICE = 128, 2_000_000
 KEPT_WORDS, SLICE_WORDS = 300_000, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters (as ``str.isalpha`` tells them), lower-cased; of runs above ``LONGEST`` its pieces."""
+    found = _WORD.findall(text.lower())
+    if all(w.isalpha() and len(w) <= LONGEST for w in found):
+        return found
+    runs = (r for w in found for r in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()))
+    return [r[k : k + LONGEST] for r in runs for k in range(0, len(r), LONGEST)]
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word's lexicon, affix and n-gram features; of very long words the first and last 64 letters."""
-    w = word if len(word) <= 128 else word[:64] + word[-64:]
-    b = f"^{w}$".encode()
+    """Buckets of a word's lexicon, affix and n-gram features."""
+    b = f"^{word}$".encode("utf-8", "surrogatepass")
     n = len(b)
     parts = [b, b[:2], b[:3], b[:4], b[-2:], b[-3:], b[-4:]]
     parts += [b[i : i + 3] for i in range(n - 2)]
@@ -206,10 +211,16 @@ def train(rows: list[tuple[str, str]], seed: int = 42, steps: int = STEPS) -> Ta
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, fit_rows: int = FIT_ROWS) -> Tagger:
-    """Learns from about ``fit_rows`` rows at most (by a hash of the id; whole texts) with a language, outside fold 0."""
+    """Learns from about ``fit_rows`` different texts of each language (by a hash of id and text; all of them where there are fewer; whole
+    texts), outside fold 0. Rows without a text or a language aren't used."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = named.filter("text is not null and lang is not null").filter(~held_out("doc_id", folds))
-    return train([(r["lang"], r["text"]) for r in bounded_sample(known, fit_rows).orderBy("doc_id", "text").collect()])
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return train([])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, -(-fit_rows * 1_000_000 // n)))])
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(42)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
+    return train([(r["lang"], r["text"]) for r in sample.orderBy("lang", "text").collect()])
 
 
 def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +228,11 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
     letters, and where nothing was learned. Repeated rows and null ids are kept; an empty table gives an empty result;
     other columns aren't looked at. Ties go to the language that is first by name."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = tagger.classify(texts_of(batch)) if tagger.languages else [("und", 0.0, 0)] * batch.num_rows
+    def run(batch: pa.RecordBatch):
+        for part, texts in text_slices(batch, SLICE):
+            yield described(part, tagger.classify(texts) if tagger.languages else [("und", 0.0, 0)] * part.num_rows)
+
+    def described(batch: pa.RecordBatch, found: list) -> dict:
         return {"doc_id": batch.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "n_words": [f[2] for f in found]}
 
     return arrow_map(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, n_words long", run)

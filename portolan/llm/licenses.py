@@ -21,18 +21,18 @@ from portolan.llm.textio import arrow_map, texts_of
 #: Phrases and their labels: fixed values of the scan's contract.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence notices as their publishers word them (openings and grants), and lines by which works refer to them.
+#: Short licences and notices as their publishers word them, openings of longer ones, and lines by which works refer to them; fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("all-rights-reserved", "all rights reserved"),
 )
@@ -140,15 +140,22 @@ class LicenseAutomaton:
         """Chains of matches (file place, template place, tokens) that ascend in both, with small gaps in the file."""
         open_: list[list[tuple[int, int, int]]] = []
         for m in sorted(set(matches)):
+            over = [c for c in open_ if m[0] - (c[-1][0] + c[-1][2]) > MAX_GAP]  # no later match can follow these
+            if over:
+                yield from (s for c in over if (s := self._span(t, c)))
+                open_ = [c for c in open_ if m[0] - (c[-1][0] + c[-1][2]) <= MAX_GAP]
             fits = [c for c in open_ if 0 <= m[0] - (c[-1][0] + c[-1][2]) <= MAX_GAP and m[1] >= c[-1][1] + c[-1][2]]
             if fits:
                 max(fits, key=lambda c: sum(x[2] for x in c)).append(m)
             else:
                 open_.append([m])
-        for chain in open_:
-            covered = sum(m[2] for m in chain)
-            if covered >= min(MIN_COVER * self.sizes[t], MIN_TOKENS):
-                yield self.labels[t], chain[0][0], chain[-1][0] + chain[-1][2] - 1, min(1.0, covered / self.sizes[t])
+        yield from (s for c in open_ if (s := self._span(t, c)))
+
+    def _span(self, t: int, chain: list[tuple[int, int, int]]) -> tuple[str, int, int, float] | None:
+        covered = sum(m[2] for m in chain)
+        if covered < min(MIN_COVER * self.sizes[t], MIN_TOKENS):
+            return None
+        return self.labels[t], chain[0][0], chain[-1][0] + chain[-1][2] - 1, min(1.0, covered / self.sizes[t])
 
 
 _automata: dict[tuple, LicenseAutomaton] = {}

@@ -52,9 +52,10 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's response, metadata and conversion record, with digests and lengths in place of the blocks."""
+    """Every page's response, metadata and conversion record; ``content``: the fields or the text of what is derived (the response's is the page)."""
     records = warc.derivatives(warc.responses(spread(table(spark, sf_dir, "pages", "page_id", "url", "html"))))
-    return records.select(F.col("doc").cast("bigint").alias("page_id"), *[c for c in records.columns if c not in ("doc", "block")])
+    content = F.when(F.col("warc_type") != "response", F.col("block").cast("string")).alias("content")
+    return records.select(F.col("doc").cast("bigint").alias("page_id"), *[c for c in records.columns if c not in ("doc", "block")], content)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,18 +175,6 @@ def held_out(column: str, folds: int) -> Column:
     return fold(column, folds) == 0
 
 
-def bounded_sample(frame: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """About ``rows`` rows of ``frame`` (which has doc_id and text), taken by a hash; all of them where there are fewer.
-
-    For fitting a classifier on labelled rows: the bound is the caller's documented parameter.
-    """
-    n = frame.count()
-    if n <= rows:
-        return frame
-    share = int(rows / n * 1_000_000)
-    return frame.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share)
-
-
 def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, seed: int = 42) -> DataFrame:
     """About ``rows`` rows at most of ``docs`` (doc_id, text) with their mark (``marks``: k, more; an id at most once), taken by a hash.
 

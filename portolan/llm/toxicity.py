@@ -14,6 +14,7 @@ the grammar's own.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from math import exp, log, log1p
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, held_out, labelled_sample, slices, texts_of
+from portolan.llm.textio import arrow_map, bitmap, bounded_batches, held_out, in_bitmap, labelled_sample, slices, texts_of, written
 
-FIT_ROWS, MAX_STEMS, LONGEST_STEM = 20_000, 20_000, 7
+FIT_ROWS = 20_000
+#: A stem is a beginning of a word of four to this many letters, or the whole word.
+LONGEST_STEM = 7
+_BITS = 24
 
 #: Words of each class, in the languages of the corpus; fixed values.
 TARGETS = "you your yours yourself du dich dir dein deine ihr euch tu toi te vous votre tú ti usted ustedes tus".split()
@@ -124,7 +128,7 @@ def tokens(text: str) -> list[bytes]:
 
 def _stems(word: bytes) -> list[bytes]:
     """Whole word (marked by a space behind it) and its beginnings of at least four letters."""
-    w = word.decode("utf-8", "replace")
+    w = word[: 4 * LONGEST_STEM].decode("utf-8", "ignore")  # as many letters at least, if the word has them
     return [word + b" ", *(w[:k].encode() for k in range(4, min(len(w), LONGEST_STEM) + 1))]
 
 
@@ -142,7 +146,7 @@ class Lexicon(dict):
         if len(self) > 500_000:
             self.clear()
             self.update(self.fixed)
-        symbol = min((s for k in _stems(token[:256]) if (s := self.stems.get(k))), default="O")
+        symbol = min((s for k in _stems(token) if (s := self.stems.get(k))), default="O")
         self[token] = symbol
         return symbol
 
@@ -175,17 +179,21 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, float(np.dot(self.weights, self.features(found)))))))
 
 
-def _beyond_chance(hits: int, n: int, p: float) -> float:
-    """Log of the upper bound hits..n of a binomial's tail (Chernoff)."""
-    q = hits / n
-    return 0.0 if q <= p else -n * (q * log(q / p) + (0 if q == 1 else (1 - q) * log((1 - q) / (1 - p))))
+def _marks(clean: Column, candidates: int, share: float) -> Column:
+    """Whether a stem (n toxic rows, contexts) with ``clean`` clean rows marks toxic rows: mostly in toxic rows, in contexts of its own rather than in
+    copies of a text, and beyond chance over all candidates (Chernoff's bound on a binomial's tail; ``share``: of toxic rows)."""
+    own = F.least("n", "contexts").cast("double")
+    total = own + clean
+    q = own / total
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    tail = F.when(q <= share, 0.0).otherwise(-total * (q * F.log(q / share) + rest))
+    return (F.col("contexts") >= 0.5 * F.col("n")) & (F.col("n") >= 4 * clean) & (own >= 3) & (tail + log(max(1, candidates)) < log(0.01))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from about ``fit_rows`` labelled rows at most (by a hash of the id) outside fold 0; rows with null labels
-    aren't used. Without any, the model has the seed words and the grammar's own weights.
-
-    ``MAX_STEMS`` bounds the candidates for the lexicon that come to the driver (the most frequent ones in toxic rows).
+    aren't used. Without any, the model has the seed words and the grammar's own weights. All stems of the sampled rows are
+    candidates for the lexicon; the driver gets those that mark toxic rows beyond chance.
     """
     marked = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("toxic")).filter("toxic is not null").groupBy("k").agg(F.max("toxic").alias("toxic"))
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(~held_out("doc_id", folds))
@@ -204,27 +212,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ts = [t for t in tokens(text) if t not in (b"", b"\n")]
                 for before, word, after in zip([b"", *ts], ts, [*ts[1:], b""]):
                     context = hash_of(before + b" " + after)
-                    for stem in _stems(word[:256]):
+                    for stem in _stems(word):
                         here.setdefault(stem, context)
                 for stem, context in here.items():
                     seen.setdefault(stem, []).append(context)
             yield {"stem": list(seen), "n": [len(x) for x in seen.values()], "contexts": [list(set(x)) for x in seen.values()]}
 
     found = arrow_map(rows.filter("toxic").select("doc_id", "text"), "stem binary, n long, contexts array<int>", toxic_stems)
-    found = found.groupBy("stem").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("contexts")))).alias("contexts")).filter("n >= 3")
-    table = found.orderBy(F.desc("n"), "stem").limit(MAX_STEMS).toArrow()
-    toxic_in = {s.as_py(): (n.as_py(), c.as_py()) for s, n, c in zip(table["stem"], table["n"], table["contexts"])}
-    wanted = frozenset(toxic_in)
+    found = written(found.groupBy("stem").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("contexts")))).alias("contexts")).filter("n >= 3"))
+    n_candidates = found.count()
+    share = min(0.9, (n_toxic + 1) / (n_toxic + n_clean + 2))
+    hopeful = found.filter(_marks(F.lit(0), n_candidates, share))  # some would still do if no clean row had them
+    known_bits = bitmap(hopeful.select(F.xxhash64("stem").alias("h")), "h", _BITS)
 
     def clean_stems(batch: pa.RecordBatch) -> dict:
         counts: Counter = Counter()
         for text in texts_of(batch):
-            counts.update({s for word in set(tokens(text)) for s in _stems(word[:256])} & wanted)
+            counts.update({s for word in set(tokens(text)) for s in _stems(word)})
         return {"stem": list(counts), "n": list(counts.values())}
 
-    clean = arrow_map(rows.filter("not toxic").select("doc_id", "text"), "stem binary, n long", clean_stems).groupBy("stem").agg(F.sum("n").alias("n"))
-    clean_in = {bytes(r["stem"]): r["n"] for r in clean.collect()}  # at most MAX_STEMS
-    stems = choose(toxic_in, clean_in, n_toxic, n_clean)
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(known_bits, batch.column(2).to_numpy().view(np.uint64), _BITS))).select([0, 1])
+
+    clean = arrow_map(rows.filter("not toxic").select("doc_id", "text"), "stem binary, n long", clean_stems)
+    clean = bounded_batches(clean).select("stem", "n", F.xxhash64("stem")).mapInArrow(likely, "stem binary, n long").groupBy("stem").agg(F.sum("n").alias("c"))
+    judged = hopeful.join(clean, "stem", "left").withColumn("c", F.coalesce("c", F.lit(0))).filter(_marks(F.col("c"), n_candidates, share)).collect()
+    stems = choose({bytes(r["stem"]): (r["n"], r["c"]) for r in judged}, n_toxic, n_clean)
     model = Model(stems, PRIOR)
 
     def described(batch: pa.RecordBatch) -> dict:
@@ -239,22 +253,20 @@ def hash_of(data: bytes) -> int:
     return crc32(data) - (1 << 31)
 
 
-def choose(toxic_in: dict[bytes, tuple[int, int]], clean_in: dict[bytes, int], n_toxic: int, n_clean: int) -> dict[bytes, str]:
-    """The stems that mark toxic rows: beyond chance over all candidates, mostly in toxic rows, and in contexts of their own
-    rather than in copies of a text. Of stems in the same rows the longest one stands for all, and words that begin with a stem aren't listed beside it."""
-    share = min(0.9, (n_toxic + 1) / (n_toxic + n_clean + 2))
-    pure: dict[bytes, float] = {}
-    for stem, (n, contexts) in toxic_in.items():
-        c = clean_in.get(stem, 0)
-        own = min(n, contexts)
-        if contexts >= 0.5 * n and n >= 4 * c and own >= 3 and _beyond_chance(own, own + c, share) + log(len(toxic_in)) < log(0.01):
-            pure[stem] = log((n + 0.5) / (n_toxic + 1)) - log((c + 0.5) / (n_clean + 1))
+def choose(pure: dict[bytes, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[bytes, str]:
+    """Of the stems that mark toxic rows (numbers of toxic and clean rows) those listed, with their strength. Of stems in the same rows the longest
+    one stands for all, and words that begin with a stem aren't listed beside it."""
+    names = sorted(pure)
     out: dict[bytes, str] = {}
     for stem in sorted(pure, key=lambda s: (len(s), s)):
-        longer = [t for t in pure if len(t) > len(stem) and t.startswith(stem)]
-        if any(toxic_in[t][0] >= 0.95 * toxic_in[stem][0] for t in longer) or any(stem[:k] in out for k in range(1, len(stem))):
+        if any(stem[:k] in out for k in range(1, len(stem))):
+            continue
+        longer = names[bisect_left(names, stem) + 1 : bisect_left(names, stem + b"\xff")]
+        n, c = pure[stem]
+        if any(pure[t][0] >= 0.95 * n for t in longer):
             continue
-        out[stem] = "A" if pure[stem] >= 3 else "B" if pure[stem] >= 2 else "C"
+        weight = log((n + 0.5) / (n_toxic + 1)) - log((c + 0.5) / (n_clean + 1))
+        out[stem] = "A" if weight >= 3 else "B" if weight >= 2 else "C"
     return out
 
 

@@ -44,3 +44,12 @@ def test_empty_table(docs):
 def test_no_python_in_the_plan(docs):
     plan = exact_groups(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SortAggregate" in plan
+
+
+def test_rounds_grow_with_the_rows(docs):
+    from portolan.llm.exact_dedup import FAN_IN, RUN_ROWS, rounds_for
+
+    assert [rounds_for(n) for n in (0, 10**6, 10**9, 10**12)] == [2, 2, 3, 6] and FAN_IN**6 * RUN_ROWS >= 10**12
+    rows = [(i % 50, f"t{i % 9}") for i in range(400)]  # ids repeat with other texts
+    got = exact_groups(docs(rows)).collect()
+    assert sum(r.kept for r in got) == 9 and len(got) == 400

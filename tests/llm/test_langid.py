@@ -77,3 +77,16 @@ def test_fit_uses_labelled_rows_outside_the_held_out_fold_only(spark, docs, odd)
     assert L.identify(docs([]), tagger).collect() == []
     words = L.label_words(docs([(1, "the schung eau")]), tagger).collect()[0]
     assert words.word == ["the", "schung", "eau"] and len(words.lang) == len(words.probability) == 3
+
+
+def test_only_letters_count_and_long_runs_are_read_whole(tagger):
+    assert L.words("a² ½b Ⅷ① x_y 3z") == ["a", "b", "x", "y", "z"]
+    assert [f[0] for f in tagger.classify(["² ½ ① Ⅷ 12", "٣"])] == ["und", "und"]
+    assert "".join(L.words("ab" * 400)) == "ab" * 400 and max(map(len, L.words("ab" * 400))) == L.LONGEST
+
+
+def test_each_language_has_its_own_sample(spark):
+    rng = random.Random(5)
+    rows = [(i, text("en", rng), "en") for i in range(2000)] + [(5000 + i, text("fr", rng), "fr") for i in range(4)] + [(7, "same text", "en")] * 300
+    tagger = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=40)
+    assert tagger.languages == ["en", "fr"]

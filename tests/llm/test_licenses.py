@@ -57,3 +57,32 @@ def test_labels_of_the_method_come_on_top(docs):
     assert got == {1: ("", "gpl-3", 1.0), 2: ("mit", "all-rights-reserved,mit", 1.0), 3: ("", "", 0.0)}
     assert {r.label for r in L.license_spans(docs(rows)).collect()} == {"gpl-3", "mit", "all-rights-reserved"}
     assert L.license_scan(docs([])).collect() == []
+
+
+def test_many_repeats_of_a_line_take_linear_time():
+    import time
+
+    began = time.time()
+    n, found, spans = L.automaton().scan("released under the mit license and more of other words that no template has here at all\n" * 20_000)
+    assert len(found) == 20_000 and len(spans) >= 20_000 and time.time() - began < 10
+
+
+def test_chains_as_by_brute_force(monkeypatch):
+    """Chains that are closed by the gap are those of a scan that keeps all open."""
+    rng = random.Random(4)
+    a = L.LicenseAutomaton((("x", "a b c d e f g h i j"), ("y", "d e f k l m")), {"k l": "z"})
+    monkeypatch.setattr(L, "MIN_COVER", 0.5)
+
+    def kept_open(t, matches):
+        chains = []
+        for m in sorted(set(matches)):
+            fits = [c for c in chains if 0 <= m[0] - (c[-1][0] + c[-1][2]) <= L.MAX_GAP and m[1] >= c[-1][1] + c[-1][2]]
+            if fits:
+                max(fits, key=lambda c: sum(x[2] for x in c)).append(m)
+            else:
+                chains.append([m])
+        return sorted(s for c in chains if (s := a._span(t, c)))
+
+    for _ in range(200):
+        matches = [(rng.randint(0, 80), rng.randint(0, 7), rng.randint(1, 3)) for _ in range(rng.randint(0, 40))]
+        assert sorted(a._chains(0, matches)) == kept_open(0, matches)
