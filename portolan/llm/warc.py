@@ -30,12 +30,14 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, by RF
 #: Elements whose content isn't text; elements that begin and end lines: fixed values.
 DROPPED = "script style noscript template".split()
 BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav aside blockquote pre title head body form main td th dl dt dd hr".split())
+_SPECIAL = frozenset(["a", "html", "title", *DROPPED])
+_OPEN = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[!?/])")
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)?")
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
 _END_OF_TITLE = re.compile(r"</title", re.I)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+_BLANKS, _LINES = re.compile(r" ?[^\S\n ][^\S\n]*| {2,}[^\S\n]*"), re.compile(r" ?\n[ \n]*")
 
 RECORD = "doc string, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_payload_digest string, source_headers string, block binary"
 
@@ -57,14 +59,19 @@ class Page:
         self.lang = ""
         self.links: list[str] = []
         self.gone: set[str] = set()  # ends that don't come any more: never looked for again
-        at = 0
-        while at < len(html):
-            open_ = html.find("<", at)
-            if open_ < 0:
-                break
-            self.text.append(html[at:open_])
-            at = self._markup(html, open_)
-        self.text.append(html[at:])
+        at, put, find = 0, self.text.append, html.find
+        for m in iter(lambda: _OPEN.search(html, at), None):
+            put(html[at : m.start()])
+            name = m[1]
+            if name is not None and name not in _SPECIAL and ">" not in self.gone and (end := find(">", m.end())) >= 0:  # most tags
+                if name.lower() in BREAKS:
+                    put("\n")
+                elif name.lower() in _SPECIAL:
+                    end = self._markup(html, m.start()) - 1
+                at = end + 1
+            else:
+                at = self._markup(html, m.start())
+        put(html[at:])
 
     def _find(self, html: str, what: str, at: int) -> int:
         """Where ``what`` stands from ``at`` on; the length of the page if nowhere."""
@@ -83,9 +90,6 @@ class Page:
             return self._find(html, ">", at) + 1
         m = _NAME.match(html, at + 1)
         closing, name = m[1], (m[2] or "").lower()
-        if not closing and not name:
-            self.text.append("<")
-            return at + 1
         end = self._find(html, ">", at)
         if name in _CLOSE and not closing:
             self.text.append(" ")
