@@ -31,19 +31,24 @@ def io_label(operation: Column) -> Column:
     return first_match(F.coalesce(operation, F.lit("")), IO_LABELS, "Otro")
 
 
-#: Resources in diagrams: other groups than in scores, by substring, indirect calls first.
+#: Resources in diagrams: other groups than in scores, by what stands in the operation; fixed values.
 DIAGRAM_LABELS = [
-    ("Activator|GetTypeFromCLSID|Invoke", "Reflection / COM"), ("ModbusClient|SerialPort", "PLC / serial"), ("Http|WebClient|WebRequest|Smtp", "Red"),
-    ("Print|BarTender", "Impresion"), ("Process", "Proceso externo"), ("File|Directory|Stream", "Archivos"),
-]
+    (r"File\.|Directory\.|StreamReader|StreamWriter|FileStream|DirectoryInfo", "Archivos / carpetas"),
+    ("PrintDocument|PrintDialog|PrinterSettings|BarTender|PrintOut", "Impresora"),
+    ("SerialPort", "Puerto serial"),
+    ("ModbusClient", "PLC / Modbus"),
+    (r"Process\.Start", "Proceso externo"),
+    ("HttpClient|WebClient|HttpWebRequest|WebRequest|SmtpClient", "Red (HTTP/SMTP)"),
+]
 
 
-def diagram_label(operation: Column) -> Column:
-    return first_match(F.coalesce(operation, F.lit("")), DIAGRAM_LABELS, "Otro")
+def diagram_label(operation: Column, category: Column) -> Column:
+    """The group of an operation in diagrams; findings of the category ``reflection`` have one of their own whatever they call."""
+    return F.when(category == "reflection", "Reflection / COM").otherwise(first_match(F.coalesce(operation, F.lit("")), DIAGRAM_LABELS, "Otro I/O"))
 
 
 def confidence_label(value: Column) -> Column:
-    return F.when(value <= 20, "unknown").when(value < 55, "low").when(value < 70, "medium").otherwise("high")
+    return F.when(value.isNull() | (value <= 20), "unknown").when(value < 55, "low").when(value < 70, "medium").otherwise("high")
 
 
 def looked_up(frame: DataFrame, key: str, dimension: DataFrame, default: int = DEFAULT_CONFIDENCE) -> DataFrame:

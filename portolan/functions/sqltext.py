@@ -25,7 +25,6 @@ MEASUREMENTS = ("IL", "REFLA", "REFLB", "ILENDA", "ILENDB")
 STATUS_METADATA = ("STATUS", "DEVICE", "CONNECTOR", "ENDS", "SERIAL_NUMBER", "EMPLOYEE_NUMBER", "WIP_ENTITY_NAME")
 STRONG = ("TEST_DATE", "DEVICE_STATUS", "PASSFAIL")
 STRONG_ID = r"(?i)^TEST_[A-Z0-9_]+_ID$"
-NESTED = 4
 
 
 def statement(resolved: Column, raw: Column) -> Column:
@@ -54,10 +53,20 @@ def column_name(token: Column) -> Column:
 
 
 def top_level_items(text: Column) -> Column:
-    """Items between commas that aren't within parentheses (nested up to ``NESTED`` deep); a call's arguments are dropped."""
-    for _ in range(NESTED):
-        text = F.regexp_replace(text, r"\([^()]+\)", "()")
-    return F.split(text, ",")
+    """Items between commas that aren't within parentheses, however deep: pieces between all commas are put together again as long as
+    a parenthesis is open. Lists without any are split at once."""
+    pieces = F.split(text, ",")
+    balance = lambda piece: F.length(F.translate(piece, ")", "")) - F.length(F.translate(piece, "(", ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
+
+    def step(state: Column, piece: Column) -> Column:
+        item = F.concat_ws(",", state["open"], piece)
+        depth = state["depth"] + balance(piece)
+        whole = depth == 0
+        return F.struct(F.when(whole, F.array_append(state["done"], item)).otherwise(state["done"]).alias("done"), F.when(~whole, item).alias("open"), depth.alias("depth"))
+
+    joined = F.aggregate(pieces, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    return F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit(")")), joined).otherwise(pieces)
 
 
 def names_in(items: Column) -> Column:

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Servers known to be gone are skipped; drivers' errors in short, by SQLSTATE; fixed values.
-ERRORS = {"28000": "acceso denegado", "08001": "servidor no accesible", "42000": "sin permiso o sintaxis", "HYT00": "tiempo agotado"}
+#: What a failed connection is called in reports, with the driver's SQLSTATE where it gives one; fixed values.
+FAILED, CHECK = "no se pudo conectar", "revisar con infraestructura/DBA"
+OBJECT = r"^\[?(\w+)\]?(?:\.\[?(\w+)\]?)?$"
+SQL_SERVER, ORACLE = r"(?i)\bServer\s*=|\bUser Id\s*=|\bUid\s*=", r"(?i)Data Source\s*=\s*\(|TNS|Oracle"
 
 
 def short_error(message: Column) -> Column:
-    """A driver's error by its SQLSTATE, else its first line."""
-    out = None
-    for state, text in ERRORS.items():
-        hit = F.contains(message, F.lit(state))
-        out = F.when(hit, text) if out is None else out.when(hit, text)
-    return out.otherwise(F.substring_index(message, "\n", 1))
+    """A driver's error in short: its state is what stands first in quotes, of messages that begin with a parenthesis."""
+    state = F.regexp_extract(message, r"^\([^']*'([^']*)", 1)
+    return F.when(state != "", F.concat(F.lit(f"{FAILED} (SQLSTATE "), state, F.lit(f") — {CHECK}"))).otherwise(f"{FAILED} — {CHECK}")
 
 
 def is_sql_server(connection: Column) -> Column:
-    return connection.rlike(r"(?i)(initial catalog|database)\s*=") & ~connection.rlike(r"(?i)\(\s*description\s*=")
+    """Whether a connection string names a server or user as SQL Server's do, without signs of Oracle."""
+    return connection.rlike(SQL_SERVER) & ~connection.rlike(ORACLE)
 
 
 def object_name(target: Column) -> Column:
-    """struct<schema, name>; dbo where no schema is given."""
-    pattern = r"^\[?(\w+)\]?\.\[?(\w+)\]?$"
-    qualified = target.rlike(pattern)
-    return F.struct(F.when(qualified, F.regexp_extract(target, pattern, 1)).otherwise("dbo").alias("schema"), F.when(qualified, F.regexp_extract(target, pattern, 2)).otherwise(F.regexp_replace(target, r"[\[\]]", "")).alias("name"))
+    """struct<schema, name>; dbo where no schema is given; null for what isn't a name."""
+    name = F.trim(target)
+    first, second = F.regexp_extract(name, OBJECT, 1), F.regexp_extract(name, OBJECT, 2)
+    return F.when(name.rlike(OBJECT), F.struct(F.when(second != "", first).otherwise("dbo").alias("schema"), F.when(second != "", second).otherwise(first).alias("name")))
 
 
 def asked(targets: DataFrame, connections: DataFrame, dead: list[str]) -> DataFrame:
-    """Which objects (app_id, target, is_procedure) are asked on which connections (app_id, place, server): distinct whatever the case, dead servers left out."""
-    objects = targets.withColumn("o", object_name(F.col("target"))).groupBy("app_id", "is_procedure", F.lower("o.schema").alias("schema"), F.lower("o.name").alias("name")).agg(F.min("target").alias("target"))
+    """Which objects (app_id, target, is_procedure) are asked on which connections (app_id, place, server): distinct whatever the case; dead servers and what isn't a name are left out."""
+    objects = targets.withColumn("o", object_name(F.col("target"))).filter("o is not null").groupBy("app_id", "is_procedure", F.lower("o.schema").alias("schema"), F.lower("o.name").alias("name")).agg(F.min("target").alias("target"))
     alive = connections.filter(~F.lower("server").isin([d.lower() for d in dead])) if dead else connections
     return objects.join(alive, "app_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import sqltext as S
@@ -41,21 +41,23 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.max(condition), F.lit(False))
 
 
-def roles(ops: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """``app_id, target, role, status, n_reads, n_writes``: one row per application and table as spelled."""
-    empty = F.array().cast("array<string>")
-    named = F.coalesce("cols", empty)
+def _evidence(ops: DataFrame) -> DataFrame:
+    """A row per application, table as spelled and key: what its statements do and name."""
+    named = F.coalesce("cols", F.array().cast("array<string>"))
     writes, reads = F.col("op").isin("insert", "update", "delete", "merge"), F.col("op") == "select"
     measured = F.exists(named, lambda c: S.is_member(c, S.MEASUREMENTS))
     strong = F.exists(named, lambda c: S.is_strong(c))
     ambiguous = F.exists(named, lambda c: S.is_member(c, S.STATUS_METADATA))
     known = F.size(named) > 0
-    rows = ops.filter("target is not null and op is not null").groupBy("app_id", "target", "key").agg(
+    return ops.filter("target is not null and op is not null").groupBy("app_id", "target", "key").agg(
         F.count_if(writes).alias("n_writes"), F.count_if(reads).alias("n_reads"),
         _any(writes & measured).alias("wm"), _any(writes & (known | (F.col("op") == "delete"))).alias("wk"),
         _any(reads & measured).alias("rm"), _any(reads & strong).alias("rs"), _any(reads & ambiguous).alias("ra"), _any(reads & known).alias("rk"),
+        _any(~F.col("is_sp") & strong).alias("tells"),
     )
-    rows = rows.join(confirmed, "key", "left")
+
+
+def _with_role(rows: DataFrame) -> DataFrame:
     w, r = F.col("n_writes") > 0, F.col("n_reads") > 0
     role = (
         F.when(w & r, "mixto")
@@ -66,9 +68,16 @@ def roles(ops: DataFrame, confirmed: DataFrame) -> DataFrame:
     return rows.select("app_id", "target", "key", role.alias("role"), F.when(role == "indeterminado", "unresolved_no_columns").otherwise("resolved").alias("status"), "n_reads", "n_writes")
 
 
+def roles(ops: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``app_id, target, role, status, n_reads, n_writes``: one row per application and table as spelled."""
+    return _with_role(_evidence(ops).join(confirmed, "key", "left"))
+
+
 def portfolio_roles(findings: DataFrame) -> DataFrame:
-    ops = operations(findings)
-    return roles(ops, context(ops))
+    """The roles of all applications. Statements are read once: the context of a table comes from the rows per application
+    that the roles are made of, by a window over its applications."""
+    told = F.max("tells").over(Window.partitionBy("key"))
+    return _with_role(_evidence(operations(findings)).withColumn("confirmed", F.when(F.col("key").isNotNull(), told)))
 
 
 def bounded_roles(findings: DataFrame, app: int) -> DataFrame:
@@ -88,30 +97,32 @@ PRODUCES, CONSUMES = ("productor_numerico", "productor_passfail", "mixto"), ("co
 
 
 def _sides(rows: DataFrame) -> DataFrame:
-    """One row per application and table key, whatever the spellings: whether it produces, consumes, or both."""
-    return rows.filter("role <> 'indeterminado' and key is not null").groupBy("key", "app_id").agg(F.max(F.col("role").isin(*PRODUCES)).alias("produces"), F.max(F.col("role").isin(*CONSUMES)).alias("consumes"))
+    """One row per application and table key, whatever the spellings: ``side`` has 1 where it produces, 2 where it consumes. Both sides of a
+    relation read this one column, so that the exchange behind it is made once."""
+    side = F.when(F.col("role").isin(*PRODUCES), 1).otherwise(0).bitwiseOR(F.when(F.col("role").isin(*CONSUMES), 2).otherwise(0))
+    return rows.filter("role <> 'indeterminado' and key is not null").groupBy("key", "app_id").agg(F.bit_or(side).alias("side"))
 
 
 def strong_relations(rows: DataFrame) -> DataFrame:
     """``producer, consumer, n_tables``: one application writes what another reads."""
     s = _sides(rows)
-    a = s.filter("produces").select("key", F.col("app_id").alias("producer"))
-    b = s.filter("consumes").select("key", F.col("app_id").alias("consumer"))
+    a = s.filter("side & 1 <> 0").select("key", F.col("app_id").alias("producer"))
+    b = s.filter("side & 2 <> 0").select("key", F.col("app_id").alias("consumer"))
     return a.join(b, "key").filter("producer <> consumer").groupBy("producer", "consumer").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
 def weak_relations(rows: DataFrame) -> DataFrame:
     """``app_a, app_b, n_tables``: two applications share a table and neither feeds the other through it."""
     s = _sides(rows)
-    a = s.select("key", F.col("app_id").alias("app_a"), F.col("produces").alias("pa"), F.col("consumes").alias("ca"))
-    b = s.select("key", F.col("app_id").alias("app_b"), F.col("produces").alias("pb"), F.col("consumes").alias("cb"))
-    both = a.join(b, "key").filter("app_a < app_b and not (pa and cb) and not (pb and ca)")
+    a = s.select("key", F.col("app_id").alias("app_a"), F.col("side").alias("sa"))
+    b = s.select("key", F.col("app_id").alias("app_b"), F.col("side").alias("sb"))
+    both = a.join(b, "key").filter("app_a < app_b and not (sa & 1 <> 0 and sb & 2 <> 0) and not (sb & 1 <> 0 and sa & 2 <> 0)")
     return both.groupBy("app_a", "app_b").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
 def self_loops(rows: DataFrame) -> DataFrame:
     """``app_id, n_tables``: applications that read what they write."""
-    return _sides(rows).filter("produces and consumes").groupBy("app_id").agg(F.count(F.lit(1)).alias("n_tables"))
+    return _sides(rows).filter("side = 3").groupBy("app_id").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
 def relations_of(rows: DataFrame, app: int) -> DataFrame:

@@ -12,6 +12,23 @@ from portolan.functions.sqltext import server_of
 
 UNMATCHED = "Sin categorizar"
 
+#: Categories of curated findings and what their texts say; fixed values.
+PATTERN_CATEGORIES = [
+    ("Inyeccion SQL / concatenacion sin parametros", r"(?i)sql injection|inyecci[oó]n sql|concatenaci[oó]n(?:\s+de\s+strings?)?\s*(?:sin|,)"),
+    ("Credenciales en texto plano / hardcodeadas", r"(?i)texto plano|hardcode|password.*(claro|visible)"),
+    ("Manejo de errores silencioso", r"(?i)silenc|catch\s+vac[ií]|traga(?:das|n)?\s+excepci|oculta.*(fall|error)"),
+    ("Riesgo de caida por timer/thread sin manejo de excepciones", r"(?i)timer.*sin manejo|riesgo de (ca[ií]da|crash)|async void"),
+    ("Codigo muerto / nunca invocado", r"(?i)c[oó]digo muerto|nunca (se usa|invocad|se invoca)|sin usar|hu[eé]rfan|inalcanzable"),
+    ("Falta de transaccion / atomicidad", r"(?i)sin transacci[oó]n|atomicidad|TransactionScope"),
+    ("Certificacion de operador nunca validada", r"(?i)certificaci[oó]n.*(nunca|no se valid)|cert_end_date"),
+    ("Falso exito / perdida silenciosa de datos", r"(?i)falso.?exito|p[eé]rdida silenciosa|no inserta nada"),
+    ("Autenticacion debil / sin re-verificar permisos", r"(?i)autenticaci[oó]n d[eé]bil|sin (volver a pedir|password de supervisor)|no distingue nivel"),
+    ("Contaminacion de decompilacion (proyecto ajeno)", r"(?i)contaminad|Roslyn Compiler Server"),
+    ("Bypass de autorizacion / control de permisos ausente", r"(?i)bypass|sin.*(autorizaci[oó]n|control de permisos)"),
+]
+#: States of a review that count as reviewed; fixed values.
+REVIEWED = ("logica_revisada", "listo_para_migrar")
+
 
 # ---- dictionary and dependencies
 
@@ -49,7 +66,7 @@ def server_edges(settings: DataFrame, apps: DataFrame) -> DataFrame:
 # ---- patterns
 
 
-def pattern_members(findings: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+def pattern_members(findings: DataFrame, patterns: list[tuple[str, str]] = PATTERN_CATEGORIES) -> DataFrame:
     """Each finding (id, app_name, title, description) once per category whose pattern it has; ``UNMATCHED`` with none. One
     pass over the text: the categories are an array built beside it."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
@@ -94,7 +111,7 @@ def risk(curated: DataFrame, flags: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def dependencies(edges: DataFrame, apps: DataFrame) -> DataFrame:
-    """Edges at either end."""
+    """Edges at either end; ``edges``: those by tables and those by servers together."""
     ends = edges.select(F.explode(F.array("app_a", "app_b")).alias("app_id"))
     return _factor(ends.groupBy("app_id").agg(F.count(F.lit(1)).alias("raw")), apps, "dependencias")
 
@@ -169,9 +186,9 @@ def contributions(factors: list[DataFrame]) -> DataFrame:
 
 
 def priority(rows: DataFrame) -> DataFrame:
-    """``app_id, score, n_factors, bucket``; a factor without evidence adds nothing."""
+    """``app_id, score, n_factors, bucket``, the highest score first; a factor without evidence adds nothing."""
     score = rows.groupBy("app_id").agg(F.round(F.coalesce(F.sum("contribution"), F.lit(0.0)), 2).alias("score"), F.count("bucket").alias("n_factors"))
-    return terciles(score, [], "score")
+    return terciles(score, [], "score").orderBy(F.desc("score"), "app_id")
 
 
 def top_contributions(rows: DataFrame, k: int = 2) -> DataFrame:
@@ -201,7 +218,7 @@ def findings_with_apps(curated: DataFrame, apps: DataFrame) -> DataFrame:
 def sidebar(apps: DataFrame) -> DataFrame:
     """Families by the name before its first slash: members, reviewed ones, newest analysis; a family of one isn't grouped."""
     family = F.substring_index("app_name", "/", 1)
-    out = apps.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("review_status") == "revisado").alias("reviewed"), F.max("analyzed_at").alias("newest"))
+    out = apps.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("review_status").isin(*REVIEWED)).alias("reviewed"), F.max("analyzed_at").alias("newest"))
     return out.withColumn("grouped", F.col("members") >= 2)
 
 
@@ -223,5 +240,15 @@ def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def capped_nodes(edges: DataFrame, cap: int = 80) -> DataFrame:
-    """Distinct edges (class_name, kind, target) of a diagram as long as there are at most ``cap`` nodes, by name; a report, so capped on purpose."""
-    return edges.select("class_name", "kind", "target").distinct().orderBy("class_name", "kind", "target").limit(cap)
+    """Distinct edges (class_name, kind, target) of a diagram, by name, as long as there are fewer than ``cap`` nodes (classes, and resources of
+    a kind) before the edge's resource; a report, so capped on purpose.
+
+    With at most ``cap`` nodes there are at most cap * cap / 4 edges, so that only the first of these are numbered.
+    """
+    first = edges.select("class_name", "kind", "target").distinct().orderBy("class_name", "kind", "target").limit(cap * cap // 4 + cap)
+    order = Window.orderBy("class_name", "kind", "target")
+    new_class = (F.row_number().over(Window.partitionBy("class_name").orderBy("kind", "target")) == 1).cast("int")
+    new_resource = (F.row_number().over(Window.partitionBy("kind", "target").orderBy("class_name")) == 1).cast("int")
+    rows = first.withColumns({"_c": new_class, "_r": new_resource})
+    before = F.sum("_c").over(order) + F.sum("_r").over(order) - F.col("_r")
+    return rows.withColumn("_n", before).filter(F.col("_n") < cap).select("class_name", "kind", "target")

@@ -9,6 +9,7 @@ from portolan.functions.labels import confidence_label, diagram_label
 from portolan.operators.portfolio import capped_nodes, first_of_each
 
 NODE_CAP, SNIPPET = 80, 200
+TRUNCATED = '  nota_truncado["... diagrama truncado"]'
 
 
 def cell(text: Column) -> Column:
@@ -39,7 +40,7 @@ def shown_io(io: DataFrame) -> DataFrame:
 def resource_edges(findings: DataFrame, io: DataFrame) -> DataFrame:
     """``app_name, class_name, kind, target``: what each class touches."""
     a = findings.filter("target is not null").select("app_name", "class_name", F.when(F.col("is_stored_procedure"), "procedure").otherwise("table").alias("kind"), "target")
-    b = io.select("app_name", "class_name", F.lit("resource").alias("kind"), diagram_label(F.col("operation")).alias("target"))
+    b = io.select("app_name", "class_name", F.lit("resource").alias("kind"), diagram_label(F.col("operation"), F.col("category")).alias("target"))
     return a.unionByName(b).distinct()
 
 
@@ -48,10 +49,14 @@ def _node(name: Column) -> Column:
 
 
 def class_diagram(edges: DataFrame, app: str, cap: int = NODE_CAP) -> DataFrame:
-    """One row ``mermaid``: classes and what they touch, by name, up to ``cap`` edges."""
-    rows = capped_nodes(edges.filter(F.col("app_name") == app), cap)
+    """One row ``mermaid``: classes and what they touch, by name, up to ``cap`` nodes; a note where something is left out."""
+    own = edges.filter(F.col("app_name") == app)
+    rows = capped_nodes(own, cap)
     line = F.concat(F.lit("  "), _node(F.col("class_name")), F.lit("["), F.col("class_name"), F.lit("] --> "), _node(F.col("target")), F.lit("[("), F.col("target"), F.lit(")]"))
-    return _diagram(rows.select(F.struct("class_name", "kind", "target", line.alias("line")).alias("x")))
+    shown = rows.select(F.lit(0).alias("last"), "class_name", "kind", "target", line.alias("line"))
+    more = own.select("class_name", "kind", "target").distinct().groupBy().agg(F.count(F.lit(1)).alias("all")).crossJoin(rows.groupBy().agg(F.count(F.lit(1)).alias("shown"))).filter("all > shown")  # one row each
+    note = more.select(F.lit(1).alias("last"), F.lit("").alias("class_name"), F.lit("").alias("kind"), F.lit("").alias("target"), F.lit(TRUNCATED).alias("line"))
+    return _diagram(shown.unionByName(note).select(F.struct("last", "class_name", "kind", "target", "line").alias("x")))
 
 
 def relations_diagram(strong: DataFrame, loops: DataFrame, cap: int = NODE_CAP) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from portolan.functions.labels import DIAGRAM_LABELS, FACTOR_WEIGHTS, IO_LABELS, ROLES
-from portolan.functions.sqltext import ASSIGNED, INSERT_COLUMNS, KEYWORDS, MEASUREMENTS, OPERATIONS, SELECT_LIST, STATUS_METADATA, STRONG, TABLE_PATTERNS, UPDATE_CLAUSE
+from portolan.functions.labels import FACTOR_WEIGHTS, IO_LABELS, ROLES
+from portolan.functions.sqltext import KEYWORDS, TABLE_PATTERNS
 from portolan.plans.rendered import IO_OPERATIONS, TEMPLATES, TEXT_PATTERNS
 
 
@@ -23,20 +23,11 @@ def _first(column: str, rules, otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_q(p)}) THEN {_q(label)}" for p, label in rules) + f" ELSE {_q(otherwise)} END"
 
 
-def _name(x: str) -> str:
-    t = f"trim(regexp_replace(trim({x}), '(?i)\\s+as\\s+\\S+$', ''))"
-    t = f"regexp_replace(string_split(trim(regexp_replace({t}, '^[\\[\\]]+|[\\[\\]]+$', '', 'g')), '.')[-1], '^[\\[\\]]+|[\\[\\]]+$', '', 'g')"
-    return f"CASE WHEN NOT contains({x}, '(') AND NOT contains({x}, ')') AND regexp_matches({t}, '^[A-Za-z_]\\w*$') THEN {t} END"
-
-
-def _items(text: str) -> str:
-    for _ in range(3):
-        text = f"regexp_replace({text}, '\\([^()]+\\)', '()', 'g')"
-    return f"string_split({text}, ',')"
-
-
-def _names(items: str) -> str:
-    return f"list_filter(list_transform({items}, lambda x: {_name('x')}), lambda x: x IS NOT NULL)"
+#: What each of the templates does and names, as read by hand.
+READ = {
+    0: ("insert", "IL ReflA Serial_Number"), 1: ("update", "STATUS DEVICE"), 2: ("insert", "STATUS WAVE"), 3: ("select", "ILEndA ILEndB"), 4: ("select", "TEST_DATE STATUS"), 5: ("select", "STATUS DEVICE"),
+    6: ("select", "Customer Qty"), 7: ("delete", ""), 8: ("insert", ""), 9: ("select", ""), 10: ("update", "ILPassLimit RLPassLimit"), 11: ("merge", ""), 13: ("select", "Serial Wave"),
+}
 
 
 FLOW = f"""
@@ -46,26 +37,19 @@ WITH k AS (
   FROM lineitem),
 t AS (SELECT *, {_case("seq % 3", ("dbo.Part_", "part_", "Part_"))} || l_partkey AS target FROM k),
 f AS (
-  SELECT app_id, seq, target, k = 12 AS is_sp, replace({_case("k", TEMPLATES)}, '{{t}}', target) AS raw,
+  SELECT app_id, seq, target, k, k = 12 AS is_sp, replace({_case("k", TEMPLATES)}, '{{t}}', target) AS raw,
          CASE WHEN k = 9 AND seq % 2 = 0 THEN ['STATUS', 'TEST_DATE'] END AS results
   FROM t),
-s AS (SELECT *, regexp_replace(' ' || raw, '\\\\[rnt]', ' ', 'g') AS text FROM f),
 o AS (
-  SELECT *, CASE {" ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN {_q(n)}" for n, p in OPERATIONS)} END AS op,
+  SELECT *, CASE k {" ".join(f"WHEN {k} THEN {_q(op)}" for k, (op, _) in READ.items())} END AS op,
          nullif(regexp_replace(upper(trim(target)), '^DBO\\.', ''), '') AS key
-  FROM s),
-c AS (
-  SELECT *, CASE op
-    WHEN 'insert' THEN CASE WHEN regexp_matches(text, {_q(INSERT_COLUMNS)}) THEN {_names(_items(f"regexp_extract(text, {_q(INSERT_COLUMNS)}, 1)"))} END
-    WHEN 'update' THEN {_names(f"regexp_extract_all(regexp_extract(text, {_q(UPDATE_CLAUSE)}, 1), {_q(ASSIGNED)}, 1)")}
-    WHEN 'select' THEN coalesce(results, CASE WHEN regexp_matches(text, {_q(SELECT_LIST)}) THEN {_names(_items(f"regexp_extract(text, {_q(SELECT_LIST)}, 1)"))} END)
-    END AS found
-  FROM o),
+  FROM f),
+c AS (SELECT *, coalesce(results, string_split(CASE k {" ".join(f"WHEN {k} THEN {_q(names)}" for k, (_, names) in READ.items() if names)} END, ' ')) AS found FROM o),
 ops AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE [] END AS cols FROM c),
 flat AS (SELECT app_id, target, key, op, is_sp, unnest(CASE WHEN len(cols) > 0 THEN cols ELSE [NULL] END) AS col FROM ops),
 marks AS (
-  SELECT *, coalesce({_in("col", MEASUREMENTS)}, false) AS m, coalesce({_in("col", STATUS_METADATA)}, false) AS a,
-         coalesce({_in("col", STRONG + MEASUREMENTS)} OR regexp_matches(col, '(?i)^TEST_[A-Z0-9_]+_ID$'), false) AS st
+  SELECT *, coalesce({_in("col", ("IL", "REFLA", "REFLB", "ILENDA", "ILENDB"))}, false) AS m, coalesce({_in("col", ("STATUS", "DEVICE", "CONNECTOR", "ENDS", "SERIAL_NUMBER", "EMPLOYEE_NUMBER", "WIP_ENTITY_NAME"))}, false) AS a,
+         coalesce({_in("col", ("TEST_DATE", "DEVICE_STATUS", "PASSFAIL", "IL", "REFLA", "REFLB", "ILENDA", "ILENDB"))} OR regexp_matches(col, '(?i)^TEST_[A-Z0-9_]+_ID$'), false) AS st
   FROM flat),
 ctx AS (SELECT key, bool_or(st) AS confirmed FROM marks WHERE NOT is_sp AND op IS NOT NULL GROUP BY key),
 g AS (
@@ -85,13 +69,30 @@ sides AS (
 
 _STATUS = "CASE role WHEN 'indeterminado' THEN 'unresolved_no_columns' ELSE 'resolved' END AS status"
 
+SETTINGS = """
+s AS (
+  SELECT c_custkey AS app_id, c_name AS app_name, 'Conn' || (c_custkey % 3) AS name, c_custkey % 8 IN (0, 4) AS marked,
+         CASE c_custkey % 8
+           WHEN 0 THEN 'Data Source=' || srv || ';Initial Catalog=Db;User Id=u;Password=pw' || c_custkey
+           WHEN 1 THEN 'server = ' || lower(srv) || ';database=Db;pwd= ;uid=x'
+           WHEN 2 THEN 'C:\\Data\\in' WHEN 3 THEN '\\\\share\\out' WHEN 4 THEN 'dfgsdf'
+           WHEN 5 THEN 'Server=old;Server=' || srv ELSE c_mktsegment END AS value
+  FROM (SELECT *, 'SRV' || c_nationkey || '-' || (c_custkey % 101) AS srv FROM customer)),
+cat AS (
+  SELECT *, CASE WHEN marked OR regexp_matches(value, '(?i)(Server|Data Source|Database|User Id|UID)\\s*=') THEN 'sql_or_oracle' WHEN regexp_matches(value, '^([A-Za-z]:\\\\|\\\\\\\\|/)') THEN 'local_path' ELSE 'other' END AS category,
+         lower(nullif(trim(regexp_extract_all(value, '(?i)(?:^|;)\\s*(?:server|data\\s+source)\\s*=\\s*([^;]*)', 1)[-1]), '')) AS server,
+         nullif(trim(regexp_extract_all(value, '(?i)(?:^|;)\\s*(?:database|initial\\s+catalog)\\s*=\\s*([^;]*)', 1)[-1]), '') AS database
+  FROM s)
+"""
+
 SUPPLIER_FINDINGS = f"""
+{SETTINGS.strip()},
 sf AS (SELECT l_suppkey AS app_id, 'T_' || l_partkey || '_' || l_linenumber AS target, {_case("l_linenumber % 5", ("oracle_package_call", "stored_procedure", "query", "query", "query"))} AS category FROM lineitem),
 st AS (
   SELECT *, CASE WHEN app_id % 7 = 0 THEN CASE WHEN table_name = 'P_3' THEN NULL ELSE '["A"]' END WHEN table_name IN ('P_1', 'P_2') THEN '["B"]' ELSE '["A"]' END AS columns_json
   FROM (SELECT DISTINCT l_suppkey AS app_id, l_returnflag AS schema_name, 'P_' || (l_partkey % 50) AS table_name FROM lineitem)),
 apps AS (
-  SELECT s_suppkey AS app_id, s_name AS app_name, CASE WHEN s_suppkey % 5 = 0 THEN 'borrador' ELSE 'revisado' END AS review_status,
+  SELECT s_suppkey AS app_id, s_name AS app_name, CASE WHEN s_suppkey % 5 = 0 THEN 'borrador' ELSE 'logica_revisada' END AS review_status,
          CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM range(0, s_suppkey % 9 + 1) r(i) WHERE i % 3 <> 2) END AS n_rules
   FROM supplier),
 cur AS (
@@ -102,12 +103,13 @@ flags AS (SELECT l_suppkey AS app_id, {_case("l_linenumber % 3", ("alta", "media
 io AS (SELECT user_id AS app_id, event_id AS id, {_case(f"event_id % {len(IO_OPERATIONS)}", IO_OPERATIONS)} AS operation FROM events),
 sides AS (SELECT target, app_id, bool_or(category IN ('query', 'stored_procedure')) AS q FROM sf GROUP BY ALL),
 edges AS (SELECT a.app_id AS app_a, b.app_id AS app_b, a.target AS resource FROM sides a JOIN sides b ON a.target = b.target AND b.app_id > a.app_id WHERE a.q),
+servers AS (SELECT a.app_id AS app_a, b.app_id AS app_b FROM (SELECT apps.*, server FROM cat JOIN apps USING (app_id) WHERE category = 'sql_or_oracle') a JOIN (SELECT apps.*, server FROM cat JOIN apps USING (app_id) WHERE category = 'sql_or_oracle') b ON a.server = b.server AND a.app_name < b.app_name),
 members AS (SELECT DISTINCT app_name, schema_name || table_name AS category FROM st JOIN apps USING (app_id) WHERE table_name <> 'P_9'),
 w AS (SELECT * FROM (VALUES ('critica', 3), ('alta', 2), ('media', 1)) v(severity, weight)),
 raw AS (
   SELECT app_id, 'complejidad_tecnica' AS factor, CAST((SELECT count(DISTINCT target) FROM sf WHERE sf.app_id = apps.app_id) + (SELECT count(DISTINCT (schema_name, table_name)) FROM st WHERE st.app_id = apps.app_id) AS DOUBLE) AS raw FROM apps
   UNION ALL SELECT app_id, 'riesgo', CAST(coalesce((SELECT sum(weight) FROM cur JOIN w USING (severity) WHERE cur.app_name = apps.app_name), 0) + coalesce((SELECT sum(weight) FROM flags JOIN w USING (severity) WHERE flags.app_id = apps.app_id), 0) AS DOUBLE) FROM apps
-  UNION ALL SELECT app_id, 'dependencias', CAST(coalesce(n, 0) AS DOUBLE) FROM apps LEFT JOIN (SELECT app_id, count(*) AS n FROM (SELECT app_a AS app_id FROM edges UNION ALL SELECT app_b FROM edges) GROUP BY 1) USING (app_id)
+  UNION ALL SELECT app_id, 'dependencias', CAST(coalesce(n, 0) AS DOUBLE) FROM apps LEFT JOIN (SELECT app_id, count(*) AS n FROM (SELECT app_a AS app_id FROM edges UNION ALL SELECT app_b FROM edges UNION ALL SELECT app_a FROM servers UNION ALL SELECT app_b FROM servers) GROUP BY 1) USING (app_id)
   UNION ALL SELECT app_id, 'reglas_negocio', CAST(CASE WHEN review_status <> 'borrador' THEN n_rules END AS DOUBLE) FROM apps
   UNION ALL SELECT app_id, 'complejidad_integracion', CAST((SELECT count(*) FROM io WHERE io.app_id = apps.app_id) AS DOUBLE) FROM apps
   UNION ALL SELECT app_id, 'reutilizacion_potencial', CAST(coalesce((SELECT sum(n - 1) FROM members JOIN (SELECT category, count(*) AS n FROM members GROUP BY 1) USING (category) WHERE members.app_name = apps.app_name), 0) AS DOUBLE) FROM apps),
@@ -130,22 +132,6 @@ def _factor(name: str) -> str:
     return _portfolio(f"SELECT app_id, factor, raw FROM raw WHERE factor = '{name}'")
 
 
-SETTINGS = """
-s AS (
-  SELECT c_custkey AS app_id, c_name AS app_name, 'Conn' || (c_custkey % 3) AS name, c_custkey % 8 IN (0, 4) AS marked,
-         CASE c_custkey % 8
-           WHEN 0 THEN 'Data Source=' || srv || ';Initial Catalog=Db;User Id=u;Password=pw' || c_custkey
-           WHEN 1 THEN 'server = ' || lower(srv) || ';database=Db;pwd= ;uid=x'
-           WHEN 2 THEN 'C:\\Data\\in' WHEN 3 THEN '\\\\share\\out' WHEN 4 THEN 'dfgsdf'
-           WHEN 5 THEN 'Server=old;Server=' || srv ELSE c_mktsegment END AS value
-  FROM (SELECT *, 'SRV' || c_nationkey || '-' || (c_custkey % 101) AS srv FROM customer)),
-cat AS (
-  SELECT *, CASE WHEN marked OR regexp_matches(value, '(?i)(Server|Data Source|Database|User Id|UID)\\s*=') THEN 'sql_or_oracle' WHEN regexp_matches(value, '^([A-Za-z]:\\\\|\\\\\\\\|/)') THEN 'local_path' ELSE 'other' END AS category,
-         lower(nullif(trim(regexp_extract_all(value, '(?i)(?:^|;)\\s*(?:server|data\\s+source)\\s*=\\s*([^;]*)', 1)[-1]), '')) AS server,
-         nullif(trim(regexp_extract_all(value, '(?i)(?:^|;)\\s*(?:database|initial\\s+catalog)\\s*=\\s*([^;]*)', 1)[-1]), '') AS database
-  FROM s)
-"""
-
 _FOOTPRINT = f"""
 WITH {SETTINGS}, both_ AS (SELECT app_id, name, server FROM cat WHERE category = 'sql_or_oracle' UNION ALL SELECT app_id, name, 'other' FROM cat WHERE category = 'sql_or_oracle' AND app_id % 16 = 0),
 n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FROM both_ WHERE server IS NOT NULL GROUP BY ALL),
@@ -209,8 +195,16 @@ ORACLES: dict[str, str] = {
     "security_placeholder": f"WITH {SETTINGS} SELECT app_id, 'info' AS severity FROM s WHERE marked AND regexp_matches(trim(value), '^[a-z]{{4,10}}$')",
     "security_concat": FLOW + "SELECT app_id, count(*) AS n FROM f WHERE seq % 2 = 0 AND NOT is_sp AND NOT contains(raw, '@') GROUP BY 1",
     "setting_category": f"WITH {SETTINGS} SELECT app_id, category FROM cat",
-    "io_labels_report": _portfolio(f"SELECT {_first('operation', IO_LABELS, 'Otro')} AS label, count(*) AS n FROM io GROUP BY 1"),
-    "io_labels_diagram": _portfolio(f"SELECT {_first('operation', DIAGRAM_LABELS, 'Otro')} AS label, count(*) AS n FROM io GROUP BY 1"),
+    "io_labels_report": "SELECT ['Archivos', 'Red / HTTP', 'Impresion', 'Puerto serial', 'Proceso externo', 'Correo (SMTP)', 'Otro', 'Archivos', 'Otro'][event_id % 9 + 1] AS label, count(*) AS n FROM events GROUP BY 1",
+    "io_labels_diagram": "SELECT ['Archivos / carpetas', 'Red (HTTP/SMTP)', 'Impresora', 'Puerto serial', 'Proceso externo', 'Red (HTTP/SMTP)', 'Reflection / COM', 'Archivos / carpetas', 'PLC / Modbus'][event_id % 9 + 1] AS label, count(*) AS n FROM events GROUP BY 1",
+    "finding_categories": """
+        WITH c AS (SELECT o_orderkey AS id, 'App' || (o_custkey % 100) AS app_name, unnest([['Inyeccion SQL / concatenacion sin parametros'], ['Credenciales en texto plano / hardcodeadas'], ['Manejo de errores silencioso'],
+          ['Riesgo de caida por timer/thread sin manejo de excepciones'], ['Codigo muerto / nunca invocado'], ['Falta de transaccion / atomicidad'], ['Certificacion de operador nunca validada'], ['Falso exito / perdida silenciosa de datos'],
+          ['Autenticacion debil / sin re-verificar permisos'], ['Contaminacion de decompilacion (proyecto ajeno)'], ['Bypass de autorizacion / control de permisos ausente'],
+          ['Manejo de errores silencioso', 'Bypass de autorizacion / control de permisos ausente'], ['Sin categorizar']][o_orderkey % 13 + 1]) AS category FROM orders)
+        SELECT category, count(*) AS n_findings, count(DISTINCT app_name) AS n_apps, min(id) AS first_id FROM c GROUP BY 1""",
+    "object_names": "SELECT p_partkey, CASE WHEN p_partkey % 7 < 4 THEN 'dbo' END AS schema, CASE WHEN p_partkey % 7 < 4 THEN 'P' || p_partkey END AS name FROM part",
+    "connection_kinds": f"WITH {SETTINGS} SELECT app_id, app_id % 8 IN (0, 1, 5) AS sql_server, 'no se pudo conectar' || CASE WHEN app_id % 2 = 0 THEN ' (SQLSTATE 08001)' ELSE '' END || ' — revisar con infraestructura/DBA' AS note FROM s",
     "confidence_lookup": "SELECT event_id, c AS confidence, CASE WHEN c <= 20 THEN 'unknown' WHEN c < 55 THEN 'low' WHEN c < 70 THEN 'medium' ELSE 'high' END AS label FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 90 WHEN 'view' THEN 70 WHEN 'signup' THEN 60 WHEN 'error' THEN 30 ELSE 20 END::BIGINT AS c FROM events)",
     "folder_class": "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'APPLICATION' WHEN regexp_full_match(p_brand, 'Brand#1[0-9]|Brand#2') THEN 'THIRD_PARTY' ELSE 'UNKNOWN_COMPANION' END AS folder_class FROM part",
     "techstack": """
@@ -222,9 +216,9 @@ ORACLES: dict[str, str] = {
         WITH o AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN '/src/' || c_custkey END AS path FROM customer WHERE c_custkey % 3 <> 0),
         n AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_name || '-new' ELSE c_name END AS name, '/src/' || c_custkey AS path FROM customer WHERE c_custkey % 2 = 0),
         m AS (SELECT n.*, coalesce((SELECT min(id) FROM o WHERE o.path = n.path), (SELECT min(id) FROM o WHERE o.name = n.name)) AS id FROM n)
-        SELECT o.id AS app_id, o.name AS app_name, m.path AS source_path, 'revisado' AS review_status, 'updated' AS state FROM m JOIN o ON o.id = m.id
+        SELECT o.id AS app_id, o.name AS app_name, m.path AS source_path, 'logica_revisada' AS review_status, 'updated' AS state FROM m JOIN o ON o.id = m.id
         UNION ALL SELECT NULL, name, path, 'borrador', 'added' FROM m WHERE id IS NULL
-        UNION ALL SELECT id, name, path, 'revisado', 'kept' FROM o WHERE id NOT IN (SELECT id FROM m WHERE id IS NOT NULL)""",
+        UNION ALL SELECT id, name, path, 'logica_revisada', 'kept' FROM o WHERE id NOT IN (SELECT id FROM m WHERE id IS NOT NULL)""",
     "latest_activity": "SELECT user_id, event_id, event_type, CASE WHEN n <= 500 THEN 70 ELSE 60 END::BIGINT AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS p FROM events) WHERE p = 1",
     "brace_depth": """
         SELECT conv_id, turn, CAST(sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER w AS BIGINT) AS depth, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS last_user
@@ -237,7 +231,10 @@ ORACLES: dict[str, str] = {
     "companion_overlap": "WITH r AS (SELECT DISTINCT l_suppkey AS app_id, l_partkey FROM lineitem) SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.app_id < b.app_id GROUP BY 1, 2",
     "snapshot_metrics": "SELECT event_type, count(*) AS total, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 10 AND value < 50) AS mid, count(*) FILTER (value >= 50) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "enrich_pick": "SELECT CASE WHEN l_linenumber <= 3 THEN 'procedure' ELSE 'table' END AS kind, 'obj' || l_partkey AS object, min(CASE WHEN l_linenumber <= 3 OR l_returnflag = 'N' THEN l_suppkey END) AS connection FROM lineitem GROUP BY 1, 2",
-    "diagram_top_nodes": _portfolio("SELECT DISTINCT 'Class' || app_id AS class_name, category AS kind, target FROM sf ORDER BY 1, 2, 3 LIMIT 80"),
+    "diagram_top_nodes": _portfolio("""
+        SELECT class_name, kind, target FROM (SELECT *, sum(c) OVER o + sum(r) OVER o - r AS n FROM (
+          SELECT *, CASE WHEN row_number() OVER (PARTITION BY class_name ORDER BY kind, target) = 1 THEN 1 ELSE 0 END AS c, CASE WHEN row_number() OVER (PARTITION BY kind, target ORDER BY class_name) = 1 THEN 1 ELSE 0 END AS r
+          FROM (SELECT DISTINCT 'Class' || app_id AS class_name, category AS kind, target FROM sf)) WINDOW o AS (ORDER BY class_name, kind, target)) WHERE n < 80"""),
     "ranked_findings_first": "SELECT l_orderkey, l_returnflag, l_linenumber, l_suppkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_suppkey, l_partkey) AS p FROM lineitem) WHERE p = 1",
 }
 

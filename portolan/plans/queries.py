@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import extraction, flow, portfolio, structure
+from portolan.operators import enrich, extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -34,7 +34,8 @@ def flow_operation(spark, sf_dir):
 def flow_columns(spark, sf_dir):
     """Each column a finding names, with how sure that is."""
     ops = flow.operations(R.flow_findings(spark, sf_dir))
-    return ops.select("app_id", "seq", "target", "op", F.explode("cols").alias("col"), F.col("conf").cast("bigint").alias("conf")).groupBy("app_id", "seq", "target", "op", "col", "conf").agg(F.count(F.lit(1)).alias("n"))
+    named = ops.select("app_id", "seq", "target", "op", F.explode_outer("cols").alias("col"), F.col("conf").cast("bigint").alias("conf"))  # outer: no filter on all of the parsing is inferred
+    return named.filter("col is not null").groupBy("app_id", "seq", "target", "op", "col", "conf").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -134,8 +135,12 @@ def dep_table_edges(spark, sf_dir):
     return portfolio.table_edges(R.supplier_findings(spark, sf_dir))
 
 
+def _categorised(spark, sf_dir):
+    return R.settings(spark, sf_dir).withColumn("category", labels.setting_category(F.col("value"), F.col("marked")))
+
+
 def _server_edges(spark, sf_dir):
-    rows = R.settings(spark, sf_dir).withColumn("category", labels.setting_category(F.col("value"), F.col("marked")))
+    rows = _categorised(spark, sf_dir)
     return portfolio.server_edges(rows, rows.select("app_id", "app_name"))
 
 
@@ -159,6 +164,30 @@ def pattern_catalog(spark, sf_dir):
     return portfolio.pattern_catalog(_members(spark, sf_dir))
 
 
+@query
+def finding_categories(spark, sf_dir):
+    """Orders as curated findings, and the categories of what they say."""
+    rows = R.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("App"), (F.col("o_custkey") % 100).cast("string")).alias("app_name"), R.chosen(F.col("o_orderkey") % len(R.TITLES), R.TITLES).alias("title"), F.lit(None).cast("string").alias("description"))
+    return portfolio.pattern_catalog(portfolio.pattern_members(rows))
+
+
+@query
+def object_names(spark, sf_dir):
+    """Names of objects as findings spell them: schema and name, nothing for what isn't a name."""
+    rows = R.table(spark, sf_dir, "part", "p_partkey")
+    shapes = ("dbo.P{p}", "[dbo].[P{p}]", "P{p}", " [P{p}] ", "a.b.P{p}", "P {p}", "")
+    target = F.replace(R.chosen(F.col("p_partkey") % len(shapes), shapes), F.lit("{p}"), F.col("p_partkey").cast("string"))
+    return rows.select("p_partkey", enrich.object_name(target).alias("o")).select("p_partkey", "o.schema", "o.name")
+
+
+@query
+def connection_kinds(spark, sf_dir):
+    """Which of the customers' settings are SQL Server connections, and how their failures read."""
+    rows = R.settings(spark, sf_dir)
+    message = F.when(F.col("app_id") % 2 == 0, "('08001', '[08001] gone')").otherwise("timeout")
+    return rows.select("app_id", enrich.is_sql_server(F.col("value")).alias("sql_server"), enrich.short_error(message).alias("note"))
+
+
 # ---- factors and priority
 
 
@@ -171,7 +200,7 @@ def _factors(spark, sf_dir):
     return {
         "complexity": portfolio.complexity(findings, R.supplier_tables(spark, sf_dir), apps),
         "risk": portfolio.risk(R.curated_findings(spark, sf_dir), R.security_flags(spark, sf_dir), apps),
-        "dependencies": portfolio.dependencies(portfolio.table_edges(findings), apps),
+        "dependencies": portfolio.dependencies(portfolio.table_edges(findings).unionByName(portfolio.server_edges(_categorised(spark, sf_dir), apps)), apps),
         "rules": portfolio.business_rules(apps),
         "integration": portfolio.integrations(R.io_findings(spark, sf_dir), apps),
         "reuse": portfolio.reuse(_reuse_members(spark, sf_dir), apps),
@@ -236,7 +265,7 @@ def findings_left(spark, sf_dir):
 def sidebar_groups(spark, sf_dir):
     orders = R.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     name = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("Solo"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("Root"), (F.col("o_custkey") % 97).cast("string"), F.lit("/Mod"), F.col("o_orderkey").cast("string")))
-    return portfolio.sidebar(orders.select(name.alias("app_name"), F.when(F.col("o_orderstatus") == "F", "revisado").otherwise("borrador").alias("review_status"), F.col("o_orderdate").alias("analyzed_at")))
+    return portfolio.sidebar(orders.select(name.alias("app_name"), F.when(F.col("o_orderstatus") == "F", "logica_revisada").otherwise("borrador").alias("review_status"), F.col("o_orderdate").alias("analyzed_at")))
 
 
 @query
@@ -282,7 +311,7 @@ def io_labels_report(spark, sf_dir):
 
 @query
 def io_labels_diagram(spark, sf_dir):
-    return R.io_findings(spark, sf_dir).groupBy(labels.diagram_label(F.col("operation")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return R.io_findings(spark, sf_dir).groupBy(labels.diagram_label(F.col("operation"), F.when(F.contains("operation", F.lit("Invoke")), "reflection").otherwise("io")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -326,7 +355,7 @@ def dedupe_value(spark, sf_dir):
 @query
 def upsert_identity(spark, sf_dir):
     rows = R.table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    old = rows.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("app_id"), F.col("c_name").alias("app_name"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("/src/"), F.col("c_custkey").cast("string"))).alias("source_path"), F.lit("revisado").alias("review_status"))
+    old = rows.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("app_id"), F.col("c_name").alias("app_name"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("/src/"), F.col("c_custkey").cast("string"))).alias("source_path"), F.lit("logica_revisada").alias("review_status"))
     new = rows.filter("c_custkey % 2 = 0").select(F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("-new"))).otherwise(F.col("c_name")).alias("app_name"), F.concat(F.lit("/src/"), F.col("c_custkey").cast("string")).alias("source_path"))
     return store.upserted(old, new).select(F.when(F.col("state") != "added", F.col("app_id")).alias("app_id"), "app_name", "source_path", "review_status", "state")
 

@@ -23,8 +23,15 @@ TEMPLATES = (
     "UPDATE {t} \\r\\n SET ILPassLimit = 1, RLPassLimit = x",
     "MERGE INTO {t} AS x USING y",
     "EXEC {t}",
+    "SELECT Serial, ISNULL(UPPER(a), y, z), CONVERT(int, SUBSTRING(b, 1, LEN(c))), Wave FROM {t}",
 )
 
+#: What curated findings say.
+TITLES = (
+    "Inyeccion SQL en el buscador", "Password en texto plano", "Error silenciado en la carga", "Metodo async void en el timer", "Codigo muerto", "Alta sin transaccion", "Lee cert_end_date y sigue",
+    "Falso exito al guardar", "No distingue nivel de usuario", "Proyecto contaminado", "Bypass del login", "Sin autorizacion, y oculta todo fallo", "Revisar nombres",
+)
+
 #: Categories of text and their patterns.
 TEXT_PATTERNS = [("license", r"(?i)licen[sc]e"), ("numbers", r"[0-9]{5}"), ("mail", r"[a-z0-9]@[a-z]"), ("shouting", "[A-Z]{6}"), ("markup", "[<>]"), ("key", r"(?i)(secret|token|api.?key)")]
 
@@ -75,7 +82,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as applications, with review notes."""
     notes = F.when(F.col("s_suppkey") % 4 == 0, None).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.col("s_suppkey").cast("int") % 9), lambda i: F.when(i % 3 == 2, "  ").otherwise(F.concat(F.lit("rule "), i.cast("string")))), "\n"))
     rows = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    return rows.select(F.col("s_suppkey").alias("app_id"), F.col("s_name").alias("app_name"), F.when(F.col("s_suppkey") % 5 == 0, "borrador").otherwise("revisado").alias("review_status"), notes.alias("review_notes"))
+    return rows.select(F.col("s_suppkey").alias("app_id"), F.col("s_name").alias("app_name"), F.when(F.col("s_suppkey") % 5 == 0, "borrador").otherwise("logica_revisada").alias("review_status"), notes.alias("review_notes"))
 
 
 def severity_of(priority: str = "o_orderpriority") -> Column:

@@ -9,7 +9,11 @@ from portolan.functions.labels import folder_class
 
 #: Folders that hold no program of their own, by name or beginning; libraries of other makers; fixed values.
 SKIPPED_FOLDERS, SKIPPED_PREFIX = ("obj", ".vs", ".git", "packages"), "logs"
-THIRD_PARTY = r"(?i)(?:System|Microsoft|Newtonsoft|EntityFramework|DevExpress|Oracle|log4net|NLog|EPPlus|itextsharp|ClosedXML|Dapper|AutoMapper)(?:\..*)?"
+THIRD_PARTY = (
+    r"(?i)(?:System(\..+)?|Microsoft(\..+)?|mscorlib|netstandard|WindowsBase|PresentationCore|PresentationFramework|Newtonsoft.*|GalaSoft.*|MaterialDesign.*|CommonServiceLocator|"
+    r"Oracle\..*|EntityFramework.*|log4net|NLog|Serilog.*|ICSharpCode.*|DevExpress.*|Telerik.*|ClosedXML|DocumentFormat\.OpenXml.*|EPPlus|iTextSharp.*|WindowsAPICodePack.*|Costura.*|"
+    r"Antlr3.*|Autofac.*|AutoMapper.*|Castle\..*|Dapper|FluentValidation.*|Google\..*|Grpc.*|Ionic\.Zip.*|Mono\..*|Polly|protobuf-net|RestSharp|StackExchange.*|Unity(\..+)?)"
+)
 BUSY_ENTRIES = 500
 
 

@@ -51,7 +51,7 @@ def read_app_rows(spark: SparkSession, path: str, schema: str, app_ids: list[int
 
 
 #: States of a review, of a finding, and severities; fixed values.
-REVIEW_STATUSES, FINDING_STATUSES, SEVERITIES = ("borrador", "revisado"), ("abierto", "en_progreso", "resuelto", "descartado"), ("critica", "alta", "media", "info")
+REVIEW_STATUSES, FINDING_STATUSES, SEVERITIES = ("borrador", "logica_revisada", "listo_para_migrar", "obsoleta"), ("abierto", "en_progreso", "resuelto", "descartado"), ("critica", "alta", "media", "info")
 
 
 def checked(value: str, allowed: tuple[str, ...]) -> str:

@@ -44,7 +44,7 @@ def test_patterns_label_each_finding_with_all_that_match(spark):
 
 
 def test_factors_and_score(spark):
-    apps = spark.createDataFrame([(1, "a", "revisado", "x\n \ny"), (2, "b", "borrador", "x"), (3, "c", "revisado", None)], "app_id long, app_name string, review_status string, review_notes string")
+    apps = spark.createDataFrame([(1, "a", "logica_revisada", "x\n \ny"), (2, "b", "borrador", "x"), (3, "c", "logica_revisada", None)], "app_id long, app_name string, review_status string, review_notes string")
     curated = spark.createDataFrame([("a", "critica"), ("a", "rara"), ("gone", "alta")], "app_name string, severity string")
     flags = spark.createDataFrame([(1, "media"), (2, "alta")], "app_id long, severity string")
     raw = lambda f: {r.app_id: r.raw for r in f.collect()}
@@ -62,8 +62,8 @@ def test_labels(spark):
         return spark.createDataFrame([(value,)], f"v {kind}").select(expression(F.col("v")).alias("x")).first().x
 
     assert [of(L.io_label, v) for v in ("File.Exists", "new HttpClient", "MethodInfo.Invoke", None)] == ["Archivos", "Red / HTTP", "Otro", "Otro"]
-    assert of(L.diagram_label, "MethodInfo.Invoke") == "Reflection / COM"
-    assert [of(L.confidence_label, v, "int") for v in (20, 54, 55, 70)] == ["unknown", "low", "medium", "high"]
+    assert of(lambda c: L.diagram_label(c, F.lit("reflection")), "MethodInfo.Invoke") == "Reflection / COM" and of(lambda c: L.diagram_label(c, F.lit("io")), "Thread.Sleep") == "Otro I/O"
+    assert [of(L.confidence_label, v, "int") for v in (20, 54, 55, 70, None)] == ["unknown", "low", "medium", "high", "unknown"]
     assert [of(lambda c: L.setting_category(c, F.lit(False)), v) for v in ("UID = x", "C:\\x", "/x", "\\\\s", "x")] == ["sql_or_oracle", "local_path", "local_path", "local_path", "other"]
     assert of(lambda c: L.setting_category(c, F.lit(True)), "/x") == "sql_or_oracle"
     assert [of(L.has_password, v) for v in ("Password=x", "pwd= ;a=1", "x")] == [True, False, False]
@@ -71,10 +71,10 @@ def test_labels(spark):
 
 
 def test_upsert_keeps_identities(spark):
-    old = spark.createDataFrame([(5, "a", "/a", "revisado"), (6, "b", None, "borrador"), (9, "c", "/c", "revisado")], "app_id long, app_name string, source_path string, review_status string")
+    old = spark.createDataFrame([(5, "a", "/a", "logica_revisada"), (6, "b", None, "borrador"), (9, "c", "/c", "logica_revisada")], "app_id long, app_name string, source_path string, review_status string")
     new = spark.createDataFrame([("renamed", "/a"), ("b", "/b"), ("new", "/n"), ("new2", "/m")], "app_name string, source_path string")
     got = {(r.app_name, r.source_path, r.review_status, r.state): r.app_id for r in store.upserted(old, new).collect()}
-    assert got[("a", "/a", "revisado", "updated")] == 5 and got[("b", "/b", "borrador", "updated")] == 6 and got[("c", "/c", "revisado", "kept")] == 9
+    assert got[("a", "/a", "logica_revisada", "updated")] == 5 and got[("b", "/b", "borrador", "updated")] == 6 and got[("c", "/c", "logica_revisada", "kept")] == 9
     assert {i for k, i in got.items() if k[3] == "added"} == {10, 11} and len(got) == 5
     again = {(r.app_name, r.source_path): r.app_id for r in store.upserted(store.upserted(old, new), new).collect()}
     assert again == {(k[0], k[1]): i for k, i in got.items()}
