@@ -22,8 +22,9 @@ def operations(findings: DataFrame) -> DataFrame:
     rows = rows.withColumn("items", S.list_items(F.col("op"), F.col("listed")))
     rows = rows.withColumn("names", S.names_in(F.col("items")))
     read, named = (F.col("op") == "select") & F.col("results").isNotNull(), F.size("names") > 0
-    rows = rows.withColumns({"key": S.table_key(F.col("target")), "cols": F.when(read, F.col("results")).when(named, F.col("names")), "conf": F.when(read, 90).when(named, 80).otherwise(20)})
-    return rows.drop("plain", "results", "listed", "items", "names")
+    read_out = F.struct(S.table_key(F.col("target")).alias("key"), "op", F.when(read, F.col("results")).when(named, F.col("names")).alias("cols"), F.when(read, 90).when(named, 80).otherwise(20).alias("conf"))
+    # one element a row: filters and aggregates above read what is made here and aren't pushed into the parsing
+    return rows.select(*findings.columns, F.inline_outer(F.array(read_out)))
 
 
 def context(ops: DataFrame) -> DataFrame:
