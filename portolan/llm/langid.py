@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, held_out, text_slices, texts_of
+from portolan.llm.textio import arrow_map, bounded_batches, held_out, joined, record_batch, text_slices, texts_of
 
 FIT_ROWS, BUCKETS, STEPS, SEQUENCE = 250, 1 << 16, 25, 120
 #: Longer runs of letters count as several words of this length, so that scripts without spaces are read whole.
-LONGEST, SLICE = 128, 2_000_000
+LONGEST, SLICE = 128, 12_000_000
 KEPT_WORDS, SLICE_WORDS = 300_000, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -227,15 +227,20 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
     """``doc_id, lang_pred, score, n_words`` of every row's whole text; ``und`` and 0 for null texts, texts without
     letters, and where nothing was learned. Repeated rows and null ids are kept; an empty table gives an empty result;
     other columns aren't looked at. Ties go to the language that is first by name."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def run(batch: pa.RecordBatch):
-        for part, texts in text_slices(batch, SLICE):
-            yield described(part, tagger.classify(texts) if tagger.languages else [("und", 0.0, 0)] * part.num_rows)
 
-    def described(batch: pa.RecordBatch, found: list) -> dict:
-        return {"doc_id": batch.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "n_words": [f[2] for f in found]}
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, n_words long"
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    return arrow_map(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, n_words long", run)
+    def run(batches):
+        for batch in joined(batches, SLICE):
+            for part, texts in text_slices(batch, SLICE):
+                found = tagger.classify(texts) if tagger.languages else [("und", 0.0, 0)] * part.num_rows
+                yield record_batch({"doc_id": part.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "n_words": [f[2] for f in found]}, target)
+
+    return bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
 def label_words(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -224,6 +224,18 @@ def text_slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBat
         yield part, texts_of(part)
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``most`` bytes, for work that gains from many texts at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most ``most`` in size together (an item above that stands alone)."""
     start, total = 0, 0
