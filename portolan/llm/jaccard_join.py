@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,9 @@ def _grouped(docs: DataFrame, size: int, threshold: float, recall: float, trees:
 
     def choose(batch: pa.RecordBatch) -> dict:
         found = np.ones((batch.num_rows, trees * levels))
-        for k, row in enumerate(batch.column(2).to_pylist()):
-            for x in row:
-                found[k, x["spot"]] = x["m"]
+        lists = batch.column(2)
+        flat = lists.flatten()
+        found[pc.list_parent_indices(lists).to_numpy(), flat.field("spot").to_numpy()] = flat.field("m").to_numpy()
         stop = stop_levels(found.reshape(-1, trees, levels), shortest, threshold, recall).astype(np.uint8)
         return {"d1": batch.column(0), "d2": batch.column(1), "stop": [x.tobytes() for x in stop]}
 

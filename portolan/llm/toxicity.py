@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import arrow_map, bitmap, bounded_batches, held_out, in_bitmap, labelled_sample, slices, texts_of, written
+from portolan.llm.textio import arrow_map, held_out, labelled_sample, text_slices, texts_of, written
 
 FIT_ROWS = 20_000
 #: A stem is a beginning of a word of four to this many letters, or the whole word.
 LONGEST_STEM = 7
-_BITS = 24
+FIT_SLICE = 500_000
 
 #: Words of each class, in the languages of the corpus; fixed values.
 TARGETS = "you your yours yourself du dich dir dein deine ihr euch tu toi te vous votre tú ti usted ustedes tus".split()
@@ -204,10 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, PRIOR)
 
     def toxic_stems(batch: pa.RecordBatch):
-        texts = texts_of(batch)
-        for a, b in slices([len(t) for t in texts], 2_000_000):
+        for _, texts in text_slices(batch, FIT_SLICE):
             seen: dict[bytes, list] = {}
-            for text in texts[a:b]:
+            for text in texts:
                 here: dict[bytes, int] = {}
                 ts = [t for t in tokens(text) if t not in (b"", b"\n")]
                 for before, word, after in zip([b"", *ts], ts, [*ts[1:], b""]):
@@ -223,20 +222,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_candidates = found.count()
     share = min(0.9, (n_toxic + 1) / (n_toxic + n_clean + 2))
     hopeful = found.filter(_marks(F.lit(0), n_candidates, share))  # some would still do if no clean row had them
-    known_bits = bitmap(hopeful.select(F.xxhash64("stem").alias("h")), "h", _BITS)
 
-    def clean_stems(batch: pa.RecordBatch) -> dict:
-        counts: Counter = Counter()
-        for text in texts_of(batch):
-            counts.update({s for word in set(tokens(text)) for s in _stems(word)})
-        return {"stem": list(counts), "n": list(counts.values())}
+    def clean_stems(batch: pa.RecordBatch):
+        for _, texts in text_slices(batch, FIT_SLICE):
+            counts: Counter = Counter()
+            for text in texts:
+                counts.update({s for word in set(tokens(text)) for s in _stems(word)})
+            yield {"stem": list(counts), "n": list(counts.values())}
 
-    def likely(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(known_bits, batch.column(2).to_numpy().view(np.uint64), _BITS))).select([0, 1])
-
-    clean = arrow_map(rows.filter("not toxic").select("doc_id", "text"), "stem binary, n long", clean_stems)
-    clean = bounded_batches(clean).select("stem", "n", F.xxhash64("stem")).mapInArrow(likely, "stem binary, n long").groupBy("stem").agg(F.sum("n").alias("c"))
+    clean = arrow_map(rows.filter("not toxic").select("doc_id", "text"), "stem binary, n long", clean_stems).groupBy("stem").agg(F.sum("n").alias("c"))
     judged = hopeful.join(clean, "stem", "left").withColumn("c", F.coalesce("c", F.lit(0))).filter(_marks(F.col("c"), n_candidates, share)).collect()
     stems = choose({bytes(r["stem"]): (r["n"], r["c"]) for r in judged}, n_toxic, n_clean)
     model = Model(stems, PRIOR)
