@@ -102,3 +102,37 @@ def reason_of(frame: DataFrame, code: str, catalog: DataFrame, fallback: str = "
     other = catalog.filter(F.col("code") == fallback).select("reason", "action").first()
     out = frame.join(of, F.col(code) == F.col("_code"), "left")
     return out.withColumns({"reason": F.coalesce("_reason", F.lit(other["reason"] if other else fallback)), "action": F.coalesce("_action", F.lit(other["action"] if other else None))}).drop("_code", "_reason", "_action")
+
+
+#: How sure each kind of evidence is; fixed values.
+CONFIDENCE = {
+    "DB_INTROSPECT_DEFINITION": 100, "DB_INTROSPECT_SCHEMA": 100, "APP_CONFIG_EXPLICIT_CONNECTION": 98, "SETTINGS_DEFAULT_VALUE": 95, "HARDCODED_METHOD_LITERAL": 90, "SETTINGS_CLASS_LITERAL": 85,
+    "PARTIAL_RECONSTRUCTION": 80, "REGEX_KEYWORD_MATCH": 70, "INFERRED": 60, "DYNAMIC_SQL": 40, "REFLECTION": 40,
+    "FILE_LOG_FILE_MTIME_EXHAUSTIVE": 70, "FILE_LOG_FILE_MTIME_BOUNDED": 60, "FILE_LOG_FOLDER_MTIME": 50,
+    "CONNECTION_CTOR_DIRECT_SETTING": 95, "CONNECTION_AMBIGUOUS_CONDITIONAL": 55, "DATA_ROLE_COLUMNS_FROM_RESULT_COLUMNS": 90, "DATA_ROLE_COLUMNS_FROM_LITERAL_SQL": 80,
+    "APP_STRUCTURE_ENTRY_POINT_APPLICATION_RUN": 95, "APP_STRUCTURE_ENTRY_POINT_WPF_APP_RUN": 90, "APP_STRUCTURE_ENTRY_POINT_BARE_MAIN": 70, "APP_STRUCTURE_CLASS_DECLARATION": 90, "APP_STRUCTURE_METHOD_DECLARATION": 85,
+    "APP_NAVIGATION_INSTANTIATION_AND_SHOW": 90, "APP_NAVIGATION_TARGET_TYPE_UNKNOWN": 30, "APP_NAVIGATION_TARGET_NOT_CONFIRMED_SCREEN": 50, "APP_EVENT_WIRING_EXPLICIT": 95, "APP_EVENT_WIRING_HANDLER_UNKNOWN": 40,
+    "APP_CALL_INTRA_CLASS": 90, "APP_CALL_TARGET_AMBIGUOUS": 40, "APP_CALL_TARGET_INHERITED": 50, "APP_CALL_TARGET_UNKNOWN": 30,
+    "APP_DATA_METHOD_SQL_DIRECT": 90, "APP_DATA_METHOD_SQL_MAPPING_AMBIGUOUS": 30, "APP_DATA_INDIRECT_VIA_CALL_FLOW": 70, "APP_CONTROL_DECLARATION_AND_TYPE": 90, "APP_CONTROL_LABEL_TEXT": 90, "APP_CONTROL_TYPE_UNKNOWN": 30,
+    "UNKNOWN": 20,
+}
+
+#: Why something wasn't resolved: code, category, severity, what users read, what to do; fixed values.
+FAILURES = [
+    ("DYNAMIC_SQL", "sql", "media", "SQL armado dinamicamente -- no se pudo determinar el texto completo.", "Revisar el codigo manualmente para confirmar el texto real de la consulta."),
+    ("REFLECTION", "integration", "media", "Se detecto invocacion via Reflection -- el analisis estatico puede estar incompleto.", "Confirmar manualmente que metodos/tipos se invocan en tiempo de ejecucion."),
+    ("SERVER_UNAVAILABLE", "connection", "alta", "Servidor {server} no disponible -- no se pudo conectar.", "Confirmar con infraestructura si el servidor sigue activo, o actualizar la connection string al reemplazo conocido."),
+    ("UNRESOLVED_VARIABLE", "sql", "alta", "No se pudo resolver el valor de la variable -- declarada fuera del metodo actual.", "Revisar el codigo fuente manualmente para confirmar el valor real."),
+    ("MISSING_SOURCE", "unknown", "info", "No se encontro la fuente de esta configuracion.", "Confirmar que la decompilacion incluyo todos los ensamblados relevantes (companion assemblies)."),
+    ("UNKNOWN", "unknown", "info", "Causa no determinada.", "Revisar manualmente -- este es el residual honesto, no una clasificacion real."),
+]
+
+
+def confidence_dimension(spark: SparkSession) -> DataFrame:
+    """``key, confidence`` of every kind of evidence, to look up with ``looked_up``."""
+    return spark.createDataFrame(list(CONFIDENCE.items()), "key string, confidence int")
+
+
+def failure_catalog(spark: SparkSession) -> DataFrame:
+    """``code, category, severity, reason, action``, to look up with ``reason_of``."""
+    return spark.createDataFrame(FAILURES, "code string, category string, severity string, reason string, action string")

@@ -42,3 +42,8 @@ def picked(answers: DataFrame) -> DataFrame:
     good = F.col("is_procedure") | (F.col("n_columns") > 0)
     errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("place", "error")))), lambda x: x["error"]), " | ")
     return answers.groupBy("app_id", "schema", "name", "is_procedure").agg(F.min(F.when(good, F.col("place"))).alias("place"), F.nullif(errors, F.lit("")).alias("errors"))
+
+
+def counters(objects: DataFrame) -> DataFrame:
+    """``app_id, sp_ok, sp_total, tables`` of objects (app_id, is_procedure, status) that databases were asked about."""
+    return objects.groupBy("app_id").agg(F.count_if(F.col("is_procedure") & (F.col("status") == "ok")).alias("sp_ok"), F.count_if("is_procedure").alias("sp_total"), F.count_if(~F.col("is_procedure")).alias("tables"))

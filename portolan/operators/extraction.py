@@ -117,13 +117,23 @@ def unknowns(rows: DataFrame) -> DataFrame:
     return classes(rows).filter("class_type = 'window'").select("app_name", "class_name", "file", F.explode(reasons).alias("reason"))
 
 
+def first_values(rows: DataFrame, by: list[str], rank: str, order: list[str]) -> DataFrame:
+    """``rows`` (by, value, ``rank``, …) without those whose trimmed ``value`` one of a lower rank has in their ``by``: all of rank 0 stay, and of
+    the others the first of each value in ``order``."""
+    rows = rows.withColumn("_v", F.trim("value"))
+    used = rows.filter(F.col(rank) == 0).select(*by, "_v").distinct()
+    rest = rows.filter(F.col(rank) > 0).join(used, [*by, "_v"], "left_anti")
+    key, cols = [*by, "_v"], [c for c in rows.columns if c not in by and c not in order and c != "_v"]
+    first = rest.groupBy(*key).agg(F.min(F.struct(*order, *cols)).alias("x"))
+    kept = first.select(*by, *[F.col(f"x.{c}").alias(c) for c in [*order, *cols]])
+    return rows.filter(F.col(rank) == 0).select(*kept.columns).unionByName(kept)
+
+
 def settings(files: DataFrame, configs: DataFrame) -> DataFrame:
     """Settings of code and of configuration files; of equal trimmed values in an application the first one stays, code first."""
     schema = "app_name string, file string, line int, name string, value string, marked boolean"
     code = _read(files.filter(F.col("path").contains("Settings")), schema, lambda path, text: Source(path, text).settings())
     xml = _read(configs, schema, lambda path, text: ((line, n, v, True) for line, n, v in config_settings(text)))
     both = code.withColumn("rank", F.lit(0)).unionByName(xml.withColumn("rank", F.lit(1)))
-    first = both.groupBy("app_name", F.trim("value").alias("v"), F.when(F.col("rank") == 0, F.concat_ws(":", "file", "line", "name")).alias("own")).agg(F.min(F.struct("rank", "file", "line", "name", "value", "marked")).alias("x"))
-    seen = first.filter("x.rank = 0").select("app_name", "v").distinct()
-    kept = first.filter("x.rank = 0").unionByName(first.filter("x.rank = 1").join(seen, ["app_name", "v"], "left_anti"))
-    return kept.select("app_name", "x.file", "x.line", "x.name", "x.value", "x.marked", setting_category(F.col("x.value"), F.col("x.marked")).alias("category"))
+    kept = first_values(both, ["app_name"], "rank", ["rank", "file", "line", "name"])
+    return kept.select("app_name", "file", "line", "name", "value", "marked", setting_category(F.col("value"), F.col("marked")).alias("category"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import sqltext as S
-from portolan.functions.labels import role_dimension
+from portolan.functions.labels import ROLES, role_dimension
 from portolan.functions.textops import without_escapes
 
 
@@ -27,10 +27,10 @@ def operations(findings: DataFrame) -> DataFrame:
     return rows.select(*findings.columns, F.inline_outer(F.array(read_out)))
 
 
-def context(ops: DataFrame) -> DataFrame:
+def context(ops: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS) -> DataFrame:
     """``key, confirmed``: whether any application names a column of the table that only test results have. Procedures and
     code-like targets tell nothing about a table's columns."""
-    strong = F.exists(F.coalesce("cols", F.array().cast("array<string>")), lambda c: S.is_strong(c))
+    strong = F.exists(F.coalesce("cols", F.array().cast("array<string>")), lambda c: S.is_strong(c, measurements))
     return ops.filter("not is_sp and key is not null and op is not null").groupBy("key").agg(F.max(strong).alias("confirmed"))
 
 
@@ -42,13 +42,13 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.max(condition), F.lit(False))
 
 
-def _evidence(ops: DataFrame) -> DataFrame:
-    """A row per application, table as spelled and key: what its statements do and name."""
+def _evidence(ops: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
+    """A row per application, table as spelled and key: what its statements do and name, by catalogs of column names."""
     named = F.coalesce("cols", F.array().cast("array<string>"))
     writes, reads = F.col("op").isin("insert", "update", "delete", "merge"), F.col("op") == "select"
-    measured = F.exists(named, lambda c: S.is_member(c, S.MEASUREMENTS))
-    strong = F.exists(named, lambda c: S.is_strong(c))
-    ambiguous = F.exists(named, lambda c: S.is_member(c, S.STATUS_METADATA))
+    measured = F.exists(named, lambda c: S.is_member(c, measurements))
+    strong = F.exists(named, lambda c: S.is_strong(c, measurements))
+    ambiguous = F.exists(named, lambda c: S.is_member(c, status))
     known = F.size(named) > 0
     return ops.filter("target is not null and op is not null").groupBy("app_id", "target", "key").agg(
         F.count_if(writes).alias("n_writes"), F.count_if(reads).alias("n_reads"),
@@ -69,23 +69,39 @@ def _with_role(rows: DataFrame) -> DataFrame:
     return rows.select("app_id", "target", "key", role.alias("role"), F.when(role == "indeterminado", "unresolved_no_columns").otherwise("resolved").alias("status"), "n_reads", "n_writes")
 
 
-def roles(ops: DataFrame, confirmed: DataFrame) -> DataFrame:
+def roles(ops: DataFrame, confirmed: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
     """``app_id, target, role, status, n_reads, n_writes``: one row per application and table as spelled."""
-    return _with_role(_evidence(ops).join(confirmed, "key", "left"))
+    return _with_role(_evidence(ops, measurements, status).join(confirmed, "key", "left"))
 
 
-def portfolio_roles(findings: DataFrame) -> DataFrame:
+def key_roles(findings: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
+    """``app_id, key, role, status, n_reads, n_writes``: one row per application and table, all its spellings taken together."""
+    seen = _evidence(operations(findings), measurements, status).filter("key is not null")
+    marks = [F.max(c).alias(c) for c in ("wm", "wk", "rm", "rs", "ra", "rk", "tells")]
+    rows = seen.groupBy("app_id", "key").agg(F.min("target").alias("target"), F.sum("n_writes").alias("n_writes"), F.sum("n_reads").alias("n_reads"), *marks)
+    return _with_role(rows.withColumn("confirmed", F.max("tells").over(Window.partitionBy("key")))).drop("target")
+
+
+def portfolio_roles(findings: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
     """The roles of all applications. Statements are read once: the context of a table comes from the rows per application
     that the roles are made of, by a window over its applications."""
     told = F.max("tells").over(Window.partitionBy("key"))
-    return _with_role(_evidence(operations(findings)).withColumn("confirmed", F.when(F.col("key").isNotNull(), told)))
+    return _with_role(_evidence(operations(findings), measurements, status).withColumn("confirmed", F.when(F.col("key").isNotNull(), told)))
 
 
-def bounded_roles(findings: DataFrame, app: int) -> DataFrame:
+def bounded_roles(findings: DataFrame, app: int, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
     """The roles of one application; the context comes from the rows of its tables only, which is all it depends on."""
     keys = findings.filter(F.col("app_id") == app).select(S.table_key(F.col("target")).alias("key")).filter("key is not null").distinct()
     near = findings.join(keys, S.table_key(F.col("target")) == keys["key"], "left_semi")
-    return roles(operations(findings.filter(F.col("app_id") == app)), context(operations(near)))
+    return roles(operations(findings.filter(F.col("app_id") == app)), context(operations(near), measurements), measurements, status)
+
+
+def grouped(rows: DataFrame, by: str) -> DataFrame:
+    """Roles (app_id, target, role) for display, with ``section`` and ``place`` of the role: by ``role`` in fixed order, by ``table`` whatever the
+    case, or by ``app``. Rows stay rows; the sort is one over ranges."""
+    section = {"role": F.col("role"), "table": F.col("target"), "app": F.col("app_id").cast("string")}[by]
+    out = rows.withColumns({"section": section, "place": F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))})
+    return out.orderBy({"role": F.col("place"), "table": F.upper("section"), "app": F.col("app_id")}[by], "section", "place", "app_id", "target")
 
 
 def role_counts(rows: DataFrame) -> DataFrame:

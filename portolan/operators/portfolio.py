@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.functions.labels import BUCKETS, FACTOR_WEIGHTS, io_label, severity_rank, severity_weight
+from portolan.functions.labels import BUCKETS, FACTOR_WEIGHTS, confidence_label, io_label, severity_rank, severity_weight
 from portolan.functions.sqltext import server_of
 
 UNMATCHED = "Sin categorizar"
@@ -185,10 +185,14 @@ def contributions(factors: list[DataFrame]) -> DataFrame:
     return rows.withColumn("contribution", weight_of(F.col("factor")) * ordinal(F.col("bucket")))
 
 
-def priority(rows: DataFrame) -> DataFrame:
-    """``app_id, score, n_factors, bucket``, the highest score first; a factor without evidence adds nothing."""
+def priority(rows: DataFrame, analyzed: DataFrame | None = None) -> DataFrame:
+    """``app_id, score, n_factors, bucket``, the highest score first, then the newest analysis where ``analyzed`` (app_id, analyzed_at) is
+    given; a factor without evidence adds nothing."""
     score = rows.groupBy("app_id").agg(F.round(F.coalesce(F.sum("contribution"), F.lit(0.0)), 2).alias("score"), F.count("bucket").alias("n_factors"))
-    return terciles(score, [], "score").orderBy(F.desc("score"), "app_id")
+    out = terciles(score, [], "score")
+    if analyzed is None:
+        return out.orderBy(F.desc("score"), "app_id")
+    return out.join(analyzed.select("app_id", "analyzed_at"), "app_id", "left").orderBy(F.desc("score"), F.desc_nulls_last("analyzed_at"), "app_id").drop("analyzed_at")
 
 
 def top_contributions(rows: DataFrame, k: int = 2) -> DataFrame:
@@ -234,6 +238,17 @@ def shared_companions(companions: DataFrame) -> DataFrame:
     return a.join(b, "assembly").filter("app_a < app_b").groupBy("app_a", "app_b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
+def snapshot_metrics(rows: DataFrame, by: list[str], member: str = "app_name", levels: dict[str, Column] | None = None) -> DataFrame:
+    """``by`` (none: one row for all) with ``total``, the rows of each level (the labels of ``confidence`` unless given) and distinct ``members``."""
+    levels = levels or {k: confidence_label(F.col("confidence")) == k for k in ("unknown", "low", "medium", "high")}
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in levels.items()], F.count_distinct(member).alias("members"))
+
+
+def without_obsolete(apps: DataFrame) -> DataFrame:
+    """Applications that still count: all but those whose review says they are obsolete."""
+    return apps.filter(~F.col("review_status").eqNullSafe("obsoleta"))
+
+
 def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each ``key`` in ``order``."""
     return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_p = 1").drop("_p")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,22 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> Dat
     return lines.select(F.concat_ws("\n", F.lit(head), F.nullif("body", F.lit(""))).alias("markdown"))
 
 
+#: How code opens a connection, and what stands for a method whose texts aren't known; fixed values.
+CONNECTION = r"new\s+(?:Sql|Oracle)Connection\s*\(\s*([\w.]+)\s*\)"
+UNRESOLVED = "(conexion detectada, query no resuelta automaticamente — revisar manualmente)"
+
+
 def shown_findings(findings: DataFrame) -> DataFrame:
-    """SQL findings of a report: once per class, method and text, by first appearance, with how sure the text is."""
-    rows = findings.withColumn("text", F.coalesce("resolved", "raw"))
-    first = first_of_each(rows, ["app_name", "class_name", "method", "text"], ["file", "line"])
-    return first.select("app_name", "class_name", "method", F.left("text", F.lit(SNIPPET)).alias("text"), "category", "target", confidence_label(F.col("evidence.confidence")).alias("confidence"), "file", "line")
+    """SQL findings of a report: the texts that are known, once per class, method and text by first appearance, with how sure they are; a
+    method without any has one row that says so. ``connection``: the first that the method opens, else ``?``."""
+    method = ["app_name", "class_name", "method"]
+    rows = findings.withColumns({"text": F.coalesce("resolved", "raw"), "known": F.coalesce(F.col("resolved").isNotNull() | F.contains("raw", F.lit('"')), F.lit(False)), "opens": F.nullif(F.regexp_extract("raw", CONNECTION, 1), F.lit(""))})
+    groups = rows.groupBy(*method).agg(F.max("known").alias("any"), F.min(F.when(F.col("opens").isNotNull(), F.struct("file", "line", "opens"))).alias("first"), F.min(F.struct("file", "line")).alias("at"))
+    groups = groups.select(*method, "any", "at", F.coalesce("first.opens", F.lit("?")).alias("connection"))
+    first = first_of_each(rows.filter("known"), [*method, "text"], ["file", "line"]).join(groups.select(*method, "connection"), method)
+    shown = first.select(*method, "connection", F.left("text", F.lit(SNIPPET)).alias("text"), "category", "target", confidence_label(F.col("evidence.confidence")).alias("confidence"), "file", "line")
+    rest = groups.filter("not any").select(*method, "connection", F.lit(UNRESOLVED).alias("text"), F.lit("?").alias("category"), F.lit(None).cast("string").alias("target"), F.lit("unknown").alias("confidence"), "at.file", "at.line")
+    return shown.unionByName(rest)
 
 
 def shown_io(io: DataFrame) -> DataFrame:
@@ -72,20 +85,10 @@ def _diagram(rows: DataFrame) -> DataFrame:
     return body.select(F.concat_ws("\n", F.lit("graph LR"), F.nullif("body", F.lit(""))).alias("mermaid"))
 
 
-#: How a factor's bucket reads in a decision report; fixed values.
-READINESS = {"Baja": "listo", "Media": "con preparacion", "Alta": "requiere analisis"}
-
-
-def decision_report(contributions: DataFrame, scores: DataFrame, app: int, k: int = 2) -> DataFrame:
-    """One application's factors with their share of the score, the strongest first, and the ``k`` that decide marked."""
-    from pyspark.sql import Window
-
-    rows = contributions.filter(F.col("app_id") == app).join(scores.filter(F.col("app_id") == app).select("app_id", "score", F.col("bucket").alias("priority")), "app_id")
-    place = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc(F.abs(F.coalesce("contribution", F.lit(0.0)))), "factor"))
-    read = None
-    for bucket, text in READINESS.items():
-        read = F.when(F.col("bucket") == bucket, text) if read is None else read.when(F.col("bucket") == bucket, text)
-    return rows.select("app_id", "score", "priority", "factor", "raw", "bucket", F.coalesce(read, F.lit("pendiente de informacion")).alias("reading"), "contribution", (place <= k).alias("decides"))
+def sections(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``place, markdown`` of a report: each part's title and its table (a row ``markdown``), in order; to be written as text."""
+    rows = [table.select(F.lit(k).alias("place"), F.concat(F.lit(f"## {title}\n\n"), "markdown").alias("markdown")) for k, (title, table) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, rows).orderBy("place")
 
 
 def write_csv_sections(sections: dict[str, DataFrame], path: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.functions.sqltext import table_key
+
 
 def ends_with_path(path: Column, suffix: Column) -> Column:
     """Whether the last parts of ``path`` are the parts of ``suffix``."""
@@ -28,8 +30,13 @@ def one_hop_callers(calls: DataFrame, direct: DataFrame) -> DataFrame:
 
 
 def with_roles(operations: DataFrame, roles: DataFrame) -> DataFrame:
-    """Operations (app_id, target, …) with the role the application has at the target's table; indeterminado where it has none."""
-    of = roles.groupBy("app_id", "key").agg(F.max("role").alias("role"))
-    from portolan.functions.sqltext import table_key
-
+    """Operations (app_id, target, …) with the role the application has at the target's table (``flow.key_roles``: one row per application and
+    key, whatever the spellings); indeterminado where it has none."""
+    of = roles.select("app_id", "key", "role")
     return operations.withColumn("key", table_key(F.col("target"))).join(of, ["app_id", "key"], "left").withColumn("role", F.coalesce("role", F.lit("indeterminado")))
+
+
+def running_depth(rows: DataFrame, by: str, order: str, step: Column, mark: Column) -> DataFrame:
+    """``rows`` with ``depth``, the sum of ``step`` up to each in its ``by``, and ``last_mark``, the last ``order`` where ``mark`` held."""
+    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"depth": F.sum(step).over(upto), "last_mark": F.last(F.when(mark, F.col(order)), ignorenulls=True).over(upto)})

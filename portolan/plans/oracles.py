@@ -67,6 +67,24 @@ sides AS (
   FROM roles WHERE role <> 'indeterminado' GROUP BY ALL)
 """
 
+#: Roles per application and key: the marks of all spellings of a table together.
+KEYED = (
+    FLOW
+    + """,
+kg AS (
+  SELECT app_id, key, bool_or(op <> 'select') AS w, bool_or(op = 'select') AS r,
+         bool_or(op <> 'select' AND m) AS wm, bool_or(op <> 'select' AND (col IS NOT NULL OR op = 'delete')) AS wk,
+         bool_or(op = 'select' AND m) AS rm, bool_or(op = 'select' AND st) AS rs, bool_or(op = 'select' AND a) AS ra, bool_or(op = 'select' AND col IS NOT NULL) AS rk
+  FROM marks WHERE op IS NOT NULL GROUP BY ALL),
+kn AS (SELECT app_id, key, count(*) FILTER (op = 'select') AS n_reads, count(*) FILTER (op <> 'select') AS n_writes FROM ops WHERE op IS NOT NULL GROUP BY ALL),
+keyed AS (
+  SELECT app_id, key, n_reads, n_writes, CASE
+    WHEN w AND r THEN 'mixto' WHEN w AND wm THEN 'productor_numerico' WHEN w AND wk THEN 'productor_passfail' WHEN w THEN 'indeterminado'
+    WHEN rm THEN 'consumidor_medicion' WHEN rs OR (ra AND coalesce(confirmed, false)) THEN 'consumidor_resultado' WHEN rk THEN 'consumidor_general' ELSE 'indeterminado' END AS role
+  FROM kg JOIN kn USING (app_id, key) LEFT JOIN ctx USING (key))
+"""
+)
+
 _STATUS = "CASE role WHEN 'indeterminado' THEN 'unresolved_no_columns' ELSE 'resolved' END AS status"
 
 SETTINGS = """
@@ -140,6 +158,18 @@ j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_
 
 _TABLE = "coalesce(" + ", ".join(f"nullif(regexp_extract(raw, {_q(p)}, 1), '')" for p in TABLE_PATTERNS) + ")"
 
+#: Factors in the report's order, and what their buckets mean.
+_DECISION = _portfolio(""", d AS (
+  SELECT c.*, place, label FROM contrib c JOIN (VALUES ('complejidad_tecnica', 1::BIGINT, 'Complejidad tecnica'), ('riesgo', 2, 'Riesgo'), ('dependencias', 3, 'Dependencias'), ('reglas_negocio', 4, 'Reglas de negocio'), ('complejidad_integracion', 5, 'Complejidad de integracion'), ('reutilizacion_potencial', 6, 'Reutilizacion potencial')) l(factor, place, label) USING (factor)),
+t AS (SELECT * FROM (VALUES
+  (1, 'Alta', 'Superficie de datos grande: muchas consultas/SP/tablas que reconstruir.'), (1, 'Media', 'Superficie de datos moderada.'), (1, 'Baja', 'Superficie de datos pequena: poco que reconstruir en la capa de datos.'),
+  (2, 'Alta', 'Concentra hallazgos de severidad alta/critica -- revisar antes de comprometer fecha de migracion.'), (2, 'Media', 'Riesgo moderado, sin señales de severidad critica dominante.'), (2, 'Baja', 'Sin hallazgos de riesgo relevantes detectados hasta ahora.'),
+  (3, 'Alta', 'Muy interconectada: conviene migrarla junto con las apps que comparten sus recursos, no de forma aislada.'), (3, 'Media', 'Comparte algunos recursos con otras apps -- coordinar el orden de migracion.'), (3, 'Baja', 'Poco o nada interconectada -- puede migrarse de forma independiente.'),
+  (4, 'Alta', 'Mucho volumen documentado de logica de negocio -- probable esfuerzo funcional alto.'), (4, 'Media', 'Volumen medio de logica de negocio documentada.'), (4, 'Baja', 'Poco volumen de logica de negocio documentada hasta ahora.'),
+  (5, 'Alta', 'Depende de varias integraciones externas -- replicarlas es parte critica del esfuerzo.'), (5, 'Media', 'Algunas integraciones externas a replicar.'), (5, 'Baja', 'Pocas o ninguna integracion externa detectada.'),
+  (6, 'Alta', 'Comparte varios patrones con otras apps -- una solucion aqui es reutilizable en el resto del portafolio.'), (6, 'Media', 'Comparte algunos patrones con otras apps.'), (6, 'Baja', 'Poco o nada de conocimiento reutilizable detectado con otras apps todavia.')) v(place, bucket, text))
+""")
+
 ORACLES: dict[str, str] = {
     "flow_operation": FLOW + "SELECT coalesce(op, 'none') AS op, count(*) AS n FROM ops GROUP BY 1",
     "flow_columns": FLOW + "SELECT app_id, seq, target, op, col, CASE WHEN op = 'select' AND results IS NOT NULL THEN 90 ELSE 80 END::BIGINT AS conf, count(*) AS n FROM (SELECT *, unnest(cols) AS col FROM ops) GROUP BY ALL",
@@ -160,7 +190,9 @@ ORACLES: dict[str, str] = {
     "batch_names": """
         SELECT o_orderkey, CASE WHEN root = module THEN root ELSE root || '/' || module END AS app_name
         FROM (SELECT o_orderkey, 'Root' || (o_custkey % 7) AS root, CASE WHEN o_orderkey % 2 = 0 THEN 'Root' ELSE 'Mod' END || (o_orderkey % 7) AS module FROM orders)""",
-    "failure_reasons": "SELECT event_id, CASE event_type WHEN 'click' THEN 'NO_SOURCE' WHEN 'view' THEN 'NO_ACCESS' ELSE 'UNKNOWN' END AS reason, CASE event_type WHEN 'click' THEN 'decompile' WHEN 'view' THEN 'ask' ELSE 'review' END AS action FROM events",
+    "failure_reasons": """
+        SELECT event_id, CASE event_type WHEN 'click' THEN 'SQL armado dinamicamente -- no se pudo determinar el texto completo.' WHEN 'view' THEN 'No se encontro la fuente de esta configuracion.' ELSE 'Causa no determinada.' END AS reason,
+               CASE event_type WHEN 'click' THEN 'Revisar el codigo manualmente para confirmar el texto real de la consulta.' WHEN 'view' THEN 'Confirmar que la decompilacion incluyo todos los ensamblados relevantes (companion assemblies).' ELSE 'Revisar manualmente -- este es el residual honesto, no una clasificacion real.' END AS action FROM events""",
     "server_footprint": _FOOTPRINT + "SELECT app_id, target, CASE WHEN n = 1 THEN server END AS server, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM j",
     "dep_table_edges": _portfolio("SELECT * FROM edges"),
     "dep_server_edges": f"WITH {SETTINGS} SELECT a.app_id AS app_a, b.app_id AS app_b, a.server AS resource FROM cat a JOIN cat b ON a.server = b.server AND a.app_name < b.app_name WHERE a.category = 'sql_or_oracle' AND b.category = 'sql_or_oracle'",
@@ -236,6 +268,42 @@ ORACLES: dict[str, str] = {
           SELECT *, CASE WHEN row_number() OVER (PARTITION BY class_name ORDER BY kind, target) = 1 THEN 1 ELSE 0 END AS c, CASE WHEN row_number() OVER (PARTITION BY kind, target ORDER BY class_name) = 1 THEN 1 ELSE 0 END AS r
           FROM (SELECT DISTINCT 'Class' || app_id AS class_name, category AS kind, target FROM sf)) WINDOW o AS (ORDER BY class_name, kind, target)) WHERE n < 80"""),
     "ranked_findings_first": "SELECT l_orderkey, l_returnflag, l_linenumber, l_suppkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_suppkey, l_partkey) AS p FROM lineitem) WHERE p = 1",
+    "flow_key_roles": KEYED + f"SELECT app_id, key AS table_key, role, {_STATUS}, n_reads, n_writes FROM keyed",
+    "flow_grouped": FLOW + f"SELECT target AS section, list_position([{', '.join(_q(r) for r in ROLES)}], role)::BIGINT AS place, app_id, role FROM roles",
+    "data_op_roles": KEYED + "SELECT f.app_id, coalesce(role, 'indeterminado') AS role, count(*) AS n FROM f LEFT JOIN keyed ON keyed.app_id = f.app_id AND f.seq % 4 <> 0 AND keyed.key = regexp_replace(upper(f.target), '^DBO\\.', '') WHERE f.seq % 2 = 0 GROUP BY ALL",
+    "enrich_counters": "SELECT l_suppkey AS app_id, count(*) FILTER (l_linenumber <= 3 AND l_returnflag = 'N') AS sp_ok, count(*) FILTER (l_linenumber <= 3) AS sp_total, count(*) FILTER (l_linenumber > 3) AS tables FROM lineitem GROUP BY 1",
+    "folder_diff": "SELECT DISTINCT p_brand AS app_name, p_type AS folder FROM part p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_type = p.p_type AND q.p_size <= 25)",
+    "csharp_techstack": "SELECT DISTINCT p_brand AS app_name, 'WinForms' AS ui_framework, 'System.Data.SqlClient (SQL Server)' AS db_drivers FROM part",
+    "csharp_snapshot": "SELECT 'SqlCommand' AS kind, 4 * count(*) AS total, 2 * count(*) AS unknown, 0::BIGINT AS low, 0::BIGINT AS medium, 2 * count(*) AS high, count(DISTINCT p_brand) AS members FROM part",
+    "assembly_observations": _portfolio(
+        "SELECT 'Lib' || l_partkey AS assembly, chr(39) || own || chr(39) || ' reutiliza el ensamblado ' || chr(39) || 'Lib' || l_partkey || chr(39) || ', tambien encontrado en: ' || names || '.' AS text FROM ("
+        "SELECT l.l_partkey, min(m.app_name) AS own, string_agg(DISTINCT o.app_name, ', ' ORDER BY o.app_name) AS names FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 7) a"
+        " JOIN lineitem l ON l.l_partkey = a.l_partkey AND l.l_suppkey <> 7 JOIN apps o ON o.app_id = l.l_suppkey JOIN apps m ON m.app_id = 7 GROUP BY 1)"
+    ),
+    "decision_factors": _DECISION + "SELECT app_id, d.place, label, d.bucket, raw, coalesce(t.text, 'No se puede interpretar todavia -- falta evidencia (ver columna Evidencia).') AS interpretation FROM d LEFT JOIN t ON t.place = d.place AND t.bucket = d.bucket",
+    "decision_evidence": _DECISION + """
+        SELECT app_id, factor, CASE WHEN raw IS NULL THEN 'Sin evidencia disponible'
+          WHEN place = 1 THEN n_targets || ' consulta(s)/SP, ' || n_tables || ' tabla(s) introspectada(s)'
+          WHEN place = 2 THEN CASE WHEN n_risks = 0 THEN 'Sin hallazgos ni flags de seguridad detectados' ELSE n_risks || ' hallazgo(s)/flag(s)' || CASE WHEN n_critical > 0 THEN ' (' || n_critical || ' critico(s))' ELSE '' END END
+          WHEN place = 3 THEN CASE WHEN raw = 0 THEN 'No comparte tablas/SP ni servidor con otras apps' ELSE 'comparte ' || raw::BIGINT || ' recurso(s) (tabla/SP/servidor) con otras apps' END
+          WHEN place = 4 THEN raw::BIGINT || ' linea(s) documentadas (proxy)'
+          WHEN place = 5 THEN CASE WHEN raw = 0 THEN 'Sin integraciones externas detectadas' ELSE raw::BIGINT || ' integracion(es)' END
+          ELSE CASE WHEN raw = 0 THEN 'No comparte patrones conocidos con otras apps' ELSE 'comparte patrones con otras apps' END END AS evidence
+        FROM d JOIN (SELECT app_id, (SELECT count(DISTINCT target) FROM sf WHERE sf.app_id = apps.app_id) AS n_targets, (SELECT count(*) FROM st WHERE st.app_id = apps.app_id) AS n_tables,
+          (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name) + (SELECT count(*) FROM flags WHERE flags.app_id = apps.app_id) AS n_risks, (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name AND severity = 'critica') AS n_critical FROM apps) USING (app_id)""",
+    "decision_summary": _DECISION + """,
+        g AS (SELECT app_id, max(bucket) FILTER (place = 1) AS technical, max(bucket) FILTER (place = 5) AS integration, max(bucket) FILTER (place = 2) AS risk,
+          concat_ws(', ', string_agg(label, ', ' ORDER BY place) FILTER (bucket IS NULL), 'Cantidad de usuarios', 'Criticidad operacional') AS pending,
+          list(label || ' en nivel ' || bucket || ' (' || CASE WHEN contribution > 0 THEN 'subio' ELSE 'bajo' END || ' el score en ' || abs(contribution) || ')' ORDER BY abs(contribution) DESC, place) FILTER (contribution <> 0) AS moves,
+          concat_ws('; ', max('el riesgo (hallazgos/flags de seguridad) es alto y deberia revisarse antes de comprometer fecha de migracion') FILTER (place = 2 AND bucket = 'Alta'), max('esta muy interconectada con otras apps, lo que puede forzar una migracion coordinada en vez de aislada') FILTER (place = 3 AND bucket = 'Alta')) AS risks,
+          concat_ws('; ', max('comparte patrones conocidos con otras apps, lo que abarata construir una solucion reutilizable') FILTER (place = 6 AND bucket = 'Alta'), max('su superficie tecnica de datos es pequena') FILTER (place = 1 AND bucket = 'Baja'), max('no depende de integraciones externas complejas') FILTER (place = 5 AND bucket = 'Baja')) AS strengths
+          FROM d GROUP BY 1),
+        x AS (SELECT app_id, app_name, score, CASE WHEN v[-1] = 0 OR score <= v[len(v) // 3 + 1] THEN 'Baja' WHEN score <= v[len(v) * 2 // 3 + 1] THEN 'Media' ELSE 'Alta' END AS priority,
+          CASE review_status WHEN 'borrador' THEN 'Sin revision de logica de negocio todavia' ELSE 'Logica de negocio revisada' END AS readiness FROM scores JOIN apps USING (app_id), (SELECT list_sort(list(score)) AS v FROM scores))
+        SELECT app_id, app_name, priority, score, technical, integration, risk, readiness, pending,
+          'Esta app quedo con prioridad **' || priority || '** (score ' || score || '). ' || CASE WHEN len(moves) > 0 THEN 'El/los factor(es) con mayor influencia en el score fueron ' || array_to_string(moves[1:2], ' y ') || '.' ELSE 'Ningun factor tuvo un aporte distinto de cero para esta app -- valores parejos frente al resto del portafolio.' END || ' Informacion que aun falta para completar la evaluacion: ' || pending || '.' AS narrative,
+          'Prioridad recomendada: ' || priority || '. Principal(es) riesgo(s): ' || coalesce(nullif(risks, ''), 'no se detectaron riesgos dominantes con la evidencia disponible hoy') || '. Principal(es) fortaleza(s): ' || coalesce(nullif(strengths, ''), 'ninguna fortaleza clara segun los factores calculados hoy') || '. Pendiente de evaluar antes de decidir: ' || pending || '. Estado de revision de logica de negocio: ' || readiness || '.' AS conclusion
+        FROM g JOIN x USING (app_id)""",
 }
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import enrich, extraction, flow, portfolio, structure
+from portolan.operators import decision, enrich, extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -54,6 +54,26 @@ def flow_role_counts(spark, sf_dir):
     return flow.role_counts(flow.portfolio_roles(R.flow_findings(spark, sf_dir))).select(F.col("place").cast("bigint").alias("place"), "role", "n")
 
 
+@query
+def flow_key_roles(spark, sf_dir):
+    """Roles per application and table, all spellings taken together."""
+    return flow.key_roles(R.flow_findings(spark, sf_dir)).select("app_id", F.col("key").alias("table_key"), "role", "status", "n_reads", "n_writes")
+
+
+@query
+def flow_grouped(spark, sf_dir):
+    """Roles by table, in the order of display."""
+    return flow.grouped(flow.portfolio_roles(R.flow_findings(spark, sf_dir)), "table").select("section", F.col("place").cast("bigint").alias("place"), "app_id", "role")
+
+
+@query
+def data_op_roles(spark, sf_dir):
+    """The role of each finding's application at its table, for every second line; those of every fourth are on tables without roles."""
+    rows = R.flow_findings(spark, sf_dir)
+    asked = rows.filter("seq % 2 = 0").select("app_id", "seq", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("no_"), "target")).otherwise(F.col("target")).alias("target"))
+    return structure.with_roles(asked, flow.key_roles(rows)).groupBy("app_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def flow_bounded(spark, sf_dir):
     """One application's roles, from its tables' rows only."""
@@ -123,8 +143,10 @@ def batch_names(spark, sf_dir):
 
 @query
 def failure_reasons(spark, sf_dir):
-    catalog = spark.createDataFrame([("click", "NO_SOURCE", "decompile"), ("view", "NO_ACCESS", "ask"), ("UNKNOWN", "UNKNOWN", "review")], "code string, reason string, action string")
-    return labels.reason_of(R.table(spark, sf_dir, "events", "event_id", "event_type"), "event_type", catalog).select("event_id", "reason", "action")
+    """Events as unresolved findings, with the catalog's reason and action."""
+    code = F.when(F.col("event_type") == "click", "DYNAMIC_SQL").when(F.col("event_type") == "view", "MISSING_SOURCE").otherwise(F.col("event_type"))
+    rows = R.table(spark, sf_dir, "events", "event_id", "event_type").withColumn("failure", code)
+    return labels.reason_of(rows, "failure", labels.failure_catalog(spark)).select("event_id", "reason", "action")
 
 
 # ---- dependencies and catalog
@@ -247,6 +269,38 @@ def priority_top_factors(spark, sf_dir):
     return out.withColumn("place", F.col("place").cast("bigint"))
 
 
+def _decision(spark, sf_dir):
+    rows = portfolio.contributions(list(_factors(spark, sf_dir).values()))
+    return rows, portfolio.priority(rows), R.suppliers(spark, sf_dir)
+
+
+@query
+def decision_summary(spark, sf_dir):
+    """Each supplier's decision report in a row."""
+    return decision.summaries(*_decision(spark, sf_dir))
+
+
+@query
+def decision_factors(spark, sf_dir):
+    rows = decision.factor_rows(_decision(spark, sf_dir)[0])
+    return rows.select("app_id", F.col("place").cast("bigint").alias("place"), "label", "bucket", "raw", "interpretation")
+
+
+@query
+def decision_evidence(spark, sf_dir):
+    """Each factor's evidence in a line."""
+    apps, findings = R.suppliers(spark, sf_dir), R.supplier_findings(spark, sf_dir)
+    edges = portfolio.table_edges(findings).unionByName(portfolio.server_edges(_categorised(spark, sf_dir), apps))
+    return decision.short_evidence(findings, R.supplier_tables(spark, sf_dir), R.curated_findings(spark, sf_dir), R.security_flags(spark, sf_dir), edges, _decision(spark, sf_dir)[0], apps)
+
+
+@query
+def assembly_observations(spark, sf_dir):
+    """Other suppliers of the parts of one."""
+    rows = R.table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("app_id"), F.concat(F.lit("Lib"), F.col("l_partkey").cast("string")).alias("assembly"))
+    return decision.assembly_observations(rows, R.suppliers(spark, sf_dir), 7)
+
+
 # ---- lists, labels, sinks
 
 
@@ -316,8 +370,10 @@ def io_labels_diagram(spark, sf_dir):
 
 @query
 def confidence_lookup(spark, sf_dir):
-    table = spark.createDataFrame([("click", 90), ("view", 70), ("signup", 60), ("error", 30)], "key string, confidence int")
-    rows = labels.looked_up(R.table(spark, sf_dir, "events", "event_id", "event_type"), "event_type", table)
+    """Events as kinds of evidence, and how sure those are."""
+    event = F.col("event_type")
+    kind = F.when(event == "click", "HARDCODED_METHOD_LITERAL").when(event == "view", "REGEX_KEYWORD_MATCH").when(event == "signup", "INFERRED").when(event == "error", "APP_CALL_TARGET_UNKNOWN").otherwise(event)
+    rows = labels.looked_up(R.table(spark, sf_dir, "events", "event_id", "event_type").withColumn("kind", kind), "kind", labels.confidence_dimension(spark))
     return rows.select("event_id", F.col("confidence").cast("bigint").alias("confidence"), labels.confidence_label(F.col("confidence")).alias("label"))
 
 
@@ -329,12 +385,17 @@ def folder_class(spark, sf_dir):
 
 @query
 def techstack(spark, sf_dir):
-    """Markers of pages per scheme: sorted, the plain one dropped beside the richer."""
-    rows = R.table(spark, sf_dir, "pages", "url", "html").withColumn("app", F.regexp_extract("url", r"^(?:https?://)?([^/?#]*)", 1))
-    marks = {"Script": "<script", "Table": "<table", "Form": "<form", "Plain": "<p"}
-    seen = rows.groupBy("app").agg(*[F.max(F.coalesce(F.contains("html", F.lit(m)), F.lit(False))).alias(k) for k, m in marks.items()])
-    seen = seen.withColumn("Plain", F.col("Plain") & ~F.col("Table") & ~F.col("Form"))
-    return seen.select("app", F.array_join(F.array_sort(F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in marks]), lambda x: x.isNotNull())), ",").alias("stack"))
+    """Markers of pages per host: sorted, the plain one dropped beside the richer."""
+    rows = R.table(spark, sf_dir, "pages", "url", "html").select(F.regexp_extract("url", r"^(?:https?://)?([^/?#]*)", 1).alias("app"), F.col("html").alias("text"))
+    seen = corpus.markers(rows, "app", {"stack": {"Script": "<script", "Table": "<table", "Form": "<form", "Plain": "<p"}})
+    return seen.select("app", F.array_join(corpus.without_beside(F.col("stack"), "Plain", ("Table", "Form")), ",").alias("stack"))
+
+
+@query
+def csharp_techstack(spark, sf_dir):
+    """Frameworks and drivers of each application's code."""
+    rows = corpus.tech_stack(R.source_files(spark, sf_dir))
+    return rows.select("app_name", F.array_join("ui_framework", ",").alias("ui_framework"), F.array_join("db_drivers", ",").alias("db_drivers"))
 
 
 @query
@@ -346,10 +407,10 @@ def config_add_tags(spark, sf_dir):
 
 @query
 def dedupe_value(spark, sf_dir):
-    """Settings whose trimmed value no earlier one has: the smallest id of each value that isn't a segment in use."""
-    rows = R.settings(spark, sf_dir).select("app_id", F.trim("value").alias("value"))
-    used = R.table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").filter("c_custkey % 9 = 0").select(F.trim("c_mktsegment").alias("value")).distinct()
-    return rows.join(used, "value", "left_anti").groupBy("value").agg(F.min("app_id").alias("app_id"))
+    """Settings whose trimmed value no segment in use has: the smallest id of each value."""
+    rows = R.settings(spark, sf_dir).select(F.lit(1).alias("rank"), "app_id", F.trim("value").alias("value"))
+    used = R.table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").filter("c_custkey % 9 = 0").select(F.lit(0).alias("rank"), F.col("c_custkey").alias("app_id"), F.col("c_mktsegment").alias("value"))
+    return extraction.first_values(rows.unionByName(used), [], "rank", ["rank", "app_id"]).filter("rank = 1").select("value", "app_id")
 
 
 @query
@@ -362,25 +423,24 @@ def upsert_identity(spark, sf_dir):
 
 @query
 def latest_activity(spark, sf_dir):
-    """Each user's last event; ties go to the smallest id; more sure where all events could be read."""
+    """Each user's events as a folder of logs: the last one; ties go to the smallest id; more sure where all could be read."""
     rows = R.table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")
-    last = rows.groupBy("user_id").agg(F.max(F.struct("ts", (-F.col("event_id")).alias("k"), "event_type")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return last.select("user_id", (-F.col("x.k")).alias("event_id"), F.col("x.event_type").alias("event_type"), F.when(F.col("n") <= 500, 70).otherwise(60).cast("bigint").alias("confidence"))
+    logs = rows.select(F.col("user_id").alias("app_name"), F.concat_ws("/", F.lpad(F.col("event_id").cast("string"), 19, "0"), "event_type").alias("path"), F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))).alias("modified"))
+    return corpus.last_activity(logs).select(F.col("app_name").alias("user_id"), F.substring_index("source", "/", 1).cast("bigint").alias("event_id"), F.substring_index("source", "/", -1).alias("event_type"), F.col("confidence").cast("bigint").alias("confidence"))
 
 
 @query
 def brace_depth(spark, sf_dir):
     """Running depth over a conversation's turns, and the last user turn up to each."""
     rows = R.table(spark, sf_dir, "conversations", "conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", -1).otherwise(0)
-    return rows.select("conv_id", "turn", F.sum(step).over(before).alias("depth"), F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("last_user"))
+    return structure.running_depth(rows, "conv_id", "turn", step, F.col("role") == "user").select("conv_id", "turn", "depth", F.col("last_mark").alias("last_user"))
 
 
 @query
 def dedupe_text_first(spark, sf_dir):
-    rows = R.table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    return rows.groupBy("conv_id", F.md5("text").alias("digest")).agg(F.min("turn").alias("turn"))
+    rows = R.table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("digest"), "turn")
+    return portfolio.first_of_each(rows, ["conv_id", "digest"], ["turn"])
 
 
 @query
@@ -410,16 +470,37 @@ def companion_overlap(spark, sf_dir):
 @query
 def snapshot_metrics(spark, sf_dir):
     rows = R.table(spark, sf_dir, "events", "user_id", "event_type", "value")
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), n(F.col("value") < 10).alias("low"), n((F.col("value") >= 10) & (F.col("value") < 50)).alias("mid"), n(F.col("value") >= 50).alias("high"), F.count_distinct("user_id").alias("users"))
+    levels = {"low": F.col("value") < 10, "mid": (F.col("value") >= 10) & (F.col("value") < 50), "high": F.col("value") >= 50}
+    return portfolio.snapshot_metrics(rows, ["event_type"], "user_id", levels).withColumnRenamed("members", "users")
+
+
+@query
+def csharp_snapshot(spark, sf_dir):
+    """Findings per extractor with how sure they are, and the applications they are in."""
+    rows = extraction.sql_findings(R.source_files(spark, sf_dir)).select("app_name", "kind", F.col("evidence.confidence").alias("confidence"))
+    return portfolio.snapshot_metrics(rows, ["kind"])
 
 
 @query
 def enrich_pick(spark, sf_dir):
     """For each object the first connection that answers: for a procedure the first one asked, for a table the first with columns."""
-    rows = R.table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").select(F.lower(F.concat(F.lit("Obj"), F.col("l_partkey").cast("string"))).alias("object"), F.when(F.col("l_linenumber") <= 3, "procedure").otherwise("table").alias("kind"), F.col("l_suppkey").alias("connection"), (F.col("l_returnflag") == "N").alias("found"))
-    good = (F.col("kind") == "procedure") | F.col("found")
-    return rows.groupBy("kind", "object").agg(F.min(F.when(good, F.col("connection"))).alias("connection"))
+    rows = R.table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    answers = rows.select(F.lit(0).alias("app_id"), F.lit("dbo").alias("schema"), F.lower(F.concat(F.lit("Obj"), F.col("l_partkey").cast("string"))).alias("name"), (F.col("l_linenumber") <= 3).alias("is_procedure"), F.col("l_suppkey").alias("place"), (F.col("l_returnflag") == "N").cast("int").alias("n_columns"), F.lit(None).cast("string").alias("error"))
+    return enrich.picked(answers).select(F.when(F.col("is_procedure"), "procedure").otherwise("table").alias("kind"), F.col("name").alias("object"), F.col("place").alias("connection"))
+
+
+@query
+def enrich_counters(spark, sf_dir):
+    """Line items as objects that their supplier's databases were asked about."""
+    rows = R.table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_returnflag")
+    return enrich.counters(rows.select(F.col("l_suppkey").alias("app_id"), (F.col("l_linenumber") <= 3).alias("is_procedure"), F.when(F.col("l_returnflag") == "N", "ok").otherwise("not_found").alias("status")))
+
+
+@query
+def folder_diff(spark, sf_dir):
+    """Types that a brand has only in large sizes: folders that came later."""
+    rows = R.table(spark, sf_dir, "part", "p_brand", "p_type", "p_size").select(F.col("p_brand").alias("app_name"), F.col("p_type").alias("folder"), "p_size")
+    return corpus.new_folders(rows.filter("p_size <= 25"), rows.filter("p_size > 25"))
 
 
 @query

@@ -94,29 +94,55 @@ def application_name(root: Column, module: Column) -> Column:
 
 
 #: Signs of frameworks and drivers in code; fixed values.
-FRAMEWORKS = {"WinForms": r"using System\.Windows\.Forms;|:\s*Form\b", "WPF": r"using System\.Windows\.Controls;|InitializeComponent\(\).*\.xaml|:\s*Window\b", "Console/Service": r"static\s+(?:async\s+)?(?:void|Task)\s+Main\s*\("}
+FRAMEWORKS = {"WinForms": r"using System\.Windows\.Forms;|:\s*Form\b|:\s*UserControl\b.*System\.Windows\.Forms", "WPF": r"using System\.Windows\.Controls;|InitializeComponent\(\).*\.xaml|:\s*Window\b", "Console/Service": r"static\s+(?:async\s+)?(?:void|Task)\s+Main\s*\("}
 DRIVERS = {
     "System.Data.SqlClient (SQL Server)": r"using System\.Data\.SqlClient;", "Microsoft.Data.SqlClient (SQL Server)": r"using Microsoft\.Data\.SqlClient;",
     "Oracle.ManagedDataAccess (Oracle)": r"using Oracle\.ManagedDataAccess", "Oracle.DataAccess (Oracle, unmanaged)": r"using Oracle\.DataAccess",
 }
 
 
-def tech_stack(files: DataFrame) -> DataFrame:
-    """``app_name, ui_framework, db_drivers`` arrays, sorted; a console beside a window framework isn't named."""
+NO_FRAMEWORK, NO_DRIVER = "(no detectado)", "(ninguno detectado)"
+
+
+def markers(files: DataFrame, by: str, marks: dict[str, dict[str, str]]) -> DataFrame:
+    """``by`` with a sorted array for each group of ``marks`` (column: name: pattern): the names seen in any of its texts. One pass, one flag a mark."""
+    seen = files.groupBy(by).agg(*[F.max(F.coalesce(F.col("text").rlike(p), F.lit(False))).alias(f"{c}.{n}") for c, of in marks.items() for n, p in of.items()])
+    return seen.select(by, *[F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"`{c}.{n}`"), F.lit(n)) for n in of]))).alias(c) for c, of in marks.items()])
+
+
+def without_beside(names: Column, plain: str, richer: tuple[str, ...]) -> Column:
+    """``names`` without the ``plain`` one where a ``richer`` one is there."""
+    return F.when(F.arrays_overlap(names, F.array(*[F.lit(r) for r in richer])), F.array_remove(names, plain)).otherwise(names)
 
-    def seen(marks: dict[str, str]) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in marks.items()]), lambda x: x.isNotNull())))))
 
-    rows = files.groupBy("app_name").agg(seen(FRAMEWORKS).alias("ui"), seen(DRIVERS).alias("db_drivers"))
-    window = F.array_contains("ui", "WinForms") | F.array_contains("ui", "WPF")
-    return rows.select("app_name", F.when(window, F.array_remove("ui", "Console/Service")).otherwise(F.col("ui")).alias("ui_framework"), "db_drivers")
+def tech_stack(files: DataFrame) -> DataFrame:
+    """``app_name, ui_framework, db_drivers`` arrays, sorted; a console beside a window framework isn't named, and where nothing is seen they say so."""
+    seen = markers(files, "app_name", {"ui": FRAMEWORKS, "drivers": DRIVERS})
+    shown = lambda names, none: F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(none)))
+    return seen.select("app_name", shown(without_beside(F.col("ui"), "Console/Service", ("WinForms", "WPF")), NO_FRAMEWORK).alias("ui_framework"), shown(F.col("drivers"), NO_DRIVER).alias("db_drivers"))
 
 
-def last_activity(logs: DataFrame) -> DataFrame:
+def last_activity(logs: DataFrame, apps: DataFrame | None = None) -> DataFrame:
     """``app_name, date, source, confidence`` from listings of log folders (app_name, path, modified): the newest file, the first by
-    path among equals; 70 where all entries were within the limit, 60 beyond it, where only the newest of the first by path would be known."""
-    found = logs.groupBy("app_name").agg(F.max("modified").alias("newest"), F.min_by("path", F.struct((-F.unix_micros("modified")).alias("t"), "path")).alias("source"), F.count(F.lit(1)).alias("n"))
-    return found.select("app_name", F.date_format("newest", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "source", F.when(F.col("n") <= BUSY_ENTRIES, 70).otherwise(60).alias("confidence"))
+    path among equals; 70 where all entries were within the limit, 60 beyond it, where only the newest of the first by path would be known.
+
+    A folder without files is listed by itself, its path with a slash at the end: it counts where an application has nothing else (50). With
+    ``apps`` (app_name), those without anything are there too: no date, ``no_evidence``, 20.
+    """
+    folder = F.col("path").endswith("/")
+    newest = F.max(F.struct((~folder).alias("file"), "modified")).alias("m")
+    found = logs.groupBy("app_name").agg(newest, F.min_by("path", F.struct(folder.alias("f"), (-F.unix_micros("modified")).alias("t"), "path")).alias("source"), F.count_if(~folder).alias("n"))
+    sure = F.when(F.col("n") == 0, 50).when(F.col("n") <= BUSY_ENTRIES, 70).otherwise(60)
+    out = found.select("app_name", F.date_format("m.modified", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "source", sure.alias("confidence"))
+    if apps is None:
+        return out
+    every = apps.select("app_name").distinct().join(out, "app_name", "left")
+    return every.select("app_name", "date", F.coalesce("source", F.lit("no_evidence")).alias("source"), F.coalesce("confidence", F.lit(20)).alias("confidence"))
+
+
+def new_folders(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Folders of ``after`` that weren't in ``before`` (both: app_name, folder): those that a program's own decompiling made."""
+    return after.select("app_name", "folder").distinct().join(before.select("app_name", "folder"), ["app_name", "folder"], "left_anti")
 
 
 def catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -130,6 +156,8 @@ CATALOG_SQL = {
     "definition": "SELECT OBJECT_DEFINITION(OBJECT_ID('{object}')) AS definition",
     "parameters": "SELECT p.name, t.name AS type, p.max_length, p.is_output, p.has_default_value FROM sys.parameters p JOIN sys.types t ON t.user_type_id = p.user_type_id WHERE p.object_id = OBJECT_ID('{object}')",
     "columns": "SELECT column_name, data_type, is_nullable, character_maximum_length, column_default FROM information_schema.columns WHERE table_schema = '{schema}' AND table_name = '{name}'",
+    "result_set": "SELECT name, column_ordinal, system_type_name, is_nullable FROM sys.dm_exec_describe_first_result_set_for_object(OBJECT_ID('{object}'), 0)",
+    "foreign_keys": "SELECT f.name AS fk_name, OBJECT_SCHEMA_NAME(f.referenced_object_id) + '.' + OBJECT_NAME(f.referenced_object_id) AS ref_table, COL_NAME(c.parent_object_id, c.parent_column_id) AS column_name, COL_NAME(c.referenced_object_id, c.referenced_column_id) AS ref_column FROM sys.foreign_keys f JOIN sys.foreign_key_columns c ON c.constraint_object_id = f.object_id WHERE f.parent_object_id = OBJECT_ID('{object}')",
 }
 
 
