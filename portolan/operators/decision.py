@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.operators.portfolio import UNMATCHED, integration_labels
+
 #: Names of factors in order, of review states, and what a factor's bucket means; fixed values.
 FACTOR_LABELS = {
     "complejidad_tecnica": "Complejidad tecnica", "riesgo": "Riesgo", "dependencias": "Dependencias", "reglas_negocio": "Reglas de negocio", "complejidad_integracion": "Complejidad de integracion", "reutilizacion_potencial": "Reutilizacion potencial",
@@ -104,18 +106,24 @@ def summaries(contributions: DataFrame, scores: DataFrame, apps: DataFrame) -> D
     return out.select("app_id", "app_name", "priority", "score", "technical", "integration", "risk", "readiness", "pending", narrative.alias("narrative"), conclusion.alias("conclusion"))
 
 
-def short_evidence(findings: DataFrame, tables: DataFrame, curated: DataFrame, flags: DataFrame, edges: DataFrame, contributions: DataFrame, apps: DataFrame) -> DataFrame:
-    """``app_id, factor, evidence``: each factor's evidence in a line, from counts per application; a factor without evidence says so."""
+def short_evidence(findings: DataFrame, tables: DataFrame, curated: DataFrame, flags: DataFrame, edges: DataFrame, io: DataFrame, members: DataFrame, contributions: DataFrame, apps: DataFrame) -> DataFrame:
+    """``app_id, factor, evidence``: each factor's evidence in a line, from counts per application (of integrations, the most frequent kind first);
+    a factor without evidence says so."""
+    kind = F.format_string("%d integracion(es) de tipo '%s'", "n", "label")
+    kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "label", kind.alias("text")))), lambda x: x["text"]), ", ")
+    pairs = members.filter(F.col("category") != UNMATCHED).select("category", "app_name").distinct()
+    shared = pairs.join(pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "category").join(apps.select("app_id", "app_name"), "app_name")
     severe = curated.select("app_name", "severity").join(apps.select("app_id", "app_name"), "app_name").select("app_id", "severity").unionByName(flags.select("app_id", "severity"))
     counts = [
         findings.filter("target is not null").groupBy("app_id").agg(F.count_distinct("target").alias("n_targets")), tables.groupBy("app_id").agg(F.count_distinct("schema_name", "table_name").alias("n_tables")),
         severe.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_risks"), F.count_if(F.col("severity") == "critica").alias("n_critical")),
         edges.select(F.explode(F.array("app_a", "app_b")).alias("app_id")).groupBy("app_id").agg(F.count(F.lit(1)).alias("n_shared")),
+        integration_labels(io).groupBy("app_id").agg(kinds.alias("kinds")), shared.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_patterns")),
     ]
     rows = contributions.select("app_id", "factor", "raw", "bucket")
     for c in counts:
         rows = rows.join(c, "app_id", "left")
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_targets", "n_tables", "n_risks", "n_critical", "n_shared")}
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_targets", "n_tables", "n_risks", "n_critical", "n_shared", "n_patterns")}
     critical = F.when(n["n_critical"] > 0, F.format_string(" (%d critico(s))", n["n_critical"])).otherwise("")
     lines = F.coalesce(F.col("raw"), F.lit(0.0)).cast("bigint")
     text = (
@@ -124,8 +132,8 @@ def short_evidence(findings: DataFrame, tables: DataFrame, curated: DataFrame, f
         .when(F.col("factor") == "riesgo", F.when(n["n_risks"] == 0, "Sin hallazgos ni flags de seguridad detectados").otherwise(F.concat(F.format_string("%d hallazgo(s)/flag(s)", n["n_risks"]), critical)))
         .when(F.col("factor") == "dependencias", F.when(n["n_shared"] == 0, "No comparte tablas/SP ni servidor con otras apps").otherwise(F.format_string("comparte %d recurso(s) (tabla/SP/servidor) con otras apps", n["n_shared"])))
         .when(F.col("factor") == "reglas_negocio", F.format_string("%d linea(s) documentadas (proxy)", lines))
-        .when(F.col("factor") == "complejidad_integracion", F.when(lines == 0, "Sin integraciones externas detectadas").otherwise(F.format_string("%d integracion(es)", lines)))
-        .otherwise(F.when(lines == 0, "No comparte patrones conocidos con otras apps").otherwise("comparte patrones con otras apps"))
+        .when(F.col("factor") == "complejidad_integracion", F.coalesce("kinds", F.lit("Sin integraciones externas detectadas")))
+        .otherwise(F.when(n["n_patterns"] == 0, "No comparte patrones conocidos con otras apps").otherwise(F.format_string("comparte %d patron(es) con otras apps", n["n_patterns"])))
     )
     return rows.select("app_id", "factor", text.alias("evidence"))
 

@@ -287,10 +287,12 @@ ORACLES: dict[str, str] = {
           WHEN place = 2 THEN CASE WHEN n_risks = 0 THEN 'Sin hallazgos ni flags de seguridad detectados' ELSE n_risks || ' hallazgo(s)/flag(s)' || CASE WHEN n_critical > 0 THEN ' (' || n_critical || ' critico(s))' ELSE '' END END
           WHEN place = 3 THEN CASE WHEN raw = 0 THEN 'No comparte tablas/SP ni servidor con otras apps' ELSE 'comparte ' || raw::BIGINT || ' recurso(s) (tabla/SP/servidor) con otras apps' END
           WHEN place = 4 THEN raw::BIGINT || ' linea(s) documentadas (proxy)'
-          WHEN place = 5 THEN CASE WHEN raw = 0 THEN 'Sin integraciones externas detectadas' ELSE raw::BIGINT || ' integracion(es)' END
-          ELSE CASE WHEN raw = 0 THEN 'No comparte patrones conocidos con otras apps' ELSE 'comparte patrones con otras apps' END END AS evidence
+          WHEN place = 5 THEN coalesce(kinds, 'Sin integraciones externas detectadas')
+          ELSE CASE WHEN n_patterns IS NULL THEN 'No comparte patrones conocidos con otras apps' ELSE 'comparte ' || n_patterns || ' patron(es) con otras apps' END END AS evidence
         FROM d JOIN (SELECT app_id, (SELECT count(DISTINCT target) FROM sf WHERE sf.app_id = apps.app_id) AS n_targets, (SELECT count(*) FROM st WHERE st.app_id = apps.app_id) AS n_tables,
-          (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name) + (SELECT count(*) FROM flags WHERE flags.app_id = apps.app_id) AS n_risks, (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name AND severity = 'critica') AS n_critical FROM apps) USING (app_id)""",
+          (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name) + (SELECT count(*) FROM flags WHERE flags.app_id = apps.app_id) AS n_risks, (SELECT count(*) FROM cur WHERE cur.app_name = apps.app_name AND severity = 'critica') AS n_critical FROM apps) USING (app_id)
+        LEFT JOIN (SELECT app_id, string_agg(n || ' integracion(es) de tipo ''' || label || '''', ', ' ORDER BY n DESC, label) AS kinds FROM (SELECT app_id, ['Archivos', 'Red / HTTP', 'Impresion', 'Puerto serial', 'Proceso externo', 'Correo (SMTP)', 'Otro', 'Archivos', 'Otro'][id % 9 + 1] AS label, count(*) AS n FROM io GROUP BY ALL) GROUP BY 1) USING (app_id)
+        LEFT JOIN (SELECT app_id, count(*) AS n_patterns FROM members JOIN (SELECT category FROM members GROUP BY 1 HAVING count(*) > 1) USING (category) JOIN apps USING (app_name) GROUP BY 1) USING (app_id)""",
     "decision_summary": _DECISION + """,
         g AS (SELECT app_id, max(bucket) FILTER (place = 1) AS technical, max(bucket) FILTER (place = 5) AS integration, max(bucket) FILTER (place = 2) AS risk,
           concat_ws(', ', string_agg(label, ', ' ORDER BY place) FILTER (bucket IS NULL), 'Cantidad de usuarios', 'Criticidad operacional') AS pending,

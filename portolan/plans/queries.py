@@ -291,7 +291,7 @@ def decision_evidence(spark, sf_dir):
     """Each factor's evidence in a line."""
     apps, findings = R.suppliers(spark, sf_dir), R.supplier_findings(spark, sf_dir)
     edges = portfolio.table_edges(findings).unionByName(portfolio.server_edges(_categorised(spark, sf_dir), apps))
-    return decision.short_evidence(findings, R.supplier_tables(spark, sf_dir), R.curated_findings(spark, sf_dir), R.security_flags(spark, sf_dir), edges, _decision(spark, sf_dir)[0], apps)
+    return decision.short_evidence(findings, R.supplier_tables(spark, sf_dir), R.curated_findings(spark, sf_dir), R.security_flags(spark, sf_dir), edges, R.io_findings(spark, sf_dir), _reuse_members(spark, sf_dir), _decision(spark, sf_dir)[0], apps)
 
 
 @query
