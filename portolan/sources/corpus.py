@@ -34,7 +34,7 @@ def listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, root: str, pattern: str, skip: list[str] | None = None) -> DataFrame:
-    """``app_name, path, text`` of files below ``root``: an application is the first folder, bytes that aren't UTF-8 are replaced.
+    """``app_name, path, text`` of files below ``root``: an application is the first folder, bytes that aren't UTF-8 are left out.
 
     ``skip``: second-level folders that are left out (third parties'); the filter is on the listing, so that their bytes aren't read.
     """
@@ -43,7 +43,12 @@ def texts(spark: SparkSession, root: str, pattern: str, skip: list[str] | None =
     rows = rows.withColumn("p", path).withColumn("app_name", F.substring_index("p", "/", 1)).withColumn("path", F.substring(F.col("p"), F.length("app_name") + 2, F.length("p")))
     if skip:
         rows = rows.filter(~F.substring_index("path", "/", 1).isin(skip))
-    return rows.select("app_name", "path", F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("text"))
+    return rows.select("app_name", "path", F.regexp_replace(_valid(F.col("content").cast("string")), "^\ufeff", "").alias("text"))
+
+
+def _valid(text: Column) -> Column:
+    """``text`` without bytes that aren't UTF-8; valid texts stay as they are."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def code(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:

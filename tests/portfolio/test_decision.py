@@ -93,3 +93,11 @@ def test_counters_roles_and_obsolete_rows(spark):
 
 def test_catalog_queries_of_plain_names_only():
     assert "OBJECT_ID('dbo.T_1')" in corpus.catalog_query("foreign_keys", "T_1") and "dbo.P" in corpus.catalog_query("result_set", "P")
+
+
+def test_bytes_that_are_not_text_are_left_out(spark, tmp_path):
+    (tmp_path / "A").mkdir()
+    (tmp_path / "A" / "bad.cs").write_bytes(b"caf\xe9 \xc3\xa9")
+    (tmp_path / "A" / "good.cs").write_bytes("\ufeffx \ufffd é".encode())
+    got = {r.path: r.text for r in corpus.code(spark, str(tmp_path)).collect()}
+    assert got == {"bad.cs": "caf é", "good.cs": "x \ufffd é"}
