@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, quality, toxicity, warc
+from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, mixing, quality, toxicity, warc
 from portolan.llm.textio import documents, held_out, spread, table
 
 
@@ -66,9 +66,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents at the weights 5, 2, 1: the words of each that the mix takes."""
+    return mixing.shares(spread(documents(spark, sf_dir, "doc_id", "text", "source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup)
+    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup, op13_source_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,32 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY sha256(coalesce(text, '')))
     """,
+    "op13_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS key
+            FROM documents),
+        sums AS (
+            SELECT source, sum(size)::HUGEINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight
+            FROM sized GROUP BY source),
+        levels AS (
+            SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
+                   coalesce(sum(source_size) OVER w, 0) AS size_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+            FROM sums WINDOW w AS (ORDER BY source_size / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        judged AS (SELECT *, 3 * source_size * (all_weight - weight_before) < (total - 3 * size_before) * weight AS full_up FROM levels),
+        aims AS (
+            SELECT source, source_size::BIGINT AS source_size,
+                   CASE WHEN full_up THEN (3 * source_size)::DOUBLE
+                        ELSE least((3 * source_size)::DOUBLE, (weight * (total - 3 * coalesce(sum(source_size) FILTER (full_up) OVER (), 0)))::DOUBLE
+                                   / (all_weight - coalesce(sum(weight) FILTER (full_up) OVER (), 0))::DOUBLE) END AS target
+            FROM judged),
+        spent AS (
+            SELECT *, floor(target + 0.5)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS passes FROM aims),
+        placed AS (
+            SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized)
+        SELECT doc_id, p.source, size, source_size, target, passes,
+               (passes * size + greatest(0, least(size, budget - passes * source_size - before)))::BIGINT AS taken
+        FROM placed p JOIN spent s ON p.source IS NOT DISTINCT FROM s.source
+    """,
 }
