@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, mixing, quality, toxicity, warc
+from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, mixing, quality, repair, toxicity, warc
 from portolan.llm.textio import documents, held_out, spread, table
 
 
@@ -66,6 +66,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the damaged table: its faults, the cheapest edits and the digest of the repaired turns."""
+    return repair.repair_of_damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at the weights 5, 2, 1: the words of each that the mix takes."""
     return mixing.shares(spread(documents(spark, sf_dir, "doc_id", "text", "source")))
@@ -73,10 +78,71 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup, op13_source_mix)
+    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup, op11_conversation_repair, op13_source_mix)
 }
 
+
+def _repair_sql() -> str:
+    """The repair as a recursion over the places of a conversation: the least (cost, audit, text) of each symbol behind each turn."""
+
+    def step(value: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"CASE WHEN {value} IS NOT NULL THEN {{'c': {value}.c + {cost}, 'a': {value}.a || '{edit}', 'r': {value}.r || {line}}} END"
+
+    def least(*values: str) -> str:
+        return f"list_min(list_filter([{', '.join(values)}], lambda x: x IS NOT NULL))"
+
+    nl = "chr(10)"
+    line = lambda role: f"({role} || ':' || t.text || {nl})"
+    insert = lambda value, role: step(value, "3", "I", f"('{role}:' || {nl})")
+    take = lambda value, initial, role: f"CASE WHEN NOT t.gone THEN CASE WHEN t.initial = '{initial}' THEN {step(value, 't.extra', 'K', line('t.role'))} ELSE {step(value, '3 + t.extra', 'R', line(repr(role)))} END END"
+    system = f"CASE WHEN NOT t.gone AND t.initial = 's' THEN {step('p.z', 't.extra', 'K', line('t.role'))} END"
+    gone = lambda value: step(value, "4", "D")
+    return f"""
+        WITH RECURSIVE bits AS (
+            SELECT list(list_reduce([k, 0, 1, 2, 3, 4, 5, 6, 7], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY k) AS tab
+            FROM range(256) AS r(k)),
+        hits AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+                                   lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1])), 4294967295) % 20 AS hit
+            FROM conversations, bits),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+            FROM hits, range(2) AS c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+        placed AS (
+            SELECT *, substr(role, 1, 1) AS initial, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare,
+                   row_number() OVER w AS place, lag(substr(role, 1, 1)) OVER w AS before
+            FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text))),
+        judged AS (
+            SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+        turns AS (SELECT *, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS extra FROM judged),
+        counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM turns GROUP BY conv_id),
+        columns_ AS (
+            SELECT conv_id, 0::BIGINT AS place, {{'c': 0, 'a': '', 'r': ''}} AS z, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS s, {{'c': 3, 'a': 'I', 'r': 'user:' || {nl}}} AS u,
+                   {{'c': 6, 'a': 'II', 'r': 'user:' || {nl} || 'assistant:' || {nl}}} AS p
+            FROM counted
+            UNION ALL
+            SELECT conv_id, place, z, s, u, {least('p', insert('u', 'assistant'))} AS p FROM (
+                SELECT conv_id, place, z, s, {least('u', insert('z', 'user'), insert('s', 'user'), insert('p', 'user'))} AS u, p FROM (
+                    SELECT conv_id, place, z, s, u, {least('p', insert('u', 'assistant'))} AS p FROM (
+                        SELECT t.conv_id, t.place, {gone('p.z')} AS z, {least(gone('p.s'), system)} AS s,
+                               {least(gone('p.u'), *(take(f'p.{x}', 'u', 'user') for x in 'zsp'))} AS u, {least(gone('p.p'), take('p.u', 'a', 'assistant'))} AS p
+                        FROM columns_ p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.place = p.place + 1)))),
+        best AS (
+            SELECT c.conv_id, {least('z', 'p')} AS b FROM columns_ c JOIN counted n ON c.conv_id IS NOT DISTINCT FROM n.conv_id AND c.place = n.n)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(left(b.r, length(b.r) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted ON o.conv_id IS NOT DISTINCT FROM counted.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
