@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, mixing, quality, repair, toxicity, warc
+from portolan.llm import bpe, class_lm, decontam, exact_dedup, jaccard_join, langid, licenses, mixing, quality, repair, toxicity, trie, warc
 from portolan.llm.textio import documents, held_out, spread, table
 
 
@@ -71,6 +71,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_of_damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at the weights 5, 2, 1: the words of each that the mix takes."""
     return mixing.shares(spread(documents(spark, sf_dir, "doc_id", "text", "source")))
@@ -78,10 +83,53 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup, op11_conversation_repair, op13_source_mix)
+    for f in (op1_ngram_jaccard_join, op2_bpe_round_trip, op3_language_id, op4_license_scan, op5_toxicity, op6_quality, op7_class_lm, op8_warc_derivatives, op9_benchmark_decontamination, op10_exact_dedup, op11_conversation_repair, op12_prefix_trie, op13_source_mix)
 }
 
 
+#: The table of CRC-32, for ``_crc32``.
+_BITS = """bits AS (
+            SELECT list(list_reduce([k, 0, 1, 2, 3, 4, 5, 6, 7], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY k) AS tab
+            FROM range(256) AS r(k))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, beside the row of ``bits``."""
+    codes = f"[ascii(x)::BIGINT FOR x IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1])), 4294967295)"
+
+
+def _trie_sql() -> str:
+    """The trie by each rebuilt conversation's digests in a row: a node is a prefix, and counts for all of its own prefixes."""
+    return f"""
+        WITH {_BITS},
+        placed AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS bytes
+            FROM conversations),
+        convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, coalesce({_crc32("coalesce(conv_id::VARCHAR, '0')")} % 9, 0) AS h FROM (SELECT DISTINCT conv_id FROM conversations), bits),
+        rebuilt AS (
+            SELECT c.conv_id, 0 AS own, t.place, t.digest, t.bytes FROM convs c JOIN placed t ON t.conv_id = c.base AND t.place <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, t.place, t.digest, t.bytes FROM convs c JOIN placed t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND (t.place > c.h OR c.conv_id IS NULL)),
+        steps AS (
+            SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS length
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+            UNION ALL
+            SELECT c.conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id IS NOT DISTINCT FROM c.conv_id) FROM convs c),
+        nodes AS (
+            SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+            FROM steps GROUP BY prefix, depth),
+        children AS (SELECT left(prefix, 64 * (depth - 1)) AS above, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.prefix = c.above),
+        subtrees AS (
+            SELECT left(prefix, 64 * k) AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * bytes)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(depth + 1)) AS k FROM known) GROUP BY ALL)
+        SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n AS n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+        FROM known k JOIN subtrees s ON k.prefix = s.top LEFT JOIN nodes p ON k.depth > 0 AND p.prefix = left(k.prefix, 64 * (k.depth - 1))
+    """
+
+
 def _repair_sql() -> str:
     """The repair as a recursion over the places of a conversation: the least (cost, audit, text) of each symbol behind each turn."""
 
@@ -98,13 +146,10 @@ def _repair_sql() -> str:
     system = f"CASE WHEN NOT t.gone AND t.initial = 's' THEN {step('p.z', 't.extra', 'K', line('t.role'))} END"
     gone = lambda value: step(value, "4", "D")
     return f"""
-        WITH RECURSIVE bits AS (
-            SELECT list(list_reduce([k, 0, 1, 2, 3, 4, 5, 6, 7], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY k) AS tab
-            FROM range(256) AS r(k)),
+        WITH RECURSIVE {_BITS},
         hits AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-                   xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
-                                   lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1])), 4294967295) % 20 AS hit
+                   {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit
             FROM conversations, bits),
         damaged AS (
             SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
@@ -143,6 +188,7 @@ def _repair_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op11_conversation_repair": _repair_sql(),
+    "op12_prefix_trie": _trie_sql(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
