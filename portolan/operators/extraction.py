@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from portolan.functions.labels import setting_category
 from portolan.functions.sqltext import classified
-from portolan.operators.csharp import CONNECTIONS, FORMS, WINDOWS, Source, config_settings
+from portolan.operators.csharp import FORMS, WINDOWS, Source, config_settings
+from portolan.operators.tracing import CONNECTIONS
 
 FINDING = "app_name string, file string, found string, line int, class_name string, method string, kind string, raw string, resolved string, confidence int, source_line int, procedure boolean, parameters array<string>, result_columns array<string>"
 FACT = "app_name string, file string, fact string, line int, class_name string, method string, a string, b string"
@@ -65,7 +66,7 @@ def io_findings(files: DataFrame) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Everything structural that single files say (``FACT``); keep it where several of the functions below are used."""
+    """Everything structural that single files say (``FACT``); store it (``store.stored``) where several of the functions below are used."""
     return _read(files, FACT, lambda path, text: Source(path, text).structure())
 
 

@@ -546,7 +546,7 @@ def csharp_io(spark, sf_dir):
 @query
 def csharp_structure(spark, sf_dir):
     """Classes with their kind and number of methods."""
-    rows = extraction.facts(R.source_files(spark, sf_dir))
+    rows = store.stored(extraction.facts(R.source_files(spark, sf_dir)))
     n = extraction.methods(rows).groupBy("app_name", "file", "class_name").agg(F.count(F.lit(1)).alias("n_methods"))
     return extraction.classes(rows).join(n, ["app_name", "file", "class_name"], "left").select("app_name", "file", "class_name", "namespace", "base_type", "class_type", F.coalesce("n_methods", F.lit(0)).alias("n_methods"))
 
@@ -559,7 +559,7 @@ def csharp_entry_points(spark, sf_dir):
 
 @query
 def csharp_navigation(spark, sf_dir):
-    rows = extraction.navigation(extraction.facts(R.source_files(spark, sf_dir)))
+    rows = extraction.navigation(store.stored(extraction.facts(R.source_files(spark, sf_dir))))
     return rows.select("app_name", "class_name", "method", "target_class", "operation", "status", F.col("confidence").cast("bigint").alias("confidence"))
 
 
@@ -570,7 +570,7 @@ def csharp_events(spark, sf_dir):
 
 @query
 def csharp_calls(spark, sf_dir):
-    return extraction.calls(extraction.facts(R.source_files(spark, sf_dir))).groupBy("app_name", "class_name", "caller", "target_method", "resolution_status").agg(F.count(F.lit(1)).alias("n"))
+    return extraction.calls(store.stored(extraction.facts(R.source_files(spark, sf_dir)))).groupBy("app_name", "class_name", "caller", "target_method", "resolution_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -582,9 +582,9 @@ def csharp_controls(spark, sf_dir):
 def csharp_data_ops(spark, sf_dir):
     """What each method does to data, directly and one call away."""
     files = R.source_files(spark, sf_dir)
-    rows = extraction.facts(files)
+    rows = store.stored(extraction.facts(files))
     found = extraction.sql_findings(files).withColumn("operation", F.when(F.col("is_stored_procedure"), "stored_procedure").otherwise(sqltext.operation(F.coalesce("resolved", "raw"))))
-    direct = structure.method_operations(extraction.methods(rows).withColumnRenamed("file", "path"), found.select("class_name", "method", "file", "operation", "target"))
+    direct = store.stored(structure.method_operations(extraction.methods(rows).withColumnRenamed("file", "path"), found.select("class_name", "method", "file", "operation", "target")))
     near = structure.one_hop_callers(extraction.calls(rows), direct.filter("status = 'resolved'").select("class_name", "method", F.concat_ws(" ", "operation", "target").alias("operation")))
     own = direct.select("class_name", "method", F.concat_ws(" ", "operation", "target").alias("operation"), F.lit("direct").alias("distance"), F.col("confidence").cast("bigint").alias("confidence"))
     return own.unionByName(near.select("class_name", F.col("caller").alias("method"), "operation", F.lit("one_hop").alias("distance"), F.lit(70).cast("bigint").alias("confidence")))

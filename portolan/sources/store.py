@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the folder that all machines share (``spark.checkpoint.dir``) and read from there, for what is used several times.
+
+    Where that setting is missing, a session of one machine takes a temporary folder; on a cluster it is an error.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="portolan-store-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """The applications after ``new`` was analysed: ``app_id, app_name, source_path, review_status, state``.
 

@@ -137,3 +137,29 @@ def test_stream_replaces_applications(spark, tmp_path):
         make(text)
         incremental.analyse_as_they_come(incremental.arriving_files(spark, folder), lambda f: extraction.classes(extraction.facts(f)), store, checkpoint).awaitTermination()
         assert spark.read.parquet(store).count() == n
+
+
+def test_long_methods_and_nested_classes_are_read_once():
+    import time
+
+    start = time.perf_counter()
+    found = findings(method("MethodInfo m;", *["x.Invoke(y);"] * 4000, *[f'q += "a{k}"; c{k}.CommandText = q;' for k in range(300)]))
+    nested = "".join(f"public class C{k} {{\npublic void M{k}()\n{{\n}}\n" for k in range(60)) + "}\n" * 60
+    rows = structure(nested)
+    assert time.perf_counter() - start < 3
+    assert len(found) == 4300 and found[-1]["resolved"] == "".join(f"a{k}" for k in range(300))
+    assert [len([r for r in rows if r[0] == "method" and r[2] == f"C{k}"]) for k in (0, 59)] == [60, 1]
+
+
+def test_a_command_reads_only_its_own_lines():
+    f = findings(method(
+        'SqlCommand a = new SqlCommand("P", k);', 'SqlCommand a = new SqlCommand("Q", k);', 'a.Parameters.AddWithValue("@x", 1);', *["y();"] * 76, 'a.Parameters.AddWithValue("@in2", 1);', 'a.Parameters.AddWithValue("@out", 1);', "r = a.ExecuteReader();", 's = r["A"];',
+    ))
+    assert [x["parameters"] for x in f] == [["@x <- 1"], ["@x <- 1", "@in2 <- 1"]] and [x["result_columns"] for x in f] == [["A"], ["A"]]
+
+
+def test_a_choice_or_branch_before_the_text_doesnt_count():
+    (f,) = findings(method("w = a ? 1 : 2;", "if (x) y();", 'q = "t";', "SqlCommand c = new SqlCommand(q, k);"))
+    assert (f["resolved"], f["confidence"], f["source_line"]) == ("t", 90, 6)
+    (f,) = findings(method('q = "t";', "int? n;", "case 3:", "SqlCommand c = new SqlCommand(q, k);"))
+    assert f["resolved"] is None
