@@ -143,7 +143,7 @@ def test_long_methods_and_nested_classes_are_read_once():
     import time
 
     start = time.perf_counter()
-    found = findings(method("MethodInfo m;", *["x.Invoke(y);"] * 4000, *[f'q += "a{k}"; c{k}.CommandText = q;' for k in range(300)]))
+    found = findings(method("MethodInfo m;", *["x.Invoke(y);"] * 4000, *[x for k in range(300) for x in (f'q += "a{k}";', f"c{k}.CommandText = q;")]))
     nested = "".join(f"public class C{k} {{\npublic void M{k}()\n{{\n}}\n" for k in range(60)) + "}\n" * 60
     rows = structure(nested)
     assert time.perf_counter() - start < 3
