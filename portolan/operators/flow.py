@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from portolan.functions import sqltext as S
 from portolan.functions.labels import ROLES, role_dimension
 from portolan.functions.textops import without_escapes
+from portolan.operators.cooccurrence import pair_counts
+from portolan.sources.store import stored
 
 
 def operations(findings: DataFrame) -> DataFrame:
@@ -122,19 +124,15 @@ def _sides(rows: DataFrame) -> DataFrame:
 
 def strong_relations(rows: DataFrame) -> DataFrame:
     """``producer, consumer, n_tables``: one application writes what another reads."""
-    s = _sides(rows)
-    a = s.filter("side & 1 <> 0").select("key", F.col("app_id").alias("producer"))
-    b = s.filter("side & 2 <> 0").select("key", F.col("app_id").alias("consumer"))
-    return a.join(b, "key").filter("producer <> consumer").groupBy("producer", "consumer").agg(F.count(F.lit(1)).alias("n_tables"))
+    s = stored(_sides(rows)).withColumnRenamed("app_id", "member")
+    found = pair_counts(s.filter("side & 1 <> 0"), s.filter("side & 2 <> 0")).filter("a <> b")
+    return found.select(F.col("a").alias("producer"), F.col("b").alias("consumer"), F.col("n").alias("n_tables"))
 
 
 def weak_relations(rows: DataFrame) -> DataFrame:
-    """``app_a, app_b, n_tables``: two applications share a table and neither feeds the other through it."""
-    s = _sides(rows)
-    a = s.select("key", F.col("app_id").alias("app_a"), F.col("side").alias("sa"))
-    b = s.select("key", F.col("app_id").alias("app_b"), F.col("side").alias("sb"))
-    both = a.join(b, "key").filter("app_a < app_b and not (sa & 1 <> 0 and sb & 2 <> 0) and not (sb & 1 <> 0 and sa & 2 <> 0)")
-    return both.groupBy("app_a", "app_b").agg(F.count(F.lit(1)).alias("n_tables"))
+    """``app_a, app_b, n_tables``: two applications share a table and neither feeds the other through it: both only write it, or both only read it."""
+    s = _sides(rows).filter("side < 3").select(F.struct("key", "side").alias("key"), F.col("app_id").alias("member"))
+    return pair_counts(s, s).filter("a < b").select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("n").alias("n_tables"))
 
 
 def self_loops(rows: DataFrame) -> DataFrame:

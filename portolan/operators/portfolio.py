@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions.labels import BUCKETS, FACTOR_WEIGHTS, confidence_label, io_label, severity_rank, severity_weight
 from portolan.functions.sqltext import server_of
+from portolan.operators.cooccurrence import pair_counts, pairs
 
 UNMATCHED = "Sin categorizar"
 
@@ -46,21 +47,18 @@ def table_dictionary(tables: DataFrame, apps: DataFrame) -> DataFrame:
 
 def table_edges(findings: DataFrame) -> DataFrame:
     """``app_a, app_b, resource``: pairs of applications on one target, by ascending id. Only the first one's finding must
-    be a query or a procedure. Each side is made distinct before the join, so that its size is that of the result."""
+    be a query or a procedure. A target of very many applications is joined by tiles (``cooccurrence``)."""
     named = findings.filter("target is not null").select("target", "app_id", F.col("category").isin("query", "stored_procedure").alias("q"))
-    sides = named.groupBy("target", "app_id").agg(F.max("q").alias("q"))
-    a = sides.filter("q").select(F.col("target").alias("resource"), F.col("app_id").alias("app_a"))
-    b = sides.select(F.col("target").alias("resource"), F.col("app_id").alias("app_b"))
-    return a.join(b, "resource").filter("app_b > app_a").select("app_a", "app_b", "resource")
+    sides = named.groupBy(F.col("target").alias("key"), F.col("app_id").alias("member")).agg(F.max("q").alias("q"))
+    met = pairs(sides.filter("q"), sides)
+    return met.filter("b > a").select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("key").alias("resource"))
 
 
 def server_edges(settings: DataFrame, apps: DataFrame) -> DataFrame:
     """``app_a, app_b, resource``: pairs of applications on one database server, by name (then id)."""
     rows = settings.filter("category = 'sql_or_oracle'").select("app_id", server_of(F.col("value")).alias("server")).filter("server is not null").distinct()
-    rows = rows.join(apps.select("app_id", "app_name"), "app_id")
-    a = rows.select("server", F.col("app_id").alias("app_a"), F.col("app_name").alias("name_a"))
-    b = rows.select("server", F.col("app_id").alias("app_b"), F.col("app_name").alias("name_b"))
-    return a.join(b, "server").filter("name_a < name_b or (name_a = name_b and app_a < app_b)").select("app_a", "app_b", F.col("server").alias("resource"))
+    named = rows.join(apps.select("app_id", "app_name"), "app_id").select(F.col("server").alias("key"), F.struct("app_name", "app_id").alias("member"))
+    return pairs(named, named).filter("a < b").select(F.col("a.app_id").alias("app_a"), F.col("b.app_id").alias("app_b"), F.col("key").alias("resource"))
 
 
 # ---- patterns
@@ -233,9 +231,8 @@ def search(rows: DataFrame, column: str, term: str, shown: list[str]) -> DataFra
 
 def shared_companions(companions: DataFrame) -> DataFrame:
     """``app_a, app_b, n_shared``: assemblies (app_id, assembly) that two applications have in common."""
-    rows = companions.select("assembly", "app_id").distinct()
-    a, b = rows.select("assembly", F.col("app_id").alias("app_a")), rows.select("assembly", F.col("app_id").alias("app_b"))
-    return a.join(b, "assembly").filter("app_a < app_b").groupBy("app_a", "app_b").agg(F.count(F.lit(1)).alias("n_shared"))
+    rows = companions.select(F.col("assembly").alias("key"), F.col("app_id").alias("member"))
+    return pair_counts(rows, rows).filter("a < b").select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("n").alias("n_shared"))
 
 
 def snapshot_metrics(rows: DataFrame, by: list[str], member: str = "app_name", levels: dict[str, Column] | None = None) -> DataFrame:

@@ -194,6 +194,10 @@ ORACLES: dict[str, str] = {
         SELECT event_id, CASE event_type WHEN 'click' THEN 'SQL armado dinamicamente -- no se pudo determinar el texto completo.' WHEN 'view' THEN 'No se encontro la fuente de esta configuracion.' ELSE 'Causa no determinada.' END AS reason,
                CASE event_type WHEN 'click' THEN 'Revisar el codigo manualmente para confirmar el texto real de la consulta.' WHEN 'view' THEN 'Confirmar que la decompilacion incluyo todos los ensamblados relevantes (companion assemblies).' ELSE 'Revisar manualmente -- este es el residual honesto, no una clasificacion real.' END AS action FROM events""",
     "server_footprint": _FOOTPRINT + "SELECT app_id, target, CASE WHEN n = 1 THEN server END AS server, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM j",
+    "cooccurrence_hot": """
+        WITH u AS (SELECT c_nationkey || '.' || c_mktsegment AS key, c_custkey AS m FROM customer UNION ALL SELECT 'Calendar', c_custkey FROM customer WHERE c_custkey % 2 = 0),
+        p AS (SELECT a.m AS app_id, b.m AS other, count(*) AS n FROM u a JOIN u b ON a.key = b.key AND a.m <> b.m GROUP BY ALL)
+        SELECT app_id, count(*) AS n_partners, sum(n)::BIGINT AS n_shared FROM p GROUP BY 1""",
     "dep_table_edges": _portfolio("SELECT * FROM edges"),
     "dep_server_edges": f"WITH {SETTINGS} SELECT a.app_id AS app_a, b.app_id AS app_b, a.server AS resource FROM cat a JOIN cat b ON a.server = b.server AND a.app_name < b.app_name WHERE a.category = 'sql_or_oracle' AND b.category = 'sql_or_oracle'",
     "table_dictionary": _portfolio("SELECT schema_name, table_name, string_agg(app_name, ',' ORDER BY app_name, app_id) AS apps, count(*) AS app_count, count(DISTINCT coalesce(columns_json, '')) <= 1 AS schema_consistent, min(coalesce(columns_json, '')) AS columns FROM st JOIN apps USING (app_id) GROUP BY 1, 2"),

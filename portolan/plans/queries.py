@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import decision, enrich, extraction, flow, portfolio, structure
+from portolan.operators import cooccurrence, decision, enrich, extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -166,6 +166,17 @@ def _server_edges(spark, sf_dir):
     return portfolio.server_edges(rows, rows.select("app_id", "app_name"))
 
 
+@query
+def cooccurrence_hot(spark, sf_dir):
+    """Customers as applications on the tables of their nation and segment, every other one on one table besides: partners of each and tables shared with them."""
+    rows = R.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    own = rows.select(F.concat_ws(".", "c_nationkey", "c_mktsegment").alias("key"), F.col("c_custkey").alias("member"))
+    hot = rows.filter("c_custkey % 2 = 0").select(F.lit("Calendar").alias("key"), F.col("c_custkey").alias("member"))
+    used = own.unionByName(hot)
+    met = cooccurrence.pair_counts(used, used).filter("a <> b")
+    return met.groupBy(F.col("a").alias("app_id")).agg(F.count(F.lit(1)).alias("n_partners"), F.sum("n").alias("n_shared"))
+
+
 @query
 def dep_server_edges(spark, sf_dir):
     return _server_edges(spark, sf_dir)

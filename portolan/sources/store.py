@@ -46,13 +46,13 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     known = known.groupBy(F.col("found").alias("app_id")).agg(F.max(F.struct("source_path", "app_name", "old_name", "old_review")).alias("x"))
     known = known.select("app_id", F.col("x.old_name").alias("app_name"), F.col("x.source_path").alias("source_path"), F.col("x.old_review").alias("review_status"), F.lit("updated").alias("state"))
     top = old.agg(F.coalesce(F.max("app_id"), F.lit(-1)).alias("top"))
-    added = _numbered(met.filter("found is null").select("app_name", "source_path"), ["app_name", "source_path"]).crossJoin(F.broadcast(top))  # a single row
+    added = numbered(met.filter("found is null").select("app_name", "source_path"), ["app_name", "source_path"]).crossJoin(F.broadcast(top))  # a single row
     added = added.select((F.col("top") + F.col("place")).alias("app_id"), "app_name", "source_path", F.lit("borrador").alias("review_status"), F.lit("added").alias("state"))
     rest = old.join(known.select("app_id"), "app_id", "left_anti").select("app_id", "app_name", "source_path", "review_status", F.lit("kept").alias("state"))
     return known.unionByName(added).unionByName(rest)
 
 
-def _numbered(rows: DataFrame, order: list[str], slots: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], slots: int = 64) -> DataFrame:
     """``rows`` with their place from 1, by hashed slots, each ordered within: no task orders all rows."""
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64(*order), F.lit(slots)))
     before = dealt.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
