@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.textio import Block, by_blocks, cut, held_out, marked, packed, packed_by_block, texts_of, unpack, written
+from portolan.llm.textio import Block, by_blocks, cut, held_out, marked, packed, packed_by_block, settled, texts_of, unpack, written
 
 ORDER, BITS = 5, 21
 #: What stands before and behind a text; code points end below it.
@@ -256,7 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     an empty result. Other columns aren't looked at.
     """
     good = labels.select(F.col("doc_id").alias("k"), (F.col(label_col) == 1).alias("t")).groupBy("k").agg(F.max("t").alias("t")).filter("t and k is not null").select("k")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     learned = marked(rows.filter(~held_out("doc_id", folds)), good)
     scored = cut(perplexity(rows, KneserNey(written(count_grams(learned)))))
     scored = scored.join(good.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("k"), "left").withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "held": held_out("doc_id", folds)})

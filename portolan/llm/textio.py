@@ -53,6 +53,13 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """``frame`` so that each of its partitions is read in the same order every time: what comes from an exchange is written first, as blocks of a
+    shuffle arrive in any order; a scan of stored files is left as it is."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return written(frame) if "Exchange" in plan else frame
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():

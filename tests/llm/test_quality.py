@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from portolan.llm import quality as Q
 
 
@@ -80,3 +82,11 @@ def test_characters_beyond_the_basic_plane_and_ideographs_are_told_apart():
     assert len(set(zip(f.tolist(), g.tolist()))) == 8
     alphabet = Q.Alphabet(codes)
     assert [x.tolist() for x in alphabet.apart(alphabet.keys(codes, sizes))] == [f.tolist(), g.tolist()]
+
+
+def test_input_whose_order_changes_between_reads(spark, docs):
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    rows = [(i, f"text {i % 13} of some words {i % 7}") for i in range(150)]
+    dealt = docs(rows).repartition(6).withColumn("at", F.rand()).sortWithinPartitions("at").drop("at")
+    of = lambda d: {r.doc_id: (round(r.log_prob, 6), r.keep) for r in Q.classify(d, labels).collect()}
+    assert of(dealt) == of(docs(rows))
