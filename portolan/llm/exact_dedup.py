@@ -28,17 +28,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group has no other; then one of its rows does. Of rows that repeat id and text one stays. An empty table gives an
     empty result. Other columns of ``docs`` aren't looked at and may have any name.
     """
-    decided = _decided(docs, id_col, text_col, keep, fan_in, rounds, [])
+    decided = _decided(docs, id_col, text_col, keep, fan_in, rounds)
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy(stays.desc()))
+    decided = decided.withColumn("kept", stays & (place == 1))
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, rounds: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns as they are; see ``exact_groups``."""
-    decided = _decided(docs, id_col, text_col, keep, fan_in, rounds, docs.columns)
-    return decided.filter("kept").select("row.*")
+    """The rows of ``docs`` that stay, with all their columns as they are; see ``exact_groups``.
+
+    What stays is decided on keys alone; then the rows meet their keys once. Only where an id repeats its text are rows compared with each other.
+    """
+    decided = _decided(docs, id_col, text_col, keep, fan_in, rounds).filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    stays = decided.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_times"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("_i"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_d"))
+    met = row.join(stays, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
+    repeated = met.filter("_times > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_d", "_i").orderBy(F.lit(0)))).filter("_place = 1")
+    return met.filter("_times = 1").select("row").unionByName(repeated.select("row")).select("row.*")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, rounds: int | None, carried: list[str]) -> DataFrame:
+def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, rounds: int | None) -> DataFrame:
     rounds = rounds_for(docs.count(), fan_in) if rounds is None else rounds
     best = {"max": F.max, "min": F.min}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -47,7 +57,6 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int
         F.sha2(text, 256).alias("digest"),
         F.xxhash64(text).alias("proof"),
         F.col(id_col).alias("id"),
-        *([F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")] if carried else []),
     )
     null_last = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
     levels = [rows.groupBy(*_KEY).agg(best(F.struct(null_last.alias("rank"), "id")).alias("top"), F.count(F.lit(1)).alias("n"))]
@@ -59,9 +68,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int
     while levels:
         lower = levels.pop().select(*_KEY, _above(F.col("run"), fan_in).alias("up"))
         decision = lower.join(decision.withColumnRenamed("run", "up"), ["up", "digest", "proof"]).select(*_KEY, "keep_id", "group_size")
-    stays = F.col("id").eqNullSafe(F.col("keep_id"))
-    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy(stays.desc()))
-    return rows.join(decision, _KEY).withColumn("kept", stays & (place == 1))
+    return rows.join(decision, _KEY)
 
 
 def rounds_for(rows: int, fan_in: int = FAN_IN) -> int:
