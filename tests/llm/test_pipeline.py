@@ -67,3 +67,30 @@ def test_odd_rows_pass_every_stage(spark, folder, odd):
         docs = stage(spark, docs, folder[0])
     texts = [r.decoded_sha256 for r in docs.collect()]
     assert len(texts) == len(set(texts)) == 6
+
+
+def test_each_stage_reads_what_the_one_before_has_written(spark, folder, monkeypatch):
+    import corpus_pipeline as P
+
+    seen = []
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            plan = docs._jdf.queryExecution().executedPlan().toString()
+            seen.append((name, "Exchange" in plan or "Python" in plan or "Arrow" in plan, "Scan parquet" in plan or "FileScan parquet" in plan))
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(P, "STAGES", [watched(*s) for s in P.STAGES])
+    P.run(spark, folder[0])
+    assert [s[1:] for s in seen] == [(False, True)] * 5
+
+
+def test_an_empty_table_passes_every_stage(spark, folder, docs):
+    import corpus_pipeline as P
+
+    found = docs([])
+    for _, stage in P.STAGES:
+        found = stage(spark, found, folder[0])
+    assert found.collect() == []
