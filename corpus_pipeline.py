@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from portolan.llm import bpe, decontam, exact_dedup, jaccard_join, toxicity
 from portolan.llm.queries import tokenizer_path
-from portolan.llm.textio import documents, table
+from portolan.llm.textio import documents, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage reads a table that the one before has written, so that no stage's work is done again."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
