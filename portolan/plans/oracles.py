@@ -156,6 +156,21 @@ n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FR
 j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name))
 """
 
+#: What each method of a part's repository class is expected to show; every fifth part has no configuration file, and so no setting Other.
+_CODE_FOOTPRINT = """
+WITH m(method, kind, target, connection, server, database, status, file) AS (VALUES
+    ('Direct', 'S', 'Direct_', 'Main', 'srv', 'Db', 'resolved', 'Data/Store.cs'), ('Passed', 'S', 'Passed_', 'Main', 'srv', 'Db', 'resolved', 'Data/Store.cs'),
+    ('Choice', 'S', 'Choice_', NULL, NULL, NULL, 'unresolved_ambiguous_conditional', 'Data/Store.cs'), ('Branches', 'S', 'Branches_', NULL, NULL, NULL, 'unresolved_ambiguous_conditional', 'Data/Store.cs'),
+    ('Guarded', 'S', 'Guarded_', 'Main', 'srv', 'Db', 'resolved', 'Data/Store.cs'), ('Shared', 'S', 'Shared_', NULL, NULL, NULL, 'unresolved_out_of_scope', 'Data/Store.cs'),
+    ('Written', 'S', 'Written_', NULL, 'lab', 'Lab', 'resolved', 'Data/Store.cs'), ('Built', 'O', 'Built_', NULL, NULL, NULL, 'unresolved_no_literal', 'Data/Store.cs'),
+    ('Ledger', 'O', 'GL_LINES', 'Other', 'other', NULL, 'resolved', 'Data/Store.cs'), ('Direct', 'S', 'Direct_', NULL, NULL, NULL, 'unresolved_no_source_file', 'Data/Gone.cs')),
+f AS (
+    SELECT 'App' || p_partkey AS app_name, file, 'Store' AS class_name, method, CASE WHEN target = 'GL_LINES' THEN target ELSE target || p_partkey END AS target,
+           CASE WHEN connection = 'Main' THEN 'Main' || p_partkey ELSE connection END AS connection, CASE WHEN connection = 'Other' AND p_partkey % 5 = 0 THEN NULL ELSE server || p_partkey END AS server, database,
+           CASE WHEN connection = 'Other' AND p_partkey % 5 = 0 THEN 'unresolved_no_literal' ELSE status END AS status, target = 'GL_LINES' AS is_erp
+    FROM part, m)
+"""
+
 _TABLE = "coalesce(" + ", ".join(f"nullif(regexp_extract(raw, {_q(p)}, 1), '')" for p in TABLE_PATTERNS) + ")"
 
 #: Factors in the report's order, and what their buckets mean.
@@ -187,6 +202,10 @@ ORACLES: dict[str, str] = {
           FROM (SELECT raw, regexp_matches(trim(raw), '^\\[?(\\w+)\\]?\\.\\[?(\\w+)\\]?$') AS q, (is_sp OR NOT regexp_matches(raw, {_q(KEYWORDS)})) AND (regexp_matches(trim(raw), '^\\[?(\\w+)\\]?\\.\\[?(\\w+)\\]?$') OR regexp_matches(raw, '^\\s*(\\w+)\\s*(?:''|$)')) AS sp FROM f)) GROUP BY ALL""",
     "connection_strings": f"WITH {SETTINGS} SELECT app_id, server, database FROM cat",
     "footprint_counters": _FOOTPRINT + "SELECT count(*) AS total, count(*) FILTER (n = 1) AS resolved, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n IS NULL) AS unresolved, count(DISTINCT CASE WHEN n = 1 THEN server END) AS servers FROM j",
+    "footprint_from_code": _CODE_FOOTPRINT + "SELECT *, CAST(CASE status WHEN 'resolved' THEN 95 WHEN 'unresolved_ambiguous_conditional' THEN 55 ELSE 20 END AS BIGINT) AS confidence FROM f",
+    "footprint_code_counters": _CODE_FOOTPRINT + """
+        SELECT count(DISTINCT app_name) AS total_apps, count(*) AS total_targets, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'unresolved_ambiguous_conditional') AS ambiguous,
+               count(*) FILTER (status NOT IN ('resolved', 'unresolved_ambiguous_conditional')) AS unresolved, count(*) FILTER (is_erp) AS erp FROM f""",
     "batch_names": """
         SELECT o_orderkey, CASE WHEN root = module THEN root ELSE root || '/' || module END AS app_name
         FROM (SELECT o_orderkey, 'Root' || (o_custkey % 7) AS root, CASE WHEN o_orderkey % 2 = 0 THEN 'Root' ELSE 'Mod' END || (o_orderkey % 7) AS module FROM orders)""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import cooccurrence, decision, enrich, extraction, flow, portfolio, structure
+from portolan.operators import connections, cooccurrence, decision, enrich, extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -132,6 +132,26 @@ def footprint_counters(spark, sf_dir):
     return flow.footprint_counters(_footprint(spark, sf_dir))
 
 
+def _code_footprint(spark, sf_dir):
+    code, configs = R.settings_files(spark, sf_dir)
+    files = R.repository_files(spark, sf_dir)
+    found = extraction.sql_findings(files)
+    lost = found.filter("method = 'Direct'").withColumn("file", F.lit("Data/Gone.cs"))  # findings whose file isn't there any more
+    return connections.footprint(found.unionByName(lost), files, extraction.settings(code, configs), ("gl_lines",))
+
+
+@query
+def footprint_from_code(spark, sf_dir):
+    """Server and database of each command, by the sources that reach its connection."""
+    rows = _code_footprint(spark, sf_dir)
+    return rows.select("app_name", "file", "class_name", "method", "target", "connection", "server", "database", "status", F.col("confidence").cast("bigint").alias("confidence"), "is_erp")
+
+
+@query
+def footprint_code_counters(spark, sf_dir):
+    return connections.footprint_counters(_code_footprint(spark, sf_dir))
+
+
 @query
 def batch_names(spark, sf_dir):
     """Names of programs found in folders: root and project, or the root alone."""

@@ -245,6 +245,109 @@ CONFIG = """<?xml version="1.0"?>
 """
 
 
+#: A class of a part that opens connections in several ways, with braces on lines of their own: {p} its number.
+REPOSITORY = """using System.Data.SqlClient;
+
+namespace App.Data
+{
+    public class Store{p}
+    {
+        private static string shared = Settings.Default.Main{p};
+
+        public void Direct()
+        {
+            // SqlConnection cn = new SqlConnection(old);
+            using (SqlConnection cn = new SqlConnection(Properties.Settings.Default.Main{p}))
+            {
+                SqlCommand cmd = new SqlCommand("UPDATE Direct_{p} SET A = 1", cn);
+                cmd.ExecuteNonQuery();
+            }
+        }
+
+        public void Passed(bool log)
+        {
+            string cs = "x";
+            string other = cs;
+            cs = Settings.Default.Main{p};
+            if (log)
+                Trace(cs);
+            SqlConnection cn = new SqlConnection();
+            cn.ConnectionString = cs;
+            SqlCommand cmd = cn.CreateCommand();
+            cmd.CommandText = "INSERT INTO Passed_{p} (A) VALUES (1)";
+        }
+
+        public void Choice(bool test)
+        {
+            SqlConnection cn = new SqlConnection(test ? Settings.Default.Main{p} : Settings.Default.Other);
+            SqlCommand cmd = new SqlCommand("SELECT A FROM Choice_{p}", cn);
+        }
+
+        public void Branches(int mode)
+        {
+            string cs;
+            if (mode == 1)
+            {
+                cs = Settings.Default.Main{p};
+            }
+            else if (mode == 2)
+                cs = Settings.Default.Other;
+            else
+            {
+                return;
+            }
+            SqlConnection cn = new SqlConnection(cs);
+            SqlCommand cmd = new SqlCommand("DELETE FROM Branches_{p} WHERE A = 1", cn);
+        }
+
+        public void Guarded(int mode)
+        {
+            string cs = Settings.Default.Other;
+            if (mode == 1)
+            {
+                cs = Settings.Default.Main{p};
+            }
+            else
+            {
+                throw new Exception("no mode; {none}");
+            }
+            SqlCommand cmd = new SqlCommand();
+            cmd.CommandText = "SELECT A FROM Guarded_{p}";
+            cmd.Connection = new SqlConnection(cs);
+        }
+
+        public void Shared()
+        {
+            SqlCommand cmd = new SqlCommand("SELECT A FROM Shared_{p}", new SqlConnection(shared));
+        }
+
+        public void Written()
+        {
+            SqlConnection cn = new SqlConnection("Server=lab{p};Database=Lab");
+            SqlCommand cmd = new SqlCommand("SELECT A FROM Written_{p}", cn);
+        }
+
+        public void Built(string host)
+        {
+            OracleConnection cn = new OracleConnection("Data Source=" + host);
+            OracleCommand cmd = new OracleCommand("SELECT A FROM Built_{p}", cn);
+        }
+
+        public void Ledger()
+        {
+            OracleCommand cmd = new OracleCommand("SELECT A FROM GL_LINES", new OracleConnection(Settings.Default.Other));
+        }
+    }
+}
+"""
+
+
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``REPOSITORY`` for each part, of the application that ``settings_files`` has its settings for."""
+    parts = spread(table(spark, sf_dir, "part", "p_partkey")).select(F.col("p_partkey").cast("string").alias("p"))
+    return parts.select(F.concat(F.lit("App"), "p").alias("app_name"), F.lit("Data/Store.cs").alias("path"), F.replace(F.lit(REPOSITORY), F.lit("{p}"), F.col("p")).alias("text"))
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A screen for each part; a program for every tenth; an application is a brand."""
     parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_brand")).select(F.col("p_brand").alias("app_name"), F.col("p_partkey").alias("p"))
