@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from portolan.functions import sqltext as S
 from portolan.functions.labels import ROLES, role_dimension
 from portolan.functions.textops import without_escapes
-from portolan.operators.cooccurrence import pair_counts
+from portolan.operators.cooccurrence import pair_counts, pairs
 from portolan.sources.store import stored
 
 
@@ -135,6 +135,24 @@ def weak_relations(rows: DataFrame) -> DataFrame:
     return pair_counts(s, s).filter("a < b").select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("n").alias("n_tables"))
 
 
+def relation_evidence(ops: DataFrame, rows: DataFrame) -> DataFrame:
+    """``producer, consumer, key, written, read, write_ops, read_ops``: for each strong relation and table what the one writes and the other reads:
+    the distinct statements (op, cols, conf) of either side, and the table as either spells it. ``ops`` as from ``operations``, ``rows`` their roles."""
+    sides = stored(_sides(rows)).withColumnRenamed("app_id", "member")
+    met = pairs(sides.filter("side & 1 <> 0"), sides.filter("side & 2 <> 0")).filter("a <> b")
+    known = ops.filter("key is not null and op is not null")
+    writes = F.col("op").isin("insert", "update", "delete", "merge")
+    found = F.struct("op", F.coalesce("cols", F.array().cast("array<string>")).alias("cols"), "conf")
+    told = known.groupBy(F.col("app_id").alias("_app"), F.col("key").alias("_key")).agg(
+        F.min("target").alias("spelled"), F.sort_array(F.collect_set(F.when(writes, found))).alias("w"), F.sort_array(F.collect_set(F.when(F.col("op") == "select", found))).alias("r")
+    )
+    told = stored(told)
+    left = told.select("_app", "_key", F.col("spelled").alias("written"), F.col("w").alias("write_ops"))
+    right = told.select(F.col("_app").alias("_b"), F.col("_key").alias("_k"), F.col("spelled").alias("read"), F.col("r").alias("read_ops"))
+    out = met.join(left, (F.col("a") == F.col("_app")) & (F.col("key") == F.col("_key"))).join(right, (F.col("b") == F.col("_b")) & (F.col("key") == F.col("_k")))
+    return out.select(F.col("a").alias("producer"), F.col("b").alias("consumer"), "key", "written", "read", "write_ops", "read_ops")
+
+
 def self_loops(rows: DataFrame) -> DataFrame:
     """``app_id, n_tables``: applications that read what they write."""
     return _sides(rows).filter("side = 3").groupBy("app_id").agg(F.count(F.lit(1)).alias("n_tables"))

@@ -1,4 +1,4 @@
-"""Reports of one application and diagrams, as text; small by nature, written by Spark in a fixed order."""
+"""Reports, as text written by Spark in a fixed order; diagrams are in ``diagrams``."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.functions.labels import confidence_label, diagram_label
-from portolan.operators.portfolio import capped_nodes, first_of_each
+from portolan.functions.labels import confidence_label
+from portolan.operators.portfolio import first_of_each
 
-NODE_CAP, SNIPPET = 80, 200
-TRUNCATED = '  nota_truncado["... diagrama truncado"]'
+SNIPPET = 200
 
 
 def cell(text: Column) -> Column:
@@ -50,41 +49,6 @@ def shown_io(io: DataFrame) -> DataFrame:
     return first_of_each(io, ["app_name", "class_name", "method", "raw"], ["file", "line"]).select("app_name", "category", "class_name", "method", "operation", "raw", "file", "line")
 
 
-def resource_edges(findings: DataFrame, io: DataFrame) -> DataFrame:
-    """``app_name, class_name, kind, target``: what each class touches."""
-    a = findings.filter("target is not null").select("app_name", "class_name", F.when(F.col("is_stored_procedure"), "procedure").otherwise("table").alias("kind"), "target")
-    b = io.select("app_name", "class_name", F.lit("resource").alias("kind"), diagram_label(F.col("operation"), F.col("category")).alias("target"))
-    return a.unionByName(b).distinct()
-
-
-def _node(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^A-Za-z0-9_]", "_")
-
-
-def class_diagram(edges: DataFrame, app: str, cap: int = NODE_CAP) -> DataFrame:
-    """One row ``mermaid``: classes and what they touch, by name, up to ``cap`` nodes; a note where something is left out."""
-    own = edges.filter(F.col("app_name") == app)
-    rows = capped_nodes(own, cap)
-    line = F.concat(F.lit("  "), _node(F.col("class_name")), F.lit("["), F.col("class_name"), F.lit("] --> "), _node(F.col("target")), F.lit("[("), F.col("target"), F.lit(")]"))
-    shown = rows.select(F.lit(0).alias("last"), "class_name", "kind", "target", line.alias("line"))
-    more = own.select("class_name", "kind", "target").distinct().groupBy().agg(F.count(F.lit(1)).alias("all")).crossJoin(rows.groupBy().agg(F.count(F.lit(1)).alias("shown"))).filter("all > shown")  # one row each
-    note = more.select(F.lit(1).alias("last"), F.lit("").alias("class_name"), F.lit("").alias("kind"), F.lit("").alias("target"), F.lit(TRUNCATED).alias("line"))
-    return _diagram(shown.unionByName(note).select(F.struct("last", "class_name", "kind", "target", "line").alias("x")))
-
-
-def relations_diagram(strong: DataFrame, loops: DataFrame, cap: int = NODE_CAP) -> DataFrame:
-    """One row ``mermaid``: applications that feed others or themselves."""
-    rows = strong.select("producer", "consumer", "n_tables").unionByName(loops.select(F.col("app_id").alias("producer"), F.col("app_id").alias("consumer"), "n_tables"))
-    rows = rows.orderBy("producer", "consumer").limit(cap)
-    line = F.format_string("  a%s -->|%s| a%s", F.col("producer").cast("string"), F.col("n_tables").cast("string"), F.col("consumer").cast("string"))
-    return _diagram(rows.select(F.struct("producer", "consumer", line.alias("line")).alias("x")))
-
-
-def _diagram(rows: DataFrame) -> DataFrame:
-    body = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
-    return body.select(F.concat_ws("\n", F.lit("graph LR"), F.nullif("body", F.lit(""))).alias("mermaid"))
-
-
 def sections(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """``place, markdown`` of a report: each part's title and its table (a row ``markdown``), in order; to be written as text."""
     rows = [table.select(F.lit(k).alias("place"), F.concat(F.lit(f"## {title}\n\n"), "markdown").alias("markdown")) for k, (title, table) in enumerate(parts)]

@@ -156,6 +156,63 @@ n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FR
 j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name))
 """
 
+#: The table of each strong relation, with what either side does.
+_EVIDENCE = (
+    FLOW
+    + """,
+ev AS (
+  SELECT app_id, key, min(target) AS spelled, array_to_string(list_sort(list(DISTINCT s) FILTER (op <> 'select')), ' ') AS w, array_to_string(list_sort(list(DISTINCT s) FILTER (op = 'select')), ' ') AS r
+  FROM (SELECT *, op || '(' || array_to_string(cols, ',') || ')' AS s FROM ops WHERE op IS NOT NULL AND key IS NOT NULL) GROUP BY ALL),
+rel AS (
+  SELECT a.app_id AS producer, b.app_id AS consumer, a.key AS table_key, x.spelled AS written, y.spelled AS read, x.w AS write_ops, y.r AS read_ops
+  FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id JOIN ev x ON x.app_id = a.app_id AND x.key = a.key JOIN ev y ON y.app_id = b.app_id AND y.key = a.key WHERE a.p AND b.c)
+"""
+)
+
+_NODE = "coalesce(nullif(left(regexp_replace({0}, '[^\\w]', '_', 'g'), 60), ''), 'n')"
+#: Each application in the middle: up to 80 nodes, those it feeds first.
+_RELATIONS_DIAGRAM = (
+    _EVIDENCE
+    + f""",
+arrows AS (
+  SELECT 'App' || app AS app_name, side, 'App' || other AS other, array_to_string(list_sort(list(DISTINCT t)), ', ') AS tables
+  FROM (SELECT producer AS app, 1 AS side, consumer AS other, written AS t FROM rel UNION ALL SELECT consumer, 2, producer, read FROM rel) GROUP BY ALL),
+items AS (
+  SELECT *, 1 + sum(new) OVER (PARTITION BY app_name ORDER BY side, other) - new AS before
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY app_name, other ORDER BY side) = 1 THEN 1 ELSE 0 END AS new FROM arrows)),
+loops AS (SELECT DISTINCT 'App' || s.app_id AS app_name, spelled FROM sides s JOIN ev ON ev.app_id = s.app_id AND ev.key = s.key WHERE p AND c),
+apps AS (SELECT app_name FROM arrows UNION SELECT app_name FROM loops),
+lines AS (
+  SELECT app_name, 0 AS a, '' AS b, 0 AS c, 'flowchart LR' AS line FROM apps
+  UNION ALL SELECT app_name, 1, '', 0, '    app_' || {_NODE.format("app_name")} || '["' || app_name || '"]:::focalNode' FROM apps
+  UNION ALL SELECT app_name, 1 + side, other, 0, '    app_' || {_NODE.format("other")} || '("' || other || '")' FROM items WHERE before < 80 AND new = 1
+  UNION ALL SELECT app_name, 1 + side, other, 1, CASE side WHEN 1 THEN '    app_' || app_name || ' -->|"' || tables || '"| app_' || other ELSE '    app_' || other || ' -->|"' || tables || '"| app_' || app_name END FROM items WHERE before < 80
+  UNION ALL SELECT app_name, 4, spelled, 0, '    app_' || app_name || ' -->|"' || spelled || '"| app_' || app_name FROM loops
+  UNION ALL SELECT DISTINCT app_name, 5, '', 0, '    nota_truncado["... relaciones adicionales truncadas — ver las tablas completas abajo"]' FROM items WHERE before >= 80
+  UNION ALL SELECT app_name, 6, '', 0, '    classDef focalNode fill:#e1eef8,stroke:#1c6fc9,color:#17324d,font-weight:bold;' FROM apps)
+SELECT app_name, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY a, b, c)) AS mermaid_md5 FROM lines GROUP BY 1
+"""
+)
+
+_CLASSES_DIAGRAM = f""",
+resources AS (
+  SELECT DISTINCT 'A' || (app_id % 7) AS app_name, 'Class ' || app_id AS class_name, CASE category WHEN 'query' THEN 2 ELSE 1 END AS g, target FROM sf
+  UNION SELECT 'A' || (user_id % 7), 'Class ' || user_id, 3, ['Archivos / carpetas', 'Red (HTTP/SMTP)', 'Impresora', 'Puerto serial', 'Proceso externo', 'Red (HTTP/SMTP)', 'Reflection / COM', 'Archivos / carpetas', 'PLC / Modbus'][event_id % 9 + 1] FROM events),
+items AS (
+  SELECT *, sum(new) OVER (PARTITION BY app_name ORDER BY class_name, g, target) - new AS before
+  FROM (SELECT *, CASE WHEN g = 0 OR row_number() OVER (PARTITION BY app_name, g, target ORDER BY class_name) = 1 THEN 1 ELSE 0 END AS new
+        FROM (SELECT * FROM resources UNION ALL SELECT DISTINCT app_name, class_name, 0, NULL FROM resources))),
+named AS (SELECT *, 'class_' || {_NODE.format("class_name")} AS c, ['sp_', 'table_', 'io_'][g] || {_NODE.format("target")} AS t FROM items WHERE before < 80),
+lines AS (
+  SELECT DISTINCT app_name, 0 AS part, '' AS class_name, 0 AS g, '' AS target, 0 AS sub, 'flowchart LR' AS line FROM items
+  UNION ALL SELECT app_name, 1, class_name, g, target, 0, CASE g WHEN 0 THEN '    ' || c || '["' || class_name || '"]:::classNode' WHEN 1 THEN '    ' || t || '[["' || target || '"]]' WHEN 2 THEN '    ' || t || '[("' || target || '")]' ELSE '    ' || t || '("' || target || '")' END
+  FROM named WHERE new = 1
+  UNION ALL SELECT app_name, 1, class_name, g, target, 1, '    ' || c || CASE g WHEN 3 THEN ' -.-> ' ELSE ' --> ' END || t FROM named WHERE g > 0
+  UNION ALL SELECT DISTINCT app_name, 2, '', 0, '', 0, '    nota_truncado["... diagrama truncado (demasiados elementos) — ver la tabla completa abajo"]' FROM items WHERE before >= 80
+  UNION ALL SELECT DISTINCT app_name, 3, '', 0, '', 0, '    classDef classNode fill:#e1eef8,stroke:#1c6fc9,color:#17324d;' FROM items)
+SELECT app_name, row_number() OVER (PARTITION BY app_name ORDER BY part, class_name, g, target, sub) AS place, line FROM lines
+"""
+
 #: What each method of a part's repository class is expected to show; every fifth part has no configuration file, and so no setting Other.
 _CODE_FOOTPRINT = """
 WITH m(method, kind, target, connection, server, database, status, file) AS (VALUES
@@ -194,6 +251,8 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "app_relation_evidence": _EVIDENCE + "SELECT * FROM rel",
+    "diagram_relations": _RELATIONS_DIAGRAM,
     "app_relations_selfloop": FLOW + "SELECT app_id, count(*) AS n_tables FROM sides WHERE p AND c GROUP BY ALL",
     "app_relations_of_one": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c AND (a.app_id = 7 OR b.app_id = 7) GROUP BY ALL",
     "sql_classified": FLOW + f"""
@@ -286,6 +345,7 @@ ORACLES: dict[str, str] = {
     "companion_overlap": "WITH r AS (SELECT DISTINCT l_suppkey AS app_id, l_partkey FROM lineitem) SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.app_id < b.app_id GROUP BY 1, 2",
     "snapshot_metrics": "SELECT event_type, count(*) AS total, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 10 AND value < 50) AS mid, count(*) FILTER (value >= 50) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "enrich_pick": "SELECT CASE WHEN l_linenumber <= 3 THEN 'procedure' ELSE 'table' END AS kind, 'obj' || l_partkey AS object, min(CASE WHEN l_linenumber <= 3 OR l_returnflag = 'N' THEN l_suppkey END) AS connection FROM lineitem GROUP BY 1, 2",
+    "diagram_classes": _portfolio(_CLASSES_DIAGRAM),
     "diagram_top_nodes": _portfolio("""
         SELECT class_name, kind, target FROM (SELECT *, sum(c) OVER o + sum(r) OVER o - r AS n FROM (
           SELECT *, CASE WHEN row_number() OVER (PARTITION BY class_name ORDER BY kind, target) = 1 THEN 1 ELSE 0 END AS c, CASE WHEN row_number() OVER (PARTITION BY kind, target ORDER BY class_name) = 1 THEN 1 ELSE 0 END AS r

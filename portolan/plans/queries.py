@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, cooccurrence, decision, enrich, extraction, flow, portfolio, structure
+from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, portfolio, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -90,6 +90,41 @@ def app_relations_weak(spark, sf_dir):
     return flow.weak_relations(flow.portfolio_roles(R.flow_findings(spark, sf_dir)))
 
 
+def _evidence(spark, sf_dir):
+    ops = store.stored(flow.operations(R.flow_findings(spark, sf_dir)))
+    roles = store.stored(flow.roles(ops, flow.context(ops)))
+    return flow.relation_evidence(ops, roles), roles, ops
+
+
+@query
+def app_relation_evidence(spark, sf_dir):
+    """The table behind each strong relation, as either side spells it, with what the one writes and the other reads."""
+    found, _, _ = _evidence(spark, sf_dir)
+    said = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: F.concat(x.op, F.lit("("), F.array_join(x.cols, ","), F.lit(")"))))), " ")
+    return found.select("producer", "consumer", F.col("key").alias("table_key"), "written", "read", said("write_ops").alias("write_ops"), said("read_ops").alias("read_ops"))
+
+
+@query
+def diagram_relations(spark, sf_dir):
+    """The diagram of each order as an application in the middle of those it feeds and is fed by."""
+    found, roles, ops = _evidence(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("App"), F.col(c).cast("string"))
+    spelled = ops.filter("key is not null and op is not null").groupBy("app_id", "key").agg(F.min("target").alias("table"))
+    loops = flow._sides(roles).filter("side = 3").join(spelled, ["app_id", "key"]).select(name("app_id").alias("app_name"), "table")
+    lines = diagrams.relation_diagrams(found.select(name("producer").alias("producer"), name("consumer").alias("consumer"), "written", "read"), loops)
+    return diagrams.texts(lines).select("app_name", "n_lines", F.md5("mermaid").alias("mermaid_md5"))
+
+
+@query
+def diagram_classes(spark, sf_dir):
+    """The diagram of each of seven applications: suppliers and users as classes, with what they touch."""
+    app, of = F.concat(F.lit("A"), (F.col("app_id") % 7).cast("string")), F.concat(F.lit("Class "), F.col("app_id").cast("string"))
+    found = R.supplier_findings(spark, sf_dir).select(app.alias("app_name"), of.alias("class_name"), "category", "target")
+    io = R.io_findings(spark, sf_dir).select(app.alias("app_name"), of.alias("class_name"), "operation", F.when(F.contains("operation", F.lit("Invoke")), "reflection").otherwise("io").alias("category"))
+    lines = diagrams.class_diagrams(diagrams.class_resources(found, io))
+    return lines
+
+
 @query
 def app_relations_selfloop(spark, sf_dir):
     return flow.self_loops(flow.portfolio_roles(R.flow_findings(spark, sf_dir)))

@@ -112,8 +112,6 @@ def test_lines_and_secrets(spark):
 
 
 def test_reports(spark):
-    edges = spark.createDataFrame([("a", "C1", "table", "T 1"), ("a", "C1", "table", "T 1"), ("b", "X", "table", "Y")], "app_name string, class_name string, kind string, target string")
-    assert report.class_diagram(edges, "a").first().mermaid == "graph LR\n  C1[C1] --> T_1[(T 1)]"
     rows = spark.createDataFrame([(2, "x|y"), (1, "a\nb")], "k long, v string")
     assert report.markdown_table(rows, ["k", "v"], ["k"]).first().markdown == "| k | v |\n|---|---|\n| 1 | a b |\n| 2 | x\\|y |"
     assert report.markdown_table(rows.limit(0), ["k"], ["k"]).first().markdown == "| k |\n|---|"
