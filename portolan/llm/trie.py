@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.ordered import running_sums
+from portolan.llm.ordered import ranged, running_sums
 from portolan.llm.textio import bounded_batches, written
 
 #: Conversations of a family; a conversation branches from the family's first after crc32 of its id modulo ``BRANCHES`` turns.
@@ -181,30 +181,40 @@ def _completed(rows: DataFrame) -> DataFrame:
 
 
 def _end_digests(nodes: DataFrame) -> DataFrame:
-    """``e1, e2, ends_sha256`` of the nodes where conversations end: their ids in ascending order, joined by commas and hashed as they pass, so that no list is held."""
+    """``e1, e2, ends_sha256`` of the nodes where conversations end: their ids in ascending order, joined by commas and hashed as they pass. The ids are
+    ordered by ranges, and each range's share of a node goes on as a few texts, as SHA-256 can only read them one after the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, last = sha256(), None
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
         for batch in batches:
             x1, x2, ids = (batch.column(k).to_numpy() for k in range(3))
-            done: list[tuple[int, int, str]] = []
             starts = [0, *(1 + np.flatnonzero((np.diff(x1) != 0) | (np.diff(x2) != 0))).tolist()] if batch.num_rows else []
-            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-                name, text = (int(x1[a]), int(x2[a])), ",".join(map(str, ids[a:b].tolist()))
-                if name == last:
-                    text = "," + text
+            texts = [",".join(map(str, ids[a:b].tolist())) for a, b in zip(starts, [*starts[1:], batch.num_rows])]
+            yield pa.RecordBatch.from_pydict({"e1": pa.array(x1[starts]), "e2": pa.array(x2[starts]), "place": pa.array(range(place, place + len(starts)), pa.int64()), "ids": pa.array(texts, pa.string())})
+            place += len(starts)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_, last = sha256(), None
+        for batch in batches:
+            done = []
+            for e1, e2, ids in zip(*(batch.column(c).to_pylist() for c in ("e1", "e2", "ids"))):
+                if (e1, e2) == last:
+                    ids = "," + ids
                 else:
                     if last is not None:
-                        done.append((*last, hash_.hexdigest()))
-                    hash_, last = sha256(), name
-                hash_.update(text.encode())
-            yield pa.RecordBatch.from_pylist([dict(zip(("e1", "e2", "ends_sha256"), d)) for d in done], schema=schema)
+                        done.append({"e1": last[0], "e2": last[1], "ends_sha256": hash_.hexdigest()})
+                    hash_, last = sha256(), (e1, e2)
+                hash_.update(ids.encode())
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
         if last is not None:
             yield pa.RecordBatch.from_pylist([{"e1": last[0], "e2": last[1], "ends_sha256": hash_.hexdigest()}], schema=schema)
 
+    from pyspark import TaskContext
+
     schema = pa.schema([("e1", pa.int64()), ("e2", pa.int64()), ("ends_sha256", pa.string())])
     ends = nodes.filter(F.size("ends") > 0).select("x1", "x2", F.explode("ends").alias("conv_id"))
-    return bounded_batches(ends.repartition("x1", "x2").sortWithinPartitions("x1", "x2", "conv_id")).mapInArrow(run, "e1 bigint, e2 bigint, ends_sha256 string")
+    texts = bounded_batches(ranged(ends, ["x1", "x2", "conv_id"])).mapInArrow(listed, "e1 bigint, e2 bigint, place bigint, ids string")
+    return texts.repartition("e1", "e2").sortWithinPartitions("e1", "e2", "place").mapInArrow(hashed, "e1 bigint, e2 bigint, ends_sha256 string")
 
 
 def _same(a: tuple[str, str], b: tuple[str, str]):
