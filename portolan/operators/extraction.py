@@ -53,7 +53,12 @@ def raw_findings(files: DataFrame) -> DataFrame:
 
 def sql_findings(files: DataFrame) -> DataFrame:
     """SQL commands with what they run: category, target, parameters, columns that are read, and where the text comes from."""
-    rows = raw_findings(files).filter("found = 'sql'")
+    return sql_of(raw_findings(files))
+
+
+def sql_of(found: DataFrame) -> DataFrame:
+    """The SQL commands of ``raw_findings``."""
+    rows = found.filter("found = 'sql'")
     text = F.coalesce(F.nullif("resolved", F.lit("")), "raw")
     rows = rows.withColumn("c", classified(text, F.col("procedure"), F.col("kind").isin(*CONNECTIONS)))
     evidence = F.struct(F.when(F.col("resolved").isNotNull(), F.col("file")).alias("source_file"), F.col("source_line").alias("line_number"), F.coalesce("confidence", F.lit(20)).alias("confidence"))
@@ -61,7 +66,12 @@ def sql_findings(files: DataFrame) -> DataFrame:
 
 
 def io_findings(files: DataFrame) -> DataFrame:
-    rows = raw_findings(files).filter("found <> 'sql'")
+    return io_of(raw_findings(files))
+
+
+def io_of(found: DataFrame) -> DataFrame:
+    """Input, output and reflection of ``raw_findings``."""
+    rows = found.filter("found <> 'sql'")
     return rows.select("app_name", "file", "line", "class_name", "method", F.col("kind").alias("operation"), "raw", F.col("found").alias("category"))
 
 

@@ -31,16 +31,18 @@ CONNECTION = r"new\s+(?:Sql|Oracle)Connection\s*\(\s*([\w.]+)\s*\)"
 UNRESOLVED = "(conexion detectada, query no resuelta automaticamente — revisar manualmente)"
 
 
-def shown_findings(findings: DataFrame) -> DataFrame:
+def shown_findings(findings: DataFrame, snippet: int | None = SNIPPET, more: tuple[str, ...] = ()) -> DataFrame:
     """SQL findings of a report: the texts that are known, once per class, method and text by first appearance, with how sure they are; a
-    method without any has one row that says so. ``connection``: the first that the method opens, else ``?``."""
+    method without any has one row that says so. ``connection``: the first that the method opens, else ``?``.
+    Texts end after ``snippet`` characters, if given; ``more``: further columns to keep (null where no text is known)."""
     method = ["app_name", "class_name", "method"]
     rows = findings.withColumns({"text": F.coalesce("resolved", "raw"), "known": F.coalesce(F.col("resolved").isNotNull() | F.contains("raw", F.lit('"')), F.lit(False)), "opens": F.nullif(F.regexp_extract("raw", CONNECTION, 1), F.lit(""))})
     groups = rows.groupBy(*method).agg(F.max("known").alias("any"), F.min(F.when(F.col("opens").isNotNull(), F.struct("file", "line", "opens"))).alias("first"), F.min(F.struct("file", "line")).alias("at"))
     groups = groups.select(*method, "any", "at", F.coalesce("first.opens", F.lit("?")).alias("connection"))
     first = first_of_each(rows.filter("known"), [*method, "text"], ["file", "line"]).join(groups.select(*method, "connection"), method)
-    shown = first.select(*method, "connection", F.left("text", F.lit(SNIPPET)).alias("text"), "category", "target", confidence_label(F.col("evidence.confidence")).alias("confidence"), "file", "line")
-    rest = groups.filter("not any").select(*method, "connection", F.lit(UNRESOLVED).alias("text"), F.lit("?").alias("category"), F.lit(None).cast("string").alias("target"), F.lit("unknown").alias("confidence"), "at.file", "at.line")
+    text = F.left("text", F.lit(snippet)) if snippet else F.col("text")
+    shown = first.select(*method, "connection", text.alias("text"), "category", "target", confidence_label(F.col("evidence.confidence")).alias("confidence"), "file", "line", *more)
+    rest = groups.filter("not any").select(*method, "connection", F.lit(UNRESOLVED).alias("text"), F.lit("?").alias("category"), F.lit(None).cast("string").alias("target"), F.lit("unknown").alias("confidence"), "at.file", "at.line", *[F.lit(None).cast(findings.schema[c].dataType).alias(c) for c in more])
     return shown.unionByName(rest)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from portolan.plans.expected_report import REPORT
 from portolan.functions.labels import FACTOR_WEIGHTS, IO_LABELS, ROLES
 from portolan.functions.sqltext import KEYWORDS, TABLE_PATTERNS
 from portolan.plans.rendered import IO_OPERATIONS, TEMPLATES, TEXT_PATTERNS
@@ -213,6 +214,12 @@ lines AS (
 SELECT app_name, row_number() OVER (PARTITION BY app_name ORDER BY part, class_name, g, target, sub) AS place, line FROM lines
 """
 
+_REPORT = f"""
+WITH e(k, line, there) AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(line)}, {_q(there)})" for k, (there, line) in enumerate(REPORT))})),
+p AS (SELECT p_partkey AS p, p_type, ['true'] || {" || ".join(f"CASE WHEN {c} THEN [{_q(c)}] ELSE [] END" for c in sorted({c for c, _ in REPORT} - {"true"}))} AS holds FROM part)
+SELECT 'App' || p AS app_name, row_number() OVER (PARTITION BY p ORDER BY k) AS place, replace(replace(line, '{{p}}', p::VARCHAR), '{{type}}', p_type) AS line FROM p JOIN e ON list_contains(holds, there)
+"""
+
 #: What each method of a part's repository class is expected to show; every fifth part has no configuration file, and so no setting Other.
 _CODE_FOOTPRINT = """
 WITH m(method, kind, target, connection, server, database, status, file) AS (VALUES
@@ -251,6 +258,7 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "app_reports": _REPORT,
     "app_relation_evidence": _EVIDENCE + "SELECT * FROM rel",
     "diagram_relations": _RELATIONS_DIAGRAM,
     "app_relations_selfloop": FLOW + "SELECT app_id, count(*) AS n_tables FROM sides WHERE p AND c GROUP BY ALL",

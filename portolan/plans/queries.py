@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, portfolio, structure
+from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, portfolio, sectioned, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -125,6 +125,29 @@ def diagram_classes(spark, sf_dir):
     return lines
 
 
+@query
+def app_reports(spark, sf_dir):
+    """The sectioned report of each part's application, line by line."""
+    code, configs = R.settings_files(spark, sf_dir)
+    files = R.repository_files(spark, sf_dir)
+    named = R.table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").withColumn("app_name", F.concat(F.lit("App"), F.col("p_partkey").cast("string")))
+    text = lambda c: F.lit(c).cast("string")
+    apps = named.select(
+        "app_name", text("2024-01-02").alias("build_date"), text(None).alias("activity_date"), text("no_evidence").alias("activity_source"), F.lit(None).cast("int").alias("activity_confidence"), text("C#").alias("language"),
+        text("net48").alias("dotnet_target"), F.array(F.lit("WinForms")).alias("ui_framework"), F.array(F.lit("SQL Server"), F.lit("Oracle")).alias("db_drivers"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("Own.dll"))).alias("companions"),
+        text(None).alias("db_notes"),
+    )
+    settings = extraction.settings(code, configs).withColumns({"extractor": F.lit("SETTINGS"), "confidence": F.lit(95)})
+    flags = named.filter("p_partkey % 3 = 0").select("app_name", F.lit("alta").alias("severity"), F.concat(F.lit("a|b "), "p_type").alias("description"), F.lit("line 1\nline 2").alias("location"))
+    column = F.struct(F.lit("A").alias("name"), F.lit("int").alias("type"), F.lit("NO").alias("nullable"), F.lit(None).cast("int").alias("max_length"), F.lit("(0)").alias("default"))
+    key = F.struct(F.lit("A").alias("column"), F.lit("dbo.R").alias("ref_table"), F.lit("B").alias("ref_column"), F.lit("fk").alias("fk_name"))
+    tables = named.filter("p_partkey % 4 = 0").select("app_name", F.lit("dbo").alias("schema_name"), F.concat(F.lit("Direct_"), F.col("p_partkey").cast("string")).alias("table_name"), F.array(column).alias("columns"), F.array(key).alias("foreign_keys"))
+    found = store.stored(extraction.raw_findings(files))
+    lines = sectioned.report_lines(apps, store.stored(settings), store.stored(extraction.sql_of(found)), store.stored(extraction.io_of(found)), flags, None, tables)
+    place = F.row_number().over(Window.partitionBy("app_name").orderBy(*sectioned.KEYS))
+    return lines.select("app_name", place.cast("bigint").alias("place"), "line")
+
+
 @query
 def app_relations_selfloop(spark, sf_dir):
     return flow.self_loops(flow.portfolio_roles(R.flow_findings(spark, sf_dir)))
