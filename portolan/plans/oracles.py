@@ -157,6 +157,9 @@ n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FR
 j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name))
 """
 
+#: What is left when each order's first statement has gone.
+_WITHOUT_FIRST = FLOW.replace("FROM lineitem)", "FROM lineitem WHERE l_linenumber <> 1)", 1)
+
 #: The table of each strong relation, with what either side does.
 _EVIDENCE = (
     FLOW
@@ -258,6 +261,8 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "maintained_roles": _WITHOUT_FIRST + f"SELECT app_id, target, role, {_STATUS}, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op = 'select') AS n_reads, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op <> 'select') AS n_writes FROM roles",
+    "maintained_relations": _WITHOUT_FIRST + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_reports": _REPORT,
     "app_relation_evidence": _EVIDENCE + "SELECT * FROM rel",
     "diagram_relations": _RELATIONS_DIAGRAM,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, portfolio, sectioned, structure
+from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, sectioned, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -125,6 +125,26 @@ def diagram_classes(spark, sf_dir):
     return lines
 
 
+def _maintained(spark, sf_dir):
+    """A store after two changes: all statements but a third, then that third instead of each order's first."""
+    found = store.stored(R.flow_findings(spark, sf_dir))
+    kept = maintained.new_store(spark)
+    kept.change(None, found.filter("seq % 3 <> 0"))
+    kept.change(found.filter("seq = 1"), found.filter("seq % 3 = 0"))
+    return kept
+
+
+@query
+def maintained_roles(spark, sf_dir):
+    """Roles after statements have come and gone."""
+    return _maintained(spark, sf_dir).roles().select("app_id", "target", "role", "status", "n_reads", "n_writes")
+
+
+@query
+def maintained_relations(spark, sf_dir):
+    return _maintained(spark, sf_dir).relations()
+
+
 @query
 def app_reports(spark, sf_dir):
     """The sectioned report of each part's application, line by line."""
