@@ -157,6 +157,23 @@ n AS (SELECT app_id, name, count(DISTINCT server) AS n, min(server) AS server FR
 j AS (SELECT f.app_id, target, n, server FROM (SELECT DISTINCT o_custkey AS app_id, 'T' || (o_orderkey % 10) AS target, 'Conn' || (o_custkey % 3) AS name FROM orders) f LEFT JOIN n USING (app_id, name))
 """
 
+#: Where the classes and methods of the rendered files begin and end: of screens with and without an overload, of programs and of repositories.
+_CONTAINMENT = """
+WITH spans(kind, what, a, b, name) AS (VALUES
+    ('even', 'c', 6, 77, 'Form'), ('even', 'm', 11, 22, 'Load'), ('even', 'm', 24, 30, 'Save'), ('even', 'm', 32, 38, 'Branch'), ('even', 'm', 40, 49, 'Build'), ('even', 'm', 51, 53, 'Helper'),
+    ('even', 'm', 55, 57, 'Helper'), ('even', 'm', 59, 67, 'InitializeComponent'), ('even', 'm', 69, 76, 'btnSave_Click'),
+    ('odd', 'c', 6, 73, 'Form'), ('odd', 'm', 11, 22, 'Load'), ('odd', 'm', 24, 30, 'Save'), ('odd', 'm', 32, 38, 'Branch'), ('odd', 'm', 40, 49, 'Build'), ('odd', 'm', 51, 53, 'Helper'),
+    ('odd', 'm', 55, 63, 'InitializeComponent'), ('odd', 'm', 65, 72, 'btnSave_Click'), ('program', 'c', 3, 8, 'Program'), ('program', 'm', 4, 7, 'Main'),
+    ('store', 'c', 5, 92, 'Store'), ('store', 'm', 9, 17, 'Direct'), ('store', 'm', 19, 30, 'Passed'), ('store', 'm', 32, 36, 'Choice'), ('store', 'm', 38, 53, 'Branches'), ('store', 'm', 55, 69, 'Guarded'),
+    ('store', 'm', 71, 74, 'Shared'), ('store', 'm', 76, 80, 'Written'), ('store', 'm', 82, 86, 'Built'), ('store', 'm', 88, 91, 'Ledger')),
+files AS (
+    SELECT p_brand AS app_name, 'Screens/Form' || p_partkey || '.cs' AS file, CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 78 ELSE 74 END AS size, p_partkey AS p FROM part
+    UNION ALL SELECT p_brand, 'Program' || p_partkey || '.cs', 'program', 9, p_partkey FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'App' || p_partkey, 'Data/Store.cs', 'store', 93, p_partkey FROM part),
+lines AS (SELECT *, unnest(range(1, size + 1)) AS n FROM files)
+SELECT app_name, file, n, CASE WHEN c.name = 'Form' THEN c.name || p ELSE c.name || CASE WHEN c.name = 'Store' THEN p::VARCHAR ELSE '' END END AS class_name, m.name AS method
+FROM lines l LEFT JOIN spans c ON c.kind = l.kind AND c.what = 'c' AND n BETWEEN c.a AND c.b LEFT JOIN spans m ON m.kind = l.kind AND m.what = 'm' AND n BETWEEN m.a AND m.b
+"""
+
 #: What is left when each order's first statement has gone.
 _WITHOUT_FIRST = FLOW.replace("FROM lineitem)", "FROM lineitem WHERE l_linenumber <> 1)", 1)
 
@@ -261,6 +278,7 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "line_containment": _CONTAINMENT,
     "maintained_roles": _WITHOUT_FIRST + f"SELECT app_id, target, role, {_STATUS}, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op = 'select') AS n_reads, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op <> 'select') AS n_writes FROM roles",
     "maintained_relations": _WITHOUT_FIRST + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_reports": _REPORT,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, sectioned, structure
+from portolan.operators import connections, containment, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, sectioned, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -687,6 +687,12 @@ def csharp_controls(spark, sf_dir):
     return extraction.controls(extraction.facts(R.source_files(spark, sf_dir))).select("app_name", "class_name", "control", "control_type", "label", "status")
 
 
+@query
+def line_containment(spark, sf_dir):
+    """Class and method around every line of the screens, programs and repositories."""
+    return containment.containment(R.source_files(spark, sf_dir).unionByName(R.repository_files(spark, sf_dir))).select("app_name", "file", F.col("n").cast("bigint").alias("n"), "class_name", "method")
+
+
 @query
 def csharp_data_ops(spark, sf_dir):
     """What each method does to data, directly and one call away."""
