@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from portolan.plans.expected_report import REPORT
-from portolan.functions.labels import FACTOR_WEIGHTS, IO_LABELS, ROLES
-from portolan.functions.sqltext import KEYWORDS, TABLE_PATTERNS
 from portolan.plans.rendered import IO_OPERATIONS, TEMPLATES, TEXT_PATTERNS
 
 
+# ---- what is expected, stated here apart from the code that is compared with it; fixed values
+
+ROLES = ("productor_numerico", "productor_passfail", "consumidor_medicion", "consumidor_resultado", "consumidor_general", "mixto", "indeterminado")
+FACTOR_WEIGHTS = {"riesgo": 2.0, "dependencias": 1.5, "reutilizacion_potencial": 0.5, "reglas_negocio": 0.5, "complejidad_tecnica": -0.5, "complejidad_integracion": -0.5}
+#: Statement words, and what stands before the first table of a statement.
+KEYWORDS = r"(?i)\b(select|insert\s+into|update|delete\s+from|with|create|alter|drop|exec(ute)?)\b"
+TABLE_PATTERNS = (r"(?i)\bupdate\s+\[?([\w\.]+)\]?", r"(?i)\bfrom\s+\[?([\w\.]+)\]?", r"(?i)\binto\s+\[?([\w\.]+)\]?")
+#: The label of each of the rendered operations, in their order.
+IO_GROUPS = ("Archivos", "Red / HTTP", "Impresion", "Puerto serial", "Proceso externo", "Correo (SMTP)", "Otro", "Archivos", "Otro")
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -20,10 +29,6 @@ def _case(column: str, values, zero: int = 0) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {k + zero} THEN {_q(v)}" for k, v in enumerate(values)) + " END"
 
 
-def _first(column: str, rules, otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_q(p)}) THEN {_q(label)}" for p, label in rules) + f" ELSE {_q(otherwise)} END"
-
-
 #: What each of the templates does and names, as read by hand.
 READ = {
     0: ("insert", "IL ReflA Serial_Number"), 1: ("update", "STATUS DEVICE"), 2: ("insert", "STATUS WAVE"), 3: ("select", "ILEndA ILEndB"), 4: ("select", "TEST_DATE STATUS"), 5: ("select", "STATUS DEVICE"),
@@ -319,7 +324,7 @@ ORACLES: dict[str, str] = {
     "factor_rules": _factor("reglas_negocio"),
     "factor_integration": _factor("complejidad_integracion"),
     "factor_reuse": _factor("reutilizacion_potencial"),
-    "factor_integration_labels": _portfolio(f"SELECT app_id, {_first('operation', IO_LABELS, 'Otro')} AS label, count(*) AS n FROM io GROUP BY 1, 2"),
+    "factor_integration_labels": _portfolio(f"SELECT app_id, CASE operation {' '.join(f'WHEN {_q(o)} THEN {_q(g)}' for o, g in zip(IO_OPERATIONS, IO_GROUPS))} END AS label, count(*) AS n FROM io GROUP BY 1, 2"),
     "factor_sample_targets": _portfolio("SELECT app_id, string_agg(target, ',' ORDER BY target) AS targets FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY target) AS p FROM (SELECT DISTINCT app_id, target FROM sf)) WHERE p <= 8 GROUP BY 1"),
     "terciles": """
         WITH r AS (SELECT c_custkey, c_nationkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey = 0 THEN 0 - floor(abs(c_acctbal) / 1000) ELSE floor(c_acctbal / 1000) END AS DOUBLE) AS raw FROM customer),
@@ -375,6 +380,16 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey AS caller, count(*) AS n_operations, min(p_partkey) AS first_operation FROM orders JOIN part ON o_custkey % 50 = p_partkey % 50 AND o_orderkey % 40 = p_size % 40 WHERE o_orderkey % 3 <> 0 GROUP BY 1""",
     "companion_overlap": "WITH r AS (SELECT DISTINCT l_suppkey AS app_id, l_partkey FROM lineitem) SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.app_id < b.app_id GROUP BY 1, 2",
     "snapshot_metrics": "SELECT event_type, count(*) AS total, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 10 AND value < 50) AS mid, count(*) FILTER (value >= 50) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+    "enrich_asked": """
+        WITH o AS (SELECT DISTINCT l_suppkey % 50 AS app_id, l_linenumber <= 3 AS is_procedure, 'dbo' AS schema, 'obj' || l_partkey AS name FROM lineitem WHERE l_linenumber <> 7),
+        c AS (SELECT s_suppkey AS app_id, k::BIGINT AS place, 'SRV' || (s_nationkey + k) AS server FROM supplier, range(2) AS r(k) WHERE s_suppkey < 50 AND (s_nationkey + k) % 7 <> 0)
+        SELECT o.*, place, server FROM o JOIN c USING (app_id)""",
+    "store_replaced": """
+        WITH r AS (SELECT l_suppkey % 40 AS app_id, l_orderkey AS object, l_linenumber::BIGINT AS n FROM lineitem)
+        SELECT app_id, object, n, NULL::VARCHAR AS missing FROM r WHERE app_id % 3 <> 0 OR app_id NOT IN (SELECT app_id FROM r WHERE n = 1)
+        UNION ALL SELECT app_id, object, 100, NULL FROM r WHERE app_id % 3 = 0 AND n = 1""",
+    "store_backfill": "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'found ' || c_nationkey END) AS c_mktsegment, c_nationkey FROM customer",
+    "store_latest_review": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
     "enrich_pick": "SELECT CASE WHEN l_linenumber <= 3 THEN 'procedure' ELSE 'table' END AS kind, 'obj' || l_partkey AS object, min(CASE WHEN l_linenumber <= 3 OR l_returnflag = 'N' THEN l_suppkey END) AS connection FROM lineitem GROUP BY 1, 2",
     "diagram_classes": _portfolio(_CLASSES_DIAGRAM),
     "diagram_top_nodes": _portfolio("""

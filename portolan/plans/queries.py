@@ -590,6 +590,41 @@ def csharp_snapshot(spark, sf_dir):
     return portfolio.snapshot_metrics(rows, ["kind"])
 
 
+@query
+def enrich_asked(spark, sf_dir):
+    """Which parts as objects are asked on which of their suppliers' servers; servers of every seventh nation are dead."""
+    rows = R.table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linenumber")
+    name = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("not a name "), F.col("l_partkey").cast("string"))).when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("DBO.Obj"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("[obj"), F.col("l_partkey").cast("string"), F.lit("]")))
+    targets = rows.select((F.col("l_suppkey") % 50).alias("app_id"), name.alias("target"), (F.col("l_linenumber") <= 3).alias("is_procedure"))
+    servers = R.table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").filter("s_suppkey < 50").select(F.col("s_suppkey").alias("app_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("place"), F.concat(F.lit("SRV"), (F.col("s_nationkey") + k).cast("string")).alias("server")) for k in (0, 1)])).alias("x")).select("app_id", "x.*")
+    return enrich.asked(targets, servers, [f"srv{k}" for k in range(0, 30, 7)]).select("app_id", "is_procedure", "schema", "name", "place", "server")
+
+
+@query
+def store_replaced(spark, sf_dir):
+    """Line items per supplier after the rows of every third supplier were replaced."""
+    kept = maintained.new_store(spark).path
+    rows = R.table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber").select((F.col("l_suppkey") % 40).alias("app_id"), F.col("l_orderkey").alias("object"), F.col("l_linenumber").cast("bigint").alias("n"))
+    store.replace_app_rows(rows, kept)
+    store.replace_app_rows(rows.filter("app_id % 3 = 0 and n = 1").withColumn("n", F.lit(100).cast("bigint")), kept)
+    return store.read_app_rows(spark, kept, "app_id bigint, object bigint, n bigint, missing string")
+
+
+@query
+def store_backfill(spark, sf_dir):
+    """Customers whose missing market segment or comment is taken from a later look; what is there stays."""
+    old = R.table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
+    found = R.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").filter("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("found "), F.col("c_nationkey").cast("string")).alias("c_mktsegment"))
+    return store.filled(old, found, "c_custkey", ["c_mktsegment"])
+
+
+@query
+def store_latest_review(spark, sf_dir):
+    """The last order of each customer as the last entry of a log of reviews."""
+    log = R.table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus")
+    return store.latest_state(log, "o_custkey", "o_orderkey", ["o_orderstatus"])
+
+
 @query
 def enrich_pick(spark, sf_dir):
     """For each object the first connection that answers: for a procedure the first one asked, for a table the first with columns."""
