@@ -283,6 +283,7 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "search_indexed": "SELECT term, count(*) AS n, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS sum_of_ids FROM documents, (SELECT unnest(['LICENSE', 'copy_ight', 'the%and', 'ed']) AS term) WHERE text ILIKE '%' || term || '%' GROUP BY 1",
     "line_containment": _CONTAINMENT,
     "maintained_roles": _WITHOUT_FIRST + f"SELECT app_id, target, role, {_STATUS}, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op = 'select') AS n_reads, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op <> 'select') AS n_writes FROM roles",
     "maintained_relations": _WITHOUT_FIRST + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",

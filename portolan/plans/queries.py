@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, containment, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, sectioned, structure
+from portolan.operators import connections, containment, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, search, sectioned, structure
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -728,6 +729,15 @@ def line_containment(spark, sf_dir):
     return containment.containment(R.source_files(spark, sf_dir).unionByName(R.repository_files(spark, sf_dir))).select("app_name", "file", F.col("n").cast("bigint").alias("n"), "class_name", "method")
 
 
+@query
+def search_indexed(spark, sf_dir):
+    """Documents with a term in them, by a trigram index: words in either case, and a wildcard between two pieces."""
+    docs = R.table(spark, sf_dir, "documents", "doc_id", "text")
+    index = search.TrigramIndex.build(R.spread(docs), "doc_id", "text")
+    found = [index.search(docs, term).select(F.lit(term).alias("term"), "doc_id") for term in ("LICENSE", "copy_ight", "the%and", "ed")]
+    return reduce(DataFrame.unionByName, found).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.sum("doc_id").alias("sum_of_ids"))
+
+
 @query
 def csharp_data_ops(spark, sf_dir):
     """What each method does to data, directly and one call away."""
