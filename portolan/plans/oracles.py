@@ -283,6 +283,17 @@ ORACLES: dict[str, str] = {
     "flow_bounded": FLOW + f"SELECT app_id, target, role, {_STATUS} FROM roles WHERE app_id = 7",
     "app_relations_strong": FLOW + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_relations_weak": FLOW + "SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id < b.app_id WHERE NOT (a.p AND b.c) AND NOT (b.p AND a.c) GROUP BY ALL",
+    "csharp_unknowns": """
+        SELECT p_brand AS app_name, c || p_partkey AS class_name, 'Views/Main' || p_partkey || '.xaml.cs' AS file, reason
+        FROM part, (SELECT unnest(['Main', 'Detail']) AS c), (SELECT unnest(['wpf_event_wiring_not_observable_in_cs', 'wpf_control_surface_not_observable_in_cs']) AS reason)""",
+    "csharp_window_methods": """
+        WITH e(class_name, method, what, target, status) AS (VALUES
+            ('Main', 'Open', 'declared', NULL, NULL), ('Main', 'Refresh', 'declared', NULL, NULL), ('Main', 'Refresh', 'declared', NULL, NULL), ('Main', 'Inner', 'declared', NULL, NULL),
+            ('Detail', 'Refresh', 'declared', NULL, NULL), ('Detail', 'Inner', 'declared', NULL, NULL),
+            ('Main', 'Open', 'calls', 'Refresh', 'unresolved_call_target_ambiguous'), ('Main', 'Refresh', 'calls', 'Inner', 'resolved'), ('Detail', 'Refresh', 'calls', 'Inner', 'resolved'),
+            ('Main', 'Open', 'shows', 'Detail', 'resolved'))
+        SELECT p_brand AS app_name, 'Views/Main' || p_partkey || '.xaml.cs' AS file, CASE class_name WHEN 'Main' THEN 'Main' || p_partkey ELSE class_name END AS class_name, method, what, CASE what WHEN 'shows' THEN target || p_partkey ELSE target END AS target, status
+        FROM part, e""",
     "search_indexed": "SELECT term, count(*) AS n, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS sum_of_ids FROM documents, (SELECT unnest(['LICENSE', 'copy_ight', 'the%and', 'ed']) AS term) WHERE text ILIKE '%' || term || '%' GROUP BY 1",
     "line_containment": _CONTAINMENT,
     "maintained_roles": _WITHOUT_FIRST + f"SELECT app_id, target, role, {_STATUS}, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op = 'select') AS n_reads, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op <> 'select') AS n_writes FROM roles",
@@ -381,6 +392,8 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey AS caller, count(*) AS n_operations, min(p_partkey) AS first_operation FROM orders JOIN part ON o_custkey % 50 = p_partkey % 50 AND o_orderkey % 40 = p_size % 40 WHERE o_orderkey % 3 <> 0 GROUP BY 1""",
     "companion_overlap": "WITH r AS (SELECT DISTINCT l_suppkey AS app_id, l_partkey FROM lineitem) SELECT a.app_id AS app_a, b.app_id AS app_b, count(*) AS n_shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.app_id < b.app_id GROUP BY 1, 2",
     "snapshot_metrics": "SELECT event_type, count(*) AS total, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 10 AND value < 50) AS mid, count(*) FILTER (value >= 50) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+    "priority_order": _portfolio("""SELECT app_id, score, row_number() OVER (ORDER BY score DESC, analyzed_at DESC NULLS LAST, app_id) AS place
+        FROM scores LEFT JOIN (SELECT s_suppkey AS app_id, CASE WHEN s_nationkey % 5 <> 0 THEN '2024-01-0' || (s_nationkey % 3 + 1) END AS analyzed_at FROM supplier) USING (app_id)"""),
     "enrich_asked": """
         WITH o AS (SELECT DISTINCT l_suppkey % 50 AS app_id, l_linenumber <= 3 AS is_procedure, 'dbo' AS schema, 'obj' || l_partkey AS name FROM lineitem WHERE l_linenumber <> 7),
         c AS (SELECT s_suppkey AS app_id, k::BIGINT AS place, 'SRV' || (s_nationkey + k) AS server FROM supplier, range(2) AS r(k) WHERE s_suppkey < 50 AND (s_nationkey + k) % 7 <> 0)

@@ -591,6 +591,15 @@ def csharp_snapshot(spark, sf_dir):
     return portfolio.snapshot_metrics(rows, ["kind"])
 
 
+@query
+def priority_order(spark, sf_dir):
+    """Places by score, then by the newest analysis, then by application."""
+    analyzed = R.table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").alias("app_id"), F.when(F.col("s_nationkey") % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("s_nationkey") % 3 + 1).cast("string"), 2, "0"))).alias("analyzed_at"))
+    rows = portfolio.priority(portfolio.contributions(list(_factors(spark, sf_dir).values())), analyzed)
+    numbered = rows.select("app_id", "score", F.monotonically_increasing_id().alias("at"))
+    return numbered.select("app_id", "score", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+
+
 @query
 def enrich_asked(spark, sf_dir):
     """Which parts as objects are asked on which of their suppliers' servers; servers of every seventh nation are dead."""
@@ -723,6 +732,22 @@ def csharp_controls(spark, sf_dir):
     return extraction.controls(extraction.facts(R.source_files(spark, sf_dir))).select("app_name", "class_name", "control", "control_type", "label", "status")
 
 
+@query
+def csharp_unknowns(spark, sf_dir):
+    """What source can't show of windows that are defined in markup."""
+    return extraction.unknowns(extraction.facts(R.window_files(spark, sf_dir)))
+
+
+@query
+def csharp_window_methods(spark, sf_dir):
+    """Methods of windows and of the classes inside them, with what they call and show."""
+    rows = store.stored(extraction.facts(R.window_files(spark, sf_dir)))
+    made = extraction.methods(rows).select("app_name", "file", "class_name", "method", F.lit("declared").alias("what"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("status"))
+    called = extraction.calls(rows).select("app_name", "file", "class_name", F.col("caller").alias("method"), F.lit("calls").alias("what"), F.col("target_method").alias("target"), F.col("resolution_status").alias("status"))
+    shown = extraction.navigation(rows).select("app_name", "file", "class_name", "method", F.lit("shows").alias("what"), F.col("target_class").alias("target"), "status")
+    return made.unionByName(called).unionByName(shown)
+
+
 @query
 def line_containment(spark, sf_dir):
     """Class and method around every line of the screens, programs and repositories."""

@@ -342,6 +342,52 @@ namespace App.Data
 """
 
 
+#: A window of a part, defined in markup, with a class inside it and braces on lines of their own: {p} its number.
+WINDOW = """using System.Windows;
+
+namespace App.Views
+{
+    public partial class Main{p} : Window
+    {
+        private Detail detail = new Detail();
+
+        public void Open()
+        {
+            if (ready)
+            {
+                Detail{p} view = new Detail{p}();
+                view.ShowDialog();
+            }
+            Refresh();
+        }
+
+        private class Detail : Base, IItem
+        {
+            public void Refresh()
+            {
+                Inner();
+            }
+
+            private void Inner() { Count(); }
+        }
+
+        private void Refresh()
+        {
+        }
+    }
+    public class Detail{p} : System.Windows.Window
+    {
+    }
+}
+"""
+
+
+def window_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``WINDOW`` for each part; an application is a brand."""
+    parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_brand")).select(F.col("p_brand").alias("app_name"), F.col("p_partkey").cast("string").alias("p"))
+    return parts.select("app_name", F.concat(F.lit("Views/Main"), "p", F.lit(".xaml.cs")).alias("path"), F.replace(F.lit(WINDOW), F.lit("{p}"), F.col("p")).alias("text"))
+
+
 def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``REPOSITORY`` for each part, of the application that ``settings_files`` has its settings for."""
     parts = spread(table(spark, sf_dir, "part", "p_partkey")).select(F.col("p_partkey").cast("string").alias("p"))

@@ -23,7 +23,7 @@ def sides(seed):
     return rows + rows[:50] + [(None, "m1"), ("k1", None), ("hot", "m1")], [("hot", f"m{k}") for k in range(0, 700, 9)] + [(f"k{random.randint(0, 150)}", member()) for _ in range(400)] + [("warm", "m3"), ("alone", "m3")]
 
 
-@pytest.mark.parametrize("heavy", [1, 60, 10_000, 10**9])
+@pytest.mark.parametrize("heavy", [1, 10_000, 10**9])
 def test_heavy_and_light_keys_give_the_same_pairs(spark, heavy):
     left, right = sides(3)
     want = plain(left, right)
