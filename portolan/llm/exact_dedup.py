@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.llm.textio import written
+
 FAN_IN, RUN_ROWS = 16, 250_000
 _KEY = ["run", "digest", "proof"]
 
@@ -41,11 +43,13 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     What stays is decided on keys alone; then the rows meet their keys once. Only where an id repeats its text are rows compared with each other.
     """
     decided = _decided(docs, id_col, text_col, keep, fan_in, rounds).filter(F.col("id").eqNullSafe(F.col("keep_id")))
-    stays = decided.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_times"))
+    stays = written(decided.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_times")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("_i"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_d"))
-    met = row.join(stays, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
-    repeated = met.filter("_times > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_d", "_i").orderBy(F.lit(0)))).filter("_place = 1")
-    return met.filter("_times = 1").select("row").unionByName(repeated.select("row")).select("row.*")
+    of = lambda keys: row.join(keys, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
+    if stays.filter("_times > 1").isEmpty():
+        return of(stays).select("row.*")
+    repeated = of(stays.filter("_times > 1")).withColumn("_place", F.row_number().over(Window.partitionBy("_d", "_i").orderBy(F.lit(0)))).filter("_place = 1")
+    return of(stays.filter("_times = 1")).select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, rounds: int | None) -> DataFrame:
