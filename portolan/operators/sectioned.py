@@ -31,7 +31,7 @@ NO_IO = (
     "_No se detecto acceso directo a archivos/carpetas, impresoras (BarTender/PrintDocument), puertos seriales, otros ejecutables (Process.Start) o llamadas HTTP/SMTP en el codigo._"
 )
 NO_REFLECTION = "_No se detecto invocacion via Reflection (MethodInfo.Invoke, Activator.CreateInstance) ni COM/CLSID (Marshal.GetTypeFromCLSID) en el codigo._"
-REFLECTION_NOTE = "> ⚠️ El comportamiento real de estas llamadas depende de resolucion en tiempo de ejecucion -- ningun analisis estatico puede saber con certeza que se invoca (KNOWN_LIMITATIONS.md L16/L17)."
+REFLECTION_NOTE = "> ⚠️ El comportamiento real de estas llamadas depende de resolucion en tiempo de ejecucion -- ningun analisis estatico puede saber con certeza que se invoca."
 COMPANIONS = "- **Ensamblados adicionales decompilados** (referenciados por el .exe, ej. una ClassLib con settings/logica propia): "
 SQL_HEAD = "| Clase | Funcion | Conexion | Tipo | Tabla / SP | SQL / Query | Parametros | Columnas de resultado | Evidencia | Confianza |"
 
