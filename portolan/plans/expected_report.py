@@ -1,4 +1,4 @@
-"""The report that is expected of each part's application: when a line is there, and the line, with {p} for the part and {type} for its type."""
+"""What is expected of each part's application, with {p} for the part and {type} for its type: the lines of its report and when they are there; the rows of its workbook."""
 
 REPORT = (
     ("true", "# App{p} — Inventario automatico (borrador)"),
@@ -82,3 +82,42 @@ REPORT = (
     ("true", "_No se detecto invocacion via Reflection (MethodInfo.Invoke, Activator.CreateInstance) ni COM/CLSID (Marshal.GetTypeFromCLSID) en el codigo._"),
     ("true", ""),
 )
+
+#: Title of a sheet, when the row is there, and its cells.
+SHEETS = (
+    ("Tecnologia", "true", ("Campo", "Valor")),
+    ("Tecnologia", "true", ("Lenguaje", "C#")),
+    ("Tecnologia", "true", ("Target .NET", "net48")),
+    ("Tecnologia", "true", ("UI Framework", "WinForms")),
+    ("Tecnologia", "true", ("Drivers de BD", "SQL Server, Oracle")),
+    ("Tecnologia", "p_partkey % 2 = 0", ("Ensamblados adicionales decompilados", "Own.dll")),
+    ("Seguridad", "true", ("Severidad", "Descripcion", "Ubicacion")),
+    ("Seguridad", "p_partkey % 3 = 0", ("alta", "a|b {type}", "line 1\nline 2")),
+    ("Conexiones y config", "true", ("Setting", "Valor por defecto", "Archivo", "Categoria", "Extractor", "Linea", "Confianza")),
+    ("Conexiones y config", "true", ("Main{p}", "Data Source=srv{p};Initial Catalog=Db", "Properties/Settings.cs", "sql_or_oracle", "SETTINGS", "5", "95")),
+    ("Conexiones y config", "true", ("Folder", "C:\\Data\\{p}", "Properties/Settings.cs", "local_path", "SETTINGS", "13", "95")),
+    ("Conexiones y config", "p_partkey % 5 <> 0", ("Other", "server=other{p}", "app.config", "sql_or_oracle", "SETTINGS", "6", "95")),
+    ("Funciones-SQL-SP", "true", ("Clase", "Funcion", "Conexion", "Tipo", "Tabla o SP", "SQL / Query", "Parametros", "Columnas resultado", "Extractor", "Linea", "Confianza")),
+    *[
+        ("Funciones-SQL-SP", "true", ("Store", method, connection, "Query", target, text, "", "", "", "", "20"))
+        for method, connection, target, text in (
+            ("Direct", "old", "Direct_{p}", 'using (SqlConnection cn = new SqlConnection(Properties.Settings.Default.Main{p})) { SqlCommand cmd = new SqlCommand("UPDATE Direct_{p} SET A = 1", cn);'),
+            ("Direct", "old", "Direct_{p}", 'SqlCommand cmd = new SqlCommand("UPDATE Direct_{p} SET A = 1", cn);'),
+            ("Passed", "?", "Passed_{p}", 'cmd.CommandText = "INSERT INTO Passed_{p} (A) VALUES (1)";'),
+            ("Choice", "?", "Choice_{p}", 'SqlCommand cmd = new SqlCommand("SELECT A FROM Choice_{p}", cn);'),
+            ("Branches", "cs", "Branches_{p}", 'SqlCommand cmd = new SqlCommand("DELETE FROM Branches_{p} WHERE A = 1", cn);'),
+            ("Guarded", "cs", "Guarded_{p}", 'cmd.CommandText = "SELECT A FROM Guarded_{p}";'),
+            ("Shared", "shared", "Shared_{p}", 'SqlCommand cmd = new SqlCommand("SELECT A FROM Shared_{p}", new SqlConnection(shared));'),
+            ("Written", "?", "?", 'SqlConnection cn = new SqlConnection("Server=lab{p};Database=Lab");'),
+            ("Written", "?", "Written_{p}", 'SqlCommand cmd = new SqlCommand("SELECT A FROM Written_{p}", cn);'),
+            ("Built", "?", "?", 'OracleConnection cn = new OracleConnection("Data Source=" + host);'),
+            ("Built", "?", "Built_{p}", 'OracleCommand cmd = new OracleCommand("SELECT A FROM Built_{p}", cn);'),
+            ("Ledger", "Settings.Default.Other", "GL_LINES", 'OracleCommand cmd = new OracleCommand("SELECT A FROM GL_LINES", new OracleConnection(Settings.Default.Other));'),
+        )
+    ],
+    ("Archivos-Impresoras-Red", "true", ("Clase", "Funcion", "Operacion", "Detalle")),
+    ("Esquema tablas (BD)", "p_partkey % 4 = 0", ("Tabla", "Columna", "Tipo", "Nulo", "Longitud", "Default")),
+    ("Esquema tablas (BD)", "p_partkey % 4 = 0", ("dbo.Direct_{p}", "A", "int", "NO", "", "(0)")),
+    ("Claves foraneas (BD)", "p_partkey % 4 = 0", ("Tabla", "Columna", "Tabla referida", "Columna referida", "FK")),
+    ("Claves foraneas (BD)", "p_partkey % 4 = 0", ("dbo.Direct_{p}", "A", "dbo.R", "B", "fk")),
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from portolan.plans.expected_report import REPORT
+from portolan.plans.expected_report import REPORT, SHEETS
 from portolan.plans.rendered import IO_OPERATIONS, TEMPLATES, TEXT_PATTERNS
 
 
@@ -245,6 +245,12 @@ p AS (SELECT p_partkey AS p, p_type, ['true'] || {" || ".join(f"CASE WHEN {c} TH
 SELECT 'App' || p AS app_name, row_number() OVER (PARTITION BY p ORDER BY k) AS place, replace(replace(line, '{{p}}', p::VARCHAR), '{{type}}', p_type) AS line FROM p JOIN e ON list_contains(holds, there)
 """
 
+_SHEETS = f"""
+WITH e(k, title, there, cells) AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(title)}, {_q(there)}, {_q(chr(9).join(cells))})" for k, (title, there, cells) in enumerate(SHEETS))})),
+p AS (SELECT p_partkey AS p, p_type, ['true'] || {" || ".join(f"CASE WHEN {c} THEN [{_q(c)}] ELSE [] END" for c in sorted({c for _, c, _ in SHEETS} - {"true"}))} AS holds FROM part)
+SELECT 'App' || p AS app_name, title, row_number() OVER (PARTITION BY p, title ORDER BY k) AS row, replace(replace(cells, '{{p}}', p::VARCHAR), '{{type}}', p_type) AS cells FROM p JOIN e ON list_contains(holds, there)
+"""
+
 #: What each method of a part's repository class is expected to show; every fifth part has no configuration file, and so no setting Other.
 _CODE_FOOTPRINT = """
 WITH m(method, kind, target, connection, server, database, status, file) AS (VALUES
@@ -299,6 +305,7 @@ ORACLES: dict[str, str] = {
     "maintained_roles": _WITHOUT_FIRST + f"SELECT app_id, target, role, {_STATUS}, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op = 'select') AS n_reads, (SELECT count(*) FROM ops WHERE ops.app_id = roles.app_id AND ops.target = roles.target AND op <> 'select') AS n_writes FROM roles",
     "maintained_relations": _WITHOUT_FIRST + "SELECT a.app_id AS producer, b.app_id AS consumer, count(*) AS n_tables FROM sides a JOIN sides b ON a.key = b.key AND a.app_id <> b.app_id WHERE a.p AND b.c GROUP BY ALL",
     "app_reports": _REPORT,
+    "app_workbooks": _SHEETS,
     "app_relation_evidence": _EVIDENCE + "SELECT * FROM rel",
     "diagram_relations": _RELATIONS_DIAGRAM,
     "app_relations_selfloop": FLOW + "SELECT app_id, count(*) AS n_tables FROM sides WHERE p AND c GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import labels, sqltext
-from portolan.operators import connections, containment, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, search, sectioned, structure
+from portolan.operators import connections, containment, cooccurrence, decision, diagrams, enrich, extraction, flow, maintained, portfolio, search, sectioned, structure, workbook
 from portolan.plans import rendered as R
 from portolan.sources import corpus, store
 
@@ -146,9 +146,8 @@ def maintained_relations(spark, sf_dir):
     return _maintained(spark, sf_dir).relations()
 
 
-@query
-def app_reports(spark, sf_dir):
-    """The sectioned report of each part's application, line by line."""
+def _described(spark, sf_dir):
+    """What reports of the parts' applications are made from: applications, settings, SQL, input and output, flags, tables."""
     code, configs = R.settings_files(spark, sf_dir)
     files = R.repository_files(spark, sf_dir)
     named = R.table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").withColumn("app_name", F.concat(F.lit("App"), F.col("p_partkey").cast("string")))
@@ -164,11 +163,27 @@ def app_reports(spark, sf_dir):
     key = F.struct(F.lit("A").alias("column"), F.lit("dbo.R").alias("ref_table"), F.lit("B").alias("ref_column"), F.lit("fk").alias("fk_name"))
     tables = named.filter("p_partkey % 4 = 0").select("app_name", F.lit("dbo").alias("schema_name"), F.concat(F.lit("Direct_"), F.col("p_partkey").cast("string")).alias("table_name"), F.array(column).alias("columns"), F.array(key).alias("foreign_keys"))
     found = store.stored(extraction.raw_findings(files))
-    lines = sectioned.report_lines(apps, store.stored(settings), store.stored(extraction.sql_of(found)), store.stored(extraction.io_of(found)), flags, None, tables)
+    return apps, store.stored(settings), store.stored(extraction.sql_of(found)), store.stored(extraction.io_of(found)), flags, tables
+
+
+@query
+def app_reports(spark, sf_dir):
+    """The sectioned report of each part's application, line by line."""
+    *given, tables = _described(spark, sf_dir)
+    lines = sectioned.report_lines(*given, None, tables)
     place = F.row_number().over(Window.partitionBy("app_name").orderBy(*sectioned.KEYS))
     return lines.select("app_name", place.cast("bigint").alias("place"), "line")
 
 
+@query
+def app_workbooks(spark, sf_dir):
+    """The rows of the sheets of each part's workbook, their cells parted by tabs."""
+    *given, tables = _described(spark, sf_dir)
+    rows = workbook.workbook_rows(*given, None, tables)
+    place = F.row_number().over(Window.partitionBy("app_name", "place").orderBy("a", "b", "c", "cells"))
+    return rows.select("app_name", "title", place.cast("bigint").alias("row"), F.array_join("cells", "\t").alias("cells"))
+
+
 @query
 def app_relations_selfloop(spark, sf_dir):
     return flow.self_loops(flow.portfolio_roles(R.flow_findings(spark, sf_dir)))

@@ -85,3 +85,39 @@ def test_a_failed_task_leaves_the_older_files(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     O.write_workbooks(rows_of(spark, [], []), str(tmp_path / "none"))
     assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_the_workbook_of_each_application_holds_the_sheets_of_the_query(spark, sf, tmp_path):
+    from portolan.operators.workbook import workbook_rows
+    from portolan.plans import queries as Q
+
+    *given, tables = Q._described(spark, sf)
+    some = given[0].filter("app_name in ('App4', 'App6', 'App7')")
+    O.write_workbooks(workbook_rows(some, *given[1:], None, tables), str(tmp_path / "w"))
+    want = {}
+    for r in Q.QUERIES["app_workbooks"](spark, sf).filter("app_name in ('App4', 'App6', 'App7')").orderBy("row").collect():
+        want.setdefault(r.app_name, {}).setdefault(r.title, []).append(r.cells)
+    got = {p.stem: {t: ["\t".join(row) for row in rows] for t, rows in sheets(p)} for p in (tmp_path / "w").iterdir()}
+    assert got == want and set(got) == {"App4", "App6", "App7"}
+
+
+def test_sheets_of_procedures_and_reflection(spark):
+    from portolan.operators.workbook import workbook_rows
+
+    app = spark.createDataFrame([("x", "C#", "net8", None, None, None)], "app_name string, language string, dotnet_target string, ui_framework array<string>, db_drivers array<string>, companions array<string>")
+    settings = spark.createDataFrame([], "app_name string, file string, line int, name string, value string, category string, extractor string, confidence int")
+    sql = spark.createDataFrame([], "app_name string, file string, line int, class_name string, method string, category string, target string, raw string, resolved string, parameters array<string>, result_columns array<string>, evidence struct<line_number: int, confidence: int>")
+    io = spark.createDataFrame([(a, "f", n, "C", "m", c, "op", raw) for a in "xy" for n, c, raw in ((1, "reflection", "r"), (2, "file", "w"), (3, "file", "w"))], "app_name string, file string, line int, class_name string, method string, category string, operation string, raw string")
+    p = spark.createDataFrame(
+        [("x", "dbo", "P", "ok", " BEGIN ", [("@a", "int", 0, True, True, "1"), ("@b", "char", 5, False, False, "z")], [("c", "int", True)])],
+        "app_name string, schema_name string, object_name string, status string, definition string, parameters array<struct<name: string, type: string, max_length: int, is_output: boolean, has_default: boolean, default: string>>, result_columns array<struct<name: string, type: string, nullable: boolean>>")
+    got = {}
+    for r in workbook_rows(app, settings, sql, io, None, p).orderBy("app_name", "place", "a", "b", "c").collect():
+        got.setdefault((r.app_name, r.title), []).append(r.cells)
+    assert {a for a, _ in got} == {"x"}
+    body = {t: rows[1:] for (_, t), rows in got.items()}
+    assert body["Archivos-Impresoras-Red"] == [["C", "m", "op", "w"]] and body["Reflection-COM"] == [["C", "m", "op", "r"]]
+    assert body["Definiciones SP (BD)"] == [["dbo.P", "ok", "BEGIN"]]
+    assert body["Parametros SP (BD)"] == [["dbo.P", "@a", "int", "", "Si", "1"], ["dbo.P", "@b", "char", "5", "", ""]]
+    assert body["Columnas resultado SP (BD)"] == [["dbo.P", "c", "int", "Si"]]
+    assert body["Funciones-SQL-SP"] == body["Seguridad"] == body["Conexiones y config"] == []
