@@ -131,12 +131,18 @@ def cell_text(text: str) -> str:
 def workbook(package: zipfile.ZipFile, rows: Iterator) -> None:
     """Streams rows (``title, cells``), sheet by sheet, into a package; only the titles are held."""
     titles: list[str] = []
+    taken: set[str] = set()
     for title, part in groupby(rows, key=lambda r: r.title):
         plain, more = re.sub(r"[\[\]:*?/\\]", " ", title), 1
         row = next(part, None)
         while row is not None:
-            tail = f" ({more})" if more > 1 else ""
-            titles.append(plain[: TITLE_CHARS - len(tail)] + tail)
+            name = plain[:TITLE_CHARS]
+            while name.lower() in taken:  # a sheet that goes on, or another whose title is the same in a workbook
+                more += 1
+                tail = f" ({more})"
+                name = plain[: TITLE_CHARS - len(tail)] + tail
+            titles.append(name)
+            taken.add(name.lower())
             with package.open(f"xl/worksheets/sheet{len(titles)}.xml", "w", force_zip64=True) as out:
                 out.write(f'{HEAD}<worksheet xmlns="{SHEET}"><sheetData>'.encode())
                 for _ in range(SHEET_ROWS):
@@ -145,7 +151,6 @@ def workbook(package: zipfile.ZipFile, rows: Iterator) -> None:
                     out.write(f"<row>{''.join(_cells(row.cells))}</row>".encode())
                     row = next(part, None)
                 out.write(b"</sheetData></worksheet>")
-            more += 1
     sheets = "".join(f'<sheet name={quoteattr(_ILLEGAL.sub(" ", t))} sheetId="{i}" r:id="r{i}"/>' for i, t in enumerate(titles, 1))
     package.writestr("xl/workbook.xml", f'{HEAD}<workbook xmlns="{SHEET}" xmlns:r="{RELATIONS}"><sheets>{sheets}</sheets></workbook>')
     _relations(package, "xl/_rels/workbook.xml.rels", [("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(titles) + 1)])

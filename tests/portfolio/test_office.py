@@ -55,9 +55,9 @@ def test_full_sheets_and_long_texts_go_on(tmp_path, monkeypatch):
     monkeypatch.setattr(O, "SHEET_ROWS", 3)
     monkeypatch.setattr(O, "CELL_CHARS", 4)
     with zipfile.ZipFile(tmp_path / "x", "w") as z:
-        O.workbook(z, iter([Row("T" * 40, [str(k), "abcdefghij"]) for k in range(7)] + [Row("U", ["z"])]))
+        O.workbook(z, iter([Row("T" * 40, [str(k), "abcdefghij"]) for k in range(7)] + [Row("U", ["z"]), Row("a/b", ["1"]), Row("A b", ["2"])]))
     got = sheets(tmp_path / "x")
-    assert [(n, len(r)) for n, r in got] == [("T" * 31, 3), ("T" * 27 + " (2)", 3), ("T" * 27 + " (3)", 1), ("U", 1)]
+    assert [(n, len(r)) for n, r in got] == [("T" * 31, 3), ("T" * 27 + " (2)", 3), ("T" * 27 + " (3)", 1), ("U", 1), ("a b", 1), ("A b (2)", 1)]
     assert got[2][1] == [["6", "abcd", "efgh", "ij"]]
 
 
