@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from portolan.llm.textio import arrow_map, texts_of
 
 #: Phrases and their labels: fixed values of the scan's contract.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Short licences and notices as their publishers word them, openings of longer ones, and lines by which works refer to them; fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -35,6 +35,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit", "the mit license"),
 )
 MIN_MATCH, MIN_COVER, MIN_TOKENS, MAX_GAP = 3, 0.8, 25, 8
 

@@ -29,6 +29,12 @@ def test_base_phrases_as_by_brute_force(docs, odd):
         assert got == sorted(((r.doc_id, *brute(r.text)) for r in frame.collect()), key=str)
 
 
+def test_base_phrase_begins_with_under(docs):
+    rows = [(1, "x under the MIT license and under the mit License"), (2, "as the MIT license says"), (3, "Apache License, version 2.0"), (4, "(CC-BY-NC 4.0)")]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in L.license_scan(docs(rows)).collect()}
+    assert got == {1: (10, 2, 1, 6, "mit", "mit"), 2: (5, 0, None, None, "", "mit"), 3: (5, 1, 0, 0, "apache-2", "apache-2"), 4: (5, 1, 0, 0, "cc-by-nc", "cc-by-nc")}
+
+
 def test_matching_statistics_as_by_brute_force():
     texts = ["a b a b c", "b c a", "c c c a b"]
     a = L.LicenseAutomaton(tuple(("x", t) for t in texts), {"a b": "y"})
