@@ -42,3 +42,26 @@ def test_one_side_with_itself_and_numbers_as_members(spark):
 def test_no_rows(spark):
     none = table(spark, [])
     assert pairs(none, none).collect() == [] and pair_counts(none, table(spark, [("k", "m")])).collect() == []
+
+
+@pytest.mark.parametrize("heavy", [1, 10**9])
+def test_partners_as_by_pairs(spark, heavy):
+    from portolan.operators.cooccurrence import partners
+
+    left, _ = sides(7)
+    left += [("alone", "single")]
+    counts = Counter((a, b) for _, a, b in plain(left, left) if a != b)
+    partners_of, shared_of = Counter(a for a, _ in counts), Counter()
+    for (a, _), n in counts.items():
+        shared_of[a] += n
+    want = {m: (n, shared_of[m]) for m, n in partners_of.items()}
+    got = {r.member: (r.n_partners, r.n_shared) for r in partners(table(spark, left), heavy).collect()}
+    assert got == want and "single" not in got and partners(table(spark, [])).collect() == []
+
+
+def test_partners_of_a_hot_key_without_its_pairs(spark):
+    """Two hundred thousand members of one key: forty billion pairs."""
+    from portolan.operators.cooccurrence import partners
+
+    rows = spark.range(200_000).selectExpr("'hot' AS key", "id AS member")
+    assert partners(rows).selectExpr("count(*)", "min(n_partners)", "max(n_shared)").first() == (200_000, 199_999, 199_999)
