@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions.textops import split_lines
 from portolan.operators.csharp import CLASS, METHOD
-from portolan.sources.store import stored
+from portolan.sources.store import grown, stored
 
 PIECE = 1000
 
@@ -34,7 +34,7 @@ def _scanned(rows: DataFrame, by: list[str], columns: dict[str, tuple[str, Colum
     local = rows.withColumns({f"_l_{name}": of(kind, c, within) for name, (kind, c) in columns.items()})
     ends = rows.withColumns({f"_t_{name}": of(kind, c, whole) for name, (kind, c) in columns.items()}).groupBy(*by, "_piece").agg(*[F.first(f"_t_{name}").alias(f"_t_{name}") for name in columns])
     carried = ends.select(*by, "_piece", *[of(kind, F.col(f"_t_{name}"), before).alias(f"_c_{name}") for name, (kind, _) in columns.items()])
-    both = local.join(carried, [*by, "_piece"])
+    both = local.join(grown(carried), [*by, "_piece"])
     out = {name: F.coalesce(f"_c_{name}", F.lit(0)) + F.col(f"_l_{name}") if kind == "sum" else F.coalesce(f"_l_{name}", f"_c_{name}") for name, (kind, _) in columns.items()}
     return both.select(*[c for c in rows.columns if c != "_piece"], *[v.alias(k) for k, v in out.items()])
 
@@ -52,7 +52,7 @@ def blocks(lines: DataFrame, piece: int = PIECE) -> DataFrame:
     )
     held = stored(held.select(*by, "n", "level", "depth", "change", "next_open", F.filter(kinds, lambda x: x.isNotNull()).alias("kinds")))
     heads = held.select(*by, "n", "level", "next_open", F.inline("kinds"))
-    heads = heads.join(held.select(*by, F.col("n").alias("next_open"), F.col("depth").alias("then")), [*by, "next_open"], "left")
+    heads = heads.join(grown(held.select(*by, F.col("n").alias("next_open"), F.col("depth").alias("then"))), [*by, "next_open"], "left")
     closes = held.filter("change < 0").select(*by, F.col("n").alias("close"), F.explode(F.sequence("depth", F.col("level") - 1)).alias("level"))  # as many as there are braces
     none = F.lit(None).cast("string")
     seen = heads.select(*by, "level", F.col("next_open").alias("n"), F.lit(None).cast("int").alias("close"), F.col("n").alias("first"), "kind", "name", "then").filter("n is not null")
@@ -60,7 +60,7 @@ def blocks(lines: DataFrame, piece: int = PIECE) -> DataFrame:
     # a line that opens and closes: what closes on the line of the brace itself counts only by its depth, so look one line further on
     events = events.withColumn("n", F.col("n") * 2 + F.when(F.col("kind").isNotNull(), 1).otherwise(0))
     ended = _scanned(events, [*by, "level"], {"end": ("last", F.col("close"))}, 2 * piece, ahead=True).filter("kind is not null")
-    size = lines.groupBy(*by).agg(F.max("n").alias("_size"))
+    size = grown(lines.groupBy(*by).agg(F.max("n").alias("_size")))
     ended = ended.join(size, by).select(*by, "kind", "first", F.when(F.col("then") <= F.col("level"), F.floor(F.col("n") / 2).cast("int")).otherwise(F.coalesce("end", "_size")).alias("last"), "name", "level")
     bare = heads.filter("next_open is null").join(size, by).select(*by, "kind", F.col("n").alias("first"), F.col("_size").alias("last"), "name", "level")
     return ended.unionByName(bare)
@@ -75,9 +75,9 @@ def containment(files: DataFrame, piece: int = PIECE) -> DataFrame:
     levels = found.select(*key).distinct()
     starts = found.select(*key, (F.col("first") * 2).alias("n"), F.struct("first", "last", "name").alias("head"))
     none = F.lit(None).cast(starts.schema["head"].dataType)
-    asks = lines.select(*by, "n").join(levels, by).select(*key, (F.col("n") * 2 + 1).alias("n"), none.alias("head"))  # a heading comes before the question on its own line
+    asks = lines.select(*by, "n").join(grown(levels), by).select(*key, (F.col("n") * 2 + 1).alias("n"), none.alias("head"))  # a heading comes before the question on its own line
     told = _scanned(asks.unionByName(starts), key, {"in_": ("last", F.col("head"))}, 2 * piece).filter("n % 2 = 1")
     told = told.withColumn("n", F.floor(F.col("n") / 2).cast("int")).filter(F.col("in_.last") >= F.col("n"))
     best = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("in_.name")), F.when(F.col("kind") == kind, F.struct("in_.first", "level")))
     around = told.groupBy(*by, "n").agg(best("class").alias("class_name"), best("method").alias("method"))
-    return lines.select(*by, "n").join(around, [*by, "n"], "left")
+    return lines.select(*by, "n").join(grown(around), [*by, "n"], "left")

@@ -41,3 +41,12 @@ def test_a_long_file_is_spread_over_tasks(spark):
     rows = K.containment(spark.createDataFrame([("a", "F.cs", text)], "app_name string, path string, text string"), 500)
     got = {r.n: (r.class_name, r.method) for r in rows.collect()}
     assert len(got) == 12_002 and got[12_001 - 1] == ("A", "M2999") and got[4] == ("A", "M0") and got[12_002] == ("A", None)
+
+
+def test_lines_are_never_broadcast(spark):
+    """Stored lines are small files of many rows; Spark would send them through the driver."""
+    files = spark.range(50).selectExpr("'A' AS app_name", "concat(id, '.cs') AS path", "'class A {\\n  public void B()\\n  {\\n  }\\n}' AS text")
+    plan = K.containment(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    lines = K.numbered_lines(files)
+    assert "Broadcast" not in K.blocks(lines)._jdf.queryExecution().executedPlan().toString()
