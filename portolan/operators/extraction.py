@@ -16,6 +16,7 @@ from portolan.functions.labels import setting_category
 from portolan.functions.sqltext import classified
 from portolan.operators.csharp import FORMS, WINDOWS, Source, config_settings
 from portolan.operators.tracing import CONNECTIONS
+from portolan.sources.store import grown
 
 FINDING = "app_name string, file string, found string, line int, class_name string, method string, kind string, raw string, resolved string, confidence int, source_line int, procedure boolean, parameters array<string>, result_columns array<string>"
 FACT = "app_name string, file string, fact string, line int, class_name string, method string, a string, b string"
@@ -97,7 +98,7 @@ def entry_points(rows: DataFrame) -> DataFrame:
 def navigation(rows: DataFrame) -> DataFrame:
     """Screens shown: resolved where the type is a screen of the application, else what is missing."""
     screens = classes(rows).filter("class_type <> 'class'").select("app_name", F.col("class_name").alias("a"), F.lit(True).alias("known")).distinct()
-    shown = rows.filter("fact = 'show'").join(screens, ["app_name", "a"], "left")
+    shown = rows.filter("fact = 'show'").join(grown(screens), ["app_name", "a"], "left")
     status = F.when(F.col("a").isNull(), "unresolved_navigation_target_unknown").when(F.col("known"), "resolved").otherwise("unresolved_target_not_a_known_screen")
     return shown.select("app_name", "file", "line", "class_name", "method", F.col("a").alias("target_class"), F.col("b").alias("operation"), status.alias("status"), F.when(F.col("a").isNull(), 30).when(F.col("known"), 90).otherwise(50).alias("confidence"))
 
@@ -112,8 +113,8 @@ def calls(rows: DataFrame) -> DataFrame:
     named = rows.filter("fact = 'method'").groupBy("app_name", "file", "class_name", F.col("method").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     base = rows.filter("fact = 'class'").groupBy("app_name", "class_name").agg(F.min_by("a", F.struct("file", "line")).alias("base")).filter("base is not null")
     inherited = rows.filter("fact = 'method'").select("app_name", F.col("class_name").alias("base"), F.col("method").alias("a")).distinct()
-    inherited = base.join(inherited, ["app_name", "base"]).select("app_name", "class_name", "a", F.lit(True).alias("above"))
-    made = rows.filter("fact = 'call'").join(named, ["app_name", "file", "class_name", "a"], "left").join(inherited, ["app_name", "class_name", "a"], "left")
+    inherited = base.join(grown(inherited), ["app_name", "base"]).select("app_name", "class_name", "a", F.lit(True).alias("above"))
+    made = rows.filter("fact = 'call'").join(grown(named), ["app_name", "file", "class_name", "a"], "left").join(grown(inherited), ["app_name", "class_name", "a"], "left")
     status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "unresolved_call_target_ambiguous").when(F.col("above"), "unresolved_call_target_inherited").otherwise("unresolved_call_target_unknown")
     return made.select("app_name", "file", "line", "class_name", F.col("method").alias("caller"), F.when(status != "unresolved_call_target_unknown", F.col("a")).alias("target_method"), status.alias("resolution_status"))
 
@@ -133,7 +134,7 @@ def first_values(rows: DataFrame, by: list[str], rank: str, order: list[str]) ->
     the others the first of each value in ``order``."""
     rows = rows.withColumn("_v", F.trim("value"))
     used = rows.filter(F.col(rank) == 0).select(*by, "_v").distinct()
-    rest = rows.filter(F.col(rank) > 0).join(used, [*by, "_v"], "left_anti")
+    rest = rows.filter(F.col(rank) > 0).join(grown(used), [*by, "_v"], "left_anti")
     key, cols = [*by, "_v"], [c for c in rows.columns if c not in by and c not in order and c != "_v"]
     first = rest.groupBy(*key).agg(F.min(F.struct(*order, *cols)).alias("x"))
     kept = first.select(*by, *[F.col(f"x.{c}").alias(c) for c in [*order, *cols]])

@@ -58,3 +58,14 @@ def test_states_of_a_footprint(spark):
         ("c", "T1", None, None, C.NO_FILE, 20, False), ("c", "dbo.Erp1", None, None, C.NO_FILE, 20, True),
     ]
     assert tuple(C.footprint_counters(got).first()) == (3, 6, 2, 0, 4, 3)
+
+
+def test_sides_of_a_footprint_are_never_broadcast(spark):
+    """What is read from source has many more rows than the size of the table it comes from tells."""
+    from portolan.operators import extraction
+
+    files = spark.range(5).selectExpr("concat('A', id) AS app_name", "'S.cs' AS path", "'class A { public void B() { SqlCommand c = new SqlCommand(\"SELECT 1 FROM T\", x); } }' AS text")
+    found = extraction.sql_findings(files)
+    settings = extraction.settings(files, files)
+    plan = C.footprint(found, files, settings)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
