@@ -2,8 +2,8 @@
 
 Words are counted over all training texts. The frequent words are clustered first, by moves between classes as long as the
 likelihood of the class bigrams rises, and every other training word starts in the class that its neighbours among these speak for
-most, by a heuristic. Exchange can then go on over all training words, frequent or not, with all their neighbours (``rounds``, none unless asked
-for, as it made unseen texts less likely): in a round each word with ``places`` in training takes the class that makes these most likely by
+most, by a heuristic. Exchange then goes on over all training words, frequent or not, with all their neighbours (``rounds``, one unless asked
+for otherwise): in a round each word with ``places`` in training takes the class that makes these most likely by
 the counts without it, all words at once (``_swept``), and a round is taken back if the likelihood with each place left out falls. The number of classes and that
 of frequent words grow with the vocabulary (``classes_for``, ``frequent_for``). A token's probability is that of its class after the class
 before, counted over all neighbours in training texts, times that of the word in its class; both are smoothed.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from portolan.llm.textio import END, Block, Tally, arrow_map, by_blocks, held_out, pack, packed, packed_by_block, record_batch, settled, token_hashes, unpack, written
 
-SWEEPS, GROWTH, FREQUENT_PER_CLASS, ROUNDS, PLACES = 6, 0.3, 24, 0, 1
+SWEEPS, GROWTH, FREQUENT_PER_CLASS, ROUNDS, PLACES = 6, 0.3, 24, 1, 1
 BLOCK_CHARS, SLICE = 32_000_000, 2_000_000
 PRIOR = 0.1
 _SIDES = 1 << 15

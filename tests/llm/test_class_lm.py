@@ -199,3 +199,11 @@ def test_input_whose_order_changes_between_reads(spark, docs):
     plain = {r.doc_id: (r.n_known, r.base_score, round(r.score, 6)) for r in C.score(docs(rows)).collect()}
     dealt = docs(rows).repartition(7).withColumn("at", F.rand()).sortWithinPartitions("at").drop("at")  # another order on each read
     assert {r.doc_id: (r.n_known, r.base_score, round(r.score, 6)) for r in C.score(dealt).collect()} == plain
+
+
+def test_the_query_exchanges_all_training_words(spark, sf, monkeypatch):
+    from portolan.llm import queries
+
+    real, swept = C._swept, []
+    monkeypatch.setattr(C, "_swept", lambda *a: swept.append(a[-1]) or real(*a))
+    assert queries.op7_class_lm(spark, sf).count() > 0 and swept == [1]
