@@ -153,6 +153,20 @@ def relation_evidence(ops: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(F.col("a").alias("producer"), F.col("b").alias("consumer"), "key", "written", "read", "write_ops", "read_ops")
 
 
+def spelled_sides(ops: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, app_id, side, table``: ``_sides`` of the roles ``rows`` with the table as the application spells it in ``ops``; stored."""
+    spelled = ops.filter("key is not null and op is not null").groupBy("app_id", "key").agg(F.min("target").alias("table"))
+    return stored(_sides(rows).join(spelled, ["app_id", "key"]).select("key", "app_id", "side", "table"))
+
+
+def relation_tables(sides: DataFrame) -> DataFrame:
+    """``producer, consumer, key, written, read``: as ``relation_evidence`` without statements, from ``spelled_sides``. Spellings go with the applications when these are
+    paired, so that the pairs, which are many times the applications, aren't moved again to be joined with them."""
+    named = sides.select("key", "side", F.struct("app_id", "table").alias("member"))
+    met = pairs(named.filter("side & 1 <> 0"), named.filter("side & 2 <> 0")).filter("a.app_id <> b.app_id")
+    return met.select(F.col("a.app_id").alias("producer"), F.col("b.app_id").alias("consumer"), "key", F.col("a.table").alias("written"), F.col("b.table").alias("read"))
+
+
 def self_loops(rows: DataFrame) -> DataFrame:
     """``app_id, n_tables``: applications that read what they write."""
     return _sides(rows).filter("side = 3").groupBy("app_id").agg(F.count(F.lit(1)).alias("n_tables"))

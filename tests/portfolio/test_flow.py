@@ -128,3 +128,17 @@ def test_footprint(spark):
     findings = spark.createDataFrame([(1, "T", "c"), (1, "U", "d"), (2, "T", "c")], "app_id long, target string, connection string")
     settings = spark.createDataFrame([(1, "c", "server=a", "sql_or_oracle"), (1, "d", "server=a", "sql_or_oracle"), (1, "d", "server=b", "sql_or_oracle"), (2, "c", "server=a", "other")], "app_id long, name string, value string, category string")
     assert {(r.app_id, r.target, r.server, r.status) for r in flow.footprint(findings, settings).collect()} == {(1, "T", "a", "resolved"), (1, "U", None, "ambiguous"), (2, "T", None, "unresolved")}
+
+
+def test_relation_tables_as_their_evidence_without_moving_pairs(spark, sf):
+    from portolan.operators import flow
+    from portolan.plans import rendered
+    from portolan.sources.store import stored
+
+    ops = stored(flow.operations(rendered.flow_findings(spark, sf)))
+    roles = stored(flow.roles(ops, flow.context(ops)))
+    columns = ["producer", "consumer", "key", "written", "read"]
+    frame = flow.relation_tables(flow.spelled_sides(ops, roles))
+    want = flow.relation_evidence(ops, roles).select(*columns)
+    assert frame.count() > 0 and frame.exceptAll(want).count() == 0 and want.exceptAll(frame).count() == 0
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
