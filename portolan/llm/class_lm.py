@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from portolan.llm.textio import END, Block, Tally, arrow_map, by_blocks, held_out, pack, packed, packed_by_block, record_batch, settled, token_hashes, unpack, written
 
 SWEEPS, GROWTH, FREQUENT_PER_CLASS, ROUNDS, PLACES = 6, 0.3, 24, 1, 1
-BLOCK_CHARS, SLICE = 32_000_000, 2_000_000
+BLOCK_CHARS, SLICE, SHARD = 32_000_000, 2_000_000, 2_000_000  # characters of a block and a slice; training tokens whose words make a shard
 PRIOR = 0.1
 _SIDES = 1 << 15
 
@@ -155,6 +155,31 @@ def _learned(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return hashes, first
 
 
+def _shard_packs(words: np.ndarray, of: np.ndarray, place: np.ndarray, code: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """The counts ``n`` of words (by ``place`` in ``words``, ascending; their classes ``of``) beside classes (``code``) as a pack for each shard of the words' hashes."""
+    shard = (words % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard[place], kind="stable")
+    place, code, n = place[order], code[order], n[order]
+    edges = np.searchsorted(shard[place], np.arange(shards + 1))
+    for s in range(shards):
+        a, b = edges[s], edges[s + 1]
+        if a < b:
+            met, sizes = np.unique(place[a:b], return_counts=True)
+            listed = pa.table({"w": pa.array(words[met].view(np.int64)), "c": pa.array(of[met].astype(np.int32)), "size": pa.array(sizes.astype(np.int32))})
+            yield s, pack(listed), pack(pa.table({"code": pa.array(code[a:b].astype(np.uint16)), "n": pa.array(n[a:b].astype(np.uint32))}))
+
+
+def _of_shard(packs: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a shard in order with their classes, where the counts of each begin and end, and their codes and counts, those of all blocks added."""
+    listed = pa.concat_tables([unpack(p.as_py()) for p in packs.column("words")])
+    counts = pa.concat_tables([unpack(p.as_py()) for p in packs.column("counts")])
+    words, first, at = np.unique(listed.column("w").to_numpy(), return_index=True, return_inverse=True)
+    keys, inverse = np.unique(np.repeat(at, listed.column("size").to_numpy()) * (2 * k) + counts.column("code").to_numpy(), return_inverse=True)
+    n = np.bincount(inverse, counts.column("n").to_numpy(), len(keys)).astype(np.int64)
+    place, code = np.divmod(keys, 2 * k)
+    return words, listed.column("c").to_numpy()[first], np.searchsorted(place, np.arange(len(words) + 1)), code, n
+
+
 def _numbered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The place of each hash in the sorted ``frequent``; -1 where it isn't there."""
     at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
@@ -189,12 +214,16 @@ def _frequent_bigrams(rows: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray
     return pair // size, pair % size, n
 
 
-def _assigned(rows: DataFrame, counts: DataFrame, frequent: np.ndarray, class_of: np.ndarray, gains: np.ndarray) -> DataFrame:
+def _assigned(rows: DataFrame, counts: DataFrame, frequent: np.ndarray, class_of: np.ndarray, gains: np.ndarray, shards: int) -> DataFrame:
     """``w, n, c``: the class of each training word; -1 for those that have no frequent neighbour."""
-    k, kind = int(class_of.max()) + 1, np.uint16
+    k = int(class_of.max()) + 1
     end = class_of[_numbered(np.array([END], np.uint64), frequent)[0]]
 
     class Contexts(Block):  # for each word that isn't frequent the classes beside it: before as they are, behind from k on
+        def __init__(self, number: int) -> None:
+            super().__init__(number)
+            self.met: list[tuple[np.ndarray, np.ndarray]] = []
+
         def add(self, part: pa.RecordBatch) -> Iterable[dict]:
             hashes, first = _learned(part)
             at = _numbered(hashes, frequent)
@@ -205,54 +234,39 @@ def _assigned(rows: DataFrame, counts: DataFrame, frequent: np.ndarray, class_of
             rare = np.flatnonzero(at < 0)
             word = np.concatenate([hashes[rare], hashes[rare]])
             code = np.concatenate([left[rare], np.where(right[rare] >= 0, right[rare] + k, -1)])
-            word, code = word[code >= 0], code[code >= 0]
-            order = np.argsort(word, kind="stable")
-            word, code = word[order], code[order].astype(kind)
-            words, starts = np.unique(word, return_index=True)
-            offsets = pa.array(np.append(starts, len(word)).astype(np.int32) * code.itemsize)
-            codes = pa.Array.from_buffers(pa.binary(), len(words), [None, offsets.buffers()[1], pa.py_buffer(code.tobytes())])
-            yield {"w": pa.array(words.view(np.int64)), "codes": codes}
-
-    seen = by_blocks(rows, "w long, codes binary", Contexts, BLOCK_CHARS, SLICE).repartition("w").sortWithinPartitions("w")
-    schema = pa.schema([("w", pa.int64()), ("c", pa.int32())])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0)  # the word at the end of a batch may go on in the next
-        for batch in batches:
-            words, total = batch.column(0).to_numpy(), np.zeros((0, k))
-            size = np.array([len(x) for x in batch.column(1).to_pylist()]) // kind().itemsize
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind)
-            starts = np.flatnonzero(np.diff(words, prepend=words[0] - 1 if words[0] > np.iinfo(np.int64).min else words[0] + 1)) if len(words) else []
-            if not len(words):
-                continue
-            at = np.concatenate([[0], np.cumsum(size)])
-            parts = []
-            for a in range(0, len(starts), 4096):  # bounded rows of gains at once, whatever a word's number of neighbours
-                edges = at[np.append(starts, len(words))[a : a + 4097]]
-                parts.append(_summed(gains, codes[edges[0] : edges[-1]], edges - edges[0]))
-            total, names = np.concatenate(parts), words[starts]
-            if last is not None and names[0] == last:
-                total[0] += held
-            elif last is not None:
-                yield record_batch({"w": [last], "c": [int(held.argmax())]}, schema)
-            last, held = int(names[-1]), total[-1].copy()
-            yield record_batch({"w": pa.array(names[:-1]), "c": pa.array(total[:-1].argmax(axis=1).astype(np.int32))}, schema)
-        if last is not None:
-            yield record_batch({"w": [last], "c": [int(held.argmax())]}, schema)
-
-    rare = seen.mapInArrow(choose, "w long, c int")
+            self.met.append((word[code >= 0], code[code >= 0].astype(np.uint16)))
+            return ()
+
+        def end(self) -> Iterable[dict]:
+            words, at = np.unique(np.concatenate([w for w, _ in self.met]), return_inverse=True)
+            keys, n = np.unique(at * (2 * k) + np.concatenate([c for _, c in self.met]), return_counts=True)
+            for shard, listed, counted in _shard_packs(words, np.zeros(len(words)), *np.divmod(keys, 2 * k), n, shards):
+                yield {"shard": [shard], "words": [listed], "counts": [counted]}
+
+    seen = by_blocks(rows, "shard int, words binary, counts binary", Contexts, BLOCK_CHARS, SLICE)
+
+    def choose(packs: pa.Table) -> pa.Table:
+        words, _, edges, code, n = _of_shard(packs, k)
+        best = [np.zeros(0, np.int32)]
+        for a in range(0, len(words), 4096):  # bounded rows of gains at once
+            b = min(a + 4096, len(words))
+            span = slice(edges[a], edges[b])
+            best.append(_summed(gains, code[span], n[span], edges[a : b + 1] - edges[a]).argmax(axis=1).astype(np.int32))
+        return pa.table({"w": pa.array(words), "c": pa.array(np.concatenate(best))})
+
+    rare = seen.groupBy("shard").applyInArrow(choose, "w long, c int")
     common = rows.sparkSession.createDataFrame(pa.table({"w": pa.array(frequent.view(np.int64)), "c": pa.array(class_of.astype(np.int32))}))
     return counts.join(rare.unionByName(common), "w", "left").select("w", "n", F.coalesce("c", F.lit(-1)).alias("c"))
 
 
-def _summed(gains: np.ndarray, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each run of ``codes`` between ``edges`` (none is empty) the sum of their rows of ``gains``, in pieces of bounded size."""
+def _summed(gains: np.ndarray, codes: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each run of ``codes`` between ``edges`` (none is empty) the sum of their rows of ``gains``, ``n`` times each, in pieces of bounded size."""
     out = np.zeros((len(edges) - 1, gains.shape[1]))
     run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     for a in range(0, len(codes), 50_000):
         part = run[a : a + 50_000]
         starts = np.flatnonzero(np.diff(part, prepend=-1))
-        out[part[starts]] += np.add.reduceat(gains[codes[a : a + 50_000]], starts)
+        out[part[starts]] += np.add.reduceat(gains[codes[a : a + 50_000]] * n[a : a + 50_000, None], starts)
     return out
 
 
@@ -315,11 +329,11 @@ def _with_words(rows: DataFrame, in_blocks: DataFrame, words: DataFrame, run, sc
     return packed(rows, BLOCK_CHARS, SLICE).groupBy("block").cogroup(packed_by_block(wanted).groupBy("block")).applyInArrow(run, schema)
 
 
-def _swept(rows: DataFrame, in_blocks: DataFrame, words: DataFrame, k: int, shared: int, places: int) -> tuple[DataFrame, np.ndarray]:
+def _swept(rows: DataFrame, in_blocks: DataFrame, words: DataFrame, k: int, shared: int, shards: int, places: int) -> tuple[DataFrame, np.ndarray]:
     """One round of exchange over all training words at once, and the class bigrams before it.
 
-    Neighbours are counted by word and class beside it: combined in each block, summed by both, then each word, with 2 ``k`` rows at
-    most, takes its best class while the others stand as they are (``exchange_gains``). Only the ``k`` x ``k`` bigrams reach the driver.
+    Neighbours are counted by word and class beside it: combined in each block, which gives a pack for each shard of the words, then added by shard, where each word, with
+    2 ``k`` counts at most, takes its best class while the others stand as they are (``exchange_gains``). Only the ``k`` x ``k`` bigrams reach the driver.
     """
 
     def contexts(packs: pa.Table, table: pa.Table) -> pa.Table:
@@ -335,41 +349,39 @@ def _swept(rows: DataFrame, in_blocks: DataFrame, words: DataFrame, k: int, shar
                 tally.add(keys.astype(np.uint64), n)
         tally.merge()
         place, code = np.divmod(tally.keys.astype(np.int64), 2 * k)
-        return pa.table({"w": w[place].view(np.int64), "c": of[place].astype(np.int16), "code": code.astype(np.int32), "n": tally.sums})
-
-    seen = _with_words(rows, in_blocks, words, contexts, "w long, c short, code int, n long")
-    seen = written(seen.groupBy("w", "c", "code").agg(F.sum("n").alias("n")))
-    table = np.zeros((k, k))
-    for r in seen.filter(F.col("code") >= k).groupBy("c", "code").agg(F.sum("n").alias("n")).toArrow().to_batches():  # k * k rows at most
-        table[r.column(0).to_numpy(), r.column(1).to_numpy() - k] = r.column(2).to_numpy()
-    schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("c", pa.int32())])
-
-    def moved(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        w, code, n = part.column("w").to_numpy(), part.column("code").to_numpy(), part.column("n").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        for a in range(0, len(starts), 2048):
-            edges = np.append(starts, len(w))[a : a + 2049]
-            span, begins, old = slice(edges[0], edges[-1]), edges[:-1], part.column("c").to_numpy()[edges[:-1]].astype(np.int64)
-            gains = exchange_gains(table, code[span], n[span], edges - edges[0], old)
-            best, each = gains.argmax(axis=1), np.arange(len(old))
-            total = np.add.reduceat(np.where(code[span] < k, n[span], 0), begins - edges[0])
-            best = np.where((total >= places) & (gains[each, best] > gains[each, old] + 1e-9), best, old)
-            yield record_batch({"w": w[begins], "n": total, "c": best.astype(np.int32)}, schema)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None  # the rows of a word that may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.concat_tables([x for x in (rest, pa.Table.from_batches([batch])) if x is not None]).combine_chunks()
-            cut = int(np.searchsorted(part.column("w").to_numpy(), part.column("w")[-1].as_py()))
-            rest = part.slice(cut)
-            if cut:
-                yield from moved(part.slice(0, cut))
-        if rest is not None:
-            yield from moved(rest)
+        ahead = code >= k
+        pair, at = np.unique(of[place[ahead]].astype(np.int64) * k + code[ahead] - k, return_inverse=True)
+        pairs = pack(pa.table({"pair": pair, "n": np.bincount(at, tally.sums[ahead], len(pair)).astype(np.int64)}))
+        found = [(None, None, None, pairs), *((*x, None) for x in _shard_packs(w, of, place, code, tally.sums, shards))]
+        return pa.table(list(zip(*found)), schema=pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("pairs", pa.binary())]))
 
-    return written(seen.repartition("w").sortWithinPartitions("w").mapInArrow(choose, "w long, n long, c int")), table
+    seen = written(_with_words(rows, in_blocks, words, contexts, "shard int, words binary, counts binary, pairs binary"))
+    both = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0):
+                yield from unpack(p.as_py()).cast(both).to_batches()
+
+    table = np.zeros(k * k)
+    for r in seen.filter("pairs is not null").select("pairs").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_batches():  # k * k rows at most
+        table[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    table = table.reshape(k, k)
+
+    def choose(packs: pa.Table) -> pa.Table:
+        w, old, edges, code, n = _of_shard(packs, k)
+        total, best = np.zeros(len(w), np.int64), old.astype(np.int64)
+        for a in range(0, len(w), 2048):
+            b = min(a + 2048, len(w))
+            span, begins, each, was = slice(edges[a], edges[b]), edges[a : b + 1] - edges[a], np.arange(b - a), best[a:b].copy()
+            gains = exchange_gains(table, code[span], n[span], begins, was)
+            total[a:b] = np.add.reduceat(np.where(code[span] < k, n[span], 0), begins[:-1])
+            to = gains.argmax(axis=1)
+            best[a:b] = np.where((total[a:b] >= places) & (gains[each, to] > gains[each, was] + 1e-9), to, was)
+        return pa.table({"w": pa.array(w), "n": pa.array(total), "c": pa.array(best.astype(np.int32))})
+
+    moved = seen.filter("shard is not null").select("shard", "words", "counts").groupBy("shard").applyInArrow(choose, "w long, n long, c int")
+    return written(moved), table
 
 
 def _emissions(words: DataFrame, k: int, none: int) -> tuple[np.ndarray, int]:
@@ -406,7 +418,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     class_of = exchange(first, second, n, len(top), classes)
     k = int(class_of.max()) + 1
     bigrams = np.bincount(class_of[first] * k + class_of[second], n, k * k).reshape(k, k)
-    words = written(_assigned(rows, counts, top, class_of, neighbour_gains(bigrams)))
+    shards = -(-max(int(total), 1) // SHARD)
+    words = written(_assigned(rows, counts, top, class_of, neighbour_gains(bigrams), shards))
 
     unigram, kind = np.log10(total + PRIOR * (kinds + 1)), np.uint8 if k < 256 else np.uint16
 
@@ -453,7 +466,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     earlier = words
     for _ in range(rounds if total else 0):
-        swept, table = _swept(rows, in_blocks, words, k, _emissions(words, k, 0)[1], places)
+        swept, table = _swept(rows, in_blocks, words, k, _emissions(words, k, 0)[1], shards, places)
         if words is not earlier and left_out_likelihood(table) < reached:
             words = earlier
             break

@@ -207,3 +207,27 @@ def test_the_query_exchanges_all_training_words(spark, sf, monkeypatch):
     real, swept = C._swept, []
     monkeypatch.setattr(C, "_swept", lambda *a: swept.append(a[-1]) or real(*a))
     assert queries.op7_class_lm(spark, sf).count() > 0 and swept == [1]
+
+
+def test_counts_of_words_move_as_a_pack_for_each_shard_and_are_added(docs, monkeypatch):
+    rng, k, shards = np.random.default_rng(2), 7, 3
+    words = np.unique(rng.integers(0, 2**64, 50, np.uint64))
+    of, want, packs = rng.integers(0, k, len(words)), Counter(), []
+    for _ in range(4):  # blocks
+        keys = np.unique(rng.integers(0, len(words) * 2 * k, 200))
+        place, code = np.divmod(keys, 2 * k)
+        n = rng.integers(1, 100_000, len(keys))
+        want.update({(int(words[p].view(np.int64)), int(c)): int(x) for p, c, x in zip(place, code, n)})
+        packs += C._shard_packs(words, of, place, code, n, shards)
+    assert len(packs) <= 4 * shards
+    got, classes = {}, dict(zip(words.view(np.int64).tolist(), of.tolist()))
+    for s in range(shards):
+        w, c, edges, code, n = C._of_shard(pa.table({"words": [x for t, x, _ in packs if t == s], "counts": [x for t, _, x in packs if t == s]}), k)
+        assert all(classes[x] == y for x, y in zip(w.tolist(), c.tolist()))
+        got |= {(int(w[j]), int(code[i])): int(n[i]) for j in range(len(w)) for i in range(edges[j], edges[j + 1])}
+    assert got == dict(want)
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(30))) for i in range(200)]
+    real, stored = C.written, []
+    monkeypatch.setattr(C, "written", lambda f: stored.append(real(f)) or stored[-1])
+    C.score(docs(rows), classes=3, frequent=5).count()
+    assert not any({"w", "code"} <= set(f.columns) for f in stored)  # no row per word and class beside it
