@@ -19,11 +19,12 @@ def operations(findings: DataFrame) -> DataFrame:
     projection of its own, so that no pattern is looked for twice.
     """
     rows = findings.withColumn("plain", without_escapes(S.statement(F.col("resolved"), F.col("raw"))))
-    rows = rows.withColumns({"op": S.plain_operation(F.col("plain")), "results": S.result_columns(F.col("result_columns"))})
-    rows = rows.withColumn("listed", S.column_list(F.col("op"), F.col("plain")))
-    rows = rows.withColumn("items", S.list_items(F.col("op"), F.col("listed")))
-    rows = rows.withColumn("names", S.names_in(F.col("items")))
-    read, named = (F.col("op") == "select") & F.col("results").isNotNull(), F.size("names") > 0
+    rows = rows.withColumn("upper", F.upper("plain"))
+    rows = rows.withColumn("op", S.plain_operation(F.col("plain"), F.col("upper")))
+    told = (F.col("op") == "select") & (F.col("result_columns") != "[]")
+    rows = rows.withColumns({"listed": S.column_list(F.col("op"), F.col("plain")), "results": F.when(told, S.result_columns(F.col("result_columns")))})
+    rows = rows.withColumn("names", S.names_of(F.col("op"), F.col("listed")))
+    read, named = F.col("results").isNotNull(), F.size("names") > 0
     read_out = F.struct(S.table_key(F.col("target")).alias("key"), "op", F.when(read, F.col("results")).when(named, F.col("names")).alias("cols"), F.when(read, 90).when(named, 80).otherwise(20).alias("conf"))
     # one element a row: filters and aggregates above read what is made here and aren't pushed into the parsing
     return rows.select(*findings.columns, F.inline_outer(F.array(read_out)))
@@ -32,8 +33,9 @@ def operations(findings: DataFrame) -> DataFrame:
 def context(ops: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS) -> DataFrame:
     """``key, confirmed``: whether any application names a column of the table that only test results have. Procedures and
     code-like targets tell nothing about a table's columns."""
-    strong = F.exists(F.coalesce("cols", F.array().cast("array<string>")), lambda c: S.is_strong(c, measurements))
-    return ops.filter("not is_sp and key is not null and op is not null").groupBy("key").agg(F.max(strong).alias("confirmed"))
+    rows = ops.filter("not is_sp and key is not null and op is not null").select("key", F.coalesce("cols", F.array().cast("array<string>")).alias("named"))
+    rows = rows.withColumn("shown", S.shown(F.col("named")))
+    return rows.groupBy("key").agg(F.max(S.any_strong(F.col("named"), F.col("shown"), measurements)).alias("confirmed"))
 
 
 def context_label(confirmed: Column) -> Column:
@@ -44,15 +46,22 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.max(condition), F.lit(False))
 
 
+def marked(ops: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
+    """``app_id, target, key, is_sp, op, writes, reads, known, measured, strong, ambiguous`` of each statement with a target and an operation: what its columns
+    are by catalogs of names, which are looked up once for each."""
+    rows = ops.filter("target is not null and op is not null").select("app_id", "target", "key", "is_sp", "op", F.coalesce("cols", F.array().cast("array<string>")).alias("named"))
+    rows = rows.withColumn("shown", S.shown(F.col("named")))
+    named, shown = F.col("named"), F.col("shown")
+    return rows.select(
+        "app_id", "target", "key", "is_sp", "op", F.col("op").isin("insert", "update", "delete", "merge").alias("writes"), (F.col("op") == "select").alias("reads"), (F.size(named) > 0).alias("known"),
+        S.any_member(shown, measurements).alias("measured"), S.any_strong(named, shown, measurements).alias("strong"), S.any_member(shown, status).alias("ambiguous"),
+    )
+
+
 def _evidence(ops: DataFrame, measurements: tuple[str, ...] = S.MEASUREMENTS, status: tuple[str, ...] = S.STATUS_METADATA) -> DataFrame:
     """A row per application, table as spelled and key: what its statements do and name, by catalogs of column names."""
-    named = F.coalesce("cols", F.array().cast("array<string>"))
-    writes, reads = F.col("op").isin("insert", "update", "delete", "merge"), F.col("op") == "select"
-    measured = F.exists(named, lambda c: S.is_member(c, measurements))
-    strong = F.exists(named, lambda c: S.is_strong(c, measurements))
-    ambiguous = F.exists(named, lambda c: S.is_member(c, status))
-    known = F.size(named) > 0
-    return ops.filter("target is not null and op is not null").groupBy("app_id", "target", "key").agg(
+    writes, reads, measured, strong, ambiguous, known = (F.col(c) for c in ("writes", "reads", "measured", "strong", "ambiguous", "known"))
+    return marked(ops, measurements, status).groupBy("app_id", "target", "key").agg(
         F.count_if(writes).alias("n_writes"), F.count_if(reads).alias("n_reads"),
         _any(writes & measured).alias("wm"), _any(writes & (known | (F.col("op") == "delete"))).alias("wk"),
         _any(reads & measured).alias("rm"), _any(reads & strong).alias("rs"), _any(reads & ambiguous).alias("ra"), _any(reads & known).alias("rk"),
@@ -132,25 +141,22 @@ def strong_relations(rows: DataFrame) -> DataFrame:
 def weak_relations(rows: DataFrame) -> DataFrame:
     """``app_a, app_b, n_tables``: two applications share a table and neither feeds the other through it: both only write it, or both only read it."""
     s = _sides(rows).filter("side < 3").select(F.struct("key", "side").alias("key"), F.col("app_id").alias("member"))
-    return pair_counts(s, s).filter("a < b").select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("n").alias("n_tables"))
+    return pair_counts(s, s, ascending=True).select(F.col("a").alias("app_a"), F.col("b").alias("app_b"), F.col("n").alias("n_tables"))
 
 
 def relation_evidence(ops: DataFrame, rows: DataFrame) -> DataFrame:
     """``producer, consumer, key, written, read, write_ops, read_ops``: for each strong relation and table what the one writes and the other reads:
     the distinct statements (op, cols, conf) of either side, and the table as either spells it. ``ops`` as from ``operations``, ``rows`` their roles."""
-    sides = stored(_sides(rows)).withColumnRenamed("app_id", "member")
-    met = pairs(sides.filter("side & 1 <> 0"), sides.filter("side & 2 <> 0")).filter("a <> b")
     known = ops.filter("key is not null and op is not null")
     writes = F.col("op").isin("insert", "update", "delete", "merge")
     found = F.struct("op", F.coalesce("cols", F.array().cast("array<string>")).alias("cols"), "conf")
-    told = known.groupBy(F.col("app_id").alias("_app"), F.col("key").alias("_key")).agg(
-        F.min("target").alias("spelled"), F.sort_array(F.collect_set(F.when(writes, found))).alias("w"), F.sort_array(F.collect_set(F.when(F.col("op") == "select", found))).alias("r")
+    told = known.groupBy("app_id", "key").agg(
+        F.min("target").alias("table"), F.sort_array(F.collect_set(F.when(writes, found))).alias("w"), F.sort_array(F.collect_set(F.when(F.col("op") == "select", found))).alias("r")
     )
-    told = stored(told)
-    left = told.select("_app", "_key", F.col("spelled").alias("written"), F.col("w").alias("write_ops"))
-    right = told.select(F.col("_app").alias("_b"), F.col("_key").alias("_k"), F.col("spelled").alias("read"), F.col("r").alias("read_ops"))
-    out = met.join(left, (F.col("a") == F.col("_app")) & (F.col("key") == F.col("_key"))).join(right, (F.col("b") == F.col("_b")) & (F.col("key") == F.col("_k")))
-    return out.select(F.col("a").alias("producer"), F.col("b").alias("consumer"), "key", "written", "read", "write_ops", "read_ops")
+    sides = stored(_sides(rows).join(told, ["app_id", "key"]))
+    side = lambda bit, ops: sides.filter(F.col("side").bitwiseAND(bit) != 0).select("key", F.struct("app_id", "table", F.col(ops).alias("ops")).alias("member"))  # noqa: E731  statements go with the applications when these are paired
+    met = pairs(side(1, "w"), side(2, "r")).filter("a.app_id <> b.app_id")
+    return met.select(F.col("a.app_id").alias("producer"), F.col("b.app_id").alias("consumer"), "key", F.col("a.table").alias("written"), F.col("b.table").alias("read"), F.col("a.ops").alias("write_ops"), F.col("b.ops").alias("read_ops"))
 
 
 def spelled_sides(ops: DataFrame, rows: DataFrame) -> DataFrame:

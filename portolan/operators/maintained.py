@@ -15,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.functions import sqltext as S
 from portolan.operators import flow
 from portolan.operators.cooccurrence import pair_counts
 from portolan.sources.store import stored
@@ -32,16 +31,13 @@ def bucket(column: str) -> Column:
 
 def counted(ops: DataFrame, sign: int) -> DataFrame:
     """``app_id, target, key`` and how many statements show each mark, with a sign. ``ops`` as from ``flow.operations``."""
-    named = F.coalesce("cols", F.array().cast("array<string>"))
-    writes, reads = F.col("op").isin("insert", "update", "delete", "merge"), F.col("op") == "select"
-    strong, known = F.exists(named, lambda c: S.is_strong(c, S.MEASUREMENTS)), F.size(named) > 0
+    writes, reads, measured, strong, ambiguous, known = (F.col(c) for c in ("writes", "reads", "measured", "strong", "ambiguous", "known"))
     marks = {
-        "n": F.lit(True), "writes": writes, "reads": reads, "wm": writes & F.exists(named, lambda c: S.is_member(c, S.MEASUREMENTS)), "wk": writes & (known | (F.col("op") == "delete")),
-        "rm": reads & F.exists(named, lambda c: S.is_member(c, S.MEASUREMENTS)), "rs": reads & strong, "ra": reads & F.exists(named, lambda c: S.is_member(c, S.STATUS_METADATA)), "rk": reads & known,
+        "n": F.lit(True), "writes": writes, "reads": reads, "wm": writes & measured, "wk": writes & (known | (F.col("op") == "delete")),
+        "rm": reads & measured, "rs": reads & strong, "ra": reads & ambiguous, "rk": reads & known,
         "tells": ~F.col("is_sp") & strong,
     }
-    rows = ops.filter("target is not null and op is not null").groupBy(*_KEY)
-    return rows.agg(*[(F.count_if(c) * sign).alias(k) for k, c in marks.items()])
+    return flow.marked(ops).groupBy(*_KEY).agg(*[(F.count_if(c) * sign).alias(k) for k, c in marks.items()])
 
 
 def roles_of(counts: DataFrame) -> DataFrame:
