@@ -23,7 +23,9 @@ def operations(findings: DataFrame) -> DataFrame:
     rows = rows.withColumn("op", S.plain_operation(F.col("plain"), F.col("upper")))
     told = (F.col("op") == "select") & (F.col("result_columns") != "[]")
     rows = rows.withColumns({"listed": S.column_list(F.col("op"), F.col("plain")), "results": F.when(told, S.result_columns(F.col("result_columns")))})
-    rows = rows.withColumn("names", S.names_of(F.col("op"), F.col("listed")))
+    rows = rows.withColumn("marked", S.marked_calls(F.col("op"), F.col("listed")))
+    rows = rows.withColumn("named", S.without_calls(F.col("marked"), F.col("listed")))
+    rows = rows.withColumn("names", S.names_of(F.col("op"), F.col("named")))
     read, named = F.col("results").isNotNull(), F.size("names") > 0
     read_out = F.struct(S.table_key(F.col("target")).alias("key"), "op", F.when(read, F.col("results")).when(named, F.col("names")).alias("cols"), F.when(read, 90).when(named, 80).otherwise(20).alias("conf"))
     # one element a row: filters and aggregates above read what is made here and aren't pushed into the parsing
