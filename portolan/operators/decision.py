@@ -106,19 +106,20 @@ def summaries(contributions: DataFrame, scores: DataFrame, apps: DataFrame) -> D
     return out.select("app_id", "app_name", "priority", "score", "technical", "integration", "risk", "readiness", "pending", narrative.alias("narrative"), conclusion.alias("conclusion"))
 
 
-def short_evidence(findings: DataFrame, tables: DataFrame, curated: DataFrame, flags: DataFrame, edges: DataFrame, io: DataFrame, members: DataFrame, contributions: DataFrame, apps: DataFrame) -> DataFrame:
+def short_evidence(findings: DataFrame, tables: DataFrame, curated: DataFrame, flags: DataFrame, shared: DataFrame, io: DataFrame, members: DataFrame, contributions: DataFrame, apps: DataFrame) -> DataFrame:
     """``app_id, factor, evidence``: each factor's evidence in a line, from counts per application (of integrations, the most frequent kind first);
-    a factor without evidence says so."""
+    a factor without evidence says so. ``shared`` as from ``portfolio.shared_resources``."""
     kind = F.format_string("%d integracion(es) de tipo '%s'", "n", "label")
     kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "label", kind.alias("text")))), lambda x: x["text"]), ", ")
     pairs = members.filter(F.col("category") != UNMATCHED).select("category", "app_name").distinct()
-    shared = pairs.join(pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "category").join(apps.select("app_id", "app_name"), "app_name")
-    severe = curated.select("app_name", "severity").join(apps.select("app_id", "app_name"), "app_name").select("app_id", "severity").unionByName(flags.select("app_id", "severity"))
+    known = pairs.join(pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "category").join(apps.select("app_id", "app_name"), "app_name")
+    weighed = lambda x, by: x.groupBy(by).agg(F.count(F.lit(1)).alias("n_risks"), F.count_if(F.col("severity") == "critica").alias("n_critical"))
+    severe = weighed(curated, "app_name").join(apps.select("app_id", "app_name"), "app_name").drop("app_name").unionByName(weighed(flags, "app_id"))
     counts = [
         findings.filter("target is not null").groupBy("app_id").agg(F.count_distinct("target").alias("n_targets")), tables.groupBy("app_id").agg(F.count_distinct("schema_name", "table_name").alias("n_tables")),
-        severe.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_risks"), F.count_if(F.col("severity") == "critica").alias("n_critical")),
-        edges.select(F.explode(F.array("app_a", "app_b")).alias("app_id")).groupBy("app_id").agg(F.count(F.lit(1)).alias("n_shared")),
-        integration_labels(io).groupBy("app_id").agg(kinds.alias("kinds")), shared.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_patterns")),
+        severe.groupBy("app_id").agg(F.sum("n_risks").alias("n_risks"), F.sum("n_critical").alias("n_critical")),
+        shared.select("app_id", F.col("n").alias("n_shared")),
+        integration_labels(io).groupBy("app_id").agg(kinds.alias("kinds")), known.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_patterns")),
     ]
     rows = contributions.select("app_id", "factor", "raw", "bucket")
     for c in counts:

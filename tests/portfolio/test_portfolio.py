@@ -98,3 +98,28 @@ def test_curated_log_and_fills(spark):
     assert store.checked("alta", store.SEVERITIES) == "alta"
     with pytest.raises(ValueError, match="nope"):
         store.checked("nope", store.SEVERITIES)
+
+
+def test_shared_resources_are_counted_without_their_edges(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from portolan.operators import cooccurrence
+
+    rng = random.Random(3)
+    findings = spark.createDataFrame([(rng.choice([None, *range(40)]), rng.choice([None, "Hot", "Hot", "T1", "T2"]), rng.choice(["query", "stored_procedure", "other", None])) for _ in range(300)], "app_id long, target string, category string")
+    settings = spark.createDataFrame([(k % 30, "sql_or_oracle" if k % 4 else "path", f"server=s{k % 7}") for k in range(60)], "app_id long, category string, value string")
+    apps = spark.createDataFrame([(k, None if k % 9 == 0 else f"a{k % 11}") for k in range(25)] + [(3, "other")], "app_id long, app_name string")
+    edges = P.table_edges(findings).unionByName(P.server_edges(settings, apps)).collect()
+    want = Counter(x for e in edges for x in (e.app_a, e.app_b))
+
+    def fails(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(P, "pairs", fails)
+    assert {r.app_id: r.n for r in P.shared_resources(findings, settings, apps).collect()} == want
+    monkeypatch.setattr(cooccurrence, "RUN", 7)
+    rows = findings.selectExpr("target AS key", "app_id AS member", "category IN ('query', 'stored_procedure') AS first")
+    light, dealt = ({r.member: r.n for r in cooccurrence.degrees(rows, most).collect()} for most in (1000, 80))
+    assert light == dealt and len(light) > 30
+    assert cooccurrence.degrees(rows.limit(0)).collect() == []
