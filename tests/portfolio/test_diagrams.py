@@ -88,3 +88,29 @@ def test_evidence_keeps_what_either_side_does(spark):
     (r,) = got
     assert (r.producer, r.consumer, r.key, r.written, r.read) == (1, 2, "T", "dbo.T", "T")
     assert [(x.op, x.cols) for x in r.write_ops] == [("insert", ["IL", "ReflA"]), ("update", ["IL"])] and [(x.op, x.cols) for x in r.read_ops] == [("select", ["IL"])]
+
+
+@pytest.mark.parametrize(("cap", "hot"), [(2, 1000), (5, 1000), (80, 1000), (2, 3), (5, 3), (80, 3)])
+def test_relation_texts_without_pairs(spark, cap, hot):
+    random.seed(cap)
+    sides = [(f"K{k}", m, random.choice([1, 2, 3]), random.choice([f"k{k}", f'dbo."K{k}"'])) for k in range(7) for m in random.sample(range(1, 14), random.randint(1, 13))] + [("own", 20, 3, "own"), ("one", 21, 1, "one")]
+    pairs = [(f"app/{a}", f"app/{b}", s, t) for k, a, x, s in sides for j, b, y, t in sides if j == k and a != b and x & 1 and y & 2]
+    loops = [(f"app/{m}", t) for _, m, side, t in sides if side == 3]
+    lines = D.relation_diagrams(spark.createDataFrame(pairs, "producer string, consumer string, written string, read string"), spark.createDataFrame(loops, "app_name string, table string"), cap)
+    frame = spark.createDataFrame(sides, "key string, member long, side int, table string")
+    from pyspark.sql import functions as F
+
+    sizes = frame.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = D.relation_texts(frame, sizes, lambda c: F.concat(F.lit("app/"), c.cast("string")), cap, hot)
+    assert sorted(got.collect()) == sorted(D.texts(lines).collect())
+
+
+def test_relation_texts_move_lists_not_pairs(spark):
+    """With forty applications on a table each gets the few first by name; no row is made for each pair."""
+    from pyspark.sql import functions as F
+
+    sides = spark.range(40).select(F.lit("T").alias("key"), F.col("id").alias("member"), F.lit(3).alias("side"), F.lit("t").alias("table"))
+    got = D.relation_texts(sides, sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")), lambda c: c.cast("string"), 3)
+    assert {r.n_lines for r in got.collect()} == {9} and all(D.FOCAL_NOTE in r.mermaid for r in got.collect())
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
