@@ -3,10 +3,17 @@
 A file is a sequence of numbered lines, held in pieces of ``PIECE`` lines: depths are sums over a piece's lines beside sums over the pieces before (a
 segmented scan), so that a file of any length is spread over tasks. A block begins at a heading and ends on the line whose braces come back to the depth before it: the next line
 that closes this level behind the first opening brace. Every line then takes, level by level, the last heading whose block is still open, and of these the deepest.
+
+``containment`` moves lines several times, as it spreads each file. Where files are many, ``containment_by_file`` gives the same for each file where it is read and moves nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +22,9 @@ from portolan.operators.csharp import CLASS, METHOD
 from portolan.sources.store import grown, stored
 
 PIECE = 1000
+#: Lines that are passed on at a time; the headings, with ASCII letters as in column expressions.
+LINES_AT_ONCE = 100_000
+_HEADS = (re.compile(CLASS.pattern, re.A), re.compile(METHOD.pattern, re.A))
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
@@ -81,3 +91,78 @@ def containment(files: DataFrame, piece: int = PIECE) -> DataFrame:
     best = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("in_.name")), F.when(F.col("kind") == kind, F.struct("in_.first", "level")))
     around = told.groupBy(*by, "n").agg(best("class").alias("class_name"), best("method").alias("method"))
     return lines.select(*by, "n").join(grown(around), [*by, "n"], "left")
+
+
+def around_lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, and for each line of a file the place of its class and of its method among them; -1: none. Time grows with the lines of all blocks."""
+    lines = text.splitlines()
+    n, names = len(lines), []
+    opens = np.fromiter((x.count("{") for x in lines), np.int64, n)
+    after = np.cumsum(opens - np.fromiter((x.count("}") for x in lines), np.int64, n))  # depths behind each line
+    opening = np.flatnonzero(opens)
+    found: tuple[list[tuple[int, int, str]], ...] = ([], [])  # (line, depth before it, name) of each heading
+    for i, line in enumerate(lines):
+        if line.lstrip()[:1] in ("p", "i", "["):  # headings begin with one of their modifiers or an attribute
+            for heads, pattern in zip(found, _HEADS):
+                if m := pattern.match(line):
+                    heads.append((i, int(after[i - 1]) if i else 0, m[1]))
+    out = []
+    for heads in found:
+        inside, next_at, spans = np.full(n, -1, np.int64), {}, []
+        for i, level, name in reversed(heads):
+            k = np.searchsorted(opening, i)
+            end = _first_at_most(after, int(opening[k]), level) if k < len(opening) else n - 1
+            spans.append((i, min(end, next_at.get(level, n) - 1), name))  # a later heading of its level takes its place
+            next_at[level] = i
+        for i, last, name in reversed(spans):  # later headings are further in
+            inside[i : last + 1] = len(names)
+            names.append(name)
+        out.append(inside)
+    return names, *out
+
+
+def _first_at_most(values: np.ndarray, start: int, most: int) -> int:
+    """The first place from ``start`` with a value of ``most`` or less, else the last one; looks at about as many as lie between."""
+    size = 16
+    while start < len(values):
+        low = values[start : start + size] <= most
+        if low.any():
+            return start + int(low.argmax())
+        start, size = start + size, size * 2
+    return len(values) - 1
+
+
+def containment_by_file(files: DataFrame) -> DataFrame:
+    """``app_name, file, n, class_name, method`` as ``containment``, each file read where it is: one pass over a file's lines in Python (Arrow batches), which are written as they come."""
+    schema = pa.schema([("app_name", pa.string()), ("file", pa.string()), ("n", pa.int32()), ("class_name", pa.string()), ("method", pa.string())])
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        apps, paths, starts, names, classes, methods = zip(*held)
+        sizes = [len(x) for x in classes]
+        of = pa.array(np.repeat(np.arange(len(held)), sizes))
+        shift = np.cumsum([0, *map(len, names[:-1])])
+        known = pa.array([x for some in names for x in some], pa.string())
+        n = np.concatenate([np.arange(a + 1, a + 1 + k) for a, k in zip(starts, sizes)])
+
+        def named(parts: tuple) -> pa.Array:
+            at = np.concatenate(parts)
+            return known.take(pa.array(at + np.repeat(shift, sizes), mask=at < 0))
+
+        columns = [pa.array(apps, pa.string()).take(of), pa.array(paths, pa.string()).take(of), pa.array(n, pa.int32()), named(classes), named(methods)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for some in batches:
+            for app, path, text in zip(*(some.column(k).to_pylist() for k in range(3))):
+                names, classes, methods = around_lines(text)
+                for k in range(0, len(classes), LINES_AT_ONCE):
+                    held.append((app, path, k, names, classes[k : k + LINES_AT_ONCE], methods[k : k + LINES_AT_ONCE]))
+                    size += len(held[-1][4])
+                    if size >= LINES_AT_ONCE:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
+
+    return files.filter("text is not null").select("app_name", "path", "text").mapInArrow(run, "app_name string, file string, n int, class_name string, method string")

@@ -50,3 +50,22 @@ def test_lines_are_never_broadcast(spark):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     lines = K.numbered_lines(files)
     assert "Broadcast" not in K.blocks(lines)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_read_where_they_are_give_the_same_and_move_nothing(spark):
+    random.seed(5)
+    parts = ["public class A {", "public class B", "{", "}", "}", "public void M()", "private int N() { return 1; }", "public int Q() => 2;", "  [Attr] internal static void P() {", "x = y;", "if (a) {", "public class É {", "public class C { int x; }", "", "} }", "{ }"]
+    texts = {f"r{k}": random.choice(["\n", "\r\n", "\x0b"]).join(random.choice(parts) for _ in range(random.randint(1, 40))) for k in range(60)}
+    texts |= {"screen": SCREEN.replace("{p}", "7").replace("{overload}", ""), "store": REPOSITORY.replace("{p}", "7"), "none": "x;\ny;\n\n", "empty": "", "null": None}
+    files = spark.createDataFrame([("a", k, t) for k, t in texts.items()], "app_name string, path string, text string")
+    got = K.containment_by_file(files)
+    assert got.schema == K.containment(files).schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, K.containment(files).collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_file_is_passed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(K, "LINES_AT_ONCE", 100)
+    text = "public class A {\n" + "".join(f"public void M{k}()\n{{\nx = {k};\n}}\n" for k in range(3000)) + "}\n"
+    names, classes, methods = K.around_lines(text)
+    assert len(classes) == 12_002 and names[methods[12_000]] == "M2999" and methods[12_001] == -1 and {names[k] for k in classes} == {"A"}
