@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.labels import setting_category
-from portolan.functions.sqltext import classified
+from portolan.functions.sqltext import with_classes
 from portolan.operators.csharp import FORMS, WINDOWS, Source, config_settings
 from portolan.operators.tracing import CONNECTIONS
 from portolan.sources.store import grown
@@ -49,7 +49,12 @@ def raw_findings(files: DataFrame) -> DataFrame:
         for f in Source(path, text).findings():
             yield tuple(f.get(n) for n in names)
 
-    return _read(files.filter(~F.regexp_extract("path", r"[^\\/]*$", 0).contains("Settings") & F.col("text").rlike(HINTS)), FINDING, rows)
+    return _read(with_hints(files), FINDING, rows)
+
+
+def with_hints(files: DataFrame) -> DataFrame:
+    """The files that may have findings."""
+    return files.filter(~F.regexp_extract("path", r"[^\\/]*$", 0).contains("Settings") & F.col("text").rlike(HINTS))
 
 
 def sql_findings(files: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def sql_of(found: DataFrame) -> DataFrame:
     """The SQL commands of ``raw_findings``."""
     rows = found.filter("found = 'sql'")
     text = F.coalesce(F.nullif("resolved", F.lit("")), "raw")
-    rows = rows.withColumn("c", classified(text, F.col("procedure"), F.col("kind").isin(*CONNECTIONS)))
+    rows = with_classes(rows, text, F.col("procedure"), F.col("kind").isin(*CONNECTIONS))
     evidence = F.struct(F.when(F.col("resolved").isNotNull(), F.col("file")).alias("source_file"), F.col("source_line").alias("line_number"), F.coalesce("confidence", F.lit(20)).alias("confidence"))
     return rows.select("app_name", "file", "line", "class_name", "method", "kind", "raw", "resolved", "c.category", "c.target", F.col("c.is_procedure").alias("is_stored_procedure"), "parameters", "result_columns", evidence.alias("evidence"))
 

@@ -69,3 +69,17 @@ def test_sides_of_a_footprint_are_never_broadcast(spark):
     settings = extraction.settings(files, files)
     plan = C.footprint(found, files, settings)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+def test_findings_and_connections_from_one_reading(spark):
+    from portolan.operators import connections as C
+    from portolan.operators import extraction as X
+    from portolan.plans.rendered import REPOSITORY, SCREEN
+
+    texts = {"Data/Store.cs": REPOSITORY.replace("{p}", "7"), "F.cs": SCREEN.replace("{p}", "7").replace("{overload}", ""), "None.cs": "int x;", "Null.cs": None}
+    files = spark.createDataFrame([("a", k, t) for k, t in texts.items()], "app_name string, path string, text string")
+    both = C.with_findings(files).collect()
+    as_rows = lambda rows, names: sorted(str([r[n] for n in names]) for r in rows)
+    found, given = X.raw_findings(files), C.connections(files)
+    assert as_rows([r for r in both if r.found != "connection"], found.columns) == as_rows(found.collect(), found.columns)
+    assert as_rows([r for r in both if r.found == "connection"], given.columns) == as_rows(given.collect(), given.columns)

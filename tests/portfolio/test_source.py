@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import pytest
@@ -161,3 +162,13 @@ def test_a_choice_or_branch_before_the_text_doesnt_count():
     assert (f["resolved"], f["confidence"], f["source_line"]) == ("t", 90, 6)
     (f,) = findings(method('q = "t";', "int? n;", "case 3:", "SqlCommand c = new SqlCommand(q, k);"))
     assert f["resolved"] is None
+
+
+def test_classes_of_commands_are_made_in_code_that_is_compiled(spark):
+    """The JVM doesn't compile methods of more than 8,000 bytes; a filter on what is found must not double the patterns."""
+    rows = spark.createDataFrame([], extraction.FINDING)
+    plan = extraction.sql_of(rows.repartition(2)).filter("target is not null")._jdf.queryExecution()
+    said = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert "(?i)" not in "".join(re.findall(r"Filter .*", plan.optimizedPlan().toString()))
+    assert all(x < 8000 for x in sizes)
